@@ -14,9 +14,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import DoubleType, StructField, StructType
+
 from dwitable.functions import maths as M
 
 ENTRIES = ("dxx", "dyy", "dzz", "dxy", "dxz", "dyz")
+SOLUTION = StructType([StructField(n, DoubleType()) for n in ("ln_s0", *ENTRIES)])
 MIN_SIGNAL = 1e-4
 B_UNIT = 1000.0
 SINGULAR = 1e-12
@@ -29,7 +32,6 @@ def _regressors() -> list[Column]:
     return [F.lit(1.0), -b * x * x, -b * y * y, -b * z * z, -2 * b * x * y, -2 * b * x * z, -2 * b * y * z]
 
 
-@F.pandas_udf("ln_s0 double, dxx double, dyy double, dzz double, dxy double, dxz double, dyz double")
 def _solve(sums: pd.DataFrame) -> pd.DataFrame:
     values = sums.to_numpy(dtype=float)
     system = np.empty((len(values), 7, 7))
@@ -67,7 +69,7 @@ def fit_tensor(signal: DataFrame, volumes: DataFrame) -> DataFrame:
     moments = [F.sum(F.col(f"x{n}") * F.col("y")).alias(f"m{n}") for n in range(7)]
     sums = rows.groupBy("subject", "voxel").agg(*products, *moments)
     inputs = F.struct(*[F.col(f"p{r}{c}") for r, c in PAIRS], *[F.col(f"m{n}") for n in range(7)])
-    return sums.select("subject", "voxel", _solve(inputs).alias("fit")).select("subject", "voxel", "fit.*")
+    return sums.select("subject", "voxel", F.pandas_udf(_solve, SOLUTION)(inputs).alias("fit")).select("subject", "voxel", "fit.*")
 
 
 def scaled(tensors: DataFrame, factor: float = 1000.0) -> DataFrame:

@@ -204,7 +204,7 @@ def median_filter(image: DataFrame, radius: int = 2, side: int = BLOCK_SIDE) ->
         cube[tuple(at.T)] = pdf["value"].to_numpy()
         own = ((at >= radius) & (at < radius + side)).all(axis=1)
         windows = np.lib.stride_tricks.sliding_window_view(cube, (2 * radius + 1,) * 3)
-        around = windows[tuple((at[own] - radius).T)].reshape(int(own.sum()), -1)
+        around = windows[tuple((at[own] - radius).T)].reshape(int(own.sum()), (2 * radius + 1) ** 3)
         out = pdf.loc[own, ["subject", *AXES]].copy()
         out["value"] = np.nanmedian(around, axis=1) if len(out) else np.empty(0)
         return out

@@ -9,6 +9,7 @@ from dwitable.functions import paths as P
 from dwitable.operators import directions, groupqc, manifest, roster, sessions, volumes
 from dwitable.operators.profile import StudyProfile
 from dwitable.operators.volumes import dropped_scans, parse_outliers
+from dwitable.session import materialise
 from dwitable.sinks.layout import transfer_manifest
 from dwitable.sources import keys as key_source
 from dwitable.sources import listing
@@ -24,16 +25,22 @@ def acquire(
     subjects: roster.Subjects = "all",
     include_site: bool = False,
     overwrite: bool = False,
+    reuse: bool = False,
 ) -> DataFrame:
     """Transfers to make for the subjects that proceed, from participant lists, object keys and sidecar bodies.
 
     ``participants`` is ``(site, rd, participant_id)``, ``keys`` is ``(key)``, ``sidecars`` is ``(subject_id, key,
     body)`` and ``existing`` holds the targets already there. A count of subjects is taken among the valid ones.
+    The classified keys feed several steps; ``reuse`` writes them to the shared folder once instead of reading the
+    listing again for each.
     """
     study = profile.subjects(participants)
     by_count = subjects is None or isinstance(subjects, int)
     chosen = study if by_count else roster.select_subjects(study, subjects)
-    files = manifest.classify(key_source.subject_keys(chosen, keys))
+    listed = key_source.subject_keys(chosen, keys)
+    files = manifest.classify(listed)
+    if reuse:
+        listed, files = materialise(listed, "keys"), materialise(files, "register")
     validity = manifest.subject_validity(chosen, files)
     kept = profile.key_filter(files)
     faced = directions.determine_directions(sidecars)
@@ -45,8 +52,12 @@ def acquire(
     reasons = sessions.skip_reasons(validity, directed, sessions.session_role_counts(sited))
     proceeding = reasons.filter("skip_reason IS NULL").select("subject_id")
     if by_count:
-        proceeding = proceeding.orderBy("subject_id").limit(subjects or 1)
-    wanted = sited.join(proceeding, "subject_id", "left_semi").join(chosen, "subject_id")
+        unfit = F.coalesce(F.col("skip_reason"), F.lit("")).isin("missing_files", "no_direction")
+        valid = reasons.select("subject_id", (~unfit).alias("valid"))
+        proceeding = proceeding.join(roster.first_valid(valid, subjects or 1), "subject_id", "left_semi")
+    notes = manifest.sidecars_of(kept, listed, distinct=True).select("subject_id", F.lit("json").alias("role"), "key")
+    transfers = sited.select("subject_id", "role", "key").unionByName(notes)
+    wanted = transfers.join(proceeding, "subject_id", "left_semi").join(chosen, "subject_id")
     targets = manifest.positions_paired(wanted, directory, include_site)
     return transfer_manifest(profile.rewrite(targets), existing, overwrite)
 

@@ -22,10 +22,10 @@ def read_participants(spark: SparkSession, path: str | list[str], sep: str = "\t
 
 
 def read_bodies(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Files as ``(path, body)``."""
-    return spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").alias("body")
-    )
+    """Files as ``(path, body)``, with partition directories as further columns."""
+    files = spark.read.text(path, wholetext=True)
+    extra = [c for c in files.columns if c != "value"]
+    return files.select(F.col("_metadata.file_path").alias("path"), *extra, F.col("value").alias("body"))
 
 
 def json_field(body: ColumnLike, key: str) -> Column:
@@ -60,12 +60,12 @@ def matrix_entries(lines: DataFrame, bad: float | None = None) -> DataFrame:
 
 
 def read_matrix(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Whitespace matrix files as ``(path, row, col, value)``; a token that is no number raises."""
+    """Whitespace matrix files as ``(path, …, row, col, value)``; a token that is no number raises."""
     return matrix_entries(explode_lines(read_bodies(spark, path)))
 
 
 def read_table_lenient(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Whitespace table files as ``(path, row, col, value)``; tokens that are no numbers become NaN."""
+    """Whitespace table files as ``(path, …, row, col, value)``; tokens that are no numbers become NaN."""
     return matrix_entries(explode_lines(read_bodies(spark, path)), bad=float("nan"))
 
 
@@ -74,9 +74,11 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return explode_lines(read_bodies(spark, path))
 
 
-def read_qc(spark: SparkSession, path: str | list[str], schema: str = QC_SCHEMA) -> DataFrame:
-    """Quality-control documents with a declared schema."""
-    return spark.read.schema(schema).option("multiLine", "true").json(path)
+def read_qc(
+    spark: SparkSession, path: str | list[str], schema: str = QC_SCHEMA, one_per_line: bool = False
+) -> DataFrame:
+    """Quality-control documents with a declared schema: one per file, or one per line."""
+    return spark.read.schema(schema).option("multiLine", str(not one_per_line).lower()).json(path)
 
 
 def b_values(entries: DataFrame) -> DataFrame:
