@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dwitable.functions import maths as M
+from dwitable.session import if_small, materialise
 
 MEASURES = ("qc_mot_abs", "qc_mot_rel")
 
@@ -25,7 +26,7 @@ def against_group(
     individuals: DataFrame, group: DataFrame, by: Sequence[str] = ("bucket",), measures: Sequence[str] = MEASURES
 ) -> DataFrame:
     """z-scores of individuals against given group statistics."""
-    out = individuals.join(group, list(by))
+    out = individuals.join(if_small(group), list(by))
     for m in measures:
         z = F.try_divide(F.col(m) - F.col(f"mean_{m}"), F.nullif(F.col(f"std_{m}"), F.lit(0.0)))
         out = out.withColumn(f"z_{m}", z)
@@ -34,7 +35,7 @@ def against_group(
 
 def z_scores(qc: DataFrame, by: Sequence[str] = ("bucket",), measures: Sequence[str] = MEASURES) -> DataFrame:
     """z-score of every subject within its own group."""
-    return against_group(qc, group_statistics(qc, by, measures), by, measures)
+    return against_group(qc, materialise(group_statistics(qc, by, measures), "group"), by, measures)
 
 
 def with_display(scores: DataFrame, measures: Sequence[str] = MEASURES, high_is_good: bool = False) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from dwitable.functions import maths as M
 from dwitable.operators.indexing import paged
+from dwitable.session import if_small
 
 TOLERANCE = 1e-12
 FLAT = 1e-9
@@ -210,6 +211,6 @@ def hemispheres(vecs: DataFrame, group: str = "label", chunk: int = CHUNK, fan_i
 def farthest_from_pole(vecs: DataFrame, poles: DataFrame, group: str = "label") -> DataFrame:
     """Per group: the smallest scalar product of any vector with its pole, and whether the hemisphere holds all."""
     dot = M.dot3(("x", "y", "z"), ("px", "py", "pz"))
-    return vecs.join(poles, group).groupBy(group).agg(F.min(dot).alias("min_dot")).withColumn(
+    return vecs.join(if_small(poles), group).groupBy(group).agg(F.min(dot).alias("min_dot")).withColumn(
         "contains_all", F.col("min_dot") >= -TOLERANCE
     )

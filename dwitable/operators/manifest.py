@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dwitable.functions import paths as P
 from dwitable.functions.columns import ColumnLike, col
 from dwitable.operators.indexing import PAGE, paged
+from dwitable.session import if_small
 
 # The file roles of a subject and those that can have a sidecar.
 ROLES = ("dwi", "bvec", "bval", "epi_nii", "epi_json", "t1w", "freesurfer")
@@ -202,7 +203,7 @@ def manifest_position(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
     The position is the number of distinct keys that sort before, so no manifest has to be sorted in one task.
     ``wanted`` is ``(bucket, path)`` with one path per bucket, as a browser session has one open report.
     """
-    per_bucket = manifest.select("bucket", "key").distinct().join(wanted, "bucket")
+    per_bucket = manifest.select("bucket", "key").distinct().join(if_small(wanted), "bucket")
     return per_bucket.groupBy("bucket", "path").agg(
         F.when(F.bool_or(F.col("key") == F.col("path")), F.count_if(F.col("key") < F.col("path")))
         .otherwise(F.lit(-1)).cast("long").alias("position")

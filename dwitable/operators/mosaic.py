@@ -6,12 +6,15 @@ into one row.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dwitable.functions import maths as M
 from dwitable.functions.columns import ColumnLike, col
 from dwitable.operators import voxels as V
+from dwitable.session import if_small, settled
 
 # The axis each direction cuts, the axes that remain, and the names used in sprite records.
 DIRECTIONS = {"ax": ("i", "j", "k"), "cor": ("j", "i", "k"), "sag": ("k", "i", "j")}
@@ -42,25 +45,39 @@ def pixel_tile(row: ColumnLike, column: ColumnLike, pix: ColumnLike, n_columns:
     return (F.floor(col(row) / col(pix)) * col(n_columns) + F.floor(col(column) / col(pix))).cast("int")
 
 
-def middle_slices(image: DataFrame, dims: DataFrame, direction: str) -> DataFrame:
-    """The middle slice along a direction, one square tile ``(r, c)`` per volume.
+def tile_dims(dims: DataFrame, directions: Sequence[str] = ORIENTATIONS) -> DataFrame:
+    """Extents of the tiles (``nr``, ``nc``) per subject and direction, with the volume count ``nt``."""
+    kinds = F.array(*[
+        F.struct(F.lit(d).alias("orientation"), F.col(f"n{r}").alias("nr"), F.col(f"n{c}").alias("nc"))
+        for d, (_, r, c) in DIRECTIONS.items() if d in directions
+    ])
+    return dims.select("subject", "nt", F.explode(kinds).alias("_k")).select("subject", "nt", "_k.*")
 
-    ``dims`` holds one row per subject with the image extents and ``nt``, the number of volumes.
-    """
-    cut, r, c = DIRECTIONS[direction]
-    middle = image.join(dims.select("subject", F.col(f"n{cut}").alias("_n")), "subject").filter(
-        F.col(cut) == F.floor(F.col("_n") / 2)
-    ).select("subject", "t", F.col(r).alias("r"), F.col(c).alias("c"), "value")
-    extents = dims.select(
-        "subject", F.explode(F.sequence(F.lit(0), F.col("nt") - 1)).alias("t"),
-        F.col(f"n{r}").alias("nr"), F.col(f"n{c}").alias("nc"),
-    )
-    return V.padded(middle, extents, F.greatest("nr", "nc"), ["subject", "t"], ("r", "c"))
 
+def middle_slices(image: DataFrame, dims: DataFrame, directions: Sequence[str] = ORIENTATIONS) -> DataFrame:
+    """The middle slice along each direction, one square tile ``(r, c)`` per direction and volume.
 
-def mosaic_layout(dims: DataFrame, pix: Column, n_tiles: Column) -> DataFrame:
-    """Layout of each subject's mosaic: tile side, tile count, tile rows and columns."""
-    sized = dims.select("subject", pix.cast("int").alias("pix"), n_tiles.cast("int").alias("num_slices"))
+    ``dims`` holds one row per subject with the image extents and ``nt``, the number of volumes. The image is read
+    once for all directions; only voxels on a middle slice go on.
+    """
+    hits = F.array(*[
+        F.when(
+            F.col(cut) == F.floor(F.col(f"n{cut}") / 2),
+            F.struct(F.lit(d).alias("orientation"), F.col(r).alias("r"), F.col(c).alias("c")),
+        )
+        for d, (cut, r, c) in DIRECTIONS.items() if d in directions
+    ])
+    extents = dims.select("subject", "ni", "nj", "nk")
+    image = image.select("subject", "t", "i", "j", "k", "value")
+    middle = image.join(if_small(extents), "subject").select("subject", "t", "value", F.explode(F.array_compact(hits)).alias("_h"))
+    tiles = middle.select("subject", "_h.*", "t", "value")
+    side = F.greatest("nr", "nc")
+    return V.padded(tiles, tile_dims(dims, directions), side, {"t": V.upto("nt")}, ("r", "c"), ("subject", "orientation"))
+
+
+def mosaic_layout(dims: DataFrame, pix: Column, n_tiles: Column, by: Sequence[str] = ("subject",)) -> DataFrame:
+    """Layout of each mosaic: tile side, tile count, tile rows and columns."""
+    sized = dims.select(*by, pix.cast("int").alias("pix"), n_tiles.cast("int").alias("num_slices"))
     return sized.withColumn("N", tile_rows("num_slices")).withColumn("M", tile_columns("num_slices"))
 
 
@@ -78,10 +95,9 @@ def mosaic(tiles: DataFrame, layout: DataFrame, tile: str, r: str = "r", c: str
 
     n_places = F.col("N") * F.col("M")
     places = F.filter(F.sequence(F.col("num_slices"), n_places), lambda p: p < n_places)
-    line = F.sequence(F.lit(0), F.col("pix") - 1)
-    empty = layout.select("*", F.explode(places).alias(tile)).select("*", F.explode(line).alias(r))
-    empty = empty.select("*", F.explode(line).alias(c)).withColumn("value", F.lit(float("nan")))
-    return laid(tiles.join(layout, keys)).unionByName(laid(empty))
+    empty = layout.select("*", F.explode(places).alias(tile)).repartition(*keys, tile)
+    empty = empty.select("*", F.explode(V.upto("pix")).alias(r)).select("*", F.explode(V.upto("pix")).alias(c))
+    return laid(tiles.join(if_small(layout), keys)).unionByName(laid(empty.withColumn("value", F.lit(float("nan")))))
 
 
 def mosaic_lines(pixels: DataFrame) -> DataFrame:
@@ -93,59 +109,63 @@ def mosaic_lines(pixels: DataFrame) -> DataFrame:
 
 def stack_mosaic(image: DataFrame, dims: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Layout and pixels of a 3-D image whose slices along k are the tiles, padded to the larger in-plane extent."""
+    dims = settled(dims, "dims")
     side = F.greatest("ni", "nj")
-    extents = dims.select("subject", F.explode(F.sequence(F.lit(0), F.col("nk") - 1)).alias("k"), "ni", "nj")
-    tiles = V.padded(image, extents, side, ["subject", "k"], ("i", "j"))
+    tiles = V.padded(image, dims, side, {"k": V.upto("nk")})
     layout = mosaic_layout(dims, side, F.col("nk"))
     return layout, mosaic(tiles, layout, "k", "i", "j")
 
 
-def series_sprites(image: DataFrame, dims: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Layouts and pixels of the three middle-slice mosaics over all volumes but the first.
+def series_layouts(dims: DataFrame) -> DataFrame:
+    """Layouts of the three middle-slice mosaics over all volumes but the first.
 
-    ``image`` is oriented already; ``dims`` holds extents and volume count per subject.
+    ``dims`` holds the extents of the oriented image and its volume count per subject.
     """
-    series = V.skip_first(image)
-    shorter = dims.withColumn("nt", F.col("nt") - 1)
-    layouts, pictures = [], []
-    for direction in ORIENTATIONS:
-        _, r, c = DIRECTIONS[direction]
-        layout = mosaic_layout(shorter, F.greatest(f"n{r}", f"n{c}"), F.col("nt"))
-        tiles = middle_slices(series, shorter, direction)
-        name = F.lit(direction).alias("orientation")
-        layouts.append(layout.select("subject", name, "N", "M", "pix", "num_slices", F.lit(SERIES_TYPE).alias("img_type")))
-        pictures.append(mosaic(tiles, layout, "t").select("subject", name, "row", "col", "value"))
-    return (
-        layouts[0].unionByName(layouts[1]).unionByName(layouts[2]),
-        pictures[0].unionByName(pictures[1]).unionByName(pictures[2]),
-    )
+    tiles = tile_dims(dims.withColumn("nt", F.col("nt") - 1))
+    layout = mosaic_layout(tiles, F.greatest("nr", "nc"), F.col("nt"), ("subject", "orientation"))
+    return layout.withColumn("img_type", F.lit(SERIES_TYPE))
+
+
+def series_pixels(image: DataFrame, dims: DataFrame) -> DataFrame:
+    """Pixels of the three middle-slice mosaics of an oriented image, all volumes but the first."""
+    dims = settled(dims, "dims")
+    tiles = middle_slices(V.skip_first(image), dims.withColumn("nt", F.col("nt") - 1))
+    return mosaic(tiles, series_layouts(dims).drop("img_type"), "t")
 
 
-def still_sprites(
+def still_layouts(dims: DataFrame) -> DataFrame:
+    """Layouts of the b0, masked colour-FA and anatomy-mask mosaics, which share their geometry."""
+    names = F.explode(F.array(F.lit("b0"), F.lit("colorFA"), F.lit("anat_mask"))).alias("image")
+    kind = F.when(F.col("image") != "anat_mask", F.lit(STILL_TYPE))
+    layout = mosaic_layout(dims, F.greatest("ni", "nj"), F.col("nk"))
+    return layout.select("*", names).withColumn("img_type", kind)
+
+
+def still_pixels(
     b0: DataFrame, colour_fa: DataFrame, anatomy_mask: DataFrame, dims: DataFrame, radius: int = 4, passes: int = 4
-) -> tuple[DataFrame, DataFrame]:
-    """Layouts and pixels of the b0, masked colour-FA and anatomy-mask mosaics.
+) -> DataFrame:
+    """Pixels of the b0, masked colour-FA and anatomy-mask mosaics.
 
     The colour image has a ``channel`` column; it is NaN outside the foreground of the padded b0 image, which is
     median-filtered ``passes`` times first. All three are oriented already and share their extents.
     """
+    dims = settled(dims, "dims")
     side = F.greatest("ni", "nj")
-    slices = dims.select("subject", F.explode(F.sequence(F.lit(0), F.col("nk") - 1)).alias("k"), "ni", "nj")
+    slices = {"k": V.upto("nk")}
+    channels = F.array(*[F.lit(c) for c in CHANNELS])
     layout = mosaic_layout(dims, side, F.col("nk"))
-    channels = F.explode(F.array(*[F.lit(c) for c in CHANNELS])).alias("channel")
-    b0_tiles = V.padded(b0, slices, side, ["subject", "k"])
+    b0_tiles = V.padded(b0, dims, side, slices)
     foreground = V.foreground_mask(b0_tiles, radius, passes)
-    colour_tiles = V.masked(V.padded(colour_fa, slices.select("*", channels), side, ["subject", "k", "channel"]), foreground)
-    b0_pixels = mosaic(b0_tiles, layout, "k", "i", "j")
-    colour_pixels = mosaic(colour_tiles, layout.select("*", channels), "k", "i", "j")
-    mask_pixels = mosaic(V.padded(anatomy_mask, slices, side, ["subject", "k"]), layout, "k", "i", "j")
-    none = F.lit("").alias("channel")
-    pixels = (
-        b0_pixels.select("subject", F.lit("b0").alias("image"), none, "row", "col", "value")
-        .unionByName(colour_pixels.select("subject", F.lit("colorFA").alias("image"), "channel", "row", "col", "value"))
-        .unionByName(mask_pixels.select("subject", F.lit("anat_mask").alias("image"), none, "row", "col", "value"))
+    colour_tiles = V.masked(V.padded(colour_fa, dims, side, {**slices, "channel": channels}), foreground)
+    mask_tiles = V.padded(anatomy_mask, dims, side, slices)
+    per_channel = layout.select("*", F.explode(channels).alias("channel"))
+
+    def picture(tiles: DataFrame, over: DataFrame, name: str) -> DataFrame:
+        pixels = mosaic(tiles, over, "k", "i", "j").withColumn("image", F.lit(name))
+        return pixels if "channel" in pixels.columns else pixels.withColumn("channel", F.lit(""))
+
+    return (
+        picture(b0_tiles, layout, "b0")
+        .unionByName(picture(colour_tiles, per_channel, "colorFA"))
+        .unionByName(picture(mask_tiles, layout, "anat_mask"))
     )
-    names = F.explode(F.array(F.lit("b0"), F.lit("colorFA"), F.lit("anat_mask"))).alias("image")
-    kind = F.when(F.col("image") != "anat_mask", F.lit(STILL_TYPE)).alias("img_type")
-    layouts = layout.select("*", names).select("subject", "image", "N", "M", "pix", "num_slices", kind)
-    return layouts, pixels

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dwitable.functions import maths as M
 from dwitable.operators.indexing import with_previous
+from dwitable.session import settled
 
 PARAMETERS = ("rx", "ry", "rz", "tx", "ty", "tz")
 
@@ -41,7 +42,7 @@ def intensity_z(intensities: DataFrame) -> DataFrame:
         F.avg("intensity").alias("_mean"), F.stddev_samp("intensity").alias("_sd")
     )
     z = F.try_divide(F.col("intensity") - F.col("_mean"), F.nullif(F.col("_sd"), F.lit(0.0)))
-    return intensities.join(stats, "subject").withColumn("z", z).drop("_mean", "_sd")
+    return intensities.join(settled(stats, "intensity"), "subject").withColumn("z", z).drop("_mean", "_sd")
 
 
 def artifact_flags(

@@ -91,18 +91,11 @@ def first_t1w(files: DataFrame, first_only: bool = True) -> DataFrame:
     return t1w.groupBy("subject_id").agg(F.min("key").alias("key")) if first_only else t1w
 
 
-def output_register(files: DataFrame, legacy: bool = False, assign_empty: bool = True) -> DataFrame:
-    """Files of the balanced sessions under their output session label.
-
-    With ``legacy`` every kept session carries all of the subject's session files instead of its own.
-    """
+def output_register(files: DataFrame, assign_empty: bool = True) -> DataFrame:
+    """Files of the balanced sessions under their output session label, each session with its own files."""
     own = files.filter(F.col("role").isin(*SESSION_ROLES))
     kept = session_balance(session_role_counts(own)).filter("balanced").select("subject_id", "session")
-    if legacy:
-        rows = own.drop("session").join(kept, "subject_id")
-    else:
-        rows = own.join(kept, ["subject_id", "session"])
-    return rows.select(
+    return own.join(kept, ["subject_id", "session"]).select(
         "subject_id", P.relabel_session("session", assign_empty).alias("output_session"), "role", "key"
     )
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from dwitable.functions import maths as M
+from dwitable.session import if_small
 
 ENTRIES = ("dxx", "dyy", "dzz", "dxy", "dxz", "dyz")
 SOLUTION = StructType([StructField(n, DoubleType()) for n in ("ln_s0", *ENTRIES)])
@@ -61,7 +62,7 @@ def fit_tensor(signal: DataFrame, volumes: DataFrame) -> DataFrame:
     """
     table = volumes.select("subject", "vol", "bval", "gx", "gy", "gz")
     x = _regressors()
-    rows = signal.join(table, ["subject", "vol"]).select(
+    rows = signal.join(if_small(table), ["subject", "vol"]).select(
         "subject", "voxel", *[c.alias(f"x{n}") for n, c in enumerate(x)],
         F.ln(F.greatest(F.col("signal"), F.lit(MIN_SIGNAL))).alias("y"),
     )

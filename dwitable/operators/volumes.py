@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dwitable.functions import maths as M
 from dwitable.functions.columns import ColumnLike, col
 from dwitable.operators.indexing import ordered_index
+from dwitable.session import if_small, settled
 
 # The sentence of an outlier report.
 OUTLIER_PATTERN = (
@@ -17,29 +18,28 @@ OUTLIER_PATTERN = (
 FIELDS = {"slice": "int", "scan": "int", "mean_sd": "double", "mean_sq_sd": "double"}
 
 
-def _fields(line: ColumnLike) -> dict[str, Column]:
+def _numbers(line: ColumnLike) -> Column:
+    """The four numbers of an outlier line as texts, NULL for a line of another form; one match per line."""
     text = F.trim(col(line))
-    return {
-        name: F.nullif(F.regexp_extract(text, OUTLIER_PATTERN, g), F.lit("")).try_cast(kind)
-        for g, (name, kind) in enumerate(FIELDS.items(), start=1)
-    }
+    found = F.regexp_replace(text, OUTLIER_PATTERN, "$1|$2|$3|$4")
+    return F.when(found != text, F.split(found, "[|]"))
 
 
 def parse_outliers(lines: DataFrame, strict: bool = True) -> DataFrame:
     """Outlier lines as numbers. A line of another form raises, or is left out with ``strict=False``."""
     keep = [c for c in lines.columns if c != "line"]
-    fields = {n: c.alias(n) for n, c in _fields("line").items()}
-    matched = F.col("line").isNotNull() & F.trim("line").rlike(OUTLIER_PATTERN)
-    if not strict:
-        return lines.filter(matched).select(*keep, *fields.values())
-    refused = F.raise_error(F.concat(F.lit("not an outlier line: "), F.coalesce("line", F.lit("NULL"))))
-    checked = lines.withColumn("line", F.when(matched, F.col("line")).otherwise(refused))
-    return checked.select(*keep, *fields.values())
+    numbers = lines.select(*keep, "line", _numbers("line").alias("_n"))
+    if strict:
+        refused = F.raise_error(F.concat(F.lit("not an outlier line: "), F.coalesce("line", F.lit("NULL"))))
+        numbers = numbers.withColumn("_n", F.coalesce("_n", refused.cast("array<string>")))
+    else:
+        numbers = numbers.filter("_n IS NOT NULL")
+    return numbers.select(*keep, *[F.get("_n", F.lit(g)).cast(kind).alias(n) for g, (n, kind) in enumerate(FIELDS.items())])
 
 
 def rejected_lines(lines: DataFrame) -> DataFrame:
     """The lines ``parse_outliers(strict=False)`` leaves out."""
-    return lines.filter(~F.coalesce(F.trim("line").rlike(OUTLIER_PATTERN), F.lit(False)))
+    return lines.filter(_numbers("line").isNull())
 
 
 def outliers_per_scan(outliers: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def dropped_scans(outliers: DataFrame, threshold: float, slices: DataFrame | Non
     if 0 < threshold < 1:
         if slices is None:
             raise ValueError("a share needs the slice count of each subject")
-        over = counts.join(slices, "subject").filter(F.col("n_outliers") > F.lit(threshold) * F.col("n_slices"))
+        over = counts.join(if_small(slices), "subject").filter(F.col("n_outliers") > F.lit(threshold) * F.col("n_slices"))
     else:
         over = counts.filter(F.col("n_outliers") > F.lit(threshold))
     return over.select("subject", F.col("scan").alias("vol"))
@@ -69,19 +69,23 @@ def slice_counts(voxels: DataFrame) -> DataFrame:
 
 
 def reindexed(volumes: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The volumes that stay, with their new gap-free index ``new_vol``."""
-    kept = volumes.join(dropped.select("subject", "vol"), ["subject", "vol"], "left_anti")
+    """The volumes that stay, with their new gap-free index ``new_vol``.
+
+    The list of dropped volumes is worked out once; it is needed for counting and for numbering.
+    """
+    gone = settled(dropped.select("subject", "vol"), "dropped")
+    kept = volumes.join(gone, ["subject", "vol"], "left_anti")
     return ordered_index(kept, ["subject"], "vol", "new_vol")
 
 
 def drop_volumes(voxels: DataFrame, volumes: DataFrame, dropped: DataFrame) -> DataFrame:
     """An image without the dropped volumes, its time axis compacted.
 
-    Volumes are renumbered on the volume table (one row per volume); voxels then take the number by an equi-join,
-    which Spark turns into a broadcast as long as the volume table is small.
+    Volumes are renumbered on the volume table (one row per volume, about a millionth of the image); voxels then take
+    the number from it, without being shuffled as long as that table is small.
     """
     kept = reindexed(volumes.select("subject", "vol"), dropped).withColumnRenamed("vol", "t")
-    return voxels.join(kept, ["subject", "t"]).withColumn("t", F.col("new_vol")).drop("new_vol")
+    return voxels.join(settled(kept, "kept"), ["subject", "t"]).withColumn("t", F.col("new_vol")).drop("new_vol")
 
 
 def drop_gradients(volumes: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -93,7 +97,7 @@ def transform_vectors(volumes: DataFrame, affines: DataFrame) -> DataFrame:
     """Gradient vectors times the subject's matrix, as row vectors with a trailing 1; not normalised again."""
     a = M.affine_columns()
     out = M.row_times_affine(("gx", "gy", "gz"), a)
-    return volumes.join(affines, "subject").select(
+    return volumes.join(if_small(affines), "subject").select(
         *[c for c in volumes.columns if c not in ("gx", "gy", "gz")],
         out[0].alias("gx"), out[1].alias("gy"), out[2].alias("gz"),
     )

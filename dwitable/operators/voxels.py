@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dwitable.functions import maths as M
+from dwitable.session import if_small, materialise, settled
 
 AXES = ("i", "j", "k")
 BINS = 256
@@ -40,7 +41,7 @@ def skip_first(voxels: DataFrame) -> DataFrame:
 def concatenate(first: DataFrame, second: DataFrame) -> DataFrame:
     """Second image after the first along time."""
     lengths = first.groupBy("subject").agg((F.max("t") + 1).alias("_n"))
-    moved = second.join(lengths, "subject", "left").withColumn("t", F.col("t") + F.coalesce("_n", F.lit(0))).drop("_n")
+    moved = second.join(settled(lengths, "lengths"), "subject", "left").withColumn("t", F.col("t") + F.coalesce("_n", F.lit(0))).drop("_n")
     return first.unionByName(moved.select(*first.columns))
 
 
@@ -70,7 +71,7 @@ def orientation(affines: DataFrame) -> DataFrame:
 
 def to_ras(voxels: DataFrame, affines: DataFrame, dims: DataFrame) -> DataFrame:
     """Voxel indices along right, anterior, superior: permuted and flipped as the affine says."""
-    o = orientation(affines).join(dims, "subject")
+    o = if_small(orientation(affines).join(dims, "subject"))
     moved = [
         F.when(F.col(f"s{n}") > 0, F.col(a)).otherwise(F.col(f"n{a}") - 1 - F.col(a)) for n, a in enumerate(AXES)
     ]
@@ -108,29 +109,41 @@ def left_pad(n: Column, size: Column) -> Column:
 
 
 def padded(
-    images: DataFrame, extents: DataFrame, n: Column, keys: Sequence[str], axes: Sequence[str] = ("i", "j")
+    images: DataFrame, dims: DataFrame, n: Column, slices: dict[str, Column], axes: Sequence[str] = ("i", "j"),
+    by: Sequence[str] = ("subject",),
 ) -> DataFrame:
     """Images centred in an ``n`` by ``n`` frame of zeros, every pixel present.
 
-    ``extents`` has one row per image slice (``keys``) with the extents of both axes (``n<axis>``). The frame is
-    generated on the executors and meets the pixels in one aggregation, which combines before it shuffles.
+    ``dims`` has the extents of both axes (``n<axis>``) per image (``by``); ``slices`` names the further coordinates of a
+    picture and lists their values as an array over ``dims``. The frame is generated on the executors, spread by
+    picture, and meets the pixels in one aggregation, which combines before it shuffles.
     """
     a, b = axes
-    frame = extents.withColumn("_n", n.cast("int"))
+    keys = [*by, *slices]
+    frame = dims.withColumn("_n", n.cast("int"))
     shifts = frame.select(
-        *keys, left_pad(F.col("_n"), F.col(f"n{a}")).alias("_da"), left_pad(F.col("_n"), F.col(f"n{b}")).alias("_db")
+        *by, left_pad(F.col("_n"), F.col(f"n{a}")).alias("_da"), left_pad(F.col("_n"), F.col(f"n{b}")).alias("_db")
     )
+    pictures = frame
+    for name, values in slices.items():
+        pictures = pictures.withColumn(name, F.explode(values))
     line = F.sequence(F.lit(0), F.col("_n") - 1)
     zeros = (
-        frame.select(*keys, "_n", F.explode(line).alias(a)).select(*keys, a, F.explode(line).alias(b))
+        pictures.select(*keys, "_n").repartition(*keys)
+        .select(*keys, "_n", F.explode(line).alias(a)).select(*keys, a, F.explode(line).alias(b))
         .withColumn("value", F.lit(None).cast("double"))
     )
-    placed = images.join(shifts, list(keys)).select(
+    placed = images.join(if_small(shifts), list(by)).select(
         *keys, (F.col(a) + F.col("_da")).cast("int").alias(a), (F.col(b) + F.col("_db")).cast("int").alias(b), "value"
     )
     return zeros.unionByName(placed).groupBy(*keys, a, b).agg(F.coalesce(F.max("value"), F.lit(0.0)).alias("value"))
 
 
+def upto(n: Column | str) -> Column:
+    """The indices 0 to n - 1."""
+    return F.sequence(F.lit(0), (F.col(n) if isinstance(n, str) else n) - 1)
+
+
 def masked(image: DataFrame, mask: DataFrame) -> DataFrame:
     """NaN where the mask has no positive voxel."""
     inside = mask.filter("value > 0").select("subject", *AXES, F.lit(True).alias("_in"))
@@ -141,7 +154,7 @@ def masked(image: DataFrame, mask: DataFrame) -> DataFrame:
 def world_coordinates(voxels: DataFrame, affines: DataFrame) -> DataFrame:
     """World position of each voxel: the affine times the 1-based index."""
     x, y, z = M.affine_times_point(M.affine_columns(), (F.col("i") + 1, F.col("j") + 1, F.col("k") + 1))
-    return voxels.join(affines, "subject").select(*voxels.columns, x.alias("wx"), y.alias("wy"), z.alias("wz"))
+    return voxels.join(if_small(affines), "subject").select(*voxels.columns, x.alias("wx"), y.alias("wy"), z.alias("wz"))
 
 
 def default_affine(voxel_size: float, origin: tuple[float, float, float]) -> list[list[Column]]:
@@ -157,7 +170,8 @@ def regrid_nearest(source: DataFrame, grid: DataFrame, affines: DataFrame) -> Da
     ``grid`` has the target extents per subject, ``affines`` maps target to source indices.
     """
     target = grid.join(affines, "subject")
-    for a in AXES:
+    target = target.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ni") - 1))).repartition("subject", "i")
+    for a in ("j", "k"):
         target = target.withColumn(a, F.explode(F.sequence(F.lit(0), F.col(f"n{a}") - 1)))
     moved = M.affine_times_point(M.affine_columns(), AXES)
     nearest = target.select(
@@ -174,13 +188,12 @@ def dilate(mask: DataFrame, dims: DataFrame, minimum: float = 0.5) -> DataFrame:
 
     Dilation by a cube is done one axis after the other, so a voxel is copied three times per axis, not 27 times.
     """
-    out = mask.filter(F.col("value") >= minimum).select("subject", *AXES)
+    out = mask.filter(F.col("value") >= minimum).select("subject", *AXES).join(if_small(dims), "subject")
     for a in AXES:
-        near = F.explode(F.array(F.col(a) - 1, F.col(a), F.col(a) + 1))
-        rest = [c for c in ("subject", *AXES) if c != a]
-        out = out.select(*rest, near.alias(a)).distinct()
-    inside = [(F.col(a) >= 0) & (F.col(a) < F.col(f"n{a}")) for a in AXES]
-    return out.join(dims, "subject").filter(inside[0] & inside[1] & inside[2]).select("subject", *AXES)
+        near = F.sequence(F.greatest(F.col(a) - 1, F.lit(0)), F.least(F.col(a) + 1, F.col(f"n{a}") - 1))
+        rest = [c for c in out.columns if c not in (a, f"n{a}")]
+        out = out.select(*rest, F.explode(near).alias(a)).distinct()
+    return out.select("subject", *AXES)
 
 
 def median_filter(image: DataFrame, radius: int = 2, side: int = BLOCK_SIDE) -> DataFrame:
@@ -193,7 +206,7 @@ def median_filter(image: DataFrame, radius: int = 2, side: int = BLOCK_SIDE) ->
         raise ValueError("the radius must not exceed half the block side")
     cubes = image.select("subject", *AXES, "value")
     for a in AXES:
-        first, last = F.floor((F.col(a) - radius) / side), F.floor((F.col(a) + radius) / side)
+        first, last = F.greatest(F.floor((F.col(a) - radius) / side), F.lit(0)), F.floor((F.col(a) + radius) / side)
         cubes = cubes.withColumn(f"_{a}", F.explode(F.sequence(first, last)))
     wide = side + 2 * radius
 
@@ -206,7 +219,10 @@ def median_filter(image: DataFrame, radius: int = 2, side: int = BLOCK_SIDE) ->
         windows = np.lib.stride_tricks.sliding_window_view(cube, (2 * radius + 1,) * 3)
         around = windows[tuple((at[own] - radius).T)].reshape(int(own.sum()), (2 * radius + 1) ** 3)
         out = pdf.loc[own, ["subject", *AXES]].copy()
-        out["value"] = np.nanmedian(around, axis=1) if len(out) else np.empty(0)
+        ranked = np.sort(around, axis=1)
+        n = np.count_nonzero(~np.isnan(ranked), axis=1)
+        row = np.arange(len(ranked))
+        out["value"] = (ranked[row, (n - 1) // 2] + ranked[row, n // 2]) / 2
         return out
 
     kind = image.schema["subject"].dataType.simpleString()
@@ -224,7 +240,7 @@ def otsu_threshold(image: DataFrame) -> DataFrame:
     slot = F.least(F.coalesce(F.floor(F.try_divide(F.col("value") - F.col("lo"), width)), F.lit(0)), F.lit(BINS - 1))
     centre = F.col("lo") + (F.col("bin") + 0.5) * width
     bins = (
-        image.join(span, "subject").groupBy("subject", slot.cast("int").alias("bin"), "lo", "hi")
+        image.join(settled(span, "span"), "subject").groupBy("subject", slot.cast("int").alias("bin"), "lo", "hi")
         .agg(F.count(F.lit(1)).alias("n")).withColumn("centre", centre)
     )
     w = Window.partitionBy("subject")
@@ -243,10 +259,12 @@ def otsu_threshold(image: DataFrame) -> DataFrame:
 def foreground_mask(image: DataFrame, radius: int = 0, passes: int = 1) -> DataFrame:
     """1.0 above the two-class threshold, else 0.0; with a radius the image is median-filtered first."""
     smooth = image
-    for _ in range(passes if radius else 0):
-        smooth = median_filter(smooth, radius)
+    if radius:
+        for _ in range(passes):
+            smooth = median_filter(smooth, radius)
+        smooth = materialise(smooth, "smooth")
     value = F.when(F.col("value") > F.col("threshold"), F.lit(1.0)).otherwise(F.lit(0.0))
-    return smooth.join(otsu_threshold(smooth), "subject").select("subject", *AXES, value.alias("value"))
+    return smooth.join(settled(otsu_threshold(smooth), "otsu"), "subject").select("subject", *AXES, value.alias("value"))
 
 
 def grey_scale(tiles: DataFrame, keys: Sequence[str] = ("subject",)) -> DataFrame:
@@ -254,7 +272,7 @@ def grey_scale(tiles: DataFrame, keys: Sequence[str] = ("subject",)) -> DataFram
     v = F.when(~F.isnan("value"), F.col("value"))
     span = tiles.groupBy(*keys).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
     grey = F.try_divide(F.col("value") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * 255
-    return tiles.join(span, list(keys)).withColumn("grey", grey).drop("_lo", "_hi")
+    return tiles.join(settled(span, "span"), list(keys)).withColumn("grey", grey).drop("_lo", "_hi")
 
 
 def plane(voxels: DataFrame, dims: DataFrame, kind: str, at: int | Column) -> DataFrame:
@@ -266,7 +284,7 @@ def plane(voxels: DataFrame, dims: DataFrame, kind: str, at: int | Column) -> Da
     fixed, x, y = {"sagittal": ("i", "j", "k"), "coronal": ("j", "i", "k"), "axial": ("k", "j", "i")}[kind]
     position = F.lit(at) if isinstance(at, int) else at
     down = F.col("nk") - 1 - F.col(y) if y == "k" else F.col(y)
-    return voxels.join(dims, "subject").filter(F.col(fixed) == position).select(
+    return voxels.join(if_small(dims), "subject").filter(F.col(fixed) == position).select(
         *[c for c in voxels.columns if c not in AXES and c != "value"],
         F.col(x).cast("int").alias("px"), down.cast("int").alias("py"), "value",
     )
@@ -313,4 +331,4 @@ def nearest_entry(
     best = wanted.join(short, cells).groupBy(*channels).agg(F.min(F.struct(distance.alias("d"), "idx")).alias("m"))
     value = F.try_divide(F.col("m.idx") * F.lit(float(high - low)), F.lit(float(last))) + F.lit(float(low))
     valued = best.select(*channels, F.col("m.idx").alias("idx"), value.alias("mapped"))
-    return colours.join(valued, list(channels))
+    return colours.join(settled(valued, "colours"), list(channels))

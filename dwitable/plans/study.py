@@ -9,7 +9,7 @@ from dwitable.functions import paths as P
 from dwitable.operators import directions, groupqc, manifest, roster, sessions, volumes
 from dwitable.operators.profile import StudyProfile
 from dwitable.operators.volumes import dropped_scans, parse_outliers
-from dwitable.session import materialise
+from dwitable.session import materialise, settled
 from dwitable.sinks.layout import transfer_manifest
 from dwitable.sources import keys as key_source
 from dwitable.sources import listing
@@ -25,22 +25,22 @@ def acquire(
     subjects: roster.Subjects = "all",
     include_site: bool = False,
     overwrite: bool = False,
-    reuse: bool = False,
+    reuse: bool = True,
 ) -> DataFrame:
     """Transfers to make for the subjects that proceed, from participant lists, object keys and sidecar bodies.
 
     ``participants`` is ``(site, rd, participant_id)``, ``keys`` is ``(key)``, ``sidecars`` is ``(subject_id, key,
     body)`` and ``existing`` holds the targets already there. A count of subjects is taken among the valid ones.
-    The classified keys feed several steps; ``reuse`` writes them to the shared folder once instead of reading the
-    listing again for each.
+    The subjects' keys feed several steps, so they are written to the shared folder once; without ``reuse`` the
+    listing is read again for each step.
     """
     study = profile.subjects(participants)
     by_count = subjects is None or isinstance(subjects, int)
-    chosen = study if by_count else roster.select_subjects(study, subjects)
+    chosen = settled(study if by_count else roster.select_subjects(study, subjects), "subjects")
     listed = key_source.subject_keys(chosen, keys)
-    files = manifest.classify(listed)
     if reuse:
-        listed, files = materialise(listed, "keys"), materialise(files, "register")
+        listed = materialise(listed, "keys")
+    files = manifest.classify(listed)
     validity = manifest.subject_validity(chosen, files)
     kept = profile.key_filter(files)
     faced = directions.determine_directions(sidecars)

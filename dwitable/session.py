@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SHARED_DIR_KEY = "spark.checkpoint.dir"
 
@@ -32,3 +33,25 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# A narrow row of a few numbers takes about a hundred bytes in a broadcast table, so this is about 100 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A narrow table marked for broadcast if it has at most ``limit`` rows, else unchanged.
+
+    Meant for tables with one row per subject, volume or group that are cheap to count. The count stops at the limit.
+    Beyond it Spark joins by shuffle, and splits hot keys at run time.
+    """
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def settled(df: DataFrame, purpose: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A small aggregate of a large table, computed once, written out, and marked for broadcast if it is small.
+
+    Joining an aggregate to the table it comes from would otherwise shuffle the large table, because its size is only
+    known once both sides have been shuffled.
+    """
+    return if_small(materialise(df, purpose), limit)

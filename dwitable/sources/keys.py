@@ -33,11 +33,11 @@ def subject_keys(roster: DataFrame, keys: DataFrame) -> DataFrame:
 
     Site and subject are read from the key, so an id that begins like another one does not match it.
     """
-    pattern = r"(?:^|/)([^/]+)/(derivatives/)?(sub-[^/]+)/"
-    parsed = keys.select(
-        F.regexp_extract("key", pattern, 3).alias("subject_id"),
-        F.regexp_extract("key", pattern, 1).alias("site"),
-        F.when(F.regexp_extract("key", pattern, 2) == "", F.lit("raw")).otherwise(F.lit("deriv")).alias("rd"),
+    place = F.regexp_extract("key", r"(?:^|/)([^/]+/(?:derivatives/)?sub-[^/]+)/", 1)
+    parsed = keys.select("key", place.alias("_place")).select(
+        F.substring_index("_place", "/", -1).alias("subject_id"),
+        F.substring_index("_place", "/", 1).alias("site"),
+        F.when(F.col("_place").contains("/derivatives/"), F.lit("deriv")).otherwise(F.lit("raw")).alias("rd"),
         "key",
     )
     return parsed.join(roster, ["subject_id", "site"], "left_semi")

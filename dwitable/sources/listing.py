@@ -11,19 +11,27 @@ from dwitable.functions.columns import ColumnLike, col
 REPORT_SUFFIX = "_report.json"
 
 
+def _element(name: str) -> str:
+    """Pattern of a leaf element, its content verbatim."""
+    return rf"<{name}(?:\s[^>]*)?>([^<]*)</{name}>"
+
+
 def page_keys(xml: ColumnLike) -> Column:
-    """All object keys of a listing page."""
-    return F.xpath(col(xml), F.lit("//Key/text()"))
+    """All object keys of a listing page, as written there (entities are not resolved).
+
+    Listings are flat, so a scan for the element is enough; building a document per page takes ten times as long.
+    """
+    return F.regexp_extract_all(col(xml), F.lit(_element("Key")), F.lit(1))
 
 
 def page_truncated(xml: ColumnLike) -> Column:
     """Whether more pages follow."""
-    return F.xpath_string(col(xml), F.lit("//IsTruncated")) == "true"
+    return F.regexp_extract(col(xml), _element("IsTruncated"), 1) == "true"
 
 
 def page_token(xml: ColumnLike) -> Column:
     """The encoded continuation token, NULL on the last page."""
-    token = P.encode_component(F.xpath_string(col(xml), F.lit("//NextContinuationToken")))
+    token = P.encode_component(F.regexp_extract(col(xml), _element("NextContinuationToken"), 1))
     return F.when(page_truncated(xml), token)
 
 

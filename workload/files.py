@@ -561,13 +561,6 @@ def a4_register(t):
     return S.output_register(t.sited)
 
 
-@query("a4_output_register_legacy", "sited", f"""+ {COUNTS_SQL}
-SELECT s.subject_id, CASE WHEN b.session = 'null' THEN 'ses-01' ELSE b.session END AS output_session, s.role, s.key
-FROM sited s JOIN balance b ON s.subject_id = b.subject_id WHERE b.balanced AND s.role IN {SESSION_SQL}""")
-def a4_legacy(t):
-    return S.output_register(t.sited, legacy=True)
-
-
 @query("a5_files_by_session", "sited", f"""
 SELECT subject_id, session, CAST(0 AS BIGINT) AS page,
   {", ".join(f"string_agg(key, '|' ORDER BY key) FILTER (role = '{r}') AS {r}" for r in S.SESSION_ROLES)}

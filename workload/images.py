@@ -87,8 +87,7 @@ cells AS (SELECT subject, k, da, db, a, unnest(range(0, 16)) AS b FROM (SELECT *
 SELECT c.subject, CAST(c.k AS INT) AS k, CAST(c.a AS INT) AS i, CAST(c.b AS INT) AS j, coalesce(b0.value, 0) AS value FROM cells c
 LEFT JOIN b0 ON c.subject = b0.subject AND c.k = b0.k AND c.a = b0.i + c.da AND c.b = b0.j + c.db""")
 def m8(t):
-    extents = t.dims.select("subject", F.explode(F.sequence(F.lit(0), F.col("nk") - 1)).alias("k"), "ni", "nj")
-    return V.padded(_b0(t), extents, F.lit(16), ["subject", "k"])
+    return V.padded(_b0(t), t.dims, F.lit(16), {"k": V.upto("nk")})
 
 
 def _middle_sql(cut: str, r: str, c: str) -> str:
@@ -101,7 +100,7 @@ LEFT JOIN voxels4d v ON v.subject = f3.subject AND v.t = f3.t AND v.{cut} = floo
 
 for _direction, (_cut, _row, _col) in MO.DIRECTIONS.items():
     query(f"m9_middle_slice_{_direction}", "dims", f"+ {_middle_sql(_cut, _row, _col)}")(
-        lambda t, d=_direction: MO.middle_slices(t.voxels4d, t.dims, d)
+        lambda t, d=_direction: MO.middle_slices(t.voxels4d, t.dims, (d,)).drop("orientation")
     )
 
 
@@ -240,7 +239,7 @@ def m19(t):
 
 def _series(t):
     oriented = _oriented(t).select("subject", "t", "i", "j", "k", "value")
-    return MO.series_sprites(oriented, _oriented_dims(t))
+    return MO.series_pixels(oriented, _oriented_dims(t))
 
 
 SERIES_SQL = f"""{ORIENTED_SQL},
@@ -263,14 +262,14 @@ sp AS (SELECT subject, orientation, row, col, nt, floor(row / pix) * big_m + flo
 @query("n5_series_layouts", "image_affines", f"""+ {SERIES_SQL}
 SELECT subject, orientation, big_n AS N, big_m AS M, CAST(pix AS INT) AS pix, CAST(nt AS INT) AS num_slices, '4dsprite' AS img_type FROM lay""")
 def n5_layouts(t):
-    return _series(t)[0]
+    return MO.series_layouts(_oriented_dims(t))
 
 
 @query("n5_series_sprites", "image_affines", f"""+ {SERIES_SQL}, {MIDDLE_SQL}
 SELECT p.subject, p.orientation, CAST(p.row AS INT) AS row, CAST(p.col AS INT) AS col, CASE WHEN tile >= nt THEN NULL ELSE coalesce(m.value, 0) END AS value
 FROM sp p LEFT JOIN mid m ON m.subject = p.subject AND m.orientation = p.orientation AND m.t = p.tile AND m.r = p.r AND m.c = p.c""")
 def n5(t):
-    return _series(t)[1].withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    return _series(t).withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
 
 @query("u5_sprite_lines", "image_affines", f"""+ {SERIES_SQL}, {MIDDLE_SQL},
@@ -278,7 +277,7 @@ f AS (SELECT p.subject, p.orientation, p.row, p.col, CASE WHEN tile >= nt THEN N
   FROM sp p LEFT JOIN mid m ON m.subject = p.subject AND m.orientation = p.orientation AND m.t = p.tile AND m.r = p.r AND m.c = p.c)
 SELECT subject, orientation, CAST(row AS INT) AS row, CAST(count(*) AS INT) AS width, round(sum(value), 4) AS total FROM f GROUP BY subject, orientation, row""")
 def u5(t):
-    lines = MO.mosaic_lines(_series(t)[1])
+    lines = MO.mosaic_lines(_series(t))
     total = F.aggregate(
         F.filter("pixels", lambda v: ~F.isnan(v)), F.lit(None).cast("double"), lambda acc, v: F.coalesce(acc, F.lit(0.0)) + v
     )
@@ -310,7 +309,7 @@ def n4(t):
     channels = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).cast("double").alias("value")) for c in MO.CHANNELS]))
     colour_image = colours.select("subject", "i", "j", "k", channels.alias("v")).select("subject", "i", "j", "k", "v.*")
     mask = V.binarise(t.seg).select("subject", "i", "j", "k", "value")
-    _, pixels = MO.still_sprites(_b0(t), colour_image, mask, t.dims, radius=1, passes=1)
+    pixels = MO.still_pixels(_b0(t), colour_image, mask, t.dims, radius=1, passes=1)
     return pixels.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
 
@@ -318,6 +317,4 @@ def n4(t):
 SELECT subject, image, big_n AS N, big_m AS M, CAST(pix AS INT) AS pix, nk AS num_slices, CASE WHEN image <> 'anat_mask' THEN 'brainsprite' END AS img_type
 FROM (SELECT *, unnest(['b0', 'colorFA', 'anat_mask']) AS image FROM sides) AS s""")
 def n4_layouts(t):
-    empty = t.seg.select("subject", "i", "j", "k", F.lit(1.0).alias("value"))
-    layouts, _ = MO.still_sprites(empty, empty.withColumn("channel", F.lit("r")), empty, t.dims)
-    return layouts
+    return MO.still_layouts(t.dims)

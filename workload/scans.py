@@ -160,11 +160,11 @@ def k5(t):
 @query("f12_unit_vectors", "vecs", """
 SELECT label, count(*) FILTER (abs(sqrt(x*x + y*y + z*z) - 1) > 1e-8 + 1e-5) AS n_bad FROM vecs2 GROUP BY label
 HAVING count(*) FILTER (abs(sqrt(x*x + y*y + z*z) - 1) > 1e-8 + 1e-5) > 0""".replace("SELECT label", """+ vecs2 AS (
-  SELECT label, x * (CASE WHEN m1 > 1 THEN 2 ELSE 1 END) AS x, y * (CASE WHEN m1 > 1 THEN 2 ELSE 1 END) AS y,
-         z * (CASE WHEN m1 > 1 THEN 2 ELSE 1 END) AS z FROM vecs)
+  SELECT label, x * (CASE WHEN m1 > 0.25 THEN 2 ELSE 1 END) AS x, y * (CASE WHEN m1 > 0.25 THEN 2 ELSE 1 END) AS y,
+         z * (CASE WHEN m1 > 0.25 THEN 2 ELSE 1 END) AS z FROM vecs)
 SELECT label""", 1))
 def f12(t):
-    factor = F.when(F.col("m1") > 1, F.lit(2.0)).otherwise(F.lit(1.0))
+    factor = F.when(F.col("m1") > 0.25, F.lit(2.0)).otherwise(F.lit(1.0))
     return H.non_unit_groups(t.vecs.withColumns({a: F.col(a) * factor for a in "xyz"}))
 
 
