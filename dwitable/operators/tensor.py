@@ -1,7 +1,7 @@
-"""Voxel-wise diffusion tensors by log-linear least squares, and the scalars derived from them.
+"""Voxel-wise diffusion tensors by (weighted) log-linear least squares, and the scalars derived from them.
 
 ``ln S = ln S0 - b g' D g`` is linear in ``ln S0`` and the six entries of D. The sums of the normal equations are plain
-aggregates, combined before the shuffle, so the volumes of a voxel are never collected; only the 7 x 7 systems
+aggregates, so the volumes of a voxel are never collected; only the 7 x 7 systems
 themselves go to Python, thousands per Arrow batch.
 """
 
@@ -54,23 +54,48 @@ def _solve(sums: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["ln_s0", *ENTRIES])
 
 
-def fit_tensor(signal: DataFrame, volumes: DataFrame) -> DataFrame:
+def _normal_equations(rows: DataFrame, weight: Column | None = None) -> DataFrame:
+    """Solution per voxel of the (weighted) least-squares problem over rows with ``x0`` to ``x6`` and ``y``."""
+    x = [F.col(f"x{n}") for n in range(7)]
+    left = x if weight is None else [weight * c for c in x]
+    products = [F.sum(left[r] * x[c]).alias(f"p{r}{c}") for r, c in PAIRS]
+    moments = [F.sum(left[n] * F.col("y")).alias(f"m{n}") for n in range(7)]
+    sums = rows.groupBy("subject", "voxel").agg(*products, *moments)
+    inputs = F.struct(*[F.col(f"p{r}{c}") for r, c in PAIRS], *[F.col(f"m{n}") for n in range(7)])
+    solved = sums.select("subject", "voxel", F.pandas_udf(_solve, SOLUTION)(inputs).alias("fit"))
+    return solved.select("subject", "voxel", "fit.*")
+
+
+def fit_tensor(signal: DataFrame, volumes: DataFrame, weighted: bool = True, clustered: bool = False) -> DataFrame:
     """Tensor and ``ln S0`` of every voxel.
 
     ``signal`` is ``(subject, voxel, vol, signal)`` with any set of volumes per voxel, ``volumes`` the gradient table
-    ``(subject, vol, bval, gx, gy, gz)``.
+    ``(subject, vol, bval, gx, gy, gz)``. With ``weighted`` a plain fit is followed by one whose squared weights are
+    the squares of the signals it predicts.
+
+    The 35 sums of a voxel are wider than its single measurements. Images come volume by volume, where summing up
+    before the shuffle gains nothing, so measurements are brought together first and everything after happens in
+    place; say ``clustered`` where the measurements of a voxel already lie together.
     """
     table = volumes.select("subject", "vol", "bval", "gx", "gy", "gz")
-    x = _regressors()
-    rows = signal.join(if_small(table), ["subject", "vol"]).select(
-        "subject", "voxel", *[c.alias(f"x{n}") for n, c in enumerate(x)],
+    measured = signal.select("subject", "voxel", "vol", "signal")
+    if not clustered:
+        measured = measured.repartition("subject", "voxel")
+    rows = measured.join(if_small(table), ["subject", "vol"]).select(
+        "subject", "voxel", *[c.alias(f"x{n}") for n, c in enumerate(_regressors())],
         F.ln(F.greatest(F.col("signal"), F.lit(MIN_SIGNAL))).alias("y"),
     )
-    products = [F.sum(F.col(f"x{r}") * F.col(f"x{c}")).alias(f"p{r}{c}") for r, c in PAIRS]
-    moments = [F.sum(F.col(f"x{n}") * F.col("y")).alias(f"m{n}") for n in range(7)]
-    sums = rows.groupBy("subject", "voxel").agg(*products, *moments)
-    inputs = F.struct(*[F.col(f"p{r}{c}") for r, c in PAIRS], *[F.col(f"m{n}") for n in range(7)])
-    return sums.select("subject", "voxel", F.pandas_udf(_solve, SOLUTION)(inputs).alias("fit")).select("subject", "voxel", "fit.*")
+    first = _normal_equations(rows)
+    if not weighted:
+        return first
+    decay = sum((F.col(f"x{n}") * F.col(e) * B_UNIT for n, e in enumerate(ENTRIES, start=1)), F.lit(0.0))
+    predicted = rows.join(first, ["subject", "voxel"]).withColumn("w", F.exp(2 * decay))
+    return _normal_equations(predicted, F.col("w"))
+
+
+def from_arrays(voxels: DataFrame) -> DataFrame:
+    """Voxels that hold their signals as one array, volume by volume, as single measurements (``clustered``)."""
+    return voxels.select("subject", "voxel", F.posexplode("signal").alias("vol", "signal"))
 
 
 def scaled(tensors: DataFrame, factor: float = 1000.0) -> DataFrame:

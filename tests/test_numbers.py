@@ -113,11 +113,24 @@ def test_fit_matches_least_squares(spark):
         signal = 800 * np.exp(-b * np.einsum("ni,ij,nj->n", g, d, g)) * rng.uniform(0.95, 1.05, 40)
         used = np.arange(40) if voxel else np.arange(0, 40, 2)
         rows += [(1, voxel, int(n), float(signal[n])) for n in used]
-        want[voxel] = np.linalg.lstsq(design[used], np.log(signal[used]), rcond=None)[0]
-    got = T.fit_tensor(spark.createDataFrame(rows, "subject int, voxel int, vol long, signal double"), volumes).collect()
-    for r in got:
-        np.testing.assert_allclose([r.ln_s0], want[r.voxel][:1], atol=1e-9)
-        np.testing.assert_allclose([r[e] for e in T.ENTRIES], want[r.voxel][1:], atol=1e-11)
+        x, y = design[used], np.log(signal[used])
+        plain = np.linalg.lstsq(x, y, rcond=None)[0]
+        w = np.exp(x @ plain)
+        want[False, voxel] = plain
+        want[True, voxel] = np.linalg.lstsq(x * w[:, None], y * w, rcond=None)[0]
+    measured = spark.createDataFrame(rows, "subject int, voxel int, vol long, signal double")
+    for weighted in (False, True):
+        for clustered in (False, True):
+            got = T.fit_tensor(measured, volumes, weighted, clustered).collect()
+            assert len(got) == 6
+            for r in got:
+                np.testing.assert_allclose([r.ln_s0], want[weighted, r.voxel][:1], atol=1e-9)
+                np.testing.assert_allclose([r[e] for e in T.ENTRIES], want[weighted, r.voxel][1:], atol=1e-11)
+
+
+def test_signals_in_arrays(spark):
+    voxels = spark.createDataFrame([(1, 7, [3.0, 2.0])], "subject int, voxel int, signal array<double>")
+    assert sorted(map(tuple, T.from_arrays(voxels).collect())) == [(1, 7, 0, 3.0), (1, 7, 1, 2.0)]
 
 
 def test_too_few_volumes_give_the_smallest_solution(spark):

@@ -232,7 +232,7 @@ colours AS (
 # Noise-free signals of known tensors: each line item says that a voxel was measured in a volume.
 fixture("dti_signal", ("volumes",), """
 measured AS (
-  SELECT DISTINCT l_suppkey % 10 AS subject, CAST(floor(l_partkey / CAST(20 AS DOUBLE)) AS BIGINT) AS voxel, l_orderkey % 40 AS vol
+  SELECT DISTINCT l_suppkey % 10 AS subject, CAST(floor(l_orderkey / CAST(150 AS DOUBLE)) AS BIGINT) AS voxel, l_partkey % 40 AS vol
   FROM {lineitem}),
 truth AS (
   SELECT subject, voxel, vol, CAST(0.0010 AS DOUBLE) + (voxel % 20) * CAST(0.00002 AS DOUBLE) AS dxx, CAST(0.0006 AS DOUBLE) AS dyy,
@@ -244,10 +244,12 @@ dti_signal AS (
   FROM truth JOIN volumes ON truth.subject = volumes.subject AND truth.vol = volumes.vol)
 """)
 
+# The mean is taken over whole hundredths, so that both engines get the same double.
 fixture("qc", (), """
 qc AS (
   SELECT CASE CAST(user_id % 3 AS INT) WHEN 0 THEN 'bucket-a' WHEN 1 THEN 'bucket-b' ELSE 'bucket-c' END AS bucket, user_id AS subject,
-         avg(value) AS qc_mot_abs, min(value) AS qc_mot_rel FROM {events} GROUP BY user_id)
+         CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / (100 * count(*)) AS qc_mot_abs, min(value) AS qc_mot_rel
+  FROM {events} GROUP BY user_id)
 """)
 
 fixture("report_json", ("qc",), """
