@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dwitable.session import settled
+
 BLOCK = 4096
 PAGE = 1000
 
@@ -43,15 +45,17 @@ def paged(df: DataFrame, keys: Sequence[str], by: Sequence[str | Column], page_s
     """Add a ``page`` to each row so that a page of a group holds about ``page_size`` rows.
 
     A group that fits one page gets page 0 throughout. Larger groups are spread by a hash of ``by``, so collecting
-    ``(keys, page)`` into a list stays bounded and no row is left out. The result is partitioned by group and page:
-    without that, an aggregation on top would reuse the join's partitioning by group alone.
+    ``(keys, page)`` into a list stays bounded and no row is left out. Only the sizes of the larger groups are joined
+    back; there cannot be many of them. The result is partitioned by group and page: without that, an aggregation on
+    top could reuse the join's partitioning by group alone.
     """
     keys = list(keys)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    large = settled(sizes.filter(F.col("_n") > page_size), "large")
     pages = F.ceil(F.col("_n") / F.lit(page_size)).cast("long")
     return (
-        df.join(sizes, keys)
-        .withColumn("page", F.pmod(F.xxhash64(*by), pages).cast("long"))
+        df.join(large, keys, "left")
+        .withColumn("page", F.coalesce(F.pmod(F.xxhash64(*by), pages), F.lit(0)).cast("long"))
         .drop("_n")
         .repartition(*keys, "page")
     )

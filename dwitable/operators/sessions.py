@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dwitable.functions import paths as P
 from dwitable.functions.columns import before
 from dwitable.operators.indexing import PAGE, paged
+from dwitable.session import settled
 
 # The roles that belong to a session.
 SESSION_ROLES = ("dwi", "bvec", "bval", "epi_ap", "epi_pa")
@@ -71,7 +72,7 @@ def split_multiples(files: DataFrame, policy: str = "sessions") -> DataFrame:
         "subject_id", "session", "run",
         F.row_number().over(w.orderBy("run")).alias("set_no"), F.count(F.lit(1)).over(w).alias("n_sets"),
     )
-    out = own.join(sets, ["subject_id", "session", "run"])
+    out = own.join(settled(sets, "sets"), ["subject_id", "session", "run"])
     label = F.when(F.col("n_sets") > 1, F.format_string("%s-%02d", "session", "set_no")).otherwise(F.col("session"))
     if policy == "concatenate":
         label = F.col("session")
@@ -82,7 +83,7 @@ def one_freesurfer(files: DataFrame) -> DataFrame:
     """Files of one FreeSurfer directory per subject: the first by name."""
     fs = files.filter(F.col("role") == "freesurfer").withColumn("fs_dir", before("key", "/freesurfer/"))
     chosen = fs.groupBy("subject_id").agg(F.min("fs_dir").alias("fs_dir"))
-    return fs.join(chosen, ["subject_id", "fs_dir"])
+    return fs.join(settled(chosen, "chosen"), ["subject_id", "fs_dir"])
 
 
 def first_t1w(files: DataFrame, first_only: bool = True) -> DataFrame:
@@ -95,7 +96,7 @@ def output_register(files: DataFrame, assign_empty: bool = True) -> DataFrame:
     """Files of the balanced sessions under their output session label, each session with its own files."""
     own = files.filter(F.col("role").isin(*SESSION_ROLES))
     kept = session_balance(session_role_counts(own)).filter("balanced").select("subject_id", "session")
-    return own.join(kept, ["subject_id", "session"]).select(
+    return own.join(settled(kept, "sessions"), ["subject_id", "session"]).select(
         "subject_id", P.relabel_session("session", assign_empty).alias("output_session"), "role", "key"
     )
 
@@ -120,4 +121,5 @@ def skip_reasons(validity: DataFrame, directions: DataFrame, counts: DataFrame)
 
 def eligible(subjects: DataFrame, reasons: DataFrame) -> DataFrame:
     """Rows of the subjects that proceed."""
-    return subjects.join(reasons.filter("skip_reason IS NULL"), "subject_id", "left_semi")
+    going = settled(reasons.filter("skip_reason IS NULL").select("subject_id"), "going")
+    return subjects.join(going, "subject_id", "left_semi")

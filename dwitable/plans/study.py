@@ -57,6 +57,7 @@ def acquire(
         proceeding = proceeding.join(roster.first_valid(valid, subjects or 1), "subject_id", "left_semi")
     notes = manifest.sidecars_of(kept, listed, distinct=True).select("subject_id", F.lit("json").alias("role"), "key")
     transfers = sited.select("subject_id", "role", "key").unionByName(notes)
+    proceeding = settled(proceeding, "proceeding")
     wanted = transfers.join(proceeding, "subject_id", "left_semi").join(chosen, "subject_id")
     targets = manifest.positions_paired(wanted, directory, include_site)
     return transfer_manifest(profile.rewrite(targets), existing, overwrite)

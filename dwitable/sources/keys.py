@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dwitable.functions import paths as P
+from dwitable.session import if_small
 
 SUBJECT_PATTERN = r"(?:^|/)sub-([^/]+)/"
 
@@ -40,7 +41,7 @@ def subject_keys(roster: DataFrame, keys: DataFrame) -> DataFrame:
         F.when(F.col("_place").contains("/derivatives/"), F.lit("deriv")).otherwise(F.lit("raw")).alias("rd"),
         "key",
     )
-    return parsed.join(roster, ["subject_id", "site"], "left_semi")
+    return parsed.join(if_small(roster), ["subject_id", "site"], "left_semi")
 
 
 def bids_subjects(keys: DataFrame, subject: str | None = None) -> DataFrame:

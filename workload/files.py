@@ -589,9 +589,6 @@ def a6_concatenate(t):
     return S.split_multiples(t.sited, "concatenate")
 
 
-SINGLES_SQL = ", ".join(f"('{r}')" for r in MF.SINGLE_ROLES)
-
-
 @query("a7_single_file_violations", "object_keys", f"""+ {PEOPLE_SQL}, {ENTITIES_SQL},
 expected AS (SELECT subject_id, unnest(['ap', 'pa', 'dwi', 'bval', 'bvec']) AS role FROM people)
 SELECT e.subject_id, e.role, count(i.key) AS n FROM expected e

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dwitable.functions import maths as M
-from dwitable.functions import paths as P
 from dwitable.operators import groupqc as G
 from dwitable.operators import hemisphere as H
 from dwitable.operators import indexing as I
+from dwitable.operators import manifest as MF
 from dwitable.operators import mosaic as MO
 from dwitable.operators import motion as MT
 from dwitable.operators import report as RP
 from dwitable.operators import tensor as T
 from dwitable.operators import volumes as V
 from dwitable.operators import voxels as VX
+from dwitable.operators.profile import MULTI_SITE
 from dwitable.plans import study
 from dwitable.session import shared_dir
 from dwitable.sinks import text as K
@@ -157,12 +158,10 @@ def k5(t):
 
 # ---------------------------------------------------------------- vectors
 
-@query("f12_unit_vectors", "vecs", """
-SELECT label, count(*) FILTER (abs(sqrt(x*x + y*y + z*z) - 1) > 1e-8 + 1e-5) AS n_bad FROM vecs2 GROUP BY label
-HAVING count(*) FILTER (abs(sqrt(x*x + y*y + z*z) - 1) > 1e-8 + 1e-5) > 0""".replace("SELECT label", """+ vecs2 AS (
-  SELECT label, x * (CASE WHEN m1 > 0.25 THEN 2 ELSE 1 END) AS x, y * (CASE WHEN m1 > 0.25 THEN 2 ELSE 1 END) AS y,
-         z * (CASE WHEN m1 > 0.25 THEN 2 ELSE 1 END) AS z FROM vecs)
-SELECT label""", 1))
+@query("f12_unit_vectors", "vecs", """+ stretched AS (
+  SELECT label, sqrt(x*x + y*y + z*z) * (CASE WHEN m1 > 0.25 THEN 2 ELSE 1 END) AS length FROM vecs)
+SELECT label, count(*) FILTER (abs(length - 1) > 1e-8 + 1e-5) AS n_bad FROM stretched GROUP BY label
+HAVING count(*) FILTER (abs(length - 1) > 1e-8 + 1e-5) > 0""")
 def f12(t):
     factor = F.when(F.col("m1") > 0.25, F.lit(2.0)).otherwise(F.lit(1.0))
     return H.non_unit_groups(t.vecs.withColumns({a: F.col(a) * factor for a in "xyz"}))
@@ -464,9 +463,6 @@ SELECT f.subject_id, f.role, CASE WHEN f.site = 'Site-CBIC' THEN replace(f.key,
 FROM files f JOIN study s ON f.subject_id = s.subject_id AND f.site = s.site
 WHERE NOT (f.site = 'Site-CBIC' AND f.role IN ('t1w', 'freesurfer')) OR contains(f.key, 'T1w_VNavNorm')""")
 def x1(t):
-    from dwitable.operators import manifest as MF
-    from dwitable.operators.profile import MULTI_SITE
-
     who = MULTI_SITE.subjects(t.roster)
     files = MULTI_SITE.key_filter(MF.classify(t.object_keys)).join(who, ["subject_id", "site"], "left_semi")
     return MULTI_SITE.rewrite(files.withColumn("path", F.col("key")), "path").select("subject_id", "role", "path")
@@ -511,7 +507,5 @@ SELECT e.subject_id, s.site, e.role, e.key, '/tmp/study/' || CASE WHEN s.site =
   THEN replace(string_split(e.key, '/' || s.site || '/')[-1], 'T1w_VNavNorm/', '') ELSE string_split(e.key, '/' || s.site || '/')[-1] END AS target
 FROM everything e JOIN study s ON e.subject_id = s.subject_id WHERE e.subject_id IN (SELECT subject_id FROM go)""")
 def acquire(t):
-    from dwitable.operators.profile import MULTI_SITE
-
     nothing = t.object_keys.select(F.lit("").alias("target")).filter("false")
     return study.acquire(MULTI_SITE, t.roster, t.object_keys.select("key"), t.sidecars, nothing, "/tmp/study")
