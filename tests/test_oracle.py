@@ -15,7 +15,7 @@ def con():
     return connection(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(entry.ORACLES))
 def test_query_agrees_with_sql(spark, con, name):
     ours = entry.queries()[name](spark, SF_DIR).toPandas()
     theirs = con.execute(entry.oracle_sql()[name]).df()
@@ -23,7 +23,7 @@ def test_query_agrees_with_sql(spark, con, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.QUERIES) == set(entry.ORACLES)
 
 
 def test_entry_has_rows(spark):
