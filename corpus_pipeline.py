@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dwitable.llm import lines, simhash
+from dwitable.llm import decontaminate, langid, lines, packing, simhash
 from dwitable.llm.common import table
 from dwitable.session import materialise
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the others' ``lang`` teaches; wordless texts and mere noise go."""
+    return langid.with_known_language(docs)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of runs of 50 or more words; those that were nothing else go."""
     return lines.without_repeated_lines(docs, min_words=50)
@@ -23,7 +29,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.one_of_each(docs, words=3, radius=2)
 
 
-STAGES: list[tuple[str, Stage]] = [("line_dedup", line_dedup), ("near_dedup", near_dedup)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of a benchmark item."""
+    return decontaminate.without_benchmark(docs, table(spark, sf_dir, "benchmark"), words=5, similarity=0.8, radius=19)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 token ids, a row for each piece of a document."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), length=2048, end_id=1)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup),
+    ("decontamination", decontamination), ("packing", pack),
+]
 
 #: Fingerprints, the language model and tokens are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
