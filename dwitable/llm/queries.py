@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwitable.llm import decontaminate, langid, lines, packing, simhash
+from dwitable.llm import decontaminate, langid, lines, packing, secrets, simhash
 from dwitable.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -29,6 +29,20 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_secret_scans")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the counts, a digest and the places of its secrets."""
+    found = secrets.secrets(table(spark, sf_dir, "documents"))
+
+    def count(kind: str):
+        number = secrets.KINDS.index(kind)
+        return F.size(F.filter("base", lambda x: x["kind"] == number)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", count("assign"), count("access"), count("hex"),
+                        F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"),
+                        secrets.joined(F.array_sort(F.concat("base", "added"))).alias("spans"))
+
+
 @query("op2_simhash_near_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint and the smallest doc_id of its group."""
