@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwitable.llm import decontaminate, langid, lines, packing, secrets, simhash
+from dwitable.llm import decontaminate, langid, lines, packing, secrets, simhash, warc
 from dwitable.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -50,6 +50,22 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op3_warc", sql="""
+with p as (
+  select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+f as (
+  select *, min(page_id) over (partition by payload_digest) as first from p)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 100 and first < page_id then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 100 and first < page_id then first end as refers_to
+from f
+""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as it is read back from the archives through the index."""
+    found = warc.archived(table(spark, sf_dir, "pages"), least_revisit=100)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op6_language_id")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language, learned from those that are not held out."""
