@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwitable.llm import decontaminate, langid, lines, packing, secrets, simhash, warc
+from dwitable.llm import decontaminate, html, langid, lines, packing, secrets, simhash, warc
 from dwitable.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -121,3 +121,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document after later copies of runs of 50 or more words are deleted, and how many lines went."""
     found = lines.remove_repeated_lines(table(spark, sf_dir, "documents"), min_words=50, removed="n_removed")
     return found.select("doc_id", "text", F.col("n_removed").cast("long"))
+
+
+@query("op10_html_extraction")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    found = html.main_texts(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
