@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwitable.llm import decontaminate, html, langid, lines, packing, secrets, simhash, warc
+from dwitable.llm import decontaminate, html, langid, lines, packing, secrets, simhash, toxicity, warc
 from dwitable.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -66,6 +66,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learned from labelled ones that are not held out."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op6_language_id")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language, learned from those that are not held out."""
