@@ -16,18 +16,42 @@ from dwitable.llm.common import raw
 from dwitable.session import materialise
 
 #: Words whose ids a worker remembers, and bytes of text it splits at once.
-KNOWN_WORDS, TEXT_BLOCK = 400_000, 1 << 20
+KNOWN_WORDS, TEXT_BLOCK = 600_000, 1 << 20
 #: Open windows merged in one group at the end; a group ends with at most one padded sequence.
 MERGE_GROUP = 4096
 WIDTH = 4  # bytes of an id
 
 
+#: The characters that stand for bytes without one of their own in a byte-level vocabulary.
+BYTE_CHARACTERS = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
+#: Letters below this one have lower-case forms of one character, but for the one beside it.
+PLAIN_LETTERS, DOTTED = 0x250, 0x130
+
+
+class _Known(dict):
+    """Ids of words, encoded when they are first asked for; words that were not asked for lately are forgotten."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.older = encode, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            found = self.encode(word)
+        if len(self) >= KNOWN_WORDS // 2:
+            self.older = dict(self)
+            self.clear()
+        self[word] = found
+        return found
+
+
 class WordIds:
     """The ids of a text, word by word, with a bounded memory of words.
 
     The tokenizer drops white space and never joins what white space separates, so the ids of a text are those of its words. A
-    word with one comma or full stop behind a letter is the word and the mark. Words met for the first time are encoded
-    together.
+    word with one comma or full stop behind a letter is the word and the mark. A word of letters alone is one piece to the
+    tokenizer, so that its model can be asked directly.
     """
 
     def __init__(self, path: str):
@@ -35,47 +59,33 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.pieces = self.tokenizer.model.tokenize
+        self.known = _Known(self._word)
 
     def _encode(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > KNOWN_WORDS:
-            self.known.clear()
-        marked = [w for w in words if w[-1:] in b",." and len(w) > 1 and 97 <= w[-2] <= 122]
-        plain = (words.difference(marked) | {w[:-1] for w in marked} | {w[-1:] for w in marked}).difference(self.known)
-        if plain:
-            texts = [(w, w.decode()) for w in plain]
-            starts = np.cumsum([0, *(len(t) + 1 for _, t in texts)])
-            found = self.tokenizer.encode(" ".join(t for _, t in texts), add_special_tokens=False)
-            ids = np.asarray(found.ids, "<u4")
-            at = np.asarray([o[0] for o in found.offsets], np.int64) if len(ids) else np.zeros(0, np.int64)
-            cuts = np.searchsorted(at, starts)
-            for (w, _), a, b in zip(texts, cuts[:-1], cuts[1:], strict=True):
-                self.known[w] = ids[a:b].tobytes()
-        for w in marked:
-            self.known[w] = self.known[w[:-1]] + self.known[w[-1:]]
+    def _word(self, word: bytes) -> bytes:
+        if word[-1:] in b",." and len(word) > 1 and 97 <= word[-2] <= 122:
+            return self.known[word[:-1]] + self.known[word[-1:]]
+        text = word.decode()
+        if not text.isalpha() or (not word.isascii() and any(c >= PLAIN_LETTERS or c == DOTTED for c in map(ord, text))):
+            return self._encode(text)
+        if not word.isascii():
+            text = text.lower().encode().decode("latin-1").translate(BYTE_CHARACTERS)
+        return np.asarray([p.id for p in self.pieces(text)], "<u4").tobytes()
 
     def ids(self, text: bytes) -> Iterator[bytes]:
         """Blocks of ids, four bytes each, little-endian."""
         if b"<|" in text:  # may hold a special token, which is matched before letters are lower-cased
             yield self._encode(text.decode())
             return
-        start = 0
+        start, known = 0, self.known.__getitem__
         while start < len(text):
             end = start + TEXT_BLOCK
-            words = text[start:end].lower().split()
-            if end < len(text):  # go on to the end of the last word
-                while end < len(text) and text[end - 1 : end] not in b" \t\n\r\x0b\x0c":
-                    end += 1
-                words = text[start:end].lower().split()
-            missing = set(words).difference(self.known)
-            if missing:
-                if len(missing) + len(self.known) > KNOWN_WORDS:
-                    missing = set(words)
-                self._learn(missing)
-            yield b"".join(map(self.known.__getitem__, words))
+            while end < len(text) and text[end - 1 : end] not in b" \t\n\r\x0b\x0c":  # go on to the end of the last word
+                end += 1
+            yield b"".join(map(known, text[start:end].lower().split()))
             start = end
 
 
