@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwitable.llm import decontaminate, html, langid, lines, packing, secrets, simhash, toxicity, warc
+from dwitable.llm import decontaminate, html, langid, lines, neighbours, packing, secrets, simhash, toxicity, warc
 from dwitable.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -66,6 +66,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op4_nearest_neighbours")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of every hundredth one."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 @query("op5_toxicity")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity, learned from labelled ones that are not held out."""
