@@ -16,7 +16,7 @@ HEX = r"[0-9a-f]{16,}"  # the runs of [0-9a-f]+ that have 16 characters
 ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 KINDS = ("assign", "access", "hex", "random")
 
-TOKEN = r"[A-Za-z0-9+/_-]{16,}={0,2}"
+TOKEN = r"[A-Za-z0-9+/_-]{16,}={0,6}"
 # The alphabets of the encodings.
 ALPHABETS = {
     "hex": "0123456789ABCDEF",
