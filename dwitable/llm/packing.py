@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,7 +17,7 @@ from dwitable.llm.common import raw
 from dwitable.session import materialise
 
 #: Words whose ids a worker remembers, and bytes of text it splits at once.
-KNOWN_WORDS, TEXT_BLOCK = 600_000, 1 << 20
+KNOWN_WORDS, TEXT_BLOCK = 1_000_000, 1 << 20
 #: Open windows merged in one group at the end; a group ends with at most one padded sequence.
 MERGE_GROUP = 4096
 WIDTH = 4  # bytes of an id
@@ -28,6 +29,9 @@ BYTE_CHARACTERS = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161
 PLAIN_LETTERS, DOTTED = 0x250, 0x130
 
 
+pack_ids = [struct.Struct(f"<{n}I").pack for n in range(16)]
+
+
 class _Known(dict):
     """Ids of words, encoded when they are first asked for; words that were not asked for lately are forgotten."""
 
@@ -66,14 +70,17 @@ class WordIds:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _word(self, word: bytes) -> bytes:
-        if word[-1:] in b",." and len(word) > 1 and 97 <= word[-2] <= 122:
-            return self.known[word[:-1]] + self.known[word[-1:]]
         text = word.decode()
-        if not text.isalpha() or (not word.isascii() and any(c >= PLAIN_LETTERS or c == DOTTED for c in map(ord, text))):
+        if not text.isalpha():
+            if word[-1] in b",." and len(word) > 1 and 97 <= word[-2] <= 122:
+                return self.known[word[:-1]] + self.known[word[-1:]]
             return self._encode(text)
         if not word.isascii():
+            if any(c >= PLAIN_LETTERS or c == DOTTED for c in map(ord, text)):
+                return self._encode(text)
             text = text.lower().encode().decode("latin-1").translate(BYTE_CHARACTERS)
-        return np.asarray([p.id for p in self.pieces(text)], "<u4").tobytes()
+        ids = [p.id for p in self.pieces(text)]
+        return pack_ids[len(ids)](*ids) if len(ids) < len(pack_ids) else struct.pack(f"<{len(ids)}I", *ids)
 
     def ids(self, text: bytes) -> Iterator[bytes]:
         """Blocks of ids, four bytes each, little-endian."""
