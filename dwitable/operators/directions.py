@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dwitable.functions.columns import ColumnLike, col
+from dwitable.operators.manifest import sidecar_completeness
+from dwitable.session import settled
 
 # The metadata key and its two values.
 JSON_KEY = "PhaseEncodingDirection"
@@ -71,23 +73,23 @@ def direction_validity(directions: DataFrame) -> DataFrame:
 def relabel_roles(files: DataFrame, directions: DataFrame) -> DataFrame:
     """Replace the field-map roles by ``epi_ap`` and ``epi_pa``; other roles stay.
 
-    Only field-map sidecars are matched with a direction; their image name follows from the sidecar name.
+    An image takes the direction of its own sidecar; one without a direction is left out. A subject whose images and
+    sidecars do not match keeps its field-map roles as they are, so every key of the result is a key of ``files``.
     """
-    image = F.replace(F.col("key"), F.lit(".json"), F.lit(".nii.gz"))
-    epi = directions.filter("direction IS NOT NULL").select(
-        "subject_id", F.concat(F.lit("epi_"), F.lower("direction")).alias("role"), image.alias("key")
-    )
-    other = files.filter(~F.col("role").isin("epi_nii", "epi_json")).select("subject_id", "role", "key")
-    return other.unionByName(epi)
-
-
-def relabel_map(register: DataFrame, column: str = "files") -> DataFrame:
-    """The map form: drop the two field-map entries and add one list per direction, by file name."""
-    m = F.col(column)
-    images = F.coalesce(F.element_at(m, "epi_nii"), F.array().cast("array<string>"))
-    rest = F.map_filter(m, lambda k, _: ~k.isin("epi_nii", "epi_json"))
-    split = F.create_map(
-        F.lit("epi_ap"), F.filter(images, lambda f: f.contains("dir-AP")),
-        F.lit("epi_pa"), F.filter(images, lambda f: f.contains("dir-PA")),
-    )
-    return register.withColumn(column, F.map_concat(rest, split))
+    files = files.select("subject_id", "role", "key")
+    gaps = settled(sidecar_completeness(files).select("subject_id").distinct(), "gaps")
+    fieldmaps = F.col("role").isin("epi_nii", "epi_json")
+    stated = directions.filter("direction IS NOT NULL").select(
+        "subject_id", F.concat(F.lit("epi_"), F.lower("direction")).alias("_role"), F.col("key").alias("_sidecar"))
+    images = files.filter("role = 'epi_nii'").withColumn("_sidecar", F.replace(F.col("key"), F.lit(".nii.gz"), F.lit(".json")))
+    split = images.join(gaps, "subject_id", "left_anti").join(stated, ["subject_id", "_sidecar"])
+    whole = files.filter(fieldmaps).join(gaps, "subject_id", "left_semi")
+    return files.filter(~fieldmaps).unionByName(whole).unionByName(split.select("subject_id", F.col("_role").alias("role"), "key"))
+
+
+def relabel_by_name(files: DataFrame) -> DataFrame:
+    """The same by file name alone: sidecars and images that name no direction are left out."""
+    role = F.when(F.col("role") != "epi_nii", F.col("role")).when(F.col("key").contains("dir-AP"), F.lit("epi_ap")).when(
+        F.col("key").contains("dir-PA"), F.lit("epi_pa"))
+    named = files.filter("role <> 'epi_json'").select("subject_id", role.alias("role"), "key")
+    return named.filter("role IS NOT NULL")

@@ -58,6 +58,8 @@ def _closest_to_origin(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             stay = weights > 1e-13
             used, weights = [u for u, k in zip(used, stay) if k], weights[stay]
         point = weights @ v[used]
+    else:
+        raise ArithmeticError("the point nearest to the origin was not reached")
     return point, np.array(used)
 
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dwitable.session import settled
+from dwitable.session import materialise, settled
 
 BLOCK = 4096
 PAGE = 1000
@@ -41,6 +41,25 @@ def ordered_index(
     )
 
 
+def ordered_position(df: DataFrame, keys: Sequence[str], order: str, out: str) -> DataFrame:
+    """Add the 0-based position of each row in its group, ordered by a column of any kind; of equal rows any comes first.
+
+    Rows are dealt out by ranges of group and order and written, so a group of any size spreads. Rows are numbered in their
+    part of a group, and only the counts of the parts are summed up.
+    """
+    keys = list(keys)
+    dealt = df.repartitionByRange(*keys, order).withColumn("_part", F.spark_partition_id())
+    dealt = materialise(dealt, "ranges")
+    counts = dealt.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    further = settled(offsets.filter(F.col("_offset") > 0), "offsets")
+    within = Window.partitionBy(*keys, "_part").orderBy(order)
+    numbered = dealt.withColumn("_rank", F.row_number().over(within)).join(further, [*keys, "_part"], "left")
+    position = F.coalesce("_offset", F.lit(0)) + F.col("_rank") - 1
+    return numbered.withColumn(out, position.cast("long")).drop("_part", "_offset", "_rank")
+
+
 def paged(df: DataFrame, keys: Sequence[str], by: Sequence[str | Column], page_size: int = PAGE) -> DataFrame:
     """Add a ``page`` to each row so that a page of a group holds about ``page_size`` rows.
 

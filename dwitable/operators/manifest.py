@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dwitable.functions import paths as P
 from dwitable.functions.columns import ColumnLike, col
-from dwitable.operators.indexing import PAGE, paged
+from dwitable.operators.indexing import ordered_position
 from dwitable.session import if_small
 
 # The file roles of a subject and those that can have a sidecar.
@@ -61,15 +61,12 @@ def validity_after_filter(roster: DataFrame, files: DataFrame, filtered: DataFra
     return subject_validity(roster, files).join(after, "subject_id")
 
 
-def register(files: DataFrame, page_size: int = PAGE) -> DataFrame:
-    """Role -> sorted list of keys, one row per subject (and page, for subjects with very many files)."""
-    lists = (
-        paged(files.select("subject_id", "role", "key"), ["subject_id"], ["key"], page_size)
-        .groupBy("subject_id", "page", "role")
-        .agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    )
-    entries = F.sort_array(F.collect_list(F.struct("role", "keys")))
-    return lists.groupBy("subject_id", "page").agg(F.map_from_entries(entries).alias("files"))
+def register(files: DataFrame) -> DataFrame:
+    """The register of each subject: ``(subject_id, role, position, key)``, the keys of a role numbered from 0 in their order.
+
+    One shape for subjects of any size: no list of a subject's files is built.
+    """
+    return ordered_position(files.select("subject_id", "role", "key"), ["subject_id", "role"], "key", "position")
 
 
 def sidecars_of(files: DataFrame, keys: DataFrame, distinct: bool = False) -> DataFrame:

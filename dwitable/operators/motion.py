@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dwitable.functions import maths as M
-from dwitable.operators.indexing import with_previous
+from dwitable.operators.indexing import ordered_index, with_previous
 from dwitable.session import settled
 
 PARAMETERS = ("rx", "ry", "rz", "tx", "ty", "tz")
@@ -26,8 +26,9 @@ def motion_parameters(matrices: DataFrame) -> DataFrame:
 
 
 def frame_differences(parameters: DataFrame) -> DataFrame:
-    """Euclidean length of the change of the six parameters since the preceding volume; 0 for the first."""
-    prev = with_previous(parameters, ["subject"], "vol", PARAMETERS)
+    """Euclidean length of the change of the six parameters since the preceding volume that is there; 0 for the first."""
+    placed = ordered_index(parameters, ["subject"], "vol", "_place")
+    prev = with_previous(placed, ["subject"], "_place", PARAMETERS)
     square = sum(((F.col(p) - F.col(f"prev_{p}")) * (F.col(p) - F.col(f"prev_{p}")) for p in PARAMETERS), F.lit(0.0))
     keep = list(parameters.columns)
     return prev.select(*keep, F.coalesce(F.sqrt(square), F.lit(0.0)).alias("norm"))

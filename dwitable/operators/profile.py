@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +13,8 @@ from dwitable.operators import manifest, roster
 
 Step = Callable[[DataFrame], DataFrame]
 
+STEP_TABLES = ("files", "transfers", "outliers", "gradients")
+
 
 def unchanged(df: DataFrame) -> DataFrame:
     """The step that does nothing."""
@@ -21,7 +23,12 @@ def unchanged(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class StudyProfile:
-    """Sites in order, key prefix, roster rule, key filter and path rewrite of a study."""
+    """Sites in order, key prefix, roster rule, key filter, path rewrite and own steps of a study.
+
+    ``steps`` are functions from table to table that a user plugs into a flow, by the table's name: ``files`` (the classified keys)
+    and ``transfers`` (what is to be fetched) in ``plans.study.acquire``, ``outliers`` and ``gradients`` in
+    ``thinned_gradients``. They run in order.
+    """
 
     study_id: str
     bucket: str
@@ -30,9 +37,23 @@ class StudyProfile:
     roster: Callable[[DataFrame], DataFrame] | None = None
     key_filter: Step = unchanged
     path_rewrite: Callable[[Column, Column], Column] = field(default=lambda path, site: path)
+    steps: Mapping[str, tuple[Step, ...]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         roster.check_study(self.study_id, self.bucket, self.prefix)
+        unknown = set(self.steps) - set(STEP_TABLES)
+        if unknown:
+            raise ValueError(f"no flow has a table {', '.join(sorted(unknown))}")
+
+    def keys(self, keys: DataFrame) -> DataFrame:
+        """The object keys below the study's prefix; the filter reaches the scan."""
+        return keys.filter(F.col("key").startswith(self.prefix)) if self.prefix else keys
+
+    def own_steps(self, table: str, df: DataFrame) -> DataFrame:
+        """The user's steps for one table of a flow, applied in order."""
+        for step in self.steps.get(table, ()):
+            df = step(df)
+        return df
 
     def subjects(self, participants: DataFrame) -> DataFrame:
         """Roster of the study from its participant lists."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dwitable.functions import paths as P
 from dwitable.functions.columns import before
-from dwitable.operators.indexing import PAGE, paged
+from dwitable.operators.indexing import ordered_position
 from dwitable.session import settled
 
 # The roles that belong to a session.
@@ -43,16 +43,10 @@ def session_balance(counts: DataFrame) -> DataFrame:
     return counts.select("subject_id", "session", hi.alias("n_files"), (lo == hi).alias("balanced"))
 
 
-def files_by_session(files: DataFrame, page_size: int = PAGE) -> DataFrame:
-    """Role -> sorted list of keys per session (and page, for sessions with very many files)."""
+def files_by_session(files: DataFrame) -> DataFrame:
+    """Files of each session and role, numbered from 0: ``(subject_id, session, role, position, key)``."""
     own = files.filter(F.col("role").isin(*SESSION_ROLES)).select("subject_id", "session", "role", "key")
-    lists = (
-        paged(own, ["subject_id", "session"], ["key"], page_size)
-        .groupBy("subject_id", "session", "page", "role").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    )
-    return lists.groupBy("subject_id", "session", "page").agg(
-        *[F.first(F.when(F.col("role") == r, F.col("keys")), ignorenulls=True).alias(r) for r in SESSION_ROLES]
-    )
+    return ordered_position(own, ["subject_id", "session", "role"], "key", "position")
 
 
 def split_multiples(files: DataFrame, policy: str = "sessions") -> DataFrame:
@@ -101,17 +95,23 @@ def output_register(files: DataFrame, assign_empty: bool = True) -> DataFrame:
     )
 
 
-def skip_reasons(validity: DataFrame, directions: DataFrame, counts: DataFrame) -> DataFrame:
-    """Why a subject does not proceed (NULL where it does)."""
+def skip_reasons(validity: DataFrame, directions: DataFrame, counts: DataFrame, gaps: DataFrame) -> DataFrame:
+    """Why a subject does not proceed (NULL where it does).
+
+    ``gaps`` has the subjects with a field-map image without sidecar or the other way round
+    (``manifest.sidecar_completeness``).
+    """
     agreement = session_agreement(counts)
     balanced = session_balance(counts).groupBy("subject_id").agg(F.bool_or("balanced").alias("any_session"))
     out = (
         validity.join(directions.withColumnRenamed("valid", "directed"), "subject_id", "left")
         .join(agreement, "subject_id", "left").join(balanced, "subject_id", "left")
+        .join(gaps.select("subject_id", F.lit(True).alias("gap")).distinct(), "subject_id", "left")
     )
     yes = F.lit(False)
     reason = (
         F.when(~F.col("valid"), F.lit("missing_files"))
+        .when(F.coalesce("gap", yes), F.lit("incomplete_fieldmaps"))
         .when(~F.coalesce("directed", yes), F.lit("no_direction"))
         .when(~F.coalesce("consistent", yes), F.lit("session_mismatch"))
         .when(~F.coalesce("any_session", yes), F.lit("no_session"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from dwitable.functions import maths as M
-from dwitable.session import if_small
+from dwitable.session import if_small, settled
 
 ENTRIES = ("dxx", "dyy", "dzz", "dxy", "dxz", "dyz")
 SOLUTION = StructType([StructField(n, DoubleType()) for n in ("ln_s0", *ENTRIES)])
@@ -66,8 +66,10 @@ def _normal_equations(rows: DataFrame, weight: Column | None = None) -> DataFram
     return solved.select("subject", "voxel", "fit.*")
 
 
-def fit_tensor(signal: DataFrame, volumes: DataFrame, weighted: bool = True, clustered: bool = False) -> DataFrame:
-    """Tensor and ``ln S0`` of every voxel.
+def fit_tensor(
+    signal: DataFrame, volumes: DataFrame, weighted: bool = True, clustered: bool = False, min_signal: float = MIN_SIGNAL
+) -> DataFrame:
+    """Tensor and ``ln S0`` of every voxel. Signals below ``min_signal`` are raised to it, since they have no logarithm.
 
     ``signal`` is ``(subject, voxel, vol, signal)`` with any set of volumes per voxel, ``volumes`` the gradient table
     ``(subject, vol, bval, gx, gy, gz)``. With ``weighted`` a plain fit is followed by one whose squared weights are
@@ -83,7 +85,7 @@ def fit_tensor(signal: DataFrame, volumes: DataFrame, weighted: bool = True, clu
         measured = measured.repartition("subject", "voxel")
     rows = measured.join(if_small(table), ["subject", "vol"]).select(
         "subject", "voxel", *[c.alias(f"x{n}") for n, c in enumerate(_regressors())],
-        F.ln(F.greatest(F.col("signal"), F.lit(MIN_SIGNAL))).alias("y"),
+        F.ln(F.greatest(F.col("signal"), F.lit(min_signal))).alias("y"),
     )
     first = _normal_equations(rows)
     if not weighted:
@@ -93,6 +95,44 @@ def fit_tensor(signal: DataFrame, volumes: DataFrame, weighted: bool = True, clu
     return _normal_equations(predicted, F.col("w"))
 
 
+def _fit_rows(signal: pd.Series, design: pd.Series, weighted: bool, min_signal: float) -> pd.DataFrame:
+    """The fit of each row on its own: signals and regressors of its volumes, NULL where one was not measured."""
+    out = np.empty((len(signal), 7))
+    for i, (s, x) in enumerate(zip(signal, design)):
+        s = np.asarray(s, float)
+        x = np.asarray(x, float).reshape(-1, 7)[: len(s)]
+        s = s[: len(x)]
+        known = ~np.isnan(s)
+        x, y = x[known], np.log(np.maximum(s[known], min_signal))
+        w = np.ones(len(y))
+        for _ in range(2 if weighted else 1):
+            system = np.concatenate([(x * w[:, None]).T @ x, ((x * w[:, None]).T @ y)[:, None]], axis=1)
+            flat = [system[r, c] for r, c in PAIRS] + list(system[:, 7])
+            solved = _solve(pd.DataFrame([flat])).to_numpy()[0]
+            w = np.exp(2 * (x[:, 1:] @ (solved[1:] * B_UNIT)))
+        out[i] = solved
+    return pd.DataFrame(out, columns=["ln_s0", *ENTRIES])
+
+
+def fit_arrays(voxels: DataFrame, volumes: DataFrame, weighted: bool = True, min_signal: float = MIN_SIGNAL) -> DataFrame:
+    """The fit of voxels that hold their signals as one array: ``(subject, voxel, signal)``, the entry of volume n at n.
+
+    Each row is fitted where it lies, so the image is not shuffled: the regressors of a subject's volumes come as one array, from a
+    table with a row per subject, which is broadcast if it is small. A NULL signal, or a volume beyond the gradient
+    table, was not measured.
+    """
+    entries = F.sort_array(F.collect_list(F.struct("vol", F.array(*_regressors()).alias("x"))))
+    flat = F.flatten(F.transform(entries, lambda e: e["x"]))
+    designs = settled(volumes.groupBy("subject").agg(flat.alias("design")), "designs")
+
+    def fit(signal: pd.Series, design: pd.Series) -> pd.DataFrame:
+        return _fit_rows(signal, design, weighted, min_signal)
+
+    fit.__annotations__ = {"signal": pd.Series, "design": pd.Series, "return": pd.DataFrame}
+    solved = voxels.join(designs, "subject").select("subject", "voxel", F.pandas_udf(fit, SOLUTION)("signal", "design").alias("fit"))
+    return solved.select("subject", "voxel", "fit.*")
+
+
 def from_arrays(voxels: DataFrame) -> DataFrame:
     """Voxels that hold their signals as one array, volume by volume, as single measurements (``clustered``)."""
     return voxels.select("subject", "voxel", F.posexplode("signal").alias("vol", "signal"))

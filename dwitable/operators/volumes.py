@@ -50,16 +50,18 @@ def outliers_per_scan(outliers: DataFrame) -> DataFrame:
 def dropped_scans(outliers: DataFrame, threshold: float, slices: DataFrame | None = None) -> DataFrame:
     """Scans with more outlier slices than allowed, as ``(subject, vol)``.
 
-    A threshold strictly between 0 and 1 is a share of the subject's slices (``slices``: ``subject, n_slices``);
-    any other value is a count.
+    A threshold strictly between 0 and 1 is a share of the subject's slices (``slices``: ``subject, n_slices``; without
+    it the highest slice number that the subject's report names); any other value is a count. The report lines are read
+    once: what is kept of them is a row per scan.
     """
-    counts = outliers_per_scan(outliers)
-    if 0 < threshold < 1:
-        if slices is None:
-            raise ValueError("a share needs the slice count of each subject")
-        over = counts.join(if_small(slices), "subject").filter(F.col("n_outliers") > F.lit(threshold) * F.col("n_slices"))
-    else:
-        over = counts.filter(F.col("n_outliers") > F.lit(threshold))
+    if not 0 < threshold < 1:
+        over = outliers_per_scan(outliers).filter(F.col("n_outliers") > F.lit(threshold))
+        return over.select("subject", F.col("scan").alias("vol"))
+    counts = settled(outliers.groupBy("subject", "scan").agg(
+        F.count(F.lit(1)).alias("n_outliers"), F.max("slice").alias("_top")), "scans")
+    if slices is None:
+        slices = counts.groupBy("subject").agg(F.max("_top").alias("n_slices"))
+    over = counts.join(settled(slices, "slices"), "subject").filter(F.col("n_outliers") > F.lit(threshold) * F.col("n_slices"))
     return over.select("subject", F.col("scan").alias("vol"))
 
 

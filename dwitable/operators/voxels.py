@@ -112,7 +112,7 @@ def padded(
     images: DataFrame, dims: DataFrame, n: Column, slices: dict[str, Column], axes: Sequence[str] = ("i", "j"),
     by: Sequence[str] = ("subject",),
 ) -> DataFrame:
-    """Images centred in an ``n`` by ``n`` frame of zeros, every pixel present.
+    """Images centred in an ``n`` by ``n`` frame of zeros, every pixel present; an image larger than the frame raises.
 
     ``dims`` has the extents of both axes (``n<axis>``) per image (``by``); ``slices`` names the further coordinates of a
     picture and lists their values as an array over ``dims``. The frame is generated on the executors, spread by
@@ -120,7 +120,8 @@ def padded(
     """
     a, b = axes
     keys = [*by, *slices]
-    frame = dims.withColumn("_n", n.cast("int"))
+    fits = n >= F.greatest(F.col(f"n{a}"), F.col(f"n{b}"))
+    frame = dims.withColumn("_n", F.when(fits, n).otherwise(F.raise_error("the frame is smaller than the image").cast("int")).cast("int"))
     shifts = frame.select(
         *by, left_pad(F.col("_n"), F.col(f"n{a}")).alias("_da"), left_pad(F.col("_n"), F.col(f"n{b}")).alias("_db")
     )

@@ -1,4 +1,4 @@
-"""The three flows of a study, each one lazy plan over all subjects."""
+"""The flows of a study over all subjects. Small tables that later steps need are written while a flow is put together."""
 
 from __future__ import annotations
 
@@ -37,22 +37,20 @@ def acquire(
     study = profile.subjects(participants)
     by_count = subjects is None or isinstance(subjects, int)
     chosen = settled(study if by_count else roster.select_subjects(study, subjects), "subjects")
-    listed = key_source.subject_keys(chosen, keys)
+    listed = key_source.subject_keys(chosen, profile.keys(keys))
     if reuse:
         listed = materialise(listed, "keys")
-    files = manifest.classify(listed)
+    files = profile.own_steps("files", manifest.classify(listed))
     validity = manifest.subject_validity(chosen, files)
     kept = profile.key_filter(files)
-    faced = directions.determine_directions(sidecars)
-    complete = validity.select("subject_id").join(
-        manifest.sidecar_completeness(kept).select("subject_id"), "subject_id", "left_anti"
-    )
-    directed = directions.direction_validity(faced).join(complete, "subject_id", "left_semi")
+    faced = materialise(directions.determine_directions(sidecars).select("subject_id", "key", "direction"), "directions")
+    gaps = manifest.sidecar_completeness(kept)
+    directed = directions.direction_validity(faced)
     sited = sessions.with_session(directions.relabel_roles(kept, faced))
-    reasons = sessions.skip_reasons(validity, directed, sessions.session_role_counts(sited))
+    reasons = sessions.skip_reasons(validity, directed, sessions.session_role_counts(sited), gaps)
     proceeding = reasons.filter("skip_reason IS NULL").select("subject_id")
     if by_count:
-        unfit = F.coalesce(F.col("skip_reason"), F.lit("")).isin("missing_files", "no_direction")
+        unfit = F.coalesce(F.col("skip_reason"), F.lit("")).isin("missing_files", "incomplete_fieldmaps", "no_direction")
         valid = reasons.select("subject_id", (~unfit).alias("valid"))
         proceeding = proceeding.join(roster.first_valid(valid, subjects or 1), "subject_id", "left_semi")
     notes = manifest.sidecars_of(kept, listed, distinct=True).select("subject_id", F.lit("json").alias("role"), "key")
@@ -60,13 +58,26 @@ def acquire(
     proceeding = settled(proceeding, "proceeding")
     wanted = transfers.join(proceeding, "subject_id", "left_semi").join(chosen, "subject_id")
     targets = manifest.positions_paired(wanted, directory, include_site)
-    return transfer_manifest(profile.rewrite(targets), existing, overwrite)
+    return transfer_manifest(profile.own_steps("transfers", profile.rewrite(targets)), existing, overwrite)
+
+
+def upload(keys: DataFrame, output_dir: str, pipeline: str, existing: DataFrame, overwrite: bool = False) -> DataFrame:
+    """Output files to send with the object key each gets: ``(key, object_key)``, without those that are there already.
+
+    ``keys`` are the paths below the output folder, ``existing`` holds the object keys in the bucket.
+    """
+    found = key_source.output_files(keys, output_dir, pipeline).withColumnRenamed("object_key", "target")
+    there = existing.select(F.col("object_key").alias("target"))
+    return transfer_manifest(found, there, overwrite).select("key", F.col("target").alias("object_key"))
 
 
-def thinned_gradients(lines: DataFrame, gradients: DataFrame, threshold: float, slices: DataFrame | None = None) -> DataFrame:
+def thinned_gradients(
+    lines: DataFrame, gradients: DataFrame, threshold: float, slices: DataFrame | None = None, profile: StudyProfile | None = None
+) -> DataFrame:
     """Outlier report lines to the gradient table without the dropped volumes, renumbered."""
-    dropped = dropped_scans(parse_outliers(lines), threshold, slices)
-    return volumes.drop_gradients(gradients, dropped)
+    step = profile.own_steps if profile else (lambda _, df: df)
+    dropped = dropped_scans(step("outliers", parse_outliers(lines)), threshold, slices)
+    return step("gradients", volumes.drop_gradients(gradients, dropped))
 
 
 def group_quality(pages: DataFrame, bodies: DataFrame, schema: str) -> DataFrame:
@@ -78,6 +89,7 @@ def group_quality(pages: DataFrame, bodies: DataFrame, schema: str) -> DataFrame
         pages.select("bucket", F.explode(listing.page_keys("xml")).alias("key"))
     ).distinct()
     reports = listing.reports_with_qc(bodies.join(listed, ["bucket", "key"], "left_semi"), schema)
+    reports = reports.filter("coalesce(report.part, 0) = 0")  # every part has the quality block
     qc = reports.select(
         "bucket", P.report_subject("key").alias("subject"), "report.eddy_quad.qc_mot_abs", "report.eddy_quad.qc_mot_rel"
     )

@@ -1,28 +1,58 @@
-"""Session helpers."""
+"""Session helpers: tables in the shared folder, and which of them are small enough to broadcast."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 SHARED_DIR_KEY = "spark.checkpoint.dir"
 
+# Folders of local sessions without the setting, and what each application has written, by application id.
+_LOCAL: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def _local_dir(spark: SparkSession) -> str:
+    """One folder for a whole local session, deleted when the program ends."""
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL:
+        _LOCAL[application] = tempfile.mkdtemp(prefix="dwitable-")
+        atexit.register(shutil.rmtree, _LOCAL[application], ignore_errors=True)
+    return _LOCAL[application]
+
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path in the folder the cluster shares.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local session without that setting falls back to
-    a temporary folder of this machine.
+    The folder is the session's ``spark.checkpoint.dir``. Only a session whose executors are threads of this program may
+    go without that setting; it has a folder of its own, which lasts as long as the program.
     """
     root = spark.conf.get(SHARED_DIR_KEY, None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
             raise ValueError(f"set {SHARED_DIR_KEY} to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="dwitable-")
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+        root = _local_dir(spark)
+    path = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete everything this application has put into the shared folder; returns how many paths that were.
+
+    Call it between runs, when no table built before is needed any more.
+    """
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(hadoop).delete(target, True)
+    return len(paths)
 
 
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
@@ -35,23 +65,33 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-# A narrow row of a few numbers takes about a hundred bytes in a broadcast table, so this is about 100 MB.
+# A broadcast table is small in both: a narrow row of a few numbers takes about a hundred bytes in it, so this is about
+# 100 MB; wider rows are held back by the size of the files they were written to.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 32 << 20
 
 
 def if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A narrow table marked for broadcast if it has at most ``limit`` rows, else unchanged.
 
-    Meant for tables with one row per subject, volume or group that are cheap to count. The count stops at the limit.
-    Beyond it Spark joins by shuffle, and splits hot keys at run time.
+    Meant for given or written tables with one row per subject, volume or group, which are cheap to count. The count stops
+    at the limit. Beyond it Spark joins by shuffle, and splits hot keys at run time. A table that takes work to
+    compute goes through ``settled``.
     """
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def settled(df: DataFrame, purpose: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+def settled(df: DataFrame, purpose: str, limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """A small aggregate of a large table, computed once, written out, and marked for broadcast if it is small.
 
     Joining an aggregate to the table it comes from would otherwise shuffle the large table, because its size is only
-    known once both sides have been shuffled.
+    known once both sides have been shuffled. Rows are counted as they are written, and the size of the files decides with
+    them, so this is one job.
     """
-    return if_small(materialise(df, purpose), limit)
+    spark = df.sparkSession
+    path, rows = shared_dir(spark, purpose), Observation()
+    df.observe(rows, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+    return F.broadcast(written) if rows.get["rows"] <= limit and size <= most_bytes else written

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dwitable.functions import paths as P
 from dwitable.functions.columns import ColumnLike, col
+from dwitable.operators.indexing import paged
 
 PIPELINE = "dwitable"
 
@@ -88,14 +89,15 @@ def output_path(out_dir: str, subject: ColumnLike, category: ColumnLike, name: C
     return F.concat_ws("/", F.lit(out_dir.rstrip("/")), col(subject), F.lit(pipeline), col(category), col(name))
 
 
-def write_by_category(df: DataFrame, path: str, keys=("subject_id", "category")) -> None:
+def write_by_category(df: DataFrame, path: str, keys=("subject_id", "category"), file_rows: int = 1_000_000) -> None:
     """Write a table with one directory per subject and category.
 
-    Rows are hashed on the keys and a spread of sixteen, so a very large subject is written by several tasks while
-    small ones make few files.
+    A directory of at most ``file_rows`` rows is one file; only larger ones are spread, by a hash of the row, over as many
+    tasks as they need.
     """
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(16))
-    df.repartition(*keys, spread).write.mode("overwrite").partitionBy(*keys).parquet(path)
+    rows = [c for c in df.columns if c not in keys]
+    spread = paged(df, list(keys), rows or list(keys), file_rows)
+    spread.drop("page").write.mode("overwrite").partitionBy(*keys).parquet(path)
 
 
 def transfer_manifest(wanted: DataFrame, existing: DataFrame, overwrite: bool = False) -> DataFrame:

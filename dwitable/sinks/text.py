@@ -1,7 +1,8 @@
 """Text and JSON outputs.
 
 Lines of one subject's file are ordered. To keep a large subject out of a single task its lines are cut into blocks
-of consecutive volumes; each block is one directory, and reading the blocks in order gives the file.
+of consecutive volumes. A block is told by its first volume, which is written with every line, so that reading does not
+depend on where a file was cut.
 """
 
 from __future__ import annotations
@@ -30,26 +31,43 @@ def scientific(value: ColumnLike) -> Column:
     return F.format_string("%.18e", col(value).cast("double"))
 
 
+def motion_lines(parameters: DataFrame) -> DataFrame:
+    """The line of each volume's motion file: three rotations, then three translations."""
+    return parameters.select("subject", "vol", fixed_line(("rx", "ry", "rz", "tx", "ty", "tz")).alias("line"))
+
+
 def vector_lines(vectors: DataFrame, axes: Sequence[str] = ("gx", "gy", "gz"), width: int = BLOCK) -> DataFrame:
     """Matrix text with one line per axis and one number per volume (the transpose of the vector table).
 
-    A line covers ``width`` volumes; a scan with more continues on the same line of the next block.
+    ``(subject, first, axis, line)``: a line covers the ``width`` volumes from ``first`` on; a scan with more continues on the
+    same line of the next block.
     """
     rows = vectors.select(
-        "subject", block_of("vol", width).alias("block"), "vol",
+        "subject", (block_of("vol", width) * width).alias("first"), "vol",
         F.posexplode(F.array(*[scientific(a) for a in axes])).alias("axis", "text"),
     )
     ordered = F.sort_array(F.collect_list(F.struct("vol", "text")))
     line = F.array_join(F.transform(ordered, lambda e: e["text"]), " ")
-    return rows.groupBy("subject", "block", "axis").agg(line.alias("line"))
+    return rows.groupBy("subject", "first", "axis").agg(line.alias("line"))
+
 
+BUCKETS = 64
 
-def write_lines(lines: DataFrame, path: str, order: str, width: int = BLOCK) -> None:
-    """Write ``(subject, <order>, line)`` as ordered text below ``subject=…/block=…``."""
-    blocked = lines.withColumn("block", block_of(order, width))
+
+def write_lines(lines: DataFrame, path: str, order: str, width: int = BLOCK, buckets: int = BUCKETS) -> None:
+    """Write ``(subject, <order>, line)`` as ordered records ``(subject, first, line_no, line)``, in ``buckets`` directories.
+
+    ``first`` begins a block of ``width`` lines unless the table has it already. Subjects share a directory by hash; a file
+    holds whole blocks in order. Ordinary subjects have one block, so a directory has one file for them, and the further
+    blocks of large subjects are written by other tasks.
+    """
+    if "first" not in lines.columns:
+        lines = lines.withColumn("first", block_of(order, width) * width)
+    rows = lines.select(F.pmod(F.xxhash64("subject"), F.lit(buckets)).alias("bucket"), "subject", "first",
+                        F.col(order).cast("long").alias("line_no"), "line")
     (
-        blocked.repartition("subject", "block").sortWithinPartitions("subject", "block", order)
-        .select("subject", "block", "line").write.mode("overwrite").partitionBy("subject", "block").text(path)
+        rows.repartition("bucket", "first").sortWithinPartitions("bucket", "subject", "first", "line_no")
+        .write.mode("overwrite").partitionBy("bucket").json(path)
     )
 
 

@@ -12,6 +12,7 @@ from dwitable.functions import paths as P
 from dwitable.session import if_small
 
 SUBJECT_PATTERN = r"(?:^|/)sub-([^/]+)/"
+SUBJECT_PLACE = r"^(?:(.*?)/)?(sub-[^/]+)/"
 
 
 def list_files(spark: SparkSession, directory: str) -> DataFrame:
@@ -32,16 +33,30 @@ def matching_keys(keys: DataFrame, prefix: str | Iterable[str] = "", suffix: str
 def subject_keys(roster: DataFrame, keys: DataFrame) -> DataFrame:
     """Raw and derivative keys of the roster's subjects: ``(subject_id, site, rd, key)``.
 
-    Site and subject are read from the key, so an id that begins like another one does not match it.
+    Site and subject are read from the key, so an id that begins like another one does not match it. The subject is the first
+    folder that begins with ``sub-``. The site is the folder above it, or above ``derivatives`` where that lies before the subject,
+    with a tool's folder or without; a tree without such a folder has the site NULL, which matches a roster without site.
     """
-    place = F.regexp_extract("key", r"(?:^|/)([^/]+/(?:derivatives/)?sub-[^/]+)/", 1)
-    parsed = keys.select("key", place.alias("_place")).select(
-        F.substring_index("_place", "/", -1).alias("subject_id"),
-        F.substring_index("_place", "/", 1).alias("site"),
-        F.when(F.col("_place").contains("/derivatives/"), F.lit("deriv")).otherwise(F.lit("raw")).alias("rd"),
-        "key",
+    wanted = if_small(roster.select(F.col("subject_id").alias("_id"), F.col("site").alias("_site")).distinct())
+    same = (F.col("subject_id") == F.col("_id")) & F.col("site").eqNullSafe(F.col("_site"))
+    return placed_keys(keys).join(wanted, same, "left_semi")
+
+
+def placed_keys(keys: DataFrame) -> DataFrame:
+    """Keys below a subject's folder with what their path says: ``(subject_id, site, rd, key)``."""
+    above = F.regexp_extract("key", SUBJECT_PLACE, 1)
+    parsed = keys.select("key", F.regexp_extract("key", SUBJECT_PLACE, 2).alias("subject_id"), above.alias("_above"))
+    derived = F.col("_above").rlike(r"(^|/)derivatives(/|$)")
+    site = F.substring_index(F.regexp_replace("_above", r"(^|/)derivatives(/.*)?$", ""), "/", -1)
+    return parsed.filter("subject_id <> ''").select(
+        "subject_id", F.nullif(site, F.lit("")).alias("site"),
+        F.when(derived, F.lit("deriv")).otherwise(F.lit("raw")).alias("rd"), "key",
     )
-    return parsed.join(if_small(roster), ["subject_id", "site"], "left_semi")
+
+
+def unplaced_keys(keys: DataFrame) -> DataFrame:
+    """The keys that lie below no subject's folder, which ``subject_keys`` leaves out."""
+    return keys.filter(F.regexp_extract("key", SUBJECT_PLACE, 2) == "").select("key")
 
 
 def bids_subjects(keys: DataFrame, subject: str | None = None) -> DataFrame:

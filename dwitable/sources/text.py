@@ -1,7 +1,8 @@
 """Participant files, sidecars, whitespace matrices, report lines and quality-control documents.
 
 Text whose line order matters is read one file per row, so that a line's number does not depend on how the file was
-split; everything after that is exploded and spread.
+split; everything after that is exploded and spread. That is meant for files of one subject, a few megabytes at most; text
+that is larger is written and read in blocks (``sinks.text.write_lines``, ``read_written_lines``).
 """
 
 from __future__ import annotations
@@ -74,6 +75,11 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return explode_lines(read_bodies(spark, path))
 
 
+def read_written_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines as ``sinks.text.write_lines`` wrote them: ``(subject, first, line_no, line)``."""
+    return spark.read.schema("subject long, first long, line_no long, line string").json(path)
+
+
 def read_qc(
     spark: SparkSession, path: str | list[str], schema: str = QC_SCHEMA, one_per_line: bool = False
 ) -> DataFrame:
@@ -82,13 +88,18 @@ def read_qc(
 
 
 def b_values(entries: DataFrame) -> DataFrame:
-    """b-value entries (one row or one column of numbers) as one value per volume."""
-    keep = [c for c in entries.columns if c not in ("row", "col", "value")]
-    return entries.select(*keep, (F.col("row") + F.col("col")).alias("vol"), F.col("value").alias("bval"))
+    """b-value entries (one row or one column of numbers) as one value per volume; blocks count from their ``first``."""
+    keep = [c for c in entries.columns if c not in ("row", "col", "value", "first")]
+    return entries.select(*keep, (F.col("row") + F.col("col") + _first(entries)).alias("vol"), F.col("value").alias("bval"))
+
+
+def _first(entries: DataFrame) -> Column:
+    """The first volume of an entry's block, 0 for files that were not cut."""
+    return F.col("first") if "first" in entries.columns else F.lit(0)
 
 
 def b_vectors(entries: DataFrame) -> DataFrame:
-    """b-vector entries (three rows, one column per volume) as one vector per volume."""
-    keep = [c for c in entries.columns if c not in ("row", "col", "value")]
+    """b-vector entries (three rows, one column per volume) as one vector per volume; blocks count from their ``first``."""
+    keep = [c for c in entries.columns if c not in ("row", "col", "value", "first")]
     axes = [F.max(F.when(F.col("row") == r, F.col("value"))).alias(a) for r, a in enumerate(("gx", "gy", "gz"))]
-    return entries.groupBy(*keep, F.col("col").alias("vol")).agg(*axes)
+    return entries.groupBy(*keep, (F.col("col") + _first(entries)).alias("vol")).agg(*axes)

@@ -1,7 +1,10 @@
+import os
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from dwitable.operators import indexing as I
+from dwitable.session import release, settled, shared_dir
 
 
 def test_ordered_index_is_gap_free_over_blocks(spark):
@@ -35,3 +38,29 @@ def test_paged_lists_are_built_by_page(spark):
     df = spark.createDataFrame([("s", str(i)) for i in range(10)], "s string, k string")
     plan = I.paged(df, ["s"], ["k"], 3).groupBy("s", "page").agg(F.collect_list("k"))._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(s" in plan and "page" in plan.split("hashpartitioning", 1)[1]
+
+
+def test_positions_of_any_order(spark):
+    rows = [("hot", f"k{i:04d}") for i in range(2000)] + [("cold", "b"), ("cold", "a"), ("cold", "a"), (None, "x")]
+    got = I.ordered_position(spark.createDataFrame(rows, "s string, k string").repartition(7), ["s"], "k", "n").collect()
+    for s in ("hot", "cold", None):
+        mine = sorted((r.n, r.k) for r in got if r.s == s)
+        assert [n for n, _ in mine] == list(range(len(mine)))
+        assert [k for _, k in mine] == sorted(k for t, k in rows if t == s)
+
+
+def test_small_tables_are_counted_as_they_are_written(spark):
+    df = spark.range(100).select("id")
+    hinted = lambda small: "strategy=broadcast" in spark.range(5).join(small, "id")._jdf.queryExecution().toString()
+    assert hinted(settled(df, "x", limit=100)) and not hinted(settled(df, "x", limit=99))
+    assert not hinted(settled(df, "x", most_bytes=10))
+    assert settled(df, "x").count() == 100
+
+
+def test_released_files_are_gone(tmp_path, spark):
+    before = spark.conf.get("spark.checkpoint.dir")
+    path = shared_dir(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert path.startswith(before) and os.path.exists(path)
+    assert release(spark) >= 1
+    assert not os.path.exists(path) and release(spark) == 0

@@ -139,3 +139,32 @@ def test_too_few_volumes_give_the_smallest_solution(spark):
     got = {r.voxel: r for r in T.fit_tensor(signal, volumes).collect()}
     assert got[0].dxx == pytest.approx(np.log(2) / 1000) and got[0].dyy == pytest.approx(0.0) and got[0].ln_s0 == pytest.approx(np.log(100))
     assert got[1].dxx == pytest.approx((np.log(100) - np.log(T.MIN_SIGNAL)) / 1000)
+
+
+def test_movement_is_measured_from_the_volume_before_that_is_there(spark):
+    rows = [(1, v, float(v * v), *[0.0] * 5) for v in (0, 2, 3, 9)] + [(2, 5, 1.0, *[0.0] * 5)]
+    names = ", ".join(f"{p} double" for p in MT.PARAMETERS)
+    got = MT.frame_differences(spark.createDataFrame(rows, f"subject int, vol long, {names}")).collect()
+    assert {(r.subject, r.vol): r.norm for r in got} == {(1, 0): 0.0, (1, 2): 4.0, (1, 3): 5.0, (1, 9): 72.0, (2, 5): 0.0}
+
+
+def test_arrays_are_fitted_where_they_lie(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    g = rng.standard_normal((30, 3))
+    g /= np.linalg.norm(g, axis=1, keepdims=True)
+    b = np.where(np.arange(30) % 6 == 0, 0.0, 1000.0)
+    d = np.array([[1.2, 0.1, 0.05], [0.1, 0.7, -0.02], [0.05, -0.02, 0.4]]) * 1e-3
+    signal = 800 * np.exp(-b * np.einsum("ni,ij,nj->n", g, d, g))
+    table = spark.createDataFrame([(1, n, float(b[n]), *map(float, g[n])) for n in range(30)],
+                                  "subject int, vol long, bval double, gx double, gy double, gz double")
+    part = [None if n % 4 == 1 else float(x) for n, x in enumerate(signal)]
+    rows = [(1, 0, [float(x) for x in signal]), (1, 1, part), (1, 2, [*map(float, signal), 5.0])]
+    spark.createDataFrame(rows, "subject int, voxel long, signal array<double>").write.parquet(str(tmp_path / "v"))
+    fitted = T.fit_arrays(spark.read.parquet(str(tmp_path / "v")), table)
+    assert "Exchange hash" not in fitted._jdf.queryExecution().executedPlan().toString()
+    want = [d[0, 0], d[1, 1], d[2, 2], d[0, 1], d[0, 2], d[1, 2]]
+    for r in fitted.collect():
+        assert [getattr(r, e) for e in T.ENTRIES] == pytest.approx(want, rel=1e-6)
+        assert r.ln_s0 == pytest.approx(np.log(800), rel=1e-9)
+    raised = T.fit_arrays(spark.createDataFrame([(1, 0, [1e-9] * 30)], "subject int, voxel long, signal array<double>"), table, min_signal=2.0)
+    assert raised.first().ln_s0 == pytest.approx(np.log(2.0))

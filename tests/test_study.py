@@ -12,6 +12,7 @@ from dwitable.operators import sessions as S
 from dwitable.operators.profile import MULTI_SITE, StudyProfile, bids_profile
 from dwitable.sinks import layout as L
 from dwitable.sinks import text as K
+from dwitable.sources import listing as LS
 
 
 def files(spark, rows):
@@ -66,13 +67,12 @@ def test_subject_without_files_is_invalid(spark):
     assert got == {"a": True, "b": False}
 
 
-def test_register_of_a_large_subject_is_paged_and_whole(spark):
-    rows = [("hot", "dwi", f"k{n:05d}") for n in range(2500)] + [("cold", "dwi", "x"), ("cold", "bval", "y")]
-    got = MF.register(files(spark, rows), page_size=200).collect()
-    hot = [r for r in got if r.subject_id == "hot"]
-    assert len(hot) > 5 and max(len(r.files["dwi"]) for r in hot) < 400
-    assert sorted(k for r in hot for k in r.files["dwi"]) == [k for s, _, k in rows if s == "hot"]
-    assert [r.files for r in got if r.subject_id == "cold"] == [{"dwi": ["x"], "bval": ["y"]}]
+def test_register_has_one_shape_for_any_size(spark):
+    rows = [("hot", "dwi", f"k{n:05d}") for n in range(2500)] + [("cold", "dwi", "x"), ("cold", "bval", "y"), ("cold", "bval", "y")]
+    got = MF.register(files(spark, rows)).collect()
+    hot = sorted((r.position, r.key) for r in got if r.subject_id == "hot")
+    assert hot == [(n, f"k{n:05d}") for n in range(2500)]
+    assert sorted((r.role, r.position, r.key) for r in got if r.subject_id == "cold") == [("bval", 0, "y"), ("bval", 1, "y"), ("dwi", 0, "x")]
 
 
 def test_shared_sidecars_are_listed_per_file(spark):
@@ -141,12 +141,14 @@ def test_several_sets_in_one_session(spark):
 
 def test_skip_reasons_name_the_first_problem(spark):
     full = dict.fromkeys(S.SESSION_ROLES, 1)
-    data = session_files(spark, [("a", "", full), ("b", "", full), ("c", "", full), ("d", "", {**full, "dwi": 2}), ("e", "", {**full, "dwi": 0})])
-    validity = spark.createDataFrame([(s, s != "b") for s in "abcde"], "subject_id string, valid boolean")
+    data = session_files(spark, [("a", "", full), ("b", "", full), ("c", "", full), ("d", "", {**full, "dwi": 2}), ("e", "", {**full, "dwi": 0}), ("f", "", full)])
+    validity = spark.createDataFrame([(s, s != "b") for s in "abcdef"], "subject_id string, valid boolean")
     faced = spark.createDataFrame([(s, s != "c") for s in "abcde"], "subject_id string, valid boolean")
-    reasons = S.skip_reasons(validity, faced, S.session_role_counts(data))
+    gaps = spark.createDataFrame([("b",), ("f",), ("f",)], "subject_id string")
+    reasons = S.skip_reasons(validity, faced, S.session_role_counts(data), gaps)
     got = {r.subject_id: r.skip_reason for r in reasons.collect()}
-    assert got == {"a": None, "b": "missing_files", "c": "no_direction", "d": "no_session", "e": "session_mismatch"}
+    assert got == {"a": None, "b": "missing_files", "c": "no_direction", "d": "no_session", "e": "session_mismatch",
+                   "f": "incomplete_fieldmaps"}
     assert {r.subject_id for r in S.eligible(data, reasons).collect()} == {"a"}
 
 
@@ -196,16 +198,24 @@ def test_display_of_scores(spark):
 def test_long_report_lists_continue_in_parts(spark):
     lines = spark.createDataFrame([(1, n, f"line {n}") for n in range(10)], "subject int, line_no long, line string")
     series = spark.createDataFrame([(1, n, float(n), 0.5) for n in range(5)], "subject int, vol long, rms_abs double, rms_rel double")
-    sprites = spark.createDataFrame([(1, "b0", 2, 2, 8, 4)], "subject int, image string, N int, M int, pix int, num_slices int")
+    fields = "N int, M int, pix int, num_slices int, img_type string"
+    still = spark.createDataFrame([(1, n, 2, 2, 8, 4, "x") for n in RP.STILLS], f"subject int, image string, {fields}")
+    moving = spark.createDataFrame([(1, o, 2, 2, 8, 5, "y") for o in ("sag", "ax", "cor")], f"subject int, orientation string, {fields}")
     qc = spark.createDataFrame([(1, 0.1, 0.2), (2, 0.3, 0.4)], "subject int, qc_mot_abs double, qc_mot_rel double")
     dropped = spark.createDataFrame([(1, 3)], "subject int, vol long")
-    report = RP.assemble(sprites, dropped, lines, series, qc, width=4)
+    report = RP.assemble(moving, still, dropped, lines, series, qc, width=4)
     parts = {(r.subject, r.part): r for r in report.collect()}
     assert [len(parts[1, p].eddy_report) for p in range(3)] == [4, 4, 2]
-    assert parts[1, 0].outlier_volumes == [3] and parts[1, 0].sprites[0].image == "b0"
-    assert parts[1, 1].eddy_params == [[4.0, 0.5]] and parts[1, 2].eddy_quad is None
+    assert parts[1, 0].outlier_volumes == [3] and parts[1, 0].b0.pix == 8 and parts[1, 0].anat_mask.N == 2
+    assert [d.orientation for d in parts[1, 0].dwi_corrected] == ["ax", "cor", "sag"] and parts[1, 1].dwi_corrected is None
+    assert parts[1, 1].eddy_params == [[4.0, 0.5]] and parts[1, 2].eddy_quad.qc_mot_abs == 0.1
     assert parts[2, 0].eddy_quad.qc_mot_abs == 0.3 and parts[2, 0].eddy_report == []
-    assert {r.subject: r.n_lines for r in RP.outlier_line_count(report).collect()} == {1: 10, 2: 0}
+    assert {r.subject: r.n_lines for r in RP.outlier_line_count(RP.report_lines(report)).collect()} == {1: 10}
+    written = report.select("subject", F.to_json(F.struct(*[c for c in report.columns if c != "subject"])).alias("body"))
+    read = LS.reports_with_qc(written, RP.REPORT_SCHEMA).select("subject", "report.*")
+    assert sorted(map(str, read.drop("part").collect())) == sorted(map(str, report.drop("part").collect()))
+    back = RP.movement_series(read.select("subject", "part", "eddy_params"), width=4)
+    assert sorted((r.vol, r.s0) for r in back.collect()) == [(n, float(n)) for n in range(5)]
     body = K.document(report.filter("part = 0 AND subject = 1"), ["subject", "part"]).first().body
     assert json.loads(body)["eddy_quad"] == {"qc_mot_abs": 0.1, "qc_mot_rel": 0.2}
 

@@ -174,3 +174,9 @@ def test_default_affine(spark):
 def test_plane_rejects_unknown_kind(spark):
     with pytest.raises(KeyError):
         V.plane(image(spark, np.ones((1, 1, 1))), dims(spark, (1, 1, 1)), "oblique", 0)
+
+
+def test_a_frame_smaller_than_the_image_raises(spark):
+    a = np.ones((6, 3, 2))
+    with pytest.raises(Exception, match="smaller than the image"):
+        V.padded(image(spark, a), dims(spark, a.shape), F.lit(4), {"k": V.upto("nk")}).collect()

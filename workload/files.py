@@ -11,6 +11,7 @@ from dwitable.operators import roster as R
 from dwitable.operators import sessions as S
 from dwitable.operators.profile import DEEP_LEVEL, DEEP_SITE, MULTI_SITE
 from dwitable.operators.report import REPORT_SCHEMA
+from dwitable.plans import study
 from dwitable.session import shared_dir
 from dwitable.sinks import layout as L
 from dwitable.sinks import text as K
@@ -54,9 +55,9 @@ def _validity(t):
 
 @query("s1_matching_keys", "object_keys", """
 SELECT key FROM object_keys
-WHERE (starts_with(key, 'data/MRI/Site-RU/') OR starts_with(key, 'data/MRI/Site-SI/')) AND ends_with(key, '.json')""")
+WHERE (starts_with(key, 'data/Projects/HBN/MRI/Site-RU/') OR starts_with(key, 'data/Projects/HBN/MRI/Site-SI/')) AND ends_with(key, '.json')""")
 def s1(t):
-    return KS.matching_keys(t.object_keys.select("key"), ("data/MRI/Site-RU/", "data/MRI/Site-SI/"), ".json")
+    return KS.matching_keys(t.object_keys.select("key"), ("data/Projects/HBN/MRI/Site-RU/", "data/Projects/HBN/MRI/Site-SI/"), ".json")
 
 
 @query("s2_subject_keys", "roster object_keys", f"""+ {ROSTER_SQL}
@@ -87,12 +88,17 @@ def s4(t):
 SELECT subject, vol, round(gx, 6) AS gx, round(gy, 6) AS gy, round(gz, 6) AS gz FROM volumes""")
 def s5(t):
     path = shared_dir(t.spark, "bvecs")
-    K.write_lines(K.vector_lines(t.volumes).drop("block"), path, "axis")
-    vectors = TX.b_vectors(TX.read_matrix(t.spark, path).drop("path", "block"))
-    return vectors.select(
-        F.col("subject").cast("long").alias("subject"), F.col("vol").cast("long").alias("vol"),
-        *[F.round(a, 6).alias(a) for a in ("gx", "gy", "gz")],
-    )
+    K.write_lines(K.vector_lines(t.volumes, width=16), path, "axis")  # three blocks a scan and a rest
+    vectors = TX.b_vectors(TX.matrix_entries(TX.read_written_lines(t.spark, path)))
+    return vectors.select("subject", F.col("vol").cast("long").alias("vol"), *[F.round(a, 6).alias(a) for a in ("gx", "gy", "gz")])
+
+
+@query("s5_read_bvals", "volumes", "SELECT subject, vol, CAST(bval AS DOUBLE) AS bval FROM volumes")
+def s5_bvals(t):
+    path = shared_dir(t.spark, "bvals")
+    K.write_lines(K.vector_lines(t.volumes, ("bval",), width=7), path, "axis")
+    values = TX.b_values(TX.matrix_entries(TX.read_written_lines(t.spark, path)))
+    return values.select("subject", F.col("vol").cast("long").alias("vol"), "bval")
 
 
 @query("s6_read_table_lenient", "text_rows", """
@@ -101,10 +107,10 @@ FROM (SELECT subject, vol, unnest(words) AS w, CAST(generate_subscripts(words, 1
       FROM (SELECT subject, vol, regexp_split_to_array(trim(line), '\\s+') AS words FROM text_rows) AS a) AS b""")
 def s6(t):
     path = shared_dir(t.spark, "rms")
-    K.write_lines(t.text_rows, path, "vol")
-    entries = TX.read_table_lenient(t.spark, path)
+    K.write_lines(t.text_rows, path, "vol", width=16)
+    entries = TX.matrix_entries(TX.read_written_lines(t.spark, path), bad=float("nan"))
     return entries.select(
-        F.col("subject").cast("long").alias("subject"), F.col("row").cast("long").alias("row"),
+        "subject", F.col("row").cast("long").alias("row"),
         F.col("col").cast("long").alias("col"), F.when(~F.isnan("value"), F.col("value")).alias("value"),
         F.isnan("value").alias("bad"),
     )
@@ -141,7 +147,7 @@ SELECT bucket, subject, CAST(json_extract_string(body, '$.eddy_quad.qc_mot_abs')
   CAST(json_extract_string(body, '$.eddy_quad.qc_mot_rel') AS DOUBLE) AS qc_mot_rel
 FROM report_json WHERE json_extract_string(body, '$.eddy_quad') IS NOT NULL""")
 def s10(t):
-    reports = LS.reports_with_qc(t.report_json, REPORT_SCHEMA)
+    reports = LS.reports_with_qc(t.report_json, REPORT_SCHEMA).filter("coalesce(report.part, 0) = 0")
     return reports.select("bucket", "subject", "report.eddy_quad.qc_mot_abs", "report.eddy_quad.qc_mot_rel")
 
 
@@ -237,6 +243,15 @@ def k7(t):
     return L.transfer_manifest(files.select("subject_id", "key", target), existing)
 
 
+@query("flow_upload", "object_keys", f"""+ {OUTPUTS_SQL}
+SELECT key, replace(key, '/data/out/', '') AS object_key FROM outs WHERE contains(key, '/dwitable/')
+AND replace(key, '/data/out/', '') NOT IN (SELECT 'sub-P' || lpad(CAST(c_custkey AS STRING), 8, '0') || '/dwitable/f11.nii.gz' FROM customer)""")
+def flow_upload(t):
+    there = t.spark.read.parquet(f"{t.sf_dir}/customer.parquet").select(F.concat(
+        F.lit("sub-P"), F.lpad(F.col("c_custkey").cast("string"), 8, "0"), F.lit("/dwitable/f11.nii.gz")).alias("object_key"))
+    return study.upload(_outputs(t), "/data/out", L.PIPELINE, there)
+
+
 @query("k8_upload_key", "object_keys", f"""+ {OUTPUTS_SQL}
 SELECT key AS path, replace(key, '/data/out/', '') AS object_key FROM outs""")
 def k8(t):
@@ -446,7 +461,8 @@ agreement AS (SELECT subject_id, bool_and(least({", ".join(f"n_{r}" for r in S.S
 REASONS_SQL = f"""{VALID_SQL}, {COUNTS_SQL},
 faces AS (SELECT subject_id, bool_and(direction IS NOT NULL) AS ok FROM directed GROUP BY subject_id),
 anysess AS (SELECT subject_id, bool_or(balanced) AS ok FROM balance GROUP BY subject_id),
-reasons AS (SELECT v.subject_id, CASE WHEN NOT v.valid THEN 'missing_files' WHEN NOT coalesce(f.ok, false) THEN 'no_direction'
+reasons AS (SELECT v.subject_id, CASE WHEN NOT v.valid THEN 'missing_files'
+  WHEN v.subject_id IN (SELECT subject_id FROM gapped) THEN 'incomplete_fieldmaps' WHEN NOT coalesce(f.ok, false) THEN 'no_direction'
   WHEN NOT coalesce(a.consistent, false) THEN 'session_mismatch' WHEN NOT coalesce(s.ok, false) THEN 'no_session' END AS skip_reason
   FROM validity v LEFT JOIN faces f ON v.subject_id = f.subject_id LEFT JOIN agreement a ON v.subject_id = a.subject_id
   LEFT JOIN anysess s ON v.subject_id = s.subject_id)"""
@@ -454,7 +470,7 @@ reasons AS (SELECT v.subject_id, CASE WHEN NOT v.valid THEN 'missing_files' WHEN
 
 def _reasons(t):
     faced = D.direction_validity(D.determine_directions(t.sidecars))
-    return S.skip_reasons(_validity(t), faced, S.session_role_counts(t.sited))
+    return S.skip_reasons(_validity(t), faced, S.session_role_counts(t.sited), MF.sidecar_completeness(_files(t)))
 
 
 @query("f13_skip_reasons", "sited", f"+ {REASONS_SQL}\nSELECT subject_id, skip_reason FROM reasons")
@@ -512,12 +528,13 @@ def j9(t):
     return MF.positions_paired(_files(t), "/tmp/study")
 
 
-@query("j9_zip_pairs", "files", """
-SELECT subject_id, role, key, replace(key, 'data/', 'local/') AS target FROM files""")
+@query("j9_zip_pairs", "listing_pages", """
+SELECT subject_id, page_no, key, replace(key, 'data/', 'local/') AS target FROM (
+  SELECT subject_id, page_no, unnest(regexp_extract_all(xml, '<Key>([^<]*)</Key>', 1)) AS key FROM listing_pages) AS k""")
 def j9_zip(t):
-    entries = MF.register(_files(t)).select("subject_id", F.explode("files").alias("role", "keys"))
+    pages = t.listing_pages.select("subject_id", "page_no", LS.page_keys("xml").alias("keys"))
     targets = F.transform("keys", lambda k: F.replace(k, F.lit("data/"), F.lit("local/")))
-    return MF.zip_pairs(entries.withColumn("targets", targets), "keys", "targets", ("key", "target"))
+    return MF.zip_pairs(pages.withColumn("targets", targets), "keys", "targets", ("key", "target"))
 
 
 # ---------------------------------------------------------------- aggregations
@@ -537,10 +554,9 @@ def a1_after(t):
 
 
 @query("a2_register", "files", """
-SELECT subject_id, role, CAST(0 AS BIGINT) AS page, string_agg(key, '|' ORDER BY key) AS keys FROM files GROUP BY subject_id, role""")
+SELECT subject_id, role, row_number() OVER (PARTITION BY subject_id, role ORDER BY key) - 1 AS position, key FROM files""")
 def a2(t):
-    entries = MF.register(_files(t)).select("subject_id", "page", F.explode("files").alias("role", "keys"))
-    return entries.withColumn("keys", F.array_join("keys", "|"))
+    return MF.register(_files(t))
 
 
 @query("a3_session_agreement", "sited", f"+ {COUNTS_SQL}\nSELECT subject_id, consistent FROM agreement")
@@ -561,12 +577,10 @@ def a4_register(t):
 
 
 @query("a5_files_by_session", "sited", f"""
-SELECT subject_id, session, CAST(0 AS BIGINT) AS page,
-  {", ".join(f"string_agg(key, '|' ORDER BY key) FILTER (role = '{r}') AS {r}" for r in S.SESSION_ROLES)}
-FROM sited WHERE role IN {SESSION_SQL} GROUP BY subject_id, session""")
+SELECT subject_id, session, role, row_number() OVER (PARTITION BY subject_id, session, role ORDER BY key) - 1 AS position, key
+FROM sited WHERE role IN {SESSION_SQL}""")
 def a5(t):
-    lists = S.files_by_session(t.sited)
-    return lists.select("subject_id", "session", "page", *[F.array_join(r, "|").alias(r) for r in S.SESSION_ROLES])
+    return S.files_by_session(t.sited)
 
 
 MULTIPLES_SQL = f"""own AS (
@@ -702,10 +716,17 @@ def n2(t):
     return D.relabel_roles(_files(t), D.determine_directions(t.sidecars))
 
 
-@query("n2_relabelled_map", "files", """+ named AS (
+@query("n2_keys_without_object", "sited", """
+SELECT count(*) FILTER (o.key IS NULL) AS n_unknown, count(*) AS n FROM relabelled r LEFT JOIN object_keys o ON r.key = o.key""")
+def n2_unknown(t):
+    relabelled = D.relabel_roles(_files(t), D.determine_directions(t.sidecars))
+    known = t.object_keys.select("key", F.lit(True).alias("there"))
+    return relabelled.join(known, "key", "left").agg(F.count_if(F.col("there").isNull()).alias("n_unknown"), F.count(F.lit(1)).alias("n"))
+
+
+@query("n2_relabelled_by_name", "files", """+ named AS (
   SELECT subject_id, CASE WHEN role <> 'epi_nii' THEN role WHEN contains(key, 'dir-AP') THEN 'epi_ap' WHEN contains(key, 'dir-PA') THEN 'epi_pa' END AS role, key
   FROM files WHERE role <> 'epi_json')
-SELECT subject_id, role, string_agg(key, '|' ORDER BY key) AS keys FROM named WHERE role IS NOT NULL GROUP BY subject_id, role""")
-def n2_map(t):
-    entries = D.relabel_map(MF.register(_files(t))).select("subject_id", F.explode("files").alias("role", "keys"))
-    return entries.filter(F.size("keys") > 0).withColumn("keys", F.array_join("keys", "|"))
+SELECT subject_id, role, key FROM named WHERE role IS NOT NULL""")
+def n2_by_name(t):
+    return D.relabel_by_name(_files(t))

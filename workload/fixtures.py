@@ -64,8 +64,8 @@ tmpl AS (SELECT * FROM (VALUES
   ) AS t(tid, rd, dir, tail)),
 object_keys AS (
   SELECT subject_id, site, rd, CAST(slots.tid AS INT) AS tid, bal,
-    CASE WHEN rd = 'raw' THEN 'data/MRI/' || site || '/' || subject_id || ses || dir || subject_id || tail
-         ELSE 'data/MRI/' || site || '/derivatives/' || subject_id || dir || tail END AS key
+    CASE WHEN rd = 'raw' THEN 'data/Projects/HBN/MRI/' || site || '/' || subject_id || ses || dir || subject_id || tail
+         ELSE 'data/Projects/HBN/MRI/' || site || '/derivatives/' || subject_id || dir || tail END AS key
   FROM slots JOIN tmpl ON slots.tid = tmpl.tid
   WHERE NOT (bal >= slots.tid * 350 + sidx * 90 AND bal < slots.tid * 350 + sidx * 90 + 80)
     AND (rd = 'raw' OR sidx <= 1)
@@ -109,10 +109,18 @@ faced AS (
   FROM sidecars),
 directed AS (
   SELECT subject_id, key, v, named, CASE v WHEN 'j-' THEN 'AP' WHEN 'j' THEN 'PA' ELSE named END AS direction FROM faced),
+fmap_pairs AS (
+  SELECT subject_id, replace(replace(key, '.nii.gz', ''), '.json', '') AS stem, count(DISTINCT role) AS n_roles
+  FROM files WHERE role IN ('epi_nii', 'epi_json') GROUP BY subject_id, replace(replace(key, '.nii.gz', ''), '.json', '')),
+gapped AS (SELECT DISTINCT subject_id FROM fmap_pairs WHERE n_roles = 1),
 relabelled AS (
-  SELECT subject_id, role, key FROM files WHERE role NOT IN ('epi_nii', 'epi_json')
+  SELECT f.subject_id, f.role, f.key FROM files f LEFT JOIN gapped g ON f.subject_id = g.subject_id
+  WHERE f.role NOT IN ('epi_nii', 'epi_json') OR g.subject_id IS NOT NULL
   UNION ALL
-  SELECT subject_id, 'epi_' || lower(direction), replace(key, '.json', '.nii.gz') FROM directed WHERE direction IS NOT NULL),
+  SELECT f.subject_id, 'epi_' || lower(d.direction), f.key
+  FROM files f JOIN directed d ON f.subject_id = d.subject_id AND f.key = replace(d.key, '.json', '.nii.gz')
+  LEFT JOIN gapped g ON f.subject_id = g.subject_id
+  WHERE f.role = 'epi_nii' AND d.direction IS NOT NULL AND g.subject_id IS NULL),
 sited AS (
   SELECT subject_id, role, key, CASE WHEN regexp_extract(key, '/(ses-[0-9a-zA-Z]*)/', 1) = '' THEN 'null'
     ELSE regexp_extract(key, '/(ses-[0-9a-zA-Z]*)/', 1) END AS session
@@ -165,12 +173,15 @@ volumes AS (
          CASE WHEN (vol * 7 + subject) % 11 = 0 THEN 1 ELSE 0 END AS dropped FROM numbered)
 """)
 
-# The gradient table of every supplier: the scans its line items name, with the shared directions.
+# The gradient table of every supplier: the scans its line items name; the directions of the vectors go round over all of
+# them, so that every vector is used as soon as there are enough scans.
 fixture("scan_volumes", ("vecs",), """
 taken AS (SELECT DISTINCT l_suppkey AS subject, l_partkey % 400 AS vol FROM {lineitem}),
+ring AS (SELECT count(*) AS n FROM vecs),
 scan_volumes AS (
   SELECT subject, vol, CASE WHEN vol % 10 = 0 THEN 0 WHEN vol % 2 = 0 THEN 1000 ELSE 2000 END AS bval,
-         x AS gx, y AS gy, z AS gz FROM taken JOIN vecs ON vec_id = vol)
+         x AS gx, y AS gy, z AS gz
+  FROM taken CROSS JOIN ring JOIN vecs ON vec_id = (subject * 397 + vol) % n)
 """)
 
 fixture("affines", ("volumes",), """
@@ -229,11 +240,13 @@ colours AS (
          (CAST(floor(value) AS BIGINT) * 5 + j) % 256 AS b FROM voxels4d)
 """)
 
-# Noise-free signals of known tensors: each line item says that a voxel was measured in a volume.
+# Noise-free signals of known tensors: each line item says that a voxel was measured in a volume. All scans of the vectors are
+# subjects, and with more of them a voxel spans more orders, so that its number of measurements stays the same.
 fixture("dti_signal", ("volumes",), """
+scans AS (SELECT CAST(count(DISTINCT subject) AS BIGINT) AS n FROM volumes),
 measured AS (
-  SELECT DISTINCT l_suppkey % 10 AS subject, CAST(floor(l_orderkey / CAST(150 AS DOUBLE)) AS BIGINT) AS voxel, l_partkey % 40 AS vol
-  FROM {lineitem}),
+  SELECT DISTINCT l_suppkey % n AS subject, CAST(floor(l_orderkey / (CAST(15 AS DOUBLE) * n)) AS BIGINT) AS voxel, l_partkey % 50 AS vol
+  FROM {lineitem} CROSS JOIN scans),
 truth AS (
   SELECT subject, voxel, vol, CAST(0.0010 AS DOUBLE) + (voxel % 20) * CAST(0.00002 AS DOUBLE) AS dxx, CAST(0.0006 AS DOUBLE) AS dyy,
          CAST(0.0003 AS DOUBLE) + (voxel % 7) * CAST(0.00001 AS DOUBLE) AS dzz, CAST(0.0001 AS DOUBLE) AS dxy,

@@ -14,10 +14,9 @@ from dwitable.operators import motion as MT
 from dwitable.operators import report as RP
 from dwitable.operators import tensor as T
 from dwitable.operators import volumes as V
-from dwitable.operators import voxels as VX
-from dwitable.operators.profile import MULTI_SITE
+from dwitable.operators.profile import MULTI_SITE, StudyProfile
 from dwitable.plans import study
-from dwitable.session import shared_dir
+from dwitable.session import materialise, shared_dir
 from dwitable.sinks import text as K
 from dwitable.sources import text as TX
 from workload.registry import query
@@ -34,9 +33,7 @@ def _outliers(t):
 
 
 def _dropped(t):
-    outliers = _outliers(t)
-    slices = outliers.groupBy("subject").agg(F.max("slice").alias("n_slices"))
-    return V.dropped_scans(outliers, THRESHOLD, slices)
+    return V.dropped_scans(_outliers(t), THRESHOLD)
 
 
 def _r(*names: str, digits: int = 6):
@@ -68,10 +65,7 @@ def a10_count(t):
 
 @query("a17_outlier_line_count", "outlier_lines", "SELECT subject, CAST(count(*) AS BIGINT) AS n_lines FROM outlier_lines GROUP BY subject")
 def a17(t):
-    lines = t.outlier_lines.groupBy("subject", F.pmod(F.xxhash64("line"), F.lit(64)).alias("part")).agg(
-        F.collect_list("line").alias("eddy_report")
-    )
-    return RP.outlier_line_count(lines)
+    return RP.outlier_line_count(t.outlier_lines)
 
 
 KEPT_SQL = """kept AS (
@@ -93,9 +87,7 @@ def j5(t):
 @query("flow_thinned_gradients", "outliers scan_volumes", f"""+ {DROP_SQL}, {KEPT_SQL}
 SELECT subject, new_vol AS vol, bval, round(gx, 6) AS gx, round(gy, 6) AS gy, round(gz, 6) AS gz FROM kept""")
 def thinned(t):
-    lines = t.outlier_lines
-    slices = V.parse_outliers(lines).groupBy("subject").agg(F.max("slice").alias("n_slices"))
-    out = study.thinned_gradients(lines, t.scan_volumes, THRESHOLD, slices)
+    out = study.thinned_gradients(t.outlier_lines, t.scan_volumes, THRESHOLD)
     return out.select("subject", "vol", "bval", *_r("gx", "gy", "gz"))
 
 
@@ -135,15 +127,20 @@ def k3(t):
     path = shared_dir(t.spark, "dropped")
     dropped = t.volumes.filter("dropped = 1").select("subject", "vol", K.integer_line("vol").alias("line"))
     K.write_lines(dropped, path, "vol")
-    lines = TX.read_lines(t.spark, path)
-    return lines.select(F.col("subject").cast("long").alias("subject"), F.col("line").cast("long").alias("vol"), "line")
+    lines = TX.read_written_lines(t.spark, path)
+    return lines.select("subject", F.col("line").cast("long").alias("vol"), "line")
 
 
 @query("k4_motion_lines", "motion_mats", """
-SELECT subject, vol, printf('%.6f %.6f %.6f %.6f %.6f %.6f ', rx, rz, ry, a03, a13, a23) AS line
-FROM motion_mats""")
++ free AS (SELECT *, power(abs(ry) - pi() / 2, 2) < 1e-9 AS locked FROM motion_mats),
+p AS (SELECT subject, vol, CASE WHEN locked THEN 0 ELSE rx END AS r1, ry AS r2,
+  CASE WHEN locked THEN atan2(sin(rx + rz), cos(rx + rz)) ELSE atan2(sin(rz), cos(rz)) END AS r3, a03, a13, a23 FROM free)
+SELECT subject, vol, 6 AS n, round(r1, 6) + 0.0 AS rx, round(r2, 6) + 0.0 AS ry, round(r3, 6) + 0.0 AS rz,
+  round(a03, 6) + 0.0 AS tx, round(a13, 6) + 0.0 AS ty, round(a23, 6) + 0.0 AS tz FROM p""")
 def k4(t):
-    return t.motion_mats.select("subject", "vol", K.fixed_line(("rx", "rz", "ry", "a03", "a13", "a23")).alias("line"))
+    lines = K.motion_lines(MT.motion_parameters(t.motion_mats.drop("rx", "ry", "rz"))).withColumn("numbers", TX.line_values("line"))
+    return lines.select("subject", "vol", F.size("numbers").alias("n"), *[
+        (F.get("numbers", F.lit(i)) + 0.0).alias(p) for i, p in enumerate(MT.PARAMETERS)])
 
 
 @query("k5_matrix_text", "volumes", """
@@ -152,8 +149,7 @@ def k5(t):
     width = 16
     lines = K.vector_lines(t.volumes, width=width).withColumnRenamed("axis", "line_no")
     entries = TX.matrix_entries(lines)
-    whole = entries.withColumn("col", F.col("block") * width + F.col("col")).drop("block")
-    return TX.b_vectors(whole).select("subject", F.col("vol").cast("long").alias("vol"), *_r("gx", "gy", "gz", digits=9))
+    return TX.b_vectors(entries).select("subject", F.col("vol").cast("long").alias("vol"), *_r("gx", "gy", "gz", digits=9))
 
 
 # ---------------------------------------------------------------- vectors
@@ -240,6 +236,23 @@ def w4(t):
     return flags.select("subject", "vol", *_r("norm", "z"), "motion_flag", "intensity_flag")
 
 
+@query("w4_flags_without_dropped", "motion_mats volumes", """+ p AS (
+  SELECT m.subject, m.vol, rx, ry, rz, a03, a13, a23, rms_abs AS intensity FROM motion_mats m JOIN volumes v ON m.subject = v.subject AND m.vol = v.vol
+  WHERE v.dropped = 0),
+d AS (SELECT subject, vol, intensity, coalesce(sqrt(power(rx - lag(rx) OVER w, 2) + power(ry - lag(ry) OVER w, 2) + power(rz - lag(rz) OVER w, 2)
+  + power(a03 - lag(a03) OVER w, 2) + power(a13 - lag(a13) OVER w, 2) + power(a23 - lag(a23) OVER w, 2)), 0) AS norm
+  FROM p WINDOW w AS (PARTITION BY subject ORDER BY vol)),
+s AS (SELECT subject, avg(intensity) AS mean, stddev_samp(intensity) AS sd FROM p GROUP BY subject)
+SELECT d.subject, vol, round(norm, 6) AS norm, round((intensity - mean) / nullif(sd, 0), 6) AS z, norm > 3 AS motion_flag,
+  coalesce(abs((intensity - mean) / nullif(sd, 0)) > 9, false) AS intensity_flag FROM d JOIN s ON d.subject = s.subject""")
+def w4_gaps(t):
+    kept = t.volumes.filter("dropped = 0")
+    parameters = t.motion_mats.select("subject", "vol", "rx", "ry", "rz", F.col("a03").alias("tx"), F.col("a13").alias("ty"), F.col("a23").alias("tz"))
+    flags = MT.artifact_flags(parameters.join(kept.select("subject", "vol"), ["subject", "vol"], "left_semi"),
+                              kept.select("subject", "vol", F.col("rms_abs").alias("intensity")))
+    return flags.select("subject", "vol", *_r("norm", "z"), "motion_flag", "intensity_flag")
+
+
 @query("m15_matrix_product", "affines motion_mats", """+ m AS (
   SELECT mm.subject, vol, a.a00*mm.a00 + a.a01*mm.a10 + a.a02*mm.a20 AS p00, a.a00*mm.a01 + a.a01*mm.a11 + a.a02*mm.a21 AS p01,
     a.a10*mm.a00 + a.a11*mm.a10 + a.a12*mm.a20 AS p10, a.a20*mm.a02 + a.a21*mm.a12 + a.a22*mm.a22 AS p22
@@ -360,6 +373,19 @@ def a18(t):
     )
 
 
+@query("a18_array_fit", "dti_signal", f"""+ {TRUTH_SQL}
+SELECT subject, voxel, {", ".join(f"round({d} * 1e6, 3) AS {d}" for d in T.ENTRIES)}, round(ln(1000.0), 6) AS ln_s0 FROM known""")
+def a18_arrays(t):
+    by_volume = F.map_from_entries(F.collect_list(F.struct("vol", "signal")))
+    length = t.volumes.agg(F.max("vol").alias("last"))
+    voxels = t.dti_signal.groupBy("subject", "voxel").agg(by_volume.alias("m")).join(F.broadcast(length)).select(
+        "subject", "voxel", F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda v: F.element_at("m", v)).alias("signal"))
+    fitted = T.fit_arrays(materialise(voxels, "voxels"), t.volumes)
+    return fitted.select(
+        "subject", "voxel", *[(F.round(F.col(d) * 1e6, 3) + 0.0).alias(d) for d in T.ENTRIES], F.round("ln_s0", 6).alias("ln_s0")
+    )
+
+
 @query("m4_scaled_tensor", "dti_signal", f"""+ {TRUTH_SQL}
 SELECT subject, voxel, {", ".join(f"round({d} * 1000, 6) AS {d}" for d in T.ENTRIES)} FROM known""")
 def m4(t):
@@ -418,17 +444,18 @@ def a17_manifest(t):
 
 def _report(t, width: int = I.BLOCK):
     lines = t.volumes.filter("dropped = 1").select("subject", F.col("vol").alias("line_no"), K.integer_line("vol").alias("line"))
-    layout = MO.mosaic_layout(VX.image_dims(t.voxels4d), F.greatest("ni", "nj"), F.col("nk"))
-    sprites = layout.withColumn("image", F.lit("b0"))
+    dims = materialise(t.dims, "dims")
     series = t.volumes.select("subject", "vol", "rms_abs", "rms_rel")
     qc = t.qc.drop("bucket")
-    return RP.assemble(sprites, t.volumes.filter("dropped = 1").select("subject", "vol"), lines, series, qc, width)
+    dropped = t.volumes.filter("dropped = 1").select("subject", "vol")
+    return RP.assemble(MO.series_layouts(dims), MO.still_layouts(dims), dropped, lines, series, qc, width)
 
 
 REPORT_SQL = """v AS (SELECT subject, count(*) FILTER (dropped = 1) AS n_dropped, string_agg(CAST(vol AS STRING), ',' ORDER BY vol) FILTER (dropped = 1) AS dropped,
   count(*) AS n_params, round(max(rms_abs) FILTER (vol = 0), 6) AS first_abs FROM volumes GROUP BY subject),
 r AS (SELECT coalesce(v.subject, q.subject, d.subject) AS subject, coalesce(n_dropped, 0) AS n_dropped, coalesce(dropped, '') AS dropped,
-  coalesce(n_params, 0) AS n_params, first_abs, round(qc_mot_rel, 6) AS qc_mot_rel, greatest(ni, nj) AS pix, nk AS num_slices
+  coalesce(n_params, 0) AS n_params, first_abs, round(qc_mot_rel, 6) AS qc_mot_rel, greatest(ni, nj) AS pix, nk AS num_slices,
+  greatest(ni, nj) AS pix_colour, nk AS n_mask, CASE WHEN ni IS NOT NULL THEN 3 END AS n_moving, greatest(nj, nk) AS pix_ax, nt - 1 AS n_ax
   FROM v FULL OUTER JOIN qc q ON v.subject = q.subject FULL OUTER JOIN dims d ON d.subject = coalesce(v.subject, q.subject))"""
 
 
@@ -437,23 +464,33 @@ def n3(t):
     return _report(t).select(
         "subject", F.size("outlier_volumes").cast("long").alias("n_dropped"), F.array_join("eddy_report", ",").alias("dropped"),
         F.size("eddy_params").cast("long").alias("n_params"), F.round(F.get(F.get("eddy_params", F.lit(0)), F.lit(0)), 6).alias("first_abs"),
-        F.round("eddy_quad.qc_mot_rel", 6).alias("qc_mot_rel"), F.get("sprites", F.lit(0)).getField("pix").alias("pix"),
-        F.get("sprites", F.lit(0)).getField("num_slices").alias("num_slices"),
+        F.round("eddy_quad.qc_mot_rel", 6).alias("qc_mot_rel"), F.col("b0.pix").alias("pix"), F.col("b0.num_slices").alias("num_slices"),
+        F.col("colorFA.pix").alias("pix_colour"), F.col("anat_mask.num_slices").alias("n_mask"),
+        F.nullif(F.size("dwi_corrected"), F.lit(-1)).alias("n_moving"),
+        F.get("dwi_corrected", F.lit(0)).getField("pix").alias("pix_ax"), F.get("dwi_corrected", F.lit(0)).getField("num_slices").alias("n_ax"),
     )
 
 
 @query("k6_report_json", "volumes qc dims", f"+ {REPORT_SQL}\nSELECT subject, n_dropped, n_params, qc_mot_rel FROM r")
 def k6(t):
     path = shared_dir(t.spark, "reports")
-    K.write_json(_report(t), path)
-    schema = f"subject long, part long, {RP.REPORT_SCHEMA}"
-    read = t.spark.read.schema(schema).json(path)
-    return read.select(
-        "subject", F.size("outlier_volumes").cast("long").alias("n_dropped"), F.size("eddy_params").cast("long").alias("n_params"),
-        F.round("eddy_quad.qc_mot_rel", 6).alias("qc_mot_rel"),
+    K.write_json(_report(t, width=16), path)  # several parts a report
+    read = t.spark.read.schema(f"subject long, {RP.REPORT_SCHEMA}").json(path)
+    return read.groupBy("subject").agg(
+        F.sum(F.size("outlier_volumes")).cast("long").alias("n_dropped"), F.sum(F.size("eddy_params")).cast("long").alias("n_params"),
+        F.first(F.when(F.col("part") == 0, F.round("eddy_quad.qc_mot_rel", 6)), ignorenulls=True).alias("qc_mot_rel"),
     )
 
 
+@query("n3_report_series", "volumes", """
+SELECT subject, CAST(vol AS INT) AS vol, round(rms_abs, 6) AS s0, round(rms_rel, 6) AS s1 FROM volumes""")
+def n3_series(t):
+    path = shared_dir(t.spark, "reports")
+    K.write_json(_report(t, width=16), path)
+    read = t.spark.read.schema(f"subject long, {RP.REPORT_SCHEMA}").json(path)
+    return RP.movement_series(read.select("subject", "part", "eddy_params"), width=16).select("subject", "vol", *_r("s0", "s1"))
+
+
 # ---------------------------------------------------------------- profiles and user steps
 
 @query("x1_study_profile", "roster files", """+ both_lists AS (
@@ -468,16 +505,16 @@ def x1(t):
     return MULTI_SITE.rewrite(files.withColumn("path", F.col("key")), "path").select("subject_id", "role", "path")
 
 
-@query("x2_user_step", "volumes", """
-SELECT subject, vol, round(rms_abs - rms_rel, 6) AS gap FROM volumes WHERE bval > 0""")
+@query("x2_user_step", "outliers scan_volumes", """+ drops AS (
+  SELECT subject, scan AS vol FROM outliers WHERE slice <> 1 AND mean_sd < -5 GROUP BY subject, scan HAVING count(*) > 1),
+kept AS (SELECT v.subject, bval, row_number() OVER (PARTITION BY v.subject ORDER BY v.vol) - 1 AS vol FROM scan_volumes v
+  LEFT JOIN drops d ON v.subject = d.subject AND v.vol = d.vol WHERE d.vol IS NULL)
+SELECT subject, vol, bval FROM kept WHERE bval > 0""")
 def x2(t):
-    def weighted_only(df):
-        return df.filter("bval > 0")
-
-    def gap(df):
-        return df.select("subject", "vol", F.round(F.col("rms_abs") - F.col("rms_rel"), 6).alias("gap"))
-
-    return t.volumes.transform(weighted_only).transform(gap)
+    mine = StudyProfile("mine", "bucket", steps={"outliers": (lambda df: df.filter("slice <> 1"), lambda df: df.filter("mean_sd < -5")),
+                                                "gradients": (lambda df: df.filter("bval > 0"),)})
+    thinned = study.thinned_gradients(t.outlier_lines, t.scan_volumes, 1, profile=mine)
+    return thinned.select("subject", "vol", "bval")
 
 
 @query("flow_acquire", "roster sited", """+ both_lists AS (
