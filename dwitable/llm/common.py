@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +25,17 @@ def raw(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+#: Rows of a batch whose texts are Python objects at once.
+SLICE = 256
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Batches cut into few rows, so that a batch of long texts is never copied into Python as a whole."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def crc_bucket(column: str, modulus: int) -> Column:
     """crc32 of a number as decimal text, modulo ``modulus``; NULL stays NULL."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)

@@ -6,7 +6,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +13,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwitable.llm.common import fresh
+from dwitable.llm.common import fresh, sliced
 from dwitable.session import if_small, materialise
 
 WORD = re.compile(r"\w+")
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
 #: Items and characters of one pass over the documents; a larger benchmark takes several passes.
 PASS_ITEMS, PASS_CHARS = 20_000, 32_000_000
 #: Windows whose bits are held at once.
@@ -38,18 +37,13 @@ class _Words(dict):
         return value
 
 
-@lru_cache(maxsize=1)
-def _known() -> _Words:
-    return _Words()
-
-
 def words_of(text: str | None) -> list[str]:
     """Runs of letters, digits and underscores of the lower-cased text."""
     return WORD.findall((text or "").lower())
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
-    return np.fromiter(map(_known().__getitem__, words), np.uint64, len(words))
+def word_hashes(words: list[str], known: _Words) -> np.ndarray:
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
@@ -93,7 +87,7 @@ class Benchmark:
     """Items indexed by their shingles and by the blocks of their fingerprints."""
 
     def __init__(self, rows: list[tuple[int, str]], width: int, radius: int):
-        self.radius, self.width = radius, width
+        self.radius, self.width, self.known = radius, width, _Words()
         self.ids = [r[0] for r in rows]
         self.words = [words_of(r[1]) for r in rows]
         by_length: dict[int, list[int]] = {}
@@ -104,7 +98,7 @@ class Benchmark:
         entries: dict[int, list[tuple[np.ndarray, int]]] = {}
         for length, items in sorted(by_length.items()):
             w = min(width, length)
-            hashes = [shingle_hashes(word_hashes(self.words[i]), w) for i in items]
+            hashes = [shingle_hashes(word_hashes(self.words[i], self.known), w) for i in items]
             prints = np.concatenate([_fingerprints(h, np.zeros(1, np.int64), h.size) for h in hashes])
             near = np.stack([_BELOW[:, prints[:, b]] <= radius // BYTES for b in range(BYTES)])
             entries.setdefault(w, []).extend((h, len(self.groups)) for h in hashes)
@@ -138,7 +132,7 @@ class Benchmark:
         words = words_of(text)
         if not words:
             return {}
-        ids, found = word_hashes(words), {}
+        ids, found = word_hashes(words, self.known), {}
         for width in self.shingles:
             hashes = shingle_hashes(ids, width)
             if not hashes.size:
@@ -200,7 +194,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, similari
         def scan(batches: Iterator[pa.RecordBatch], rows=rows, held=held) -> Iterator[pa.RecordBatch]:
             if not held:
                 held.append(Benchmark(rows.value, words, radius))
-            for batch in batches:
+            for batch in sliced(batches):
                 out: list[tuple] = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     for item, (alike, start, count) in held[0].matches(text, similarity).items():

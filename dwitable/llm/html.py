@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dwitable.llm.common import sliced
 from dwitable.session import if_small, materialise
 
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
@@ -211,7 +212,7 @@ def winning_paths(pages: DataFrame) -> DataFrame:
     """The container path most pages of a host vote for: ``(host, winner)``; of equal ones the higher score, then the path."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             best = [(p := Page(x), p.best()) for x in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0).cast(pa.string()), pa.array([n.path for _, n in best], pa.string()),
                                    pa.array([float(p.score(n)) for p, n in best], pa.float64())], ["host", "path", "score"])
@@ -237,7 +238,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     winners = if_small(materialise(winning_paths(rows), "paths"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [Page(h).main_text(w) for h, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.record_batch([batch.column(0), batch.column(1).cast(pa.string()), pa.array([t for t, _ in found], pa.string()),
                                    pa.array([p for _, p in found], pa.string())], ["page_id", "url", "text", "path"])

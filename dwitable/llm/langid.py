@@ -9,17 +9,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import pandas_udf
 
-from dwitable.llm.common import crc_bucket, fresh
+from dwitable.llm.common import SLICE, crc_bucket, fresh, sliced
 
 DIMENSIONS = 1024
 SEED = 7
 UNKNOWN = "und"
 #: Vectors of triples that a worker remembers, and entries of a count matrix that are bundled at once.
 KNOWN_TRIPLES, ENTRIES = 16_384, 4096
-#: Texts whose vectors are held at once.
-TEXTS = 512
 #: More values of ``lang`` than that are no set of languages.
 MOST_LANGUAGES = 1000
 
@@ -123,13 +120,11 @@ def learn(docs: DataFrame, sample_per_language: int = 3000) -> dict[str, np.ndar
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for start in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(start, TEXTS)
-                vectors = bundles(part.column(0).to_pylist())
-                langs = np.asarray(part.column(1).to_pylist(), object)
-                for lang in set(langs):
-                    totals[lang] = totals.get(lang, 0) + vectors[langs == lang].sum(axis=0, dtype=np.float64)
+        for batch in sliced(batches):
+            vectors = bundles(batch.column(0).to_pylist())
+            langs = np.asarray(batch.column(1).to_pylist(), object)
+            for lang in set(langs):
+                totals[lang] = totals.get(lang, 0) + vectors[langs == lang].sum(axis=0, dtype=np.float64)
         if totals:
             yield pa.record_batch([pa.array(list(totals)), pa.array([v.tolist() for v in totals.values()], pa.list_(pa.float64()))],
                                   ["lang", "vector"])
@@ -150,13 +145,11 @@ def predicted(model: dict[str, np.ndarray], text: str = "text") -> Column:
     names = sorted(model)
     matrix = np.stack([model[k] for k in names]) if names else np.zeros((1, DIMENSIONS), np.float32)
 
-    @pandas_udf("lang_pred string, score double")
-    def predict(found):
-        import pandas as pd
-
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(found: pa.Array) -> pa.Array:
         near, some = [], []
-        for start in range(0, len(found), TEXTS):
-            vectors = bundles(list(found.iloc[start : start + TEXTS]))
+        for start in range(0, len(found), SLICE):
+            vectors = bundles(found.slice(start, SLICE).to_pylist())
             near.append(vectors @ matrix.T)
             some.append(vectors.any(axis=1) & bool(names))
         near = np.concatenate(near) if near else np.zeros((0, len(matrix)), np.float32)
@@ -164,7 +157,7 @@ def predicted(model: dict[str, np.ndarray], text: str = "text") -> Column:
         best = near.argmax(axis=1)
         lang = [names[b] if s else UNKNOWN for b, s in zip(best, some, strict=True)]
         score = np.where(some, np.clip(near[np.arange(len(best)), best], 0, 1), 0.0).astype(float)
-        return pd.DataFrame({"lang_pred": lang, "score": score})
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
 
     return predict(text)
 

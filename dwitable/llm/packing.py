@@ -13,11 +13,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwitable.llm.common import raw
+from dwitable.llm.common import raw, sliced
 from dwitable.session import materialise
 
 #: Words whose ids a worker remembers, and bytes of text it splits at once.
-KNOWN_WORDS, TEXT_BLOCK = 600_000, 1 << 20
+KNOWN_WORDS, TEXT_BLOCK = 500_000, 1 << 20
 #: Open windows merged in one group at the end; a group ends with at most one padded sequence.
 MERGE_GROUP = 4096
 WIDTH = 4  # bytes of an id
@@ -169,7 +169,7 @@ def _packed(docs: DataFrame, path: str, length: int, windows: int, least_cut: in
             rows.clear()
             return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-        for found in batches:
+        for found in sliced(batches):
             ids_of = found.column(0).cast(pa.int64()).to_pylist()
             for doc_id, text in zip(ids_of, raw(found.column(1)), strict=True):
                 known = totals[doc] = [doc_id, 0]

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwitable.llm.common import fresh, raw
+from dwitable.llm.common import fresh, raw, sliced
 from dwitable.llm.components import components
 from dwitable.session import if_small, materialise
 
@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     """``(doc_id, fingerprint)``; the fingerprint is the signed form of the 64 bits. A null text counts as empty."""
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in found:
+        for batch in sliced(found):
             values = pa.array([_signed(fingerprint(x, words)) for x in raw(batch.column(1))], pa.int64())
             yield pa.record_batch([batch.column(0).cast(pa.int64()), values], ["doc_id", "fingerprint"])
 

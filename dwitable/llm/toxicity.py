@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwitable.llm.common import crc_bucket
+from dwitable.llm.common import crc_bucket, sliced
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Bounds of what is learned from: documents of each label, and characters of one.
@@ -28,7 +28,7 @@ SHORTEST, LONGEST, RATIO, SURE = 3, 8, 3.0, 40.0
 BEFORE, AFTER = b"0123456789ABCDEFGHIJKLMNOPQRSTUV", b"ZYXW98765432"
 MATCH = 5
 STEPS = (2, 3, 4, 5)
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
 #: One text in so many is held back from the dictionaries to fit the weights.
 FOLDS = 3
 
@@ -254,7 +254,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = given.value
-        for batch in found:
+        for batch in sliced(found):
             if model is None:
                 scores = np.zeros(batch.num_rows)
             else:

@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dwitable.llm.common import sliced
 from dwitable.session import if_small, materialise, shared_dir
 
 #: Payloads below this size are always written in full.
@@ -113,7 +114,7 @@ def write_archive(pages: DataFrame, folder: str, least_revisit: int = LEAST_REVI
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = open_store(folder)
         out, name, offset = None, None, 0
-        for batch in batches:
+        for batch in sliced(batches):
             found = []
             for page_id, url, html, sha, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
