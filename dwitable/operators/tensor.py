@@ -138,6 +138,11 @@ def from_arrays(voxels: DataFrame) -> DataFrame:
     return voxels.select("subject", "voxel", F.posexplode("signal").alias("vol", "signal"))
 
 
+def signal_of(image: DataFrame) -> DataFrame:
+    """An image ``(subject, t, i, j, k, value)`` as measurements, the place of a voxel as its name."""
+    return image.select("subject", F.struct("i", "j", "k").alias("voxel"), F.col("t").alias("vol"), F.col("value").alias("signal"))
+
+
 def scaled(tensors: DataFrame, factor: float = 1000.0) -> DataFrame:
     """Tensor entries times a factor."""
     return tensors.withColumns({e: F.col(e) * factor for e in ENTRIES})

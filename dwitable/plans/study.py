@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dwitable.functions import paths as P
-from dwitable.operators import directions, groupqc, manifest, roster, sessions, volumes
+from dwitable.operators import directions, groupqc, manifest, mosaic, report, roster, sessions, tensor, volumes, voxels
 from dwitable.operators.profile import StudyProfile
 from dwitable.operators.volumes import dropped_scans, parse_outliers
 from dwitable.session import materialise, settled
@@ -80,6 +82,50 @@ def thinned_gradients(
     return step("gradients", volumes.drop_gradients(gradients, dropped))
 
 
+@dataclass(frozen=True)
+class Participant:
+    """What the flow of one participant makes, for all of them at once.
+
+    ``image`` and ``gradients`` are thinned, the gradients moved into the anatomy's space; ``scalars`` and ``thinned_scalars`` have
+    eigenvalues, anisotropy, diffusivities and colours per voxel ``(subject, voxel)`` with all volumes and without the
+    dropped ones, ``tensors`` the scaled tensors without them.
+    """
+
+    dropped: DataFrame
+    image: DataFrame
+    gradients: DataFrame
+    tensors: DataFrame
+    scalars: DataFrame
+    thinned_scalars: DataFrame
+    report: DataFrame
+
+
+def participant(
+    lines: DataFrame, image: DataFrame, gradients: DataFrame, affines: DataFrame, series: DataFrame, qc: DataFrame,
+    threshold: float = 0.02, profile: StudyProfile | None = None,
+) -> Participant:
+    """From an eddy-corrected image to tensors, scalars and the report.
+
+    ``lines`` is ``(subject, line_no, line)``, ``image`` is ``(subject, t, i, j, k, value)``, ``gradients`` is ``(subject, vol, bval, gx, gy,
+    gz)``, ``affines`` has a matrix per subject, ``series`` the movement ``(subject, vol, rms_abs, rms_rel)`` and ``qc`` the quality measures.
+    """
+    step = profile.own_steps if profile else (lambda _, df: df)
+    slices = volumes.slice_counts(image)
+    outliers = step("outliers", parse_outliers(lines.select("subject", "line")))
+    dropped = settled(dropped_scans(outliers, threshold, slices), "dropped")
+    moved = step("gradients", volumes.transform_vectors(gradients, affines))
+    thin_image = volumes.drop_volumes(image, gradients.select("subject", "vol"), dropped)
+    thin_gradients = volumes.drop_gradients(moved, dropped)
+    whole = tensor.fit_tensor(tensor.signal_of(image), moved)
+    thinned = materialise(tensor.fit_tensor(tensor.signal_of(thin_image), thin_gradients), "tensors")
+    dims = settled(voxels.image_dims(image).join(image.groupBy("subject").agg((F.max("t") + 1).cast("int").alias("nt")), "subject"), "dims")
+    assembled = report.assemble(mosaic.series_layouts(dims), mosaic.still_layouts(dims), dropped, lines, series, qc)
+    return Participant(
+        dropped, thin_image, thin_gradients, tensor.scaled(thinned), tensor.colour_fa(tensor.tensor_scalars(whole)),
+        tensor.colour_fa(tensor.tensor_scalars(thinned)), assembled,
+    )
+
+
 def group_quality(pages: DataFrame, bodies: DataFrame, schema: str) -> DataFrame:
     """Listing pages and report documents to each subject's scores against its bucket.
 

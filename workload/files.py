@@ -191,41 +191,42 @@ def k1_path(t):
     return _files(t).select("key", L.output_path("/data/out", "subject_id", "role", P.last_segment("key")).alias("path"))
 
 
-# Outputs of the tool chain before they get their final names.
-TOOL_OUTPUTS = (
-    "derivatives/dwitable/dwi/eddy_corrected.nii.gz", "derivatives/dwitable/dti/eddy_corrected_thinned_color_fa.nii.gz",
-    "derivatives/dwitable/dwi/eddy_corrected_rotatedanat_space_thinned.bvec", "derivatives/dwitable/anat/aparc+aseg_outbin.nii.gz",
-    "derivatives/dwitable/anat/orig_out.nii.gz", "derivatives/dwitable/art/stats.vol0000_flirt_merged.txt",
-    "derivatives/dwitable/qc/eddy_corrected.eddy_parameters", "derivatives/dwitable/qc/dropped_scans.txt",
-    "derivatives/dwitable/report/report.json", "derivatives/dwitable/dti/eddy_corrected_warped_maths.nii.gz",
+# Outputs of the tool chain, and the names they must get in the paired and in the single flow, written down one by one: ``BASE`` is
+# the image's name, ``STEM`` that without its ``_dwi``. Names begin below the subject's folder.
+TOOL_NAMES = (
+    ("derivatives/dwitable/dwi/eddy_corrected.nii.gz", "dwitable/dwi/STEM_dwi.nii.gz", "dwitable/dwi/eddy_corrected.nii.gz"),
+    ("derivatives/dwitable/dti/eddy_corrected_thinned_color_fa.nii.gz", "dwitable/dti/STEM_colorfa.nii.gz",
+     "dwitable/dti/eddy_corrected_thinned_color_fa.nii.gz"),
+    ("derivatives/dwitable/dwi/eddy_corrected_rotatedanat_space_thinned.bvec", "dwitable/dwi/STEM_dwi.bvec",
+     "dwitable/dwi/eddy_corrected_rotatedanat_space_thinned.bvec"),
+    ("derivatives/dwitable/anat/aparc+aseg_outbin.nii.gz", "dwitable/anat/STEM_mask.nii.gz", "dwitable/anat/aparc+aseg_outbin.nii.gz"),
+    ("derivatives/dwitable/anat/orig_out.nii.gz", "dwitable/anat/STEM_T1w.nii.gz", "dwitable/anat/orig_out.nii.gz"),
+    ("derivatives/dwitable/anat/aparc+asegbin_warped_thresh.nii.gz", "dwitable/anat/aparc+asegbin_thresh.nii.gz",
+     "dwitable/anat/STEM_mask.nii.gz"),
+    ("derivatives/dwitable/art/stats.vol0000_flirt_merged.txt", "dwitable/art/BASE.art.json", "dwitable/art/BASE.art.json"),
+    ("derivatives/dwitable/art/motion_parameters.par", "dwitable/art/BASE.motion.txt", "dwitable/art/BASE.motion.txt"),
+    ("derivatives/dwitable/qc/eddy_corrected.eddy_parameters", "dwitable/qc/BASE.eddy_parameters",
+     "dwitable/qc/eddy_corrected.eddy_parameters"),
+    ("derivatives/dwitable/qc/dropped_scans.txt", "dwitable/qc/STEM_dwi_dropped_scans.txt", "dwitable/qc/dropped_scans.txt"),
+    ("derivatives/dwitable/report/report.json", "dwitable/report/STEM_dwi_report.json", "dwitable/report/report.json"),
+    ("derivatives/dwitable/dti/eddy_corrected_warped_maths.nii.gz", "dwitable/dti/STEM_scaled.nii.gz",
+     "dwitable/dti/eddy_corrected_warped_maths.nii.gz"),
 )
+TOOL_VALUES = ", ".join(str(names) for names in TOOL_NAMES)
 
 
-def _rule_sql(rules) -> str:
-    """The chain of replacements of a rule list as SQL over ``path``, ``base`` and ``subject_id``."""
-    def text(template: str) -> str:
-        out = "'" + template + "'"
-        out = out.replace("{0}", "' || base || '").replace("{1}", "' || subject_id || '").replace("{2}", L.PIPELINE)
-        while "{0:" in out:
-            head, _, rest = out.partition("{0:")
-            code, _, tail = rest.partition("}")
-            old, _, new = code.partition(">")
-            out = f"{head}' || replace(base, '{old}', '{new}') || '{tail}"
-        return out
-
-    sql = "path"
-    for old, new in rules:
-        sql = f"replace({sql}, {text(old)}, {text(new)})"
-    return sql
-
-
-@query("k2_final_names", "files", f"""+ outs AS (
-  SELECT subject_id, replace(regexp_extract(key, '([^/]*)$', 1), '.nii.gz', '') AS base,
-         unnest([{", ".join(repr(o) for o in TOOL_OUTPUTS)}]) AS path FROM files WHERE role = 'dwi')
-SELECT subject_id, base, path, {_rule_sql(L.PAIRED_NAMES)} AS final, {_rule_sql(L.SINGLE_NAMES)} AS final_single FROM outs""")
+def _named_sql(column: str) -> str:
+    """An expected name with its place holders filled."""
+    return f"'derivatives/' || subject_id || '/' || replace(replace({column}, 'BASE', base), 'STEM', replace(base, '_dwi', ''))"
+
+
+@query("k2_final_names", "files", f"""+ bases AS (
+  SELECT subject_id, replace(regexp_extract(key, '([^/]*)$', 1), '.nii.gz', '') AS base FROM files WHERE role = 'dwi'),
+named AS (SELECT * FROM (VALUES {TOOL_VALUES}) AS t(path, paired, single))
+SELECT subject_id, base, path, {_named_sql("paired")} AS final, {_named_sql("single")} AS final_single FROM bases CROSS JOIN named""")
 def k2(t):
     outs = _files(t).filter("role = 'dwi'").select(
-        "subject_id", P.image_basename("key").alias("base"), F.explode(F.array(*[F.lit(o) for o in TOOL_OUTPUTS])).alias("path")
+        "subject_id", P.image_basename("key").alias("base"), F.explode(F.array(*[F.lit(n[0]) for n in TOOL_NAMES])).alias("path")
     )
     return outs.select(
         "subject_id", "base", "path", L.named("path", "base", "subject_id").alias("final"),

@@ -208,10 +208,10 @@ def a19(t):
 
 @query("a19_foreground_mask", "voxels4d", f"""+ {B0_SQL}, img AS (
   SELECT a.subject, a.i, a.j, a.k, median(b.value) AS value FROM b0 a JOIN b0 b ON a.subject = b.subject
-  AND b.i BETWEEN a.i - 1 AND a.i + 1 AND b.j BETWEEN a.j - 1 AND a.j + 1 AND b.k BETWEEN a.k - 1 AND a.k + 1 GROUP BY 1, 2, 3, 4), {OTSU_SQL}
+  AND b.i BETWEEN a.i - 2 AND a.i + 2 AND b.j BETWEEN a.j - 2 AND a.j + 2 AND b.k BETWEEN a.k - 2 AND a.k + 2 GROUP BY 1, 2, 3, 4), {OTSU_SQL}
 SELECT i.subject, i.i, i.j, i.k, CAST(CASE WHEN value > threshold THEN 1 ELSE 0 END AS DOUBLE) AS value FROM img i JOIN otsu o ON i.subject = o.subject""")
 def a19_mask(t):
-    return V.foreground_mask(_b0(t), 1)
+    return V.foreground_mask(_b0(t), 2, 1)
 
 
 @query("a20_dilate", "seg dims", """+ m AS (SELECT subject, i, j, k FROM seg WHERE label = 1),

@@ -411,6 +411,49 @@ def m6_colour(t):
     return T.colour_fa(T.tensor_scalars(_fit(t))).select("subject", "voxel", *_r("r", "g", "b", digits=5))
 
 
+def _participant(t):
+    """The flow over the tensor fixture: an image of known tensors, with three outlier slices in each volume to drop."""
+    voxel = F.col("voxel").cast("int")
+    image = t.dti_signal.select("subject", F.col("vol").alias("t"), (voxel % 10).alias("i"), F.floor(voxel / 10).cast("int").alias("j"),
+                                F.lit(0).alias("k"), F.col("signal").alias("value"))
+    bad = t.volumes.filter("dropped = 1").select("subject", "vol", F.explode(F.array(*[F.lit(s) for s in range(3)])).alias("s"))
+    lines = bad.select("subject", (F.col("vol") * 3 + F.col("s")).alias("line_no"), F.format_string(
+        "Slice %d in scan %d is an outlier with mean -4.5 standard deviations off, and mean squared 7.5 standard deviations off.",
+        "s", "vol").alias("line"))
+    # a quarter turn that the affine takes back
+    turned = t.volumes.select("subject", "vol", "bval", F.col("gy").alias("gx"), (-F.col("gx")).alias("gy"), "gz")
+    entries = {f"a{r}{c}": float(v) for r, row in enumerate(((0, 1, 0, 5), (-1, 0, 0, 6), (0, 0, 1, 7), (0, 0, 0, 1))) for c, v in enumerate(row)}
+    affines = t.volumes.select("subject").distinct().select("subject", *[F.lit(v).alias(n) for n, v in entries.items()])
+    series = t.volumes.select("subject", "vol", "rms_abs", "rms_rel")
+    return study.participant(lines, image, turned, affines, series, t.qc.drop("bucket"), 2)
+
+
+@query("flow_participant", "dti_signal", f"""+ {EIGEN_SQL},
+v AS (SELECT *, dxy * dyz - dxz * (dyy - l1) AS vx, dxz * dxy - (dxx - l1) * dyz AS vy, (dxx - l1) * (dyy - l1) - dxy * dxy AS vz FROM sc)
+SELECT subject, CAST(voxel % 10 AS INT) AS i, CAST(floor(voxel / 10) AS INT) AS j, round(q * 1e6, 3) AS md, round(fa, 6) AS fa,
+  round(q * 1e6, 3) AS md_thinned, round(fa, 6) AS fa_thinned, round(abs(vx) / sqrt(vx*vx + vy*vy + vz*vz) * fa, 5) AS r,
+  round(dxx * 1000, 6) AS dxx_scaled FROM v""")
+def flow_participant(t):
+    made = _participant(t)
+    key = ["subject", F.col("voxel.i").alias("i"), F.col("voxel.j").alias("j")]
+    whole = made.scalars.select(*key, F.round(F.col("md") * 1e6, 3).alias("md"), F.round("fa", 6).alias("fa"))
+    thin = made.thinned_scalars.select(*key, F.round(F.col("md") * 1e6, 3).alias("md_thinned"), F.round("fa", 6).alias("fa_thinned"), F.round("r", 5).alias("r"))
+    tensors = made.tensors.select(*key, F.round("dxx", 6).alias("dxx_scaled"))
+    return whole.join(thin, ["subject", "i", "j"]).join(tensors, ["subject", "i", "j"])
+
+
+@query("flow_participant_report", "volumes qc dti_signal", """+ per AS (
+  SELECT subject, count(*) FILTER (dropped = 1) AS n_dropped, count(*) AS n_params FROM volumes GROUP BY subject),
+image AS (SELECT subject, CAST(max(voxel % 10) + 1 AS INT) AS ni, CAST(max(floor(voxel / 10)) + 1 AS INT) AS nj FROM dti_signal GROUP BY subject)
+SELECT coalesce(p.subject, q.subject) AS subject, coalesce(n_dropped, 0) AS n_dropped, 3 * coalesce(n_dropped, 0) AS n_lines,
+  coalesce(n_params, 0) AS n_params, round(qc_mot_abs, 6) AS qc_mot_abs, greatest(ni, nj) AS pix
+FROM per p FULL OUTER JOIN qc q ON p.subject = q.subject LEFT JOIN image i ON i.subject = p.subject""")
+def flow_participant_report(t):
+    return _participant(t).report.select(
+        "subject", F.size("outlier_volumes").cast("long").alias("n_dropped"), F.size("eddy_report").cast("long").alias("n_lines"),
+        F.size("eddy_params").cast("long").alias("n_params"), F.round("eddy_quad.qc_mot_abs", 6).alias("qc_mot_abs"), F.col("b0.pix").alias("pix"))
+
+
 # ---------------------------------------------------------------- reports
 
 @query("m20_middle_slice", "report_json", """
