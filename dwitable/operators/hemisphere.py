@@ -96,6 +96,40 @@ def _hull(v: np.ndarray, pole: np.ndarray) -> np.ndarray:
     return np.array(chain(order)[:-1] + chain(order[::-1])[:-1], dtype=int)
 
 
+def _ring(v: np.ndarray, corners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The normals of the faces between neighbouring corners, and for each row of ``v`` the face whose angle it lies in.
+
+    Face n lies between corner n and the next one; a corner lies in the face that begins with it.
+    """
+    ring = v[corners]
+    normals = np.cross(ring, np.roll(ring, -1, axis=0))
+    normals /= np.linalg.norm(normals, axis=1)[:, None]
+    centre = ring.mean(axis=0)
+    centre /= np.linalg.norm(centre)
+    a, b = _plane_axes(centre)
+    turn = np.arctan2(ring @ b, ring @ a)
+    start = int(np.argmin(turn))
+    turn, face = np.roll(turn, -start), np.roll(np.arange(len(corners)), -start)
+    return normals, face[np.searchsorted(turn, np.arctan2(v @ b, v @ a), side="right") - 1]
+
+
+def _ring_weights(v: np.ndarray, n: np.ndarray, corners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The normals of a cone's faces and how many pairs of vectors lie on each; every vector is looked at once."""
+    normals, face = _ring(v, corners)
+    is_corner = np.zeros(len(v), dtype=bool)
+    is_corner[corners] = True
+    on = (np.abs(np.einsum("ij,ij->i", v, normals[face])) <= TOLERANCE) & ~is_corner
+    count = n.astype(float)
+    total, squares = np.zeros(len(corners)), np.zeros(len(corners))
+    np.add.at(total, face[on], count[on])
+    np.add.at(squares, face[on], count[on] ** 2)
+    for shift in (0, -1):  # both corners of a face
+        at = count[np.roll(corners, shift)]
+        total += at
+        squares += at**2
+    return normals, (total**2 - squares) / 2
+
+
 def _faces(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Candidate corners of the pole polygon (unit rows) and a mask of the rows of ``v`` worth keeping.
 
@@ -112,18 +146,8 @@ def _faces(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             normals = _unit_rows(np.cross(v[corners], np.roll(v[corners], -1, axis=0)))
             keep |= np.abs(v @ normals.T).max(axis=1, initial=0.0) <= TOLERANCE
             return normals, keep
-        ring = v[corners]
-        normals = np.cross(ring, np.roll(ring, -1, axis=0))
-        normals /= np.linalg.norm(normals, axis=1)[:, None]
-        centre = ring.mean(axis=0)
-        centre /= np.linalg.norm(centre)
-        a, b = _plane_axes(centre)
-        turn = np.arctan2(ring @ b, ring @ a)
-        start = int(np.argmin(turn))
-        turn, face = np.roll(turn, -start), np.roll(np.arange(len(corners)), -start)
-        slot = np.searchsorted(turn, np.arctan2(v @ b, v @ a), side="right") - 1
-        own = normals[face[slot]]
-        keep[:] = np.abs(np.einsum("ij,ij->i", v, own)) <= TOLERANCE
+        normals, face = _ring(v, corners)
+        keep[:] = np.abs(np.einsum("ij,ij->i", v, normals[face])) <= TOLERANCE
         keep[corners] = True
         return normals, keep
     keep[used] = True
@@ -176,11 +200,16 @@ def _border(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _decide(pdf: pd.DataFrame) -> tuple[bool, np.ndarray]:
     v, n = pdf[["x", "y", "z"]].to_numpy(), pdf["n"].to_numpy()
-    corners, _ = _faces(v)
-    if len(corners) == 0:
-        return False, np.zeros(3)
-    inside = corners[(v @ corners.T).min(axis=0) >= -TOLERANCE]
-    weights = np.array([_pairs_on(v, n, c) for c in inside])
+    point, _ = _closest_to_origin(v)
+    corners = _hull(v, point / np.linalg.norm(point)) if np.linalg.norm(point) > FLAT else np.empty(0)
+    if len(corners) >= 3:
+        inside, weights = _ring_weights(v, n, corners)
+    else:  # at most a plane's worth of normals
+        inside, _ = _faces(v)
+        if len(inside) == 0:
+            return False, np.zeros(3)
+        inside = inside[(v @ inside.T).min(axis=0) >= -TOLERANCE]
+        weights = np.array([_pairs_on(v, n, c) for c in inside])
     pole = weights @ inside
     length = np.linalg.norm(pole)
     return True, pole / length if length > FLAT else np.full(3, np.nan)

@@ -101,3 +101,19 @@ def test_pole_check_and_unit_check(spark):
     poles = vecs.groupBy("label").agg(F.lit(0.0).alias("px"), F.lit(0.0).alias("py"), F.lit(1.0).alias("pz"))
     got = {r.label: (r.min_dot, r.contains_all) for r in H.farthest_from_pole(vecs, poles).collect()}
     assert got == {1: (0.0, True), 2: (2.0, True)}
+
+
+@pytest.mark.parametrize("shape", ["arc", "cone"])
+def test_groups_whose_every_vector_is_on_the_border(spark, shape):
+    turn = np.linspace(0.1, 3.0, 20_000) if shape == "arc" else np.linspace(0, 2 * np.pi, 20_000, endpoint=False)
+    tilt = 0.6 if shape == "cone" else 0.4
+    v = unit(np.column_stack([np.cos(turn), np.sin(turn), np.full(turn.size, tilt)]))
+    few = v[::500]
+    got = solve(spark, {1: v, 2: few})
+    assert got[1][0] and got[2][0]
+    is_hemi, pole = every_pair(few)
+    assert is_hemi
+    np.testing.assert_allclose(got[2][1], pole, atol=1e-9)
+    assert (v @ got[1][1]).min() >= -1e-9
+    if shape == "cone":
+        np.testing.assert_allclose(got[1][1], [0, 0, 1], atol=1e-6)
