@@ -228,7 +228,7 @@ def a20(t):
 SELECT a.subject, a.i, a.j, a.k, round(median(b.value), 4) AS value FROM b0 a JOIN b0 b ON a.subject = b.subject
 AND b.i BETWEEN a.i - 2 AND a.i + 2 AND b.j BETWEEN a.j - 2 AND a.j + 2 AND b.k BETWEEN a.k - 2 AND a.k + 2 GROUP BY 1, 2, 3, 4""")
 def a21(t):
-    return V.median_filter(_b0(t), 2, side=8).withColumn("value", F.round("value", 4))
+    return V.median_filter(_b0(t), 2).withColumn("value", F.round("value", 4))
 
 
 @query("m19_grey_scale", "voxels4d", """+ s AS (SELECT subject, min(value) AS lo, max(value) AS hi FROM voxels4d GROUP BY subject)
@@ -284,13 +284,23 @@ def u5(t):
     return lines.select("subject", "orientation", "row", F.size("pixels").alias("width"), F.round(total, 4).alias("total"))
 
 
+def _median_sql(source: str, out: str, radius: int) -> str:
+    """One pass of the median over the neighbourhood that is present."""
+    near = " AND ".join(f"b.{x} BETWEEN a.{x} - {radius} AND a.{x} + {radius}" for x in "ijk")
+    return (f"{out} AS MATERIALIZED (SELECT a.subject, a.i, a.j, a.k, median(b.value) AS value FROM {source} a JOIN {source} b "
+            f"ON a.subject = b.subject AND {near} GROUP BY 1, 2, 3, 4)")
+
+
+# Four passes of radius 4, as the mask step of the sprites does.
+MEDIANS_SQL = ", ".join(_median_sql(a, b, 4) for a, b in zip(("dense", "med1", "med2", "med3"), ("med1", "med2", "med3", "img")))
+
+
 # Sprites of one image: b0, a colour image from the colour fixture, and the segmentation as mask.
 STILL_SQL = f"""{STACK_SQL}, {B0_SQL},
 cells AS (SELECT subject, CAST(tile AS INT) AS k, row, col, i, j, CAST(row % pix AS INT) AS pi, CAST(col % pix AS INT) AS pj, nk FROM pixels),
 dense AS (SELECT c.subject, c.k, c.pi AS i, c.pj AS j, coalesce(b0.value, 0) AS value FROM cells c
   LEFT JOIN b0 ON b0.subject = c.subject AND b0.k = c.k AND b0.i = c.i AND b0.j = c.j WHERE c.k < nk),
-img AS (SELECT a.subject, a.i, a.j, a.k, median(b.value) AS value FROM dense a JOIN dense b ON a.subject = b.subject
-  AND b.i BETWEEN a.i - 1 AND a.i + 1 AND b.j BETWEEN a.j - 1 AND a.j + 1 AND b.k BETWEEN a.k - 1 AND a.k + 1 GROUP BY 1, 2, 3, 4), {OTSU_SQL},
+{MEDIANS_SQL}, {OTSU_SQL},
 fg AS (SELECT i.subject, i.i, i.j, i.k, value > threshold AS inside FROM img i JOIN otsu o ON i.subject = o.subject),
 chan AS (SELECT subject, i, j, k, unnest(['r', 'g', 'b']) AS channel, unnest([r, g, b]) AS value FROM colours WHERE t = 0),
 cc AS (SELECT cells.*, unnest(['r', 'g', 'b']) AS channel FROM cells)"""
@@ -309,7 +319,7 @@ def n4(t):
     channels = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).cast("double").alias("value")) for c in MO.CHANNELS]))
     colour_image = colours.select("subject", "i", "j", "k", channels.alias("v")).select("subject", "i", "j", "k", "v.*")
     mask = V.binarise(t.seg).select("subject", "i", "j", "k", "value")
-    pixels = MO.still_pixels(_b0(t), colour_image, mask, t.dims, radius=1, passes=1)
+    pixels = MO.still_pixels(_b0(t), colour_image, mask, t.dims)
     return pixels.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
 
