@@ -100,11 +100,11 @@ def _stems(words: set[str]) -> set[str]:
     return {w[:k] for w in words for k in range(SHORTEST, min(LONGEST, len(w)) + 1)} | {w + " " for w in words if len(w) >= SHORTEST}
 
 
-def _telling(toxic: list[set[str]], ordinary: list[set[str]]) -> dict[str, float]:
-    """Items that far more toxic than ordinary texts have, and how many times more often they do."""
+def _telling(toxic: Iterator[set[str]], ordinary: Iterator[set[str]], a: int, b: int) -> dict[str, float]:
+    """Items that far more of ``a`` toxic than of ``b`` ordinary texts have, and how many times more often they do."""
     inside = Counter(x for items in toxic for x in items)
     outside = Counter(x for items in ordinary for x in items if x in inside)
-    a, b, found = len(toxic), len(ordinary), {}
+    found = {}
     for item, x in inside.items():
         y = outside[item]
         ratio = x / a / ((y + 0.5) / b)
@@ -120,15 +120,15 @@ def stems_of(toxic: list[list[str]], ordinary: list[list[str]]) -> dict[str, str
 
     A stem must tell by the words alone for which it is the best one; a short one that is common in ordinary words does not.
     """
-    vocabularies = [[set(words) for words in texts] for texts in (toxic, ordinary)]
-    telling = _telling(*([{s for s in _stems(v)} for v in part] for part in vocabularies))
+    texts, sizes = (toxic, ordinary), (len(toxic), len(ordinary))
+    telling = _telling(*((_stems(set(words)) for words in part) for part in texts), *sizes)
 
     def best(word: str) -> str | None:
         known = [(telling[s], len(s), s) for s in _stems({word}) if s in telling]
         return max(known)[2] if known else None
 
-    stem = {w: best(w) for w in {w for part in vocabularies for v in part for w in v}}
-    again = _telling(*([{s for w in v if (s := stem[w])} for v in part] for part in vocabularies))
+    stem = {w: s for w in {w for part in texts for words in part for w in words} if (s := best(w))}
+    again = _telling(*(({stem[w] for w in words if w in stem} for words in part) for part in texts), *sizes)
     return {w: s for w, s in stem.items() if s in again}
 
 
@@ -198,7 +198,8 @@ def learn(texts: list[str | None], labels: list[int], share: float | None = None
     texts. ``share`` is the share of label 1 where the texts were drawn from; the weights and the threshold allow for a
     sample that has another. The score is shifted so that 0.5 is the threshold with the best F measure.
     """
-    words = [words_of(t) for t in texts]
+    same: dict[str, str] = {}  # one object for each word
+    words = [[same.setdefault(w, w) for w in words_of(t)] for t in texts]
     kept = _unlike(words)
     words, y = [words[i] for i in kept], np.asarray([labels[i] for i in kept], float)
     if not 0 < y.sum() < len(y):
