@@ -3,7 +3,7 @@
 A hemisphere holds all vectors if some pole has a non-negative scalar product with each of them. The possible poles
 form a spherical polygon whose corners are normals of the convex cone around the vectors, so only vectors on the
 border of that cone matter. The border of a union is found among the borders of its parts: groups are cut into chunks,
-each chunk keeps its border, and borders are merged in rounds until one small set per group is left. No pair of
+each chunk keeps its border, and what is left is cut anew until a group fits one chunk. No pair of
 vectors is ever formed across a group.
 """
 
@@ -16,12 +16,11 @@ from pyspark.sql import functions as F
 
 from dwitable.functions import maths as M
 from dwitable.operators.indexing import paged
-from dwitable.session import if_small
+from dwitable.session import if_small, materialise
 
 TOLERANCE = 1e-12
 FLAT = 1e-9
 CHUNK = 20_000
-FAN_IN = 256
 UNIT_RTOL, UNIT_ATOL = 1e-5, 1e-8
 
 
@@ -215,18 +214,24 @@ def _decide(pdf: pd.DataFrame) -> tuple[bool, np.ndarray]:
     return True, pole / length if length > FLAT else np.full(3, np.nan)
 
 
-def hemispheres(vecs: DataFrame, group: str = "label", chunk: int = CHUNK, fan_in: int = FAN_IN) -> DataFrame:
+def hemispheres(vecs: DataFrame, group: str = "label", chunk: int = CHUNK) -> DataFrame:
     """``(group, is_hemi, px, py, pz)``: the zero pole where there is no hemisphere.
 
+    Groups are cut into chunks that keep their border, until the largest group fits one chunk or nothing more falls away, as
+    when all its vectors lie on one arc or cone; the last step takes time in proportion to what is left.
     Where all vectors lie in one plane the corners cancel and the pole is not defined (NULL).
     """
     kind = vecs.schema[group].dataType.simpleString()
     schema = f"{group} {kind}, page long, x double, y double, z double, n long"
-    distinct = vecs.groupBy(group, "x", "y", "z").agg(F.count(F.lit(1)).alias("n"))
-    parts = paged(distinct, [group], ["x", "y", "z"], chunk).select(group, "page", "x", "y", "z", "n")
-    parts = parts.groupBy(group, "page").applyInPandas(_border, schema)
-    wider = parts.withColumn("page", F.floor(F.col("page") / F.lit(fan_in)).cast("long"))
-    merged = wider.repartition(group, "page").groupBy(group, "page").applyInPandas(_border, schema)
+    merged = materialise(vecs.groupBy(group, "x", "y", "z").agg(F.count(F.lit(1)).alias("n")), "border")
+    largest = None
+    while True:
+        found = merged.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+        if found <= chunk or (largest is not None and found > 0.9 * largest):
+            break
+        largest = found
+        parts = paged(merged.select(group, "x", "y", "z", "n"), [group], ["x", "y", "z"], chunk)
+        merged = materialise(parts.select(group, "page", "x", "y", "z", "n").groupBy(group, "page").applyInPandas(_border, schema), "border")
 
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
         is_hemi, pole = _decide(pdf)

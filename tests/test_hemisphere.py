@@ -44,7 +44,7 @@ def hemisphere_points(rng, n):
     return v @ q.T
 
 
-@pytest.mark.parametrize("options", [{}, {"chunk": 9, "fan_in": 3}])
+@pytest.mark.parametrize("options", [{}, {"chunk": 9}])
 def test_same_as_all_pairs(spark, options):
     rng = np.random.default_rng(7)
     groups = {n: hemisphere_points(rng, 30 + n) for n in range(6)}
@@ -90,7 +90,7 @@ def test_single_vector_has_no_corner(spark):
 def test_large_group_keeps_few_rows(spark):
     rng = np.random.default_rng(3)
     v = hemisphere_points(rng, 20_000)
-    got = solve(spark, {1: v, 2: unit(rng.normal(size=(20_000, 3)))}, chunk=500, fan_in=4)
+    got = solve(spark, {1: v, 2: unit(rng.normal(size=(20_000, 3)))}, chunk=500)
     assert got[1][0] and (v @ got[1][1]).min() >= -1e-12
     assert not got[2][0]
 
