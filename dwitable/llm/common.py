@@ -30,10 +30,14 @@ SLICE = 256
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """Batches cut into few rows, so that a batch of long texts is never copied into Python as a whole."""
+    """Batches cut into few rows, so that a batch of long texts is never copied into Python as a whole.
+
+    At the end of a task the worker, which lives on for other stages, gives back the memory of its batches.
+    """
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def crc_bucket(column: str, modulus: int) -> Column:

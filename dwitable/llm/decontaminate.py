@@ -17,7 +17,7 @@ from dwitable.llm.common import fresh, sliced
 from dwitable.session import if_small, materialise
 
 WORD = re.compile(r"\w+")
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 100_000
 #: Items and characters of one pass over the documents; a larger benchmark takes several passes.
 PASS_ITEMS, PASS_CHARS = 20_000, 32_000_000
 #: Windows whose bits are held at once.

@@ -26,7 +26,7 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() if not 0xD800 <= i < 0xE000 else False for i in range(0x110000)), bool, 0x110000)
 
 
-@lru_cache(maxsize=8192)
+@lru_cache(maxsize=2048)
 def _letter_vector(code: int) -> np.ndarray:
     """The random vector of one letter, entries 1 and -1, the same in every process."""
     return (np.random.default_rng((SEED, code)).integers(0, 2, DIMENSIONS, np.int8) * 2 - 1).astype(np.int8)

@@ -17,7 +17,7 @@ from dwitable.llm.common import raw, sliced
 from dwitable.session import materialise
 
 #: Words whose ids a worker remembers, and bytes of text it splits at once.
-KNOWN_WORDS, TEXT_BLOCK = 500_000, 1 << 20
+KNOWN_WORDS, TEXT_BLOCK = 320_000, 1 << 20
 #: Open windows merged in one group at the end; a group ends with at most one padded sequence.
 MERGE_GROUP = 4096
 WIDTH = 4  # bytes of an id
@@ -186,7 +186,7 @@ def _packed(docs: DataFrame, path: str, length: int, windows: int, least_cut: in
                     put(pieces, False)
                 known[1] += len(rest) // WIDTH
                 doc += 1
-                if len(rows) >= 4096:
+                if len(rows) >= 1024:
                     yield batch()
                     alive = {p[0] for w in state.open for p in w[1]}
                     totals = {d: totals[d] for d in alive}
