@@ -17,6 +17,8 @@ from dwitable.session import if_small, materialise
 
 SEED = 42
 BITS = 64
+#: Tiles up to which the table of their neighbours is broadcast; a row has at most a number and a count for each move.
+AROUND_ROWS = 200_000
 #: Shingles whose bits are counted at once; bounds the memory of a long text.
 BLOCK = 1 << 14
 
@@ -105,19 +107,24 @@ def near_links(prints: DataFrame, radius: int, segments: int = 4, tile_rows: int
     fingerprints it is compared with pass by in batches. More segments give smaller tiles, at the price of more copies
     of a fingerprint; the links are the same.
     """
-    tiled = prints.select("fingerprint", F.array(*_popcounts("fingerprint", segments)).alias("counts"))
-    tiles = materialise(tiled.groupBy("counts").count()
-                        .select("counts", F.ceil(F.col("count") / tile_rows).cast("int").alias("pieces")), "tiles")
-    moves = F.array(*[F.array(*[F.lit(int(x)).cast("long") for x in m]) for m in _moves(segments, radius)])
-    pairs = tiles.select("counts", F.explode(moves).alias("move")).select(
-        "counts", F.zip_with("counts", "move", lambda x, y: x + y).alias("anchor"))
-    anchors = pairs.join(tiles.withColumnRenamed("counts", "anchor"), "anchor").groupBy("counts").agg(
+    # a tile is one number with a digit for each count; digits have room for a move, so that a move never carries over
+    base = BITS // segments + 2 * radius + 1
+    if base**segments >= 1 << 63:
+        raise ValueError("too many segments for this radius")
+    places = [base**i for i in range(segments)]
+    code = sum((c * F.lit(b) for c, b in zip(_popcounts("fingerprint", segments), places, strict=True)), F.lit(0).cast("long"))
+    tiled = prints.select("fingerprint", code.alias("tile"))
+    tiles = materialise(tiled.groupBy("tile").count()
+                        .select("tile", F.ceil(F.col("count") / tile_rows).cast("int").alias("pieces")), "tiles")
+    moves = F.array(*[F.lit(sum(d * b for d, b in zip(m, places, strict=True))).cast("long") for m in _moves(segments, radius)])
+    pairs = tiles.select("tile", F.explode(moves).alias("move")).select("tile", (F.col("tile") + F.col("move")).alias("anchor"))
+    anchors = pairs.join(tiles.withColumnRenamed("tile", "anchor"), "anchor").groupBy("tile").agg(
         F.collect_list(F.struct("anchor", "pieces")).alias("around"))  # at most one entry for each move
-    around = materialise(tiles.join(anchors, "counts", "left").select("counts", F.col("pieces").alias("own"), "around"), "tiles")
+    around = materialise(tiles.join(anchors, "tile", "left").select("tile", F.col("pieces").alias("own"), "around"), "tiles")
     piece = F.pmod(F.xxhash64("fingerprint"), F.col("own")).cast("int")
-    placed = tiled.join(if_small(around), "counts").withColumn("piece", piece)
+    placed = tiled.join(if_small(around, AROUND_ROWS), "tile").withColumn("piece", piece)
     at_home = F.transform(F.sequence(F.lit(0), F.col("piece")),
-                          lambda i: F.struct(F.col("counts").alias("anchor"), i.alias("piece"),
+                          lambda i: F.struct(F.col("tile").alias("anchor"), i.alias("piece"),
                                              (i != F.col("piece")).alias("passing")))
     abroad = F.flatten(F.transform(F.coalesce("around", F.array()), lambda x: F.transform(
         F.sequence(F.lit(0), x["pieces"] - 1),
