@@ -40,6 +40,12 @@ MARKS = LAYOUT | frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice "
     "notification alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended "
     "recommendations comment comments reply replies respond discussion disqus pagination pager login search".split())
+#: Among them the words of blocks that have articles of their own, which are not the page's.
+BLOCKS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner related recommended recommendations "
+    "comment comments reply replies respond discussion disqus".split())
+#: A name with one of these words, as has-comments, tells what is inside or around and not what the element is.
+STATES = frozenset("has with no without non open enabled disabled".split())
 GOOD = frozenset("article content entry post story main body text".split())
 
 TOKEN = re.compile(
@@ -53,44 +59,53 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 class _Node:
     """An open or closed element."""
 
-    __slots__ = ("tag", "path", "aside", "order", "good", "whole", "inside", "likely")
+    __slots__ = ("tag", "path", "parent", "mark", "fixed", "order", "likely", "own", "clear", "aside", "good", "whole", "free", "shut", "inside")
 
-    def __init__(self, tag: str, path: str, aside: int, order: int, likely: bool):
-        self.tag, self.path, self.aside, self.order, self.likely = tag, path, aside, order, likely
-        self.good = self.whole = 0  # characters outside links and marked parts, and all
+    def __init__(self, tag: str, path: str, parent: _Node | None, mark: int, fixed: bool, order: int, likely: bool):
+        self.tag, self.path, self.parent, self.mark, self.fixed, self.order, self.likely = tag, path, parent, mark, fixed, order, likely
+        self.own = self.clear = 0  # characters of the element itself: all, and those outside links
+        self.aside = self.good = self.whole = 0  # the mark that holds; characters outside links and marked parts, and all
+        self.free, self.shut = 0, False  # characters outside links that lie in no part marked for sure by its tag
         self.inside: list[tuple[int, int]] = []  # ranges of pieces
 
 
-#: How an element is marked: not, by words that also name the layout around an article, or surely no article.
-NOT, MAYBE, SURE = range(3)
+#: How an element is marked: not, by words that also name the layout around an article, by other words or as a form, or as what
+#: has no article of the page in it.
+NOT, MAYBE, LOOSE, SURE = range(4)
+#: Shares of a page's text: more than half, nearly all, and so little that it is not the article.
+HALF, NEARLY, FEW = 0.5, 0.9, 0.05
 
 
-def _attributes(text: str) -> tuple[str, int, bool]:
-    """The generalised classes, how far the words mark no article, and whether they mark one."""
-    classes, words, hidden = "", set(), False
+def _attributes(text: str) -> tuple[str, int, bool, bool]:
+    """The generalised classes, how far the words mark no article, whether they mark one, and whether the element is hidden."""
+    classes, words, marks, hidden = "", set(), set(), False
     for name, a, b, c in ATTRIBUTE.findall(text):
         name, value = name.lower(), a or b or c
         if name == "class":
             classes = "".join("." + x for x in sorted({re.sub(r"\d+", "#", x) for x in value.lower().split()}))
         if name in ("class", "id", "role"):
-            words.update(x.lower() for x in WORDS.findall(value))
+            for each in value.split():
+                found = {x.lower() for x in WORDS.findall(each)}
+                words |= found
+                if not found & STATES:
+                    marks |= found & MARKS
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             hidden = True
         elif name == "style" and "display:none" in value.replace(" ", "").lower():
             hidden = True
-    good, marks = bool(words & GOOD), words & MARKS
-    if hidden or marks - LAYOUT:
-        return classes, SURE, good
-    return classes, MAYBE if marks and not good else NOT, good
+    good = bool(words & GOOD)
+    if hidden or marks & BLOCKS:
+        return classes, SURE, good, hidden
+    return classes, LOOSE if marks - LAYOUT else MAYBE if marks and not good else NOT, good, hidden
 
 
 class Page:
     """A page's text pieces and the containers they lie in. Broken markup is closed where HTML implies it."""
 
     def __init__(self, html: str):
-        self.pieces: list[tuple[str, int]] = []  # text as written or a break, and whether it lies in a marked part
-        root = _Node("#root", "", NOT, 0, False)
-        self.containers, self.stack, self.link, self.count = [root], [root], False, 0
+        self.pieces: list[tuple[str, _Node | None]] = []  # text as written and its element, or a break
+        root = _Node("#root", "", None, NOT, False, 0, False)
+        self.nodes, self.stack, self.link = [root], [root], False
         at = 0
         for m in TOKEN.finditer(html):
             if m.start() > at:
@@ -102,6 +117,9 @@ class Page:
         if at < len(html):
             self._text(html[at:])
         self._pop(0)
+        self._weigh()
+        while self._lift():
+            self._weigh()
 
     def _text(self, raw: str) -> None:
         text = unescape(raw) if "&" in raw else raw
@@ -110,22 +128,73 @@ class Page:
         if size and node.tag == "head":
             self._pop(len(self.stack) - 1)
             node = self.stack[-1]
-        self.pieces.append((text, node.aside))
-        node.whole += size
-        if not self.link and not node.aside:
-            node.good += size
+        self.pieces.append((text, node))
+        node.own += size
+        if not self.link:
+            node.clear += size
 
     def _break(self) -> None:
-        self.pieces.append((" ", NOT))
+        self.pieces.append((" ", None))
 
     def _pop(self, depth: int) -> None:
         """Closes elements until ``depth`` are open."""
         while len(self.stack) > depth:
             node = self.stack.pop()
             node.inside = [(node.order, len(self.pieces))]
-            if self.stack:
-                self.stack[-1].whole += node.whole
-                self.stack[-1].good += node.good
+
+    def _weigh(self) -> None:
+        """Which marks hold, the characters of every element, and the containers outside marked parts."""
+        for n in self.nodes:
+            if n.parent is None or n.tag in ("html", "body"):
+                n.aside = NOT
+            elif n.tag in ("article", "main"):  # what lies around it only named the layout, a state or a form
+                n.aside = SURE if n.parent.aside == SURE else NOT if n.mark == MAYBE else n.mark
+            else:
+                n.aside = max(n.parent.aside, n.mark)
+            n.whole, n.good = n.own, 0 if n.aside else n.clear
+        for n in reversed(self.nodes[1:]):
+            n.parent.whole += n.whole
+            n.parent.good += n.good
+        self.containers = [n for n in self.nodes if n.tag in CONTAINERS and not n.aside]
+
+    def _lift(self) -> bool:
+        """Takes back marks of words and forms that lie around the article itself; whether there were any.
+
+        A page that has an unmarked container named as an article keeps its marks. Elsewhere marks go that lie around a
+        container named as an article with half of the text, or, of words that also name no layout, around nearly all text.
+        On a page without any unmarked text those around most of it go, and last of all those of comments and adverts.
+        """
+        root = self.nodes[0]
+        named = max((n.good for n in self.containers if n.likely), default=0)
+        if root.whole and named >= FEW * root.whole or not any(n.mark and not n.fixed for n in self.nodes):
+            return False
+        for n in self.nodes:
+            n.shut = n.fixed or (n.parent is not None and n.parent.shut and n.tag not in ("html", "body"))
+            n.free = 0 if n.shut else n.clear
+        for n in reversed(self.nodes[1:]):
+            n.parent.free += n.free
+        if not root.free or named >= FEW * root.free:
+            return False
+        lifted = []
+        inner = [n for n in self.nodes if n.likely and n.tag in CONTAINERS and n.aside in (MAYBE, LOOSE) and not n.mark
+                 and n.free >= HALF * root.free]
+        if inner:
+            at = inner[0].parent
+            while at is not None and at.aside:
+                if at.mark:
+                    lifted.append(at)
+                at = at.parent
+        else:
+            marked = [n for n in self.nodes if n.mark and n.aside and not n.shut and n.free]
+            if root.good:
+                lifted = [n for n in marked if n.mark == LOOSE and n.aside == LOOSE and n.free >= (1 - FEW) * root.free]
+            else:
+                lifted = ([n for n in marked if n.mark == LOOSE and n.free > HALF * root.free or n.mark == MAYBE and n.free >= NEARLY * root.free]
+                          or [n for n in marked if n.mark == SURE and n.free >= NEARLY * root.free])
+            lifted = [n for n in lifted if n.free == lifted[0].free]
+        for n in lifted:
+            n.mark = NOT
+        return bool(lifted)
 
     def _start(self, tag: str, attrs: str) -> None:
         if tag in INLINE:
@@ -151,19 +220,18 @@ class Page:
                 self._pop(lowest)
         if tag in ("html", "body") and any(n.tag == tag for n in self.stack):
             return
-        classes, marked, likely = _attributes(attrs) if attrs.strip() else ("", NOT, False)
-        parent = self.stack[-1]
+        classes, mark, likely, fixed = _attributes(attrs) if attrs.strip() else ("", NOT, False, False)
         if tag in ("html", "body"):
-            aside = NOT
-        elif tag in ("article", "main"):  # what lies around it only named the layout
-            aside = SURE if SURE in (marked, parent.aside) else NOT
-        else:
-            aside = max(parent.aside, SURE if tag in ASIDE else marked)
+            mark, fixed = NOT, False
+        elif tag == "form":
+            mark = max(mark, LOOSE)
+        elif tag in ASIDE:
+            mark, fixed = SURE, True
+        parent = self.stack[-1]
         path = f"{parent.path}>{tag}{classes}" if len(parent.path) < 2000 else parent.path
-        node = _Node(tag, path, aside, len(self.pieces), likely or tag in ("article", "main"))
+        node = _Node(tag, path, parent, mark, fixed, len(self.pieces), likely or tag in ("article", "main"))
         self.stack.append(node)
-        if tag in CONTAINERS and not aside:
-            self.containers.append(node)
+        self.nodes.append(node)
 
     def _end(self, tag: str, _: str) -> None:
         if tag in INLINE:
@@ -191,7 +259,7 @@ class Page:
     def text(self, node: _Node) -> str:
         """The container's text without marked parts; white space and breaks are one space."""
         start, end = node.inside[0]
-        return " ".join("".join(t for t, aside in self.pieces[start:end] if not aside or t == " ").split())
+        return " ".join("".join(t for t, n in self.pieces[start:end] if n is None or not n.aside).split())
 
     def main_text(self, path: str | None) -> tuple[str, str]:
         """The text and path of the host's container, or of the page's own best if the host's is not there or has no text."""
@@ -228,7 +296,8 @@ def main_texts(pages: DataFrame) -> DataFrame:
     Each page scores its containers and votes for the best one's path of tags and classes, digits generalised. Votes are
     counted by host and path, so a host with very many pages is summed up before it meets in one place. Each page is then
     read again at its host's winning path. Menus, headers, footers, asides, forms, scripts, adverts, notices and comments,
-    told by tag or by a word of class, id or role, are left out. Character references are decoded; white space and
+    told by tag or by a word of class, id or role, are left out; a mark on a wrapper around the article itself does not count
+    (``Page._lift``). Character references are decoded; white space and
     the end of a block are one space.
 
     A null or empty html, and a page without text, give an empty text. A null or unreadable url has no host, and the page's own

@@ -69,3 +69,34 @@ def test_deep_and_long_pages():
     words = "word " * 200_000
     assert html.Page(f"<article><p>{words}</article>").main_text(None)[0] == words.strip()
     assert html.Page("<a \"" * 3000).main_text(None)[0] is not None
+
+
+WRAPPED = [
+    ("<div class='page has-comments'><article><p>Text</p></article></div>", "Text"),
+    ("<form id=f><div class=content><p>Text</p></div></form>", "Text"),
+    ("<div class='page with-sidebar'><div class=content><p>Text</p></div></div>", "Text"),
+    ("<article class='post no-ads'><p>Text</article>", "Text"),
+    *((f"<div>Logo</div><div class='page {word}'><main><p>The text of the page.</main></div>", "The text of the page.")
+      for word in "social cookie share search sidebar has-ads".split()),
+    *((f"<div class='page {word}'><div class=x><p>The text.</div><div class=footer>f</div></div>", "The text.")
+      for word in "social cookie share search ad comments".split()),
+    ("<div>Logo</div><form><div class=menu>Home</div><div class=content><p>The text of the page.</div></form>", "The text of the page."),
+    ("<div>Logo</div><div class='page social'><p>" + "The text. " * 20 + "</div>", "Logo" + " The text." * 20),
+    # marks that hold
+    ("<div class='page social'><p>Story.</p><div class=comments><div class=text>" + "A comment. " * 20 + "</div></div></div>", "Story."),
+    ("<div><p>The story.</div><div class=comments><article>" + "A comment. " * 20 + "</article></div>", "The story."),
+    ("<div class=text>The story.</div><div class=cookie-notice><div class=content>We use a lot of cookies.</div></div>", "The story."),
+    ("<main>The story.<div class=newsletter><div class=content>Join us, join us</div></div><form>name</form></main>", "The story."),
+    ("<article>One</article><div class=related><article>Other page, other page</article></div>", "One"),
+    ("<nav>Home</nav><div hidden><div class=content>no</div></div>", ""), ("<div class=menu><a href=x>Home</a></div>", ""),
+]
+
+
+@pytest.mark.parametrize("source, text", WRAPPED)
+def test_marks_on_wrappers(source, text):
+    assert html.Page(source).main_text(None)[0] == text
+
+
+def test_nested_wrappers():
+    source = "<div class=social>" * 300 + "<p>The text of the page." + "</div>" * 300
+    assert html.Page(source).main_text(None)[0] == "The text of the page."
