@@ -74,6 +74,8 @@ class _Node:
 NOT, MAYBE, LOOSE, SURE = range(4)
 #: Shares of a page's text: more than half, nearly all, and so little that it is not the article.
 HALF, NEARLY, FEW = 0.5, 0.9, 0.05
+#: A host's path with a smaller share of what the page's own best container holds is a box on that page.
+SMALL = 0.2
 
 
 def _attributes(text: str) -> tuple[str, int, bool, bool]:
@@ -251,22 +253,31 @@ class Page:
         """Text outside links and marked parts, times its share of all text, and more for a container named as an article."""
         return node.good * node.good / node.whole * (1.5 if node.likely else 1.0) if node.whole else 0.0
 
-    def best(self, path: str | None = None) -> _Node | None:
-        """The container with the highest score, the innermost of equal ones; only those at ``path`` if it is given."""
-        found = [n for n in self.containers if path is None or n.path == path]
-        return max(found, key=lambda n: (self.score(n), n.order), default=None)
+    def best(self) -> _Node:
+        """The container with the highest score, the innermost of equal ones."""
+        return max(self.containers, key=lambda n: (self.score(n), n.order))
 
-    def text(self, node: _Node) -> str:
-        """The container's text without marked parts; white space and breaks are one space."""
-        start, end = node.inside[0]
-        return " ".join("".join(t for t, n in self.pieces[start:end] if n is None or not n.aside).split())
+    def text(self, nodes: list[_Node]) -> str:
+        """The containers' text in page order, without marked parts; white space and breaks are one space."""
+        parts, last = [], 0
+        for node in nodes:
+            start, end = node.inside[0]
+            parts.extend(t for t, n in self.pieces[max(start, last) : end] if n is None or not n.aside)
+            parts.append(" ")
+            last = max(last, end)
+        return " ".join("".join(parts).split())
 
     def main_text(self, path: str | None) -> tuple[str, str]:
-        """The text and path of the host's container, or of the page's own best if the host's is not there or has no text."""
-        node = self.best(path) if path is not None else None
-        if node is None or not node.good:
-            node = self.best()
-        return self.text(node), node.path
+        """The text and path of the host's containers, all that lie at the path, or of the page's own best container.
+
+        The own best one counts if the host's are not there or have no text, and if they hold little of the text that it
+        holds, unless they are named as an article and it is not.
+        """
+        own, found = self.best(), [n for n in self.containers if n.path == path]
+        good, likely = sum(n.good for n in found), any(n.likely for n in found)
+        if not good or (good < SMALL * own.good and (own.likely or not likely)):
+            return self.text([own]), own.path
+        return self.text(found), path
 
 
 def with_host(pages: DataFrame) -> DataFrame:
@@ -295,7 +306,8 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
     Each page scores its containers and votes for the best one's path of tags and classes, digits generalised. Votes are
     counted by host and path, so a host with very many pages is summed up before it meets in one place. Each page is then
-    read again at its host's winning path. Menus, headers, footers, asides, forms, scripts, adverts, notices and comments,
+    read again at its host's winning path: the text of all containers there, in page order, or the page's own best one if those
+    are a small box on that page (``Page.main_text``). Menus, headers, footers, asides, forms, scripts, adverts, notices and comments,
     told by tag or by a word of class, id or role, are left out; a mark on a wrapper around the article itself does not count
     (``Page._lift``). Character references are decoded; white space and
     the end of a block are one space.

@@ -100,3 +100,27 @@ def test_marks_on_wrappers(source, text):
 def test_nested_wrappers():
     source = "<div class=social>" * 300 + "<p>The text of the page." + "</div>" * 300
     assert html.Page(source).main_text(None)[0] == "The text of the page."
+
+
+def test_all_parts_at_the_path():
+    page = html.Page("<body><article>One two three four.</article><div class=ad>buy</div><article>Five.</article><p>o</p><article>Six <a>seven</a></article>")
+    assert page.main_text(">body>article")[0] == "One two three four. Five. Six seven"
+    long = "The article of this page. " * 40
+    for box in ("<div class=tip>Small box.</div>", "<div class=content>Small box.</div>"):
+        path = ">body>div." + ("tip" if "tip" in box else "content")
+        for source in (f"<body>{box}<article>{long}</article>", f"<body><main><p>{long}</main>{box}"):
+            assert html.Page(source).main_text(path)[0] == long.strip()
+    assert html.Page(f"<body><div class=tip>Box.</div><p>{long}").main_text(">body>div.tip")[0] == "Box. " + long.strip()
+    half = "<body><div class=x>" + "Some text. " * 20 + "</div><main>" + "More text. " * 30 + "</main>"
+    assert html.Page(half).main_text(">body>div.x")[0] == ("Some text. " * 20).strip()
+    deep = "<div>" * 600 + "x y" + "</div>" * 600  # paths end at a length, so nested containers share one
+    assert html.Page(deep).main_text(html.Page(deep).best().path)[0] == "x y"
+
+
+def test_parts_and_other_templates_on_a_host(spark):
+    text = "The text of an article. " * 10
+    rows = [(i, "http://a.org/x", f"<body><article>{text}</article>", "c", 1) for i in range(20)]
+    rows += [(30, "http://a.org/x", f"<body><article>{text}</article><div class=ad>buy</div><article>Second part.</article>", "c", 1),
+             (31, "http://a.org/x", f"<body><article>Box.</article><main>{text}</main>", "c", 1)]
+    found = {r["page_id"]: r["text"] for r in html.main_texts(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    assert found == {**dict.fromkeys(range(20), text.strip()), 30: text + "Second part.", 31: text.strip()}
