@@ -180,11 +180,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, similari
     Null, empty and wordless texts and items never match. Repeated rows of a document give repeated rows; of rows
     with one item_id each counts. Null ids stay null. Empty tables give an empty result; other columns are ignored.
     """
+    return _scanned(docs.select(F.col("doc_id").cast("long"), "text"), benchmark, words, similarity, radius).drop("body")
+
+
+def _scanned(docs: DataFrame, benchmark: DataFrame, words: int, similarity: float, radius: int) -> DataFrame:
+    """As ``contaminated`` for a table ``(doc_id, text)`` or ``(doc_id, text, body)``, with ``body`` or null in a last column."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null")
     size = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     passes = max(1, -(-size[0] // PASS_ITEMS), -(-size[1] // PASS_CHARS))
-    schema = "doc_id long, item_id long, similarity double, start long, words long"
+    schema = "doc_id long, item_id long, similarity double, start long, words long, body long"
     result = None
     for p in range(passes):
         part = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p)
@@ -196,21 +201,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, similari
                 held.append(Benchmark(rows.value, words, radius))
             for batch in sliced(batches):
                 out: list[tuple] = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                bodies = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
+                for doc_id, text, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bodies, strict=True):
                     for item, (alike, start, count) in held[0].matches(text, similarity).items():
-                        out.append((doc_id, held[0].ids[item], alike, start, count))
+                        out.append((doc_id, held[0].ids[item], alike, start, count, body))
                 if out:
                     columns = [pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (
-                        pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)]
-                    yield pa.record_batch(columns, ["doc_id", "item_id", "similarity", "start", "words"])
+                        pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+                    yield pa.record_batch(columns, ["doc_id", "item_id", "similarity", "start", "words", "body"])
 
-        found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, schema)
+        found = docs.mapInArrow(scan, schema)
         result = found if result is None else result.unionByName(found)
     return result
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 19) -> DataFrame:
-    """The documents without a benchmark passage, all columns unchanged. A row without a doc_id goes if any such row has one."""
-    found = materialise(contaminated(docs, benchmark, words, similarity, radius).select("doc_id").distinct(), "leaks")
-    id_ = fresh("id")
-    return docs.join(if_small(found.withColumnRenamed("doc_id", id_)), F.col("doc_id").eqNullSafe(F.col(id_)), "left_anti")
+    """The documents without a benchmark passage, all columns unchanged.
+
+    Each row goes or stays by its own text: rows without a doc_id, or with one that other texts have too, are told apart by a
+    hash of the text.
+    """
+    texts = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("body"))
+    found = materialise(_scanned(texts, benchmark, words, similarity, radius).select("doc_id", "body").distinct(), "leaks")
+    id_, body = fresh("id"), fresh("body")
+    found = if_small(found.withColumnRenamed("doc_id", id_).withColumnRenamed("body", body))
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(body)), "left_anti")

@@ -96,3 +96,13 @@ def test_edge_cases(spark):
     assert decontaminate.contaminated(df, none).count() == 0
     assert decontaminate.without_benchmark(df, none).count() == len(docs)
     assert decontaminate.contaminated(spark.createDataFrame([], DOCS), bench).count() == 0
+
+
+def test_clean_rows_that_share_an_id_stay(spark):
+    passage = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    rows = [(None, passage), (None, "before it " + passage), (None, "clean text"), (None, "clean text"), (None, None), (None, ""),
+            (5, passage), (5, "other text"), (5, None), (6, passage), (7, "clean text")]
+    df = spark.createDataFrame([(d, t, "c", 1) for d, t in rows], DOCS).repartition(3)
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    kept = [(r["doc_id"], r["text"]) for r in decontaminate.without_benchmark(df, bench).collect()]
+    assert sorted(kept, key=str) == sorted([r for r in rows if "Alpha" not in (r[1] or "")], key=str)
