@@ -12,6 +12,7 @@ from dwitable.session import materialise
 # The known forms.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
+ACCESS_ID = r"AKIA[A-Z0-9]{14,}"  # those of ACCESS_LEAST characters
 HEX = r"[0-9a-f]{16,}"  # the runs of [0-9a-f]+ that have 16 characters
 ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 KINDS = ("assign", "access", "hex", "random")
@@ -188,7 +189,7 @@ def secrets(docs: DataFrame, rate: float = 0.01, odd: float = 0.001) -> DataFram
         "doc_id", "tokens", kept("assign", ASSIGN_LEAST, value).alias("assign"),
         kept("access", ACCESS_LEAST, F.length).alias("access"), kept("hex", 0, F.length).alias("hex"))
     # a key id or a hexadecimal string that a string of this wider alphabet touches lies within it
-    free = F.filter("tokens", lambda t: ~t["found"].rlike(HEX) & ~t["found"].rlike(ACCESS + "{14,}") & ~F.exists(
+    free = F.filter("tokens", lambda t: ~t["found"].rlike(HEX) & ~t["found"].rlike(ACCESS_ID) & ~F.exists(
         "assign", lambda a: (a["start"] < t["end"]) & (t["start"] < a["end"])))
     found = found.withColumn("tested", battery(free))
     p = lambda t: F.when((t["p_runs"] < odd) | (t["p_serial"] < odd), 1.0).otherwise(F.greatest(t["p_even"], F.lit(1e-40)))

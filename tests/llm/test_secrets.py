@@ -94,3 +94,14 @@ def test_empty_table_and_no_python(spark):
     assert out.count() == 0
     plan = out._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_random_strings_with_the_start_of_a_key_id_are_found(spark):
+    rnd = random.Random(5)
+    draw = lambda n: "".join(rnd.choices(string.ascii_letters + string.digits, k=n))
+    part = {i: draw(20) + "AKIA" + rnd.choice(string.ascii_uppercase) + "z" + draw(22) for i in range(40)}
+    part |= {100: draw(10) + "AKIA" + "".join(rnd.choices(string.ascii_uppercase, k=14)) + draw(20)}
+    df = spark.createDataFrame([(i, f"see {x} there") for i, x in part.items()], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in secrets.secrets(df).collect()}
+    assert sum([(x["start"], x["end"]) for x in found[i]["added"]] == [(4, 52)] for i in range(40)) >= 30
+    assert len(found[100]["base"]) == 1 and not found[100]["added"]
