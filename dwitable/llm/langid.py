@@ -171,7 +171,8 @@ def identify(docs: DataFrame, sample_per_language: int = 3000) -> DataFrame:
     """``(doc_id, held_out, lang_pred, score)`` of every document, learned from those that are not held out.
 
     Null and empty texts and an input without any learned language give ``und`` with score 0. Repeated rows are predicted alike.
-    A null doc_id is not held out. An empty table gives an empty result; other columns are ignored.
+    A null doc_id is not held out. An empty table gives an empty result; other columns are ignored. More than ``MOST_LANGUAGES``
+    values of lang raise a ValueError.
     """
     model = learn(docs.where(~held_out()), sample_per_language)
     found = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), predicted(model).alias("found"))
@@ -181,7 +182,8 @@ def identify(docs: DataFrame, sample_per_language: int = 3000) -> DataFrame:
 def with_known_language(docs: DataFrame, least_score: float = 0.05, sample_per_language: int = 3000) -> DataFrame:
     """The documents whose language is recognised, all columns unchanged: not ``und``, and a cosine of at least ``least_score``.
 
-    Chance alone gives a cosine of about 1 / sqrt(1024) = 0.03; short clean texts are often not far above 0.1.
+    Chance alone gives a cosine of about 1 / sqrt(1024) = 0.03; short clean texts are often not far above 0.1. More than
+    ``MOST_LANGUAGES`` values of lang raise a ValueError.
     """
     model = learn(docs.where(~held_out()), sample_per_language)
     name = fresh("found")
