@@ -1 +1 @@
-"""Operators of a training-data pipeline: secrets, near copies, archives, neighbours, classifiers, packing, extraction."""
+"""Operators of a training-data pipeline: secrets, copies, archives, neighbours, classifiers, packing, extraction, chats, words."""
