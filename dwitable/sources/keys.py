@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dwitable.functions import paths as P
-from dwitable.session import if_small
+from dwitable.session import if_small, settled
 
 SUBJECT_PATTERN = r"(?:^|/)sub-([^/]+)/"
 SUBJECT_PLACE = r"^(?:(.*?)/)?(sub-[^/]+)/"
@@ -23,11 +23,36 @@ def list_files(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+#: Prefixes up to which a filter names each; they are then pushed to the scan. More become a table.
+NAMED_PREFIXES = 16
+
+
 def matching_keys(keys: DataFrame, prefix: str | Iterable[str] = "", suffix: str = "") -> DataFrame:
-    """Keys with one of the prefixes and the suffix."""
-    prefixes = [prefix] if isinstance(prefix, str) else list(prefix)
-    starts = reduce(lambda a, b: a | b, [F.col("key").startswith(p) for p in prefixes])
-    return keys.filter(starts & F.col("key").endswith(suffix))
+    """Keys with one of the prefixes and the suffix; none if the list of prefixes is empty.
+
+    The plan does not grow with the number of prefixes: from some number on they are joined as a table.
+    """
+    prefixes = [prefix] if isinstance(prefix, str) else list(dict.fromkeys(prefix))
+    ending = keys.filter(F.col("key").endswith(suffix))
+    if len(prefixes) <= NAMED_PREFIXES:
+        return ending.filter(reduce(lambda a, b: a | b, [F.col("key").startswith(p) for p in prefixes], F.lit(False)))
+    table = keys.sparkSession.createDataFrame([(p,) for p in prefixes], "prefix string")
+    return ending.join(key_prefixes(ending, table).select("key"), "key", "left_semi")
+
+
+def key_prefixes(keys: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Distinct keys that begin with one of a table's prefixes, with the longest such one: ``(key, prefix)``.
+
+    A key has one candidate for each length that a prefix has, and each is looked up whole, so the work does not depend on the
+    number of prefixes. Object keys have at most 1,024 characters, so there are never more lengths than that. NULL prefixes
+    match nothing, the empty prefix matches every key.
+    """
+    wanted = settled(prefixes.select("prefix").where("prefix is not null").distinct(), "prefixes")
+    lengths = F.broadcast(wanted.agg(F.array_sort(F.collect_set(F.length("prefix"))).alias("_lengths")))
+    candidates = keys.select("key").join(lengths).select(
+        "key", F.explode(F.filter("_lengths", lambda n: n <= F.length("key"))).alias("_length"))
+    found = candidates.withColumn("prefix", F.expr("left(key, _length)")).join(wanted, "prefix")
+    return found.groupBy("key").agg(F.max("_length").alias("_length")).select("key", F.expr("left(key, _length)").alias("prefix"))
 
 
 def subject_keys(roster: DataFrame, keys: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from dwitable.functions import paths as P
 from dwitable.functions.columns import ColumnLike, col
+from dwitable.operators.indexing import ordered_index
+from dwitable.session import materialise
 
 REPORT_SUFFIX = "_report.json"
 
@@ -43,6 +45,89 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     )
 
 
+def _requests(pages: DataFrame) -> DataFrame:
+    """What each request of a bucket leads to: ``(bucket, at, next, truncated, copies)``, ``at`` empty for the first one.
+
+    Of several stored copies of a page the smallest token counts; the page ends the listing only if all copies do.
+    """
+    following = F.nullif(page_token("xml"), F.lit(""))
+    return pages.groupBy("bucket", F.coalesce("requested", F.lit("")).alias("at")).agg(
+        F.min(following).alias("next"), F.bool_or(page_truncated("xml")).alias("truncated"), F.count(F.lit(1)).alias("copies"))
+
+
+def _reached(requests: DataFrame) -> DataFrame:
+    """The requests that following tokens from a bucket's first page leads to: ``(bucket, at, position)``.
+
+    The front doubles: it holds the first h pages of every chain, and the table of jumps says what lies h pages after a page. One
+    join of the two gives the next h, one join of the jumps with themselves makes them twice as wide. So a chain of n pages
+    takes about log n rounds, all buckets at once, and no join key repeats. A chain that comes back to a page finds it
+    with a smaller position and ends there.
+    """
+    known = requests.select("bucket", F.col("at").alias("to"))
+    jumps = requests.where("next is not null").select("bucket", "at", F.col("next").alias("to")).join(known, ["bucket", "to"], "left_semi")
+    jumps = materialise(jumps.select("bucket", "at", "to"), "jumps")
+    front = materialise(requests.where("at = ''").select("bucket", "at", F.lit(0).cast("long").alias("position")), "front")
+    size, width = front.count(), 1
+    while size:
+        further = front.join(jumps, ["bucket", "at"]).select("bucket", F.col("to").alias("at"), (F.col("position") + width).alias("position"))
+        met = Observation()
+        front = materialise(front.unionByName(further).groupBy("bucket", "at").agg(F.min("position").alias("position"))
+                            .observe(met, F.count(F.lit(1)).alias("n")), "front")
+        if met.get["n"] == size:
+            break
+        size, width = met.get["n"], 2 * width
+        ahead = jumps.select("bucket", F.col("at").alias("to"), F.col("to").alias("far"))
+        jumps = materialise(jumps.join(ahead, ["bucket", "to"]).select("bucket", "at", F.col("far").alias("to")), "jumps")
+    return front
+
+
+def chained_pages(pages: DataFrame) -> DataFrame:
+    """Stored listing pages with their ``position`` in the listing of their bucket.
+
+    ``pages`` has ``(bucket, requested, xml)``: the encoded token that a page was asked for with, NULL for the first page. The
+    position counts from 0 along the continuation tokens; it is NULL for pages that the first one does not lead to.
+    Copies of a page share a position.
+    """
+    place = _reached(materialise(_requests(pages), "requests")).withColumnRenamed("at", "_at").withColumnRenamed("bucket", "_bucket")
+    same = (F.col("bucket") == F.col("_bucket")) & (F.coalesce("requested", F.lit("")) == F.col("_at"))
+    return pages.join(place, same, "left").drop("_at", "_bucket")
+
+
+def chain_report(pages: DataFrame) -> DataFrame:
+    """Whether each bucket was listed to its end: ``(bucket, status, n_stored, n_pages, n_chained)``.
+
+    ``complete``: the chain from the first page ends with a page that no other follows, and no page lies outside it.
+    ``extra``: the same, with pages outside. ``cyclic``: the last page leads back into the chain. ``unfinished``: the page after the
+    last one is not stored, and all pages are in the chain. ``broken``: the same, with pages outside, those after the gap.
+    ``headless``: there is no first page.
+    """
+    requests = materialise(_requests(pages), "requests")
+    chain = requests.join(_reached(requests), ["bucket", "at"], "left")
+    ends = chain.groupBy("bucket").agg(
+        F.sum("copies").alias("n_stored"), F.count(F.lit(1)).alias("n_pages"), F.count("position").alias("n_chained"),
+        F.max_by(F.struct("next", "truncated"), "position").alias("last"))
+    back = chain.where("position is not null").select("bucket", F.col("at").alias("_next"), F.lit(True).alias("_back"))
+    ends = ends.withColumn("_next", F.col("last.next")).join(back, ["bucket", "_next"], "left")
+    whole = F.col("n_chained") == F.col("n_pages")
+    status = (
+        F.when(F.col("n_chained") == 0, "headless").when(F.col("_back"), "cyclic")
+        .when(F.col("last.truncated"), F.when(whole, "unfinished").otherwise("broken"))
+        .otherwise(F.when(whole, "complete").otherwise("extra"))
+    )
+    return ends.select("bucket", status.alias("status"), "n_stored", "n_pages", "n_chained")
+
+
+def manifest_in_order(pages: DataFrame, suffix: str = REPORT_SUFFIX) -> DataFrame:
+    """Distinct report keys of each bucket with their ``index``, in the order in which the listing first names them.
+
+    Pages outside the chain are not part of the listing.
+    """
+    placed = chained_pages(pages).where("position is not null")
+    named = placed.select("bucket", "position", F.posexplode(page_keys("xml")).alias("place", "key")).filter(F.col("key").endswith(suffix))
+    first = named.groupBy("bucket", "key").agg(F.min(F.shiftleft("position", 32) + F.col("place")).alias("order"))
+    return ordered_index(materialise(first, "manifest"), ["bucket"], "order", "index").select("bucket", "key", "index")
+
+
 def report_keys(keys: DataFrame) -> DataFrame:
     """Keys of report documents."""
     return keys.filter(F.col("key").endswith(REPORT_SUFFIX))

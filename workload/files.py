@@ -17,6 +17,7 @@ from dwitable.sinks import layout as L
 from dwitable.sinks import text as K
 from dwitable.sources import keys as KS
 from dwitable.sources import listing as LS
+from dwitable.sources import stored as ST
 from dwitable.sources import text as TX
 from workload.registry import query
 
@@ -60,6 +61,25 @@ def s1(t):
     return KS.matching_keys(t.object_keys.select("key"), ("data/Projects/HBN/MRI/Site-RU/", "data/Projects/HBN/MRI/Site-SI/"), ".json")
 
 
+@query("s1_prefix_table", "object_keys wanted_prefixes", """
+SELECT o.key AS key, max_by(p.prefix, length(p.prefix)) AS prefix
+FROM object_keys o JOIN wanted_prefixes p ON starts_with(o.key, p.prefix) GROUP BY o.key""")
+def s1_table(t):
+    return KS.key_prefixes(t.object_keys, t.wanted_prefixes)
+
+
+@query("s1_stored_listing", "listing_pages", """
+SELECT bucket, key, count(*) AS n FROM (
+  SELECT bucket, unnest(regexp_extract_all(xml, '<Key>([^<]*)</Key>', 1)) AS key FROM (SELECT DISTINCT bucket, xml FROM listing_pages) AS p) AS k
+WHERE starts_with(key, 'data/Projects/HBN/MRI/Site-RU/derivatives/') AND ends_with(key, '.json') AND bucket IN ('Site-RU', 'Site-SI') GROUP BY bucket, key""")
+def s1_stored(t):
+    path = shared_dir(t.spark, "listing")
+    ST.write_listing(t.listing_pages.select("bucket", "xml"), path)
+    listed = ST.read_listing(t.spark, path).filter(F.col("bucket").isin("Site-RU", "Site-SI"))
+    wanted = KS.matching_keys(listed, "data/Projects/HBN/MRI/Site-RU/derivatives/", ".json")
+    return wanted.groupBy("bucket", "key").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("s2_subject_keys", "roster object_keys", f"""+ {ROSTER_SQL}
 SELECT o.subject_id, o.site, o.rd, o.key FROM object_keys o
 JOIN study s ON o.subject_id = s.subject_id AND o.site = s.site""")
@@ -142,6 +162,40 @@ def s9(t):
     return LS.parse_pages(t.listing_pages).withColumn("keys", F.array_join("keys", "|"))
 
 
+PAGES_SQL = """page AS (
+  SELECT bucket, coalesce(requested, '') AS asked, count(*) AS copies, bool_or(contains(xml, '<IsTruncated>true')) AS truncated,
+    min(CASE WHEN contains(xml, '<IsTruncated>true') THEN url_encode(regexp_extract(xml, 'ContinuationToken>([^<]*)<', 1)) END) AS onto
+  FROM listing_responses GROUP BY ALL),
+pages_of AS (SELECT bucket, count(*) AS n FROM page GROUP BY bucket),
+walk AS (
+  SELECT bucket, asked, onto, CAST(0 AS BIGINT) AS position FROM page WHERE asked = ''
+  UNION ALL
+  SELECT p.bucket, p.asked, p.onto, w.position + 1 FROM walk w JOIN pages_of s ON s.bucket = w.bucket
+  JOIN page p ON p.bucket = w.bucket AND p.asked = w.onto WHERE w.position < s.n),
+placed AS (SELECT bucket, asked, min(position) AS position FROM walk GROUP BY bucket, asked)"""
+
+
+@query("s9_listing_chain", "listing_responses", f"""+ {PAGES_SQL}
+SELECT r.bucket AS bucket, requested, position, md5(xml) AS page FROM listing_responses r
+LEFT JOIN placed ON placed.bucket = r.bucket AND placed.asked = coalesce(requested, '')""", recursive=True)
+def s9_chain(t):
+    return LS.chained_pages(t.listing_responses).select("bucket", "requested", "position", F.md5("xml").alias("page"))
+
+
+@query("s9_chain_report", "listing_responses", f"""+ {PAGES_SQL},
+joined AS (
+  SELECT page.*, position, max(position) OVER (PARTITION BY page.bucket) AS top FROM page LEFT JOIN placed USING (bucket, asked)),
+tail AS (SELECT j.bucket, j.truncated, p.asked IS NOT NULL AS back FROM joined j LEFT JOIN placed p ON p.bucket = j.bucket AND p.asked = j.onto
+  WHERE j.position = j.top)
+SELECT j.bucket AS bucket, CASE WHEN count(position) = 0 THEN 'headless' WHEN bool_or(back) THEN 'cyclic'
+    WHEN bool_or(tail.truncated) THEN CASE WHEN count(position) = count(*) THEN 'unfinished' ELSE 'broken' END
+    WHEN count(position) = count(*) THEN 'complete' ELSE 'extra' END AS status,
+  CAST(sum(copies) AS BIGINT) AS n_stored, count(*) AS n_pages, count(position) AS n_chained
+FROM joined j LEFT JOIN tail ON tail.bucket = j.bucket GROUP BY j.bucket""", recursive=True)
+def s9_report(t):
+    return LS.chain_report(t.listing_responses)
+
+
 @query("s10_reports_with_qc", "report_json", """
 SELECT bucket, subject, CAST(json_extract_string(body, '$.eddy_quad.qc_mot_abs') AS DOUBLE) AS qc_mot_abs,
   CAST(json_extract_string(body, '$.eddy_quad.qc_mot_rel') AS DOUBLE) AS qc_mot_rel
@@ -678,6 +732,17 @@ def u2(t):
     return _study(t)
 
 
+@query("u3_manifest_in_order", "listing_responses", f"""+ {PAGES_SQL},
+named AS (
+  SELECT bucket, position, unnest(keys) AS key, generate_subscripts(keys, 1) AS place FROM (
+    SELECT r.bucket AS bucket, position, regexp_extract_all(xml, '<Key>([^<]*)</Key>', 1) AS keys FROM listing_responses r
+    JOIN placed ON placed.bucket = r.bucket AND placed.asked = coalesce(requested, '')) AS k),
+firsts AS (SELECT bucket, key, min((position, place)) AS spot FROM named WHERE ends_with(key, '_report.json') GROUP BY bucket, key)
+SELECT bucket, key, row_number() OVER (PARTITION BY bucket ORDER BY spot) - 1 AS index FROM firsts""", recursive=True)
+def u3_order(t):
+    return LS.manifest_in_order(t.listing_responses)
+
+
 @query("u3_merged_listings", "listing_pages", f"""+ {REPORT_KEYS_SQL}
 SELECT bucket, key FROM found UNION SELECT bucket, key FROM found WHERE ends_with(key, '_report.json')""")
 def u3(t):

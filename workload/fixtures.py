@@ -136,6 +136,37 @@ listing_pages AS (
   FROM object_keys)
 """)
 
+# Listings of 25 buckets as stored responses, each with the token it was asked for. Of five buckets one has all its pages, one
+# has lost a page, one leads back to its middle, one was stopped before its end, and one has pages twice; one lacks its first page.
+fixture("listing_responses", ("object_keys",), """
+listed AS (
+  SELECT CAST(right(subject_id, 8) AS INT) % 25 AS b, subject_id, key,
+    row_number() OVER (PARTITION BY CAST(right(subject_id, 8) AS INT) % 25 ORDER BY key) - 1 AS seq,
+    count(*) OVER (PARTITION BY CAST(right(subject_id, 8) AS INT) % 25) AS n
+  FROM object_keys),
+linked AS (
+  SELECT *, CASE WHEN seq = n - 1 AND b % 5 = 2 THEN CAST(floor(n / CAST(2 AS DOUBLE)) AS BIGINT) ELSE seq + 1 END AS onto,
+    seq = n - 1 AND b % 5 NOT IN (2, 3) AS final FROM listed),
+responded AS (
+  SELECT b, seq, 'bucket-' || CAST(b AS STRING) AS bucket, CASE WHEN seq > 0 THEN 'q' || CAST(seq * 7919 + b AS STRING) || '%2B%2F%3D' END AS requested,
+    '<ListBucketResult><IsTruncated>' || CASE WHEN final THEN 'false</IsTruncated>' ELSE 'true</IsTruncated><NextContinuationToken>q' ||
+      CAST(onto * 7919 + b AS STRING) || '+/=</NextContinuationToken>' END || '<Contents><Key>' || key || '</Key></Contents><Contents><Key>' ||
+      subject_id || '/out/report/' || subject_id || '_dwi_report.json</Key></Contents></ListBucketResult>' AS xml
+  FROM linked WHERE NOT (b % 5 = 1 AND seq = 40) AND NOT (b = 23 AND seq = 0)),
+listing_responses AS (
+  SELECT bucket, requested, xml FROM responded UNION ALL SELECT bucket, requested, xml FROM responded WHERE b % 5 = 4 AND seq % 3 = 0)
+""")
+
+# What a person asks for: subjects' folders, folders of one kind in them, whole sites, and some that do not exist.
+fixture("wanted_prefixes", ("roster",), """
+wanted_prefixes AS (
+  SELECT DISTINCT prefix FROM (
+    SELECT 'data/Projects/HBN/MRI/' || site || '/' || participant_id || '/' AS prefix FROM roster WHERE rd = 'raw'
+    UNION ALL SELECT 'data/Projects/HBN/MRI/' || site || '/' || participant_id || '/ses-01/fm' FROM roster WHERE rd = 'raw'
+    UNION ALL SELECT 'data/Projects/HBN/MRI/' || site || '/' || participant_id || '/dwi/' FROM roster WHERE rd = 'deriv'
+    UNION ALL SELECT 'data/Projects/HBN/MRI/Site-RU/' FROM roster) AS p)
+""")
+
 # One outlier sentence per line item: the supplier is the subject, the part number gives the scan.
 fixture("outlier_lines", (), """
 outlier_lines AS (

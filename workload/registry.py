@@ -25,10 +25,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, needs: str = "", sql: str | None = None):
+def query(name: str, needs: str = "", sql: str | None = None, recursive: bool = False):
     """Register a query ``f(tables)``; ``sql`` follows the WITH clause of the fixtures in ``needs``.
 
-    SQL that starts with ``+`` adds tables to that clause.
+    SQL that starts with ``+`` adds tables to that clause, ``recursive`` ones if it says so.
     """
 
     def register(f: Callable[[Tables], DataFrame]):
@@ -36,7 +36,9 @@ def query(name: str, needs: str = "", sql: str | None = None):
         if sql is not None:
             text = sql.strip()
             more = "," if text.startswith("+") else ""
-            ORACLES[name] = f"{prologue(*needs.split())}{more}\n{text.lstrip('+ ')}" if needs else text
+            clause = prologue(*needs.split()) if needs else ""
+            clause = clause.replace("WITH ", "WITH RECURSIVE ", 1) if recursive else clause
+            ORACLES[name] = f"{clause}{more}\n{text.lstrip('+ ')}" if needs else text
         return f
 
     return register
