@@ -103,38 +103,20 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_line_dedup", sql="""
 with line as (
-  select doc_id, i, l, len(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+')) as w
+  select doc_id, i, l, regexp_matches(l, '[^\\x20\\x09-\\x0D]') as w
   from (select doc_id, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as i
         from documents)),
-word as (
-  select *, row_number() over (partition by doc_id order by i) as p,
-         sum(w) over (partition by doc_id order by i rows unbounded preceding) as c
-  from line where w > 0),
-ends as (
-  select a.doc_id, a.p as s, min(b.p) as e from word a join word b on a.doc_id = b.doc_id and b.p >= a.p and b.p < a.p + 50
-  where b.c - a.c + a.w >= 50 group by all
-  union
-  select b.doc_id, max(a.p) as s, b.p as e from word a join word b on a.doc_id = b.doc_id and b.p >= a.p and b.p < a.p + 50
-  where b.c - a.c + a.w >= 50 group by b.doc_id, b.p),
-run as (
-  select x.doc_id, s, e, string_agg(l, chr(10) order by w.p) as body
-  from ends x join word w on w.doc_id = x.doc_id and w.p between s and e group by all),
-later as (
-  select doc_id, s, e from run
-  qualify row_number() over (partition by body order by doc_id, s) > 1),
-gone as (
-  select distinct w.doc_id, w.i from later x join word w on w.doc_id = x.doc_id and w.p between s and e),
 marked as (
-  select line.*, gone.i is not null as cut from line left join gone using (doc_id, i))
+  select *, w and row_number() over (partition by l order by doc_id, i) > 1 as cut from line)
 select doc_id,
-       case when count(*) filter (cut) > 0 and count(*) filter (cut) = count(*) filter (w > 0) then ''
+       case when count(*) filter (cut) > 0 and count(*) filter (cut) = count(*) filter (w) then ''
             else string_agg(l, chr(10) order by i) filter (not cut) end as text,
        count(*) filter (cut) as n_removed
 from marked group by doc_id
 """)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document after later copies of runs of 50 or more words are deleted, and how many lines went."""
-    found = lines.remove_repeated_lines(table(spark, sf_dir, "documents"), min_words=50, removed="n_removed")
+    """Every document after later copies of runs of lines are deleted, and how many lines went."""
+    found = lines.remove_repeated_lines(table(spark, sf_dir, "documents"), removed="n_removed")
     return found.select("doc_id", "text", F.col("n_removed").cast("long"))
 
 

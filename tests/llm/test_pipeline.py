@@ -25,7 +25,7 @@ def test_stages_and_run(spark):
         tables.append({r["doc_id"]: r["text"] for r in rows})
     given, spoken, single, apart, clean = tables
     assert len(spoken) >= 0.99 * len(given) and all(given[i] == t for i, t in spoken.items())
-    assert single == {i: t for i, t in without_repeats(spoken, 50).items() if t or not spoken[i]}
+    assert single == {i: t for i, t in without_repeats(spoken).items() if t or not spoken[i]}
     groups = plain_groups({i: plain_fingerprint(t) for i, t in single.items()}, 2)
     assert apart == {i: t for i, t in single.items() if groups[i] == i}
     items = [(r[0], r[1]) for r in spark.read.parquet(f"{PATH}/benchmark.parquet").select("item_id", "text").collect()]
