@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import md5
 from html import unescape
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dwitable.llm.common import sliced
-from dwitable.session import if_small, materialise
+from dwitable.session import settled
 
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
@@ -48,24 +49,26 @@ BLOCKS = frozenset(
 STATES = frozenset("has with no without non open enabled disabled".split())
 GOOD = frozenset("article content entry post story main body text".split())
 
+#: A tag's attributes: a quoted value counts only after an equals sign, an unquoted one ends at white space or the tag's end.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + RAW.replace(" ", "|") + r")\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(?P<end2>/?)(?P<tag2>[a-z][^\s/>]*+)(?P<attrs2>[^>]*+)>|<[!?/][^>]*+>", re.I | re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attrs>(?:=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)|[^>=]++|=)*+)>"
+    r"|<[!?/][^>]*+>", re.I | re.S)
+ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+)))?+")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class _Node:
     """An open or closed element."""
 
-    __slots__ = ("tag", "path", "parent", "mark", "fixed", "order", "likely", "own", "clear", "aside", "good", "whole", "free", "shut", "inside")
+    __slots__ = ("tag", "path", "parent", "mark", "fixed", "order", "likely", "own", "clear", "aside", "good", "whole", "free", "shut", "linked", "inside")
 
     def __init__(self, tag: str, path: str, parent: _Node | None, mark: int, fixed: bool, order: int, likely: bool):
         self.tag, self.path, self.parent, self.mark, self.fixed, self.order, self.likely = tag, path, parent, mark, fixed, order, likely
         self.own = self.clear = 0  # characters of the element itself: all, and those outside links
         self.aside = self.good = self.whole = 0  # the mark that holds; characters outside links and marked parts, and all
         self.free, self.shut = 0, False  # characters outside links that lie in no part marked for sure by its tag
+        self.linked = 0  # characters in links outside marked parts
         self.inside: list[tuple[int, int]] = []  # ranges of pieces
 
 
@@ -74,6 +77,8 @@ class _Node:
 NOT, MAYBE, LOOSE, SURE = range(4)
 #: Shares of a page's text: more than half, nearly all, and so little that it is not the article.
 HALF, NEARLY, FEW = 0.5, 0.9, 0.05
+#: Paths from this length on begin with a digest of what is above.
+LONG_PATH = 2000
 #: A host's path with a smaller share of what the page's own best container holds is a box on that page.
 SMALL = 0.2
 
@@ -81,8 +86,10 @@ SMALL = 0.2
 def _attributes(text: str) -> tuple[str, int, bool, bool]:
     """The generalised classes, how far the words mark no article, whether they mark one, and whether the element is hidden."""
     classes, words, marks, hidden = "", set(), set(), False
+    known: dict[str, str] = {}
     for name, a, b, c in ATTRIBUTE.findall(text):
-        name, value = name.lower(), a or b or c
+        known.setdefault(name.lower(), a or b or c)
+    for name, value in known.items():
         if name == "class":
             classes = "".join("." + x for x in sorted({re.sub(r"\d+", "#", x) for x in value.lower().split()}))
         if name in ("class", "id", "role"):
@@ -113,9 +120,8 @@ class Page:
             if m.start() > at:
                 self._text(html[at : m.start()])
             at = m.end()
-            tag = m["tag"] or m["tag2"]
-            if tag:
-                (self._end if m["end"] or m["end2"] else self._start)(tag.lower(), m["attrs"] or m["attrs2"] or "")
+            if m["tag"]:
+                (self._end if m["end"] else self._start)(m["tag"].lower(), m["attrs"])
         if at < len(html):
             self._text(html[at:])
         self._pop(0)
@@ -153,10 +159,11 @@ class Page:
                 n.aside = SURE if n.parent.aside == SURE else NOT if n.mark == MAYBE else n.mark
             else:
                 n.aside = max(n.parent.aside, n.mark)
-            n.whole, n.good = n.own, 0 if n.aside else n.clear
+            n.whole, n.good, n.linked = n.own, 0 if n.aside else n.clear, 0 if n.aside else n.own - n.clear
         for n in reversed(self.nodes[1:]):
             n.parent.whole += n.whole
             n.parent.good += n.good
+            n.parent.linked += n.linked
         self.containers = [n for n in self.nodes if n.tag in CONTAINERS and not n.aside]
 
     def _lift(self) -> bool:
@@ -230,7 +237,8 @@ class Page:
         elif tag in ASIDE:
             mark, fixed = SURE, True
         parent = self.stack[-1]
-        path = f"{parent.path}>{tag}{classes}" if len(parent.path) < 2000 else parent.path
+        above = parent.path if len(parent.path) < LONG_PATH else "#" + md5(parent.path.encode()).hexdigest()
+        path = f"{above}>{tag}{classes}"
         node = _Node(tag, path, parent, mark, fixed, len(self.pieces), likely or tag in ("article", "main"))
         self.stack.append(node)
         self.nodes.append(node)
@@ -254,8 +262,25 @@ class Page:
         return node.good * node.good / node.whole * (1.5 if node.likely else 1.0) if node.whole else 0.0
 
     def best(self) -> _Node:
-        """The container with the highest score, the innermost of equal ones."""
-        return max(self.containers, key=lambda n: (self.score(n), n.order))
+        """The container with the highest score, the innermost of equal ones, or what holds the article's other parts too.
+
+        A container around it is taken as long as it adds much text that is not in links, so that an article in several
+        sections is whole although their common parent has a menu as well; around one that is named as an article, still
+        more. An article or main element is whole by itself.
+        """
+        found = max(self.containers, key=lambda n: (self.score(n), n.order))
+        around = found.parent
+        while around is not None and found.tag not in ("article", "main"):
+            if around.aside or around.tag not in CONTAINERS:
+                around = around.parent
+                continue
+            more = around.good - found.good
+            linked = around.linked - found.linked
+            if more < (HALF if found.likely else SMALL) * found.good or linked > HALF * more:
+                around = around.parent
+                continue
+            found, around = around, around.parent
+        return found
 
     def text(self, nodes: list[_Node]) -> str:
         """The containers' text in page order, without marked parts; white space and breaks are one space."""
@@ -316,7 +341,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     best container counts. Repeated rows give repeated rows. An empty table gives an empty result; other columns are ignored.
     """
     rows = with_host(pages)
-    winners = if_small(materialise(winning_paths(rows), "paths"))
+    winners = settled(winning_paths(rows), "paths")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):

@@ -124,3 +124,59 @@ def test_parts_and_other_templates_on_a_host(spark):
              (31, "http://a.org/x", f"<body><article>Box.</article><main>{text}</main>", "c", 1)]
     found = {r["page_id"]: r["text"] for r in html.main_texts(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
     assert found == {**dict.fromkeys(range(20), text.strip()), 30: text + "Second part.", 31: text.strip()}
+
+
+def alone(page):
+    return html.Page(page).main_text(None)[0]
+
+
+def test_attributes_are_read_in_order_and_by_their_whole_name():
+    for attributes in ('title="a hidden gem"', "title='style=display:none'", 'data-hidden="true"', "data-class=sidebar", 'data-id="comments" data-role=navigation',
+                       'alt="x" class="content" title="class=sidebar hidden"', "class=content id=a1 class=sidebar", 'x-hidden hidden-x aria-hidden="false"',
+                       'title="1 > 0 hidden"', "title=hidden", 'title = "hidden"', 'title=a"hidden', "title='a\"hidden'"):
+        assert alone(f"<article {attributes}><p>The whole text.</p></article>") == "The whole text.", attributes
+        assert alone(f"<div class=content data-x {attributes}><p>The whole text.</p></div>") == "The whole text.", attributes
+    for attributes in ("hidden", "HIDDEN=''", 'a="b" hidden', "title=x hidden", 'class="y"hidden', "style='color:red; Display: none'", "aria-hidden=true",
+                       "class=comments", 'id="comments"', "role='navigation'", "title='it' class=sidebar"):
+        page = f"<body><div class=main><p>Kept text of the page.</p><div {attributes}><p>gone</p></div></div></body>"
+        assert alone(page) == "Kept text of the page.", attributes
+
+
+def test_apostrophes_and_quotes_outside_values():
+    assert alone("<p title=Bob's>First</p><p>second don't stop</p><p>third</p>") == "First second don't stop third"
+    assert alone("<p title=5\">one</p><p>\"two\"</p><p 'x>three</p>") == "one \"two\" three"
+    assert alone("<div class=\"a>b\" id='c>d'>in</div>") == "in"
+    assert alone('<p class="never closed>first</p><p>second</p>') == "first second"
+    assert alone("<a href=x=\"y>one</a> two") == "one two"
+
+
+def test_an_article_in_sections_beside_a_long_menu():
+    intro, body, menu = "intro words " * 40, "body words " * 40, "menu entry " * 40
+    page = f"<body><nav>{menu}</nav><section class=intro>{intro}</section><section class=body>{body}</section></body>"
+    assert alone(page) == (intro + body).strip()
+    thirds = "".join(f"<div class=part-{x}>{x * 3} {'text of it ' * 30}</div>" for x in "abc")
+    links = "<div class=more>" + "<a href=x>another page of this site</a> " * 30 + "</div>"
+    assert alone(f"<body><nav>{menu}</nav><div class=wrap>{thirds}</div>{links}</body>").split()[::91] == ["aaa", "bbb", "ccc"]
+    assert "another" not in alone(f"<body><nav>{menu}</nav><div class=wrap>{thirds}</div>{links}</body>")
+    assert alone(f"<body><article>{body}</article><section class=latest>{intro[:99]}</section></body>") == body.strip()
+
+
+def test_deep_containers_have_paths_of_their_own(spark):
+    deep = "".join(f"<div class={'level' * 20}-{'x' * i}>" for i in range(60))
+    page = f"{deep}<div class=one>{'first text ' * 30}</div><blockquote class=two>quoted</blockquote>{'</div>' * 60}"
+    paths = [n.path for n in html.Page(page).containers]
+    assert len(set(paths)) == len(paths) and max(map(len, paths)) < 3 * html.LONG_PATH
+    rows = [(i, f"http://deep.example/{i}", page) for i in range(4)]
+    found = html.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["text"] for r in found} == {"first text " * 30 + "quoted"}
+
+
+def test_a_host_whose_articles_lie_in_differently_classed_siblings(spark):
+    def page(i):
+        parts = "".join(f"<div class={c}>part {c} of {i} {'and so on ' * 20}</div>" for c in ("lead", "rest"))
+        return f"<body><div class=menu>{'menu ' * 90}</div><div class=wrap>{parts}</div><div class=footer>end</div></body>"
+
+    rows = [(i, f"http://split.example/{i}", page(i)) for i in range(6)] + [(9, "http://split.example/9", "<div class=wrap><div class=lead>short</div></div>")]
+    found = {r["page_id"]: r["text"] for r in html.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(f"part lead of {i}" in found[i] and f"part rest of {i}" in found[i] and "menu" not in found[i] for i in range(6))
+    assert found[9] == "short"
