@@ -104,6 +104,13 @@ def _sum(values: Column, value) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, v: s + value(v))
 
 
+def _sum_of_neighbours(values: Column, value) -> Column:
+    """The sum of a function of each value and the next; one pass, so that a string of any length takes time in proportion."""
+    start = F.struct(F.lit(None).cast("double").alias("last"), F.lit(0.0).alias("sum"))
+    return F.aggregate(values, start, lambda s, v: F.struct(
+        v.alias("last"), (s["sum"] + F.coalesce(F.when(s["last"].isNotNull(), value(s["last"], v)), F.lit(0.0))).alias("sum")), lambda s: s["sum"])
+
+
 def battery(tokens: Column) -> Column:
     """Tests of an array of ``(start, end, found)``, of which strings without an encoding are left out.
 
@@ -122,18 +129,15 @@ def battery(tokens: Column) -> Column:
                    alphabet=lambda t: F.element_at(alphabet, t["encoding"]))
     tokens = _with(
         tokens, n=lambda t: F.length(t["body"]).cast("double"), k=lambda t: F.length(t["alphabet"]).cast("double"),
-        x=lambda t: F.transform(F.sequence(F.lit(1), F.length(t["body"])), lambda i: (
-            F.instr(t["alphabet"], F.substr(t["body"], i, F.lit(1))) - 1).cast("double")),
+        x=lambda t: F.transform(F.filter(F.split(t["body"], ""), lambda c: c != ""), lambda c: (F.instr(t["alphabet"], c) - 1).cast("double")),
         squares=lambda t: _sum(F.sequence(F.lit(1), F.length(t["alphabet"])), lambda i: F.pow(
             F.length(t["body"]) - F.length(F.replace(t["body"], F.substr(t["alphabet"], i, F.lit(1)), F.lit(""))), F.lit(2.0))))
     tokens = _with(
         tokens, mean=lambda t: _sum(t["x"], lambda v: v) / t["n"],
-        upper=lambda t: _sum(t["x"], lambda v: number(v * 2 >= t["k"])),
-        pairs=lambda t: F.zip_with(F.slice(t["x"], F.lit(1), F.size(t["x"]) - 1), F.slice(t["x"], F.lit(2), F.size(t["x"]) - 1),
-                                   lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+        upper=lambda t: _sum(t["x"], lambda v: number(v * 2 >= t["k"])))
     tokens = _with(
-        tokens, runs=lambda t: 1 + _sum(t["pairs"], lambda v: number((v["a"] * 2 >= t["k"]) != (v["b"] * 2 >= t["k"]))),
-        product=lambda t: _sum(t["pairs"], lambda v: (v["a"] - t["mean"]) * (v["b"] - t["mean"])),
+        tokens, runs=lambda t: 1 + _sum_of_neighbours(t["x"], lambda a, b: number((a * 2 >= t["k"]) != (b * 2 >= t["k"]))),
+        product=lambda t: _sum_of_neighbours(t["x"], lambda a, b: (a - t["mean"]) * (b - t["mean"])),
         spread=lambda t: _sum(t["x"], lambda v: (v - t["mean"]) * (v - t["mean"])),
         expected=lambda t: 2 * t["upper"] * (t["n"] - t["upper"]) / t["n"])
     tokens = _with(

@@ -2,9 +2,11 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import string
+import time
 
 from pyspark.sql import functions as F
 
@@ -76,6 +78,73 @@ def test_chances_are_in_range_and_even_under_randomness(spark):
     assert 0.35 < sum(r["p_serial"] for r in out) / 300 < 0.65
 
 
+def plain_noncentral_tail(x, freedom, shift):
+    """The distribution function at ``x`` as a Poisson mixture of central ones, each by its series."""
+    total, weight, j = 0.0, math.exp(-shift / 2), 0
+    while j < 400:
+        a, z = freedom / 2 + j, x / 2
+        term = math.exp(a * math.log(z) - z - math.lgamma(a + 1)) if z > 0 else 0.0
+        part, n = term, 1
+        while term > 1e-18 * part and n < 2000:
+            term *= z / (a + n)
+            part += term
+            n += 1
+        total += weight * part
+        j += 1
+        weight *= shift / 2 / j
+    return total
+
+
+def test_chances_equal_plain_ones(spark):
+    strings = random_strings(8, 60) + ["ThisIsALongCamelCaseIdentifierName12", "aaaaBBBB1111ccccDDDD", "X1" * 30]
+    df = spark.createDataFrame([([(0, len(s), s) for s in strings],)], "t array<struct<start:int,end:int,found:string>>")
+    for r in df.select(F.inline(secrets.battery(F.col("t")))).collect():
+        letters = secrets.ALPHABETS[r["encoding"]]
+        body = r["found"].rstrip("=")
+        body = body.upper() if r["encoding"] == "hex" else body
+        x, n, k = [letters.index(c) for c in body], len(body), len(letters)
+        chi = k * sum(body.count(c) ** 2 for c in letters) / n - n
+        want = plain_noncentral_tail(chi, k - 1, n * (k * secrets.EQUAL[r["encoding"]] - 1))
+        if want > 1e-12:
+            assert abs(math.log10(max(r["p_even"], 1e-30)) - math.log10(want)) < 0.05 - 0.12 * math.log10(want), (r["found"], r["p_even"], want)
+        high = [2 * v >= k for v in x]
+        up = sum(high)
+        if 0 < up < n:
+            runs = 1 + sum(a != b for a, b in zip(high, high[1:]))
+            mean = 2 * up * (n - up) / n
+            z = (runs - mean - 1) / math.sqrt(mean * (mean - 1) / (n - 1))
+            assert abs(r["p_runs"] - math.erfc(abs(z) / math.sqrt(2))) < 1e-5
+            m = sum(x) / n
+            serial = sum((a - m) * (b - m) for a, b in zip(x, x[1:])) / sum((a - m) ** 2 for a in x)
+            assert abs(r["p_serial"] - math.erfc(abs((serial + 1 / n) * math.sqrt(n)) / math.sqrt(2))) < 1e-5
+
+
+def test_limits_equal_the_rule(spark):
+    """Benjamini and Hochberg: the least threshold at which expected false finds are at most the share of the finds."""
+    rnd = random.Random(4)
+    rows = [(rnd.randrange(3000), rnd.randrange(3), 0) for _ in range(4000)]
+    rows = list({n: (n, b, rnd.choice([0, 1, 2, 5, 9, 15, 25, 40]) if b else rnd.randrange(4)) for n, b, _ in rows}.values())
+    df = spark.createDataFrame(rows + rows[:100], "name long, band int, tenths int")
+    for rate in (0.01, 0.2, 0.6):
+        want = {}
+        for band in range(3):
+            mine = [t for _, b, t in rows if b == band]
+            good = [t for t in sorted(set(mine)) if len(mine) * 10 ** (-t / 10) <= rate * sum(x >= t for x in mine)]
+            want |= {band: good[0]} if good else {}
+        assert secrets.limits(df, rate) == want and (rate < 0.1 or want)
+
+
+def test_a_very_long_token(spark):
+    """Two strings of four million characters, a random and an ordinary one, in time in proportion to their length."""
+    rnd = random.Random(9)
+    token = base64.b64encode(rnd.randbytes(3_000_000)).decode()
+    plain_ = "OrdinaryWords1" * 280_000
+    df = spark.createDataFrame([(1, f"data:{token} end"), (2, f"x {plain_} y")], "doc_id long, text string").repartition(2)
+    began = time.monotonic()
+    found = {r["doc_id"]: [(x["start"], x["end"]) for x in r["added"]] for r in secrets.secrets(df).collect()}
+    assert found == {1: [(5, 5 + len(token))], 2: []} and time.monotonic() - began < 90
+
+
 def test_query_digest_and_span_text(spark, tmp_path):
     rows = list(enumerate(CASES))
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
