@@ -3,22 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dwitable.llm.common import SLICE, crc_bucket, fresh, sliced
+from dwitable.session import BROADCAST_BYTES, settled, shared_dir
 
 DIMENSIONS = 1024
 SEED = 7
 UNKNOWN = "und"
 #: Vectors of triples that a worker remembers, and entries of a count matrix that are bundled at once.
 KNOWN_TRIPLES, ENTRIES = 16_384, 4096
-#: More values of ``lang`` than that are no set of languages.
-MOST_LANGUAGES = 1000
+#: Prototypes that a worker sums up or compares at once.
+BLOCK_LANGUAGES = 2000
 
 
 @lru_cache(maxsize=1)
@@ -102,62 +106,119 @@ def bundles(texts: list[str | None]) -> np.ndarray:
     return np.divide(out, length, out=out, where=length > 0)
 
 
-def learn(docs: DataFrame, sample_per_language: int = 3000) -> dict[str, np.ndarray]:
+@dataclass
+class Prototypes:
+    """A prototype for each language, in the order of their names: at hand if they are small, else read in blocks from a table."""
+
+    names: list[str]
+    matrix: np.ndarray | None
+    path: str | None = None
+
+    def blocks(self) -> Iterator[tuple[list[str], np.ndarray]]:
+        if self.path is None:
+            if self.names:
+                yield self.names, self.matrix
+            return
+        store, root = pyarrow.fs.FileSystem.from_uri(self.path if ":" in self.path.split("/")[0] else f"file://{self.path}")
+        files = sorted(f.path for f in store.get_file_info(pyarrow.fs.FileSelector(root)) if f.base_name.startswith("part-"))
+        for file in files:
+            for batch in pyarrow.parquet.ParquetFile(store.open_input_file(file)).iter_batches(BLOCK_LANGUAGES):
+                if batch.num_rows:
+                    yield batch.column(0).to_pylist(), _matrix(batch.column(1))
+
+
+def _matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Rows of a list column as a matrix."""
+    return np.asarray(vectors.flatten() if isinstance(vectors, pa.Array) else vectors.combine_chunks().flatten(), np.float32).reshape(-1, DIMENSIONS)
+
+
+def _summed(found: Iterator[tuple[str, np.ndarray]], most: int) -> Iterator[pa.RecordBatch]:
+    """Sums of vectors by language, in rounds of at most ``most`` languages."""
+    totals: dict[str, np.ndarray] = {}
+
+    def batch() -> pa.RecordBatch:
+        vectors = pa.array(np.stack(list(totals.values())).reshape(-1))
+        return pa.record_batch([pa.array(list(totals)), pa.FixedSizeListArray.from_arrays(vectors, DIMENSIONS).cast(pa.list_(pa.float64()))], ["lang", "vector"])
+
+    for lang, vector in found:
+        if lang not in totals and len(totals) >= most:
+            yield batch()
+            totals = {}
+        totals[lang] = totals.get(lang, 0) + vector
+    if totals:
+        yield batch()
+
+
+def learn(docs: DataFrame, sample_per_language: int = 3000, at_hand_bytes: int = BROADCAST_BYTES) -> Prototypes:
     """A prototype for each value of ``lang``: the bundle of its documents' vectors, at length 1.
 
     Every language learns from a sample of about ``sample_per_language`` documents, chosen by a hash of the text, so the model
-    and the time to make it do not grow with the input. Rows with a null lang, and texts without a letter, teach nothing.
+    and the time to make it do not grow with a language's documents. There may be any number of languages: prototypes are a
+    table, which tasks read in blocks unless it has at most ``at_hand_bytes``. Rows with a null lang, and texts without a
+    letter, teach nothing.
     """
     known = docs.select("text", "lang").where("lang is not null")
-    counts = known.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} values of lang")
-    if not counts:
-        return {}
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, sample_per_language / r["count"]))])
-    drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.get(F.array(F.element_at(share, F.col("lang"))), F.lit(0)) * (1 << 20)
-    sample = known.where(drawn)
+    counts = settled(known.groupBy("lang").agg((sample_per_language / F.count(F.lit(1))).alias("share")), "languages")
+    sample = known.join(counts, "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.least(F.col("share"), F.lit(1.0)) * (1 << 20))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str, np.ndarray] = {}
-        for batch in sliced(batches):
-            vectors = bundles(batch.column(0).to_pylist())
-            langs = np.asarray(batch.column(1).to_pylist(), object)
-            for lang in set(langs):
-                totals[lang] = totals.get(lang, 0) + vectors[langs == lang].sum(axis=0, dtype=np.float64)
-        if totals:
-            yield pa.record_batch([pa.array(list(totals)), pa.array([v.tolist() for v in totals.values()], pa.list_(pa.float64()))],
-                                  ["lang", "vector"])
-
-    parts = sample.mapInArrow(sums, "lang string, vector array<double>").select("lang", F.posexplode("vector").alias("i", "x"))
-    rows = (parts.groupBy("lang", "i").agg(F.sum("x").alias("x")).groupBy("lang")
-            .agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("all")).select("lang", "all.x").collect())
-    model = {r["lang"]: np.asarray(r["x"], np.float32) for r in rows}
-    return {k: v / n for k, v in sorted(model.items()) if (n := np.linalg.norm(v)) > 0}
-
-
-def predicted(model: dict[str, np.ndarray], text: str = "text") -> Column:
+        def found() -> Iterator[tuple[str, np.ndarray]]:
+            for batch in sliced(batches):
+                vectors = bundles(batch.column(0).to_pylist())
+                langs = np.asarray(batch.column(1).to_pylist(), object)
+                for lang in sorted(set(langs)):
+                    yield lang, vectors[langs == lang].sum(axis=0, dtype=np.float64)
+
+        yield from _summed(found(), BLOCK_LANGUAGES)
+
+    def prototypes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple[str, np.ndarray]]:
+            for batch in sliced(batches):
+                yield from zip(batch.column(0).to_pylist(), _matrix(batch.column(1)), strict=True)
+
+        for batch in _summed(found(), 1):  # a language's parts follow each other
+            vector = _matrix(batch.column(1))[0]
+            size = float(np.linalg.norm(vector))
+            if size > 0:
+                yield pa.record_batch([batch.column(0), pa.array([(vector / np.float32(size)).tolist()], pa.list_(pa.float32()))], ["lang", "vector"])
+
+    parts = sample.select("text", "lang").mapInArrow(sums, "lang string, vector array<double>")
+    summed = parts.repartition("lang").sortWithinPartitions("lang").mapInArrow(prototypes, "lang string, vector array<float>")
+    path = shared_dir(docs.sparkSession, "prototypes")
+    summed.write.parquet(f"{path}/summed")
+    written = docs.sparkSession.read.schema("lang string, vector array<float>").parquet(f"{path}/summed")
+    if written.count() * DIMENSIONS * 4 <= at_hand_bytes:
+        rows = written.toArrow().sort_by("lang")
+        return Prototypes(rows.column(0).to_pylist(), _matrix(rows.column(1)))
+    written.orderBy("lang").write.parquet(f"{path}/ordered")
+    return Prototypes([], None, f"{path}/ordered")
+
+
+def predicted(model: Prototypes, text: str = "text") -> Column:
     """A struct ``(lang_pred, score)`` of a text column: the nearest prototype and the cosine to it, 0 if that is negative.
 
     ``und`` with score 0 for a null text, one without a letter, and any text if no language was learned. Equal cosines go to
     the language that comes first by name.
     """
-    names = sorted(model)
-    matrix = np.stack([model[k] for k in names]) if names else np.zeros((1, DIMENSIONS), np.float32)
+    rows = SLICE if model.path is None else 16 * SLICE
 
     @F.arrow_udf("lang_pred string, score double")
     def predict(found: pa.Array) -> pa.Array:
-        near, some = [], []
-        for start in range(0, len(found), SLICE):
-            vectors = bundles(found.slice(start, SLICE).to_pylist())
-            near.append(vectors @ matrix.T)
-            some.append(vectors.any(axis=1) & bool(names))
-        near = np.concatenate(near) if near else np.zeros((0, len(matrix)), np.float32)
-        some = np.concatenate(some) if some else np.zeros(0, bool)
-        best = near.argmax(axis=1)
-        lang = [names[b] if s else UNKNOWN for b, s in zip(best, some, strict=True)]
-        score = np.where(some, np.clip(near[np.arange(len(best)), best], 0, 1), 0.0).astype(float)
-        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
+        langs, scores = [], []
+        for start in range(0, len(found), rows):
+            vectors = bundles(found.slice(start, rows).to_pylist())
+            lang, score = np.full(len(vectors), UNKNOWN, object), np.full(len(vectors), -2.0, np.float32)
+            for names, matrix in model.blocks():
+                near = vectors @ matrix.T
+                best = near.argmax(axis=1)
+                near = near[np.arange(len(best)), best]
+                better = near > score
+                score[better] = near[better]
+                lang[better] = np.asarray(names, object)[best[better]]
+            some = vectors.any(axis=1) & (score > -2)
+            langs += np.where(some, lang, UNKNOWN).tolist()
+            scores.append(np.where(some, np.clip(score, 0, 1), 0.0).astype(float))
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], ["lang_pred", "score"])
 
     return predict(text)
 
@@ -171,8 +232,7 @@ def identify(docs: DataFrame, sample_per_language: int = 3000) -> DataFrame:
     """``(doc_id, held_out, lang_pred, score)`` of every document, learned from those that are not held out.
 
     Null and empty texts and an input without any learned language give ``und`` with score 0. Repeated rows are predicted alike.
-    A null doc_id is not held out. An empty table gives an empty result; other columns are ignored. More than ``MOST_LANGUAGES``
-    values of lang raise a ValueError.
+    A null doc_id is not held out. An empty table gives an empty result; other columns are ignored.
     """
     model = learn(docs.where(~held_out()), sample_per_language)
     found = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), predicted(model).alias("found"))
@@ -182,8 +242,7 @@ def identify(docs: DataFrame, sample_per_language: int = 3000) -> DataFrame:
 def with_known_language(docs: DataFrame, least_score: float = 0.05, sample_per_language: int = 3000) -> DataFrame:
     """The documents whose language is recognised, all columns unchanged: not ``und``, and a cosine of at least ``least_score``.
 
-    Chance alone gives a cosine of about 1 / sqrt(1024) = 0.03; short clean texts are often not far above 0.1. More than
-    ``MOST_LANGUAGES`` values of lang raise a ValueError.
+    Chance alone gives a cosine of about 1 / sqrt(1024) = 0.03; short clean texts are often not far above 0.1.
     """
     model = learn(docs.where(~held_out()), sample_per_language)
     name = fresh("found")

@@ -41,6 +41,55 @@ def test_language_edge_cases(spark):
         df.selectExpr("doc_id", "text", "cast(null as string) as lang", "score", "found"))).collect()} == {"und"}
 
 
+def plain_bundle(text):
+    """Letter by letter, with exact integers."""
+    lowered = "".join(c if c.isalpha() else " " for c in text.lower())
+    spaced = f" {' '.join(lowered.split())} "
+    total = np.zeros(langid.DIMENSIONS, np.int64)
+    for a, b, c in zip(spaced, spaced[1:], spaced[2:]):
+        va, vb, vc = (langid._letter_vector(ord(x)).astype(np.int64) for x in (a, b, c))
+        total += np.array([va[(i - 2) % langid.DIMENSIONS] * vb[(i - 1) % langid.DIMENSIONS] * vc[i] for i in range(langid.DIMENSIONS)])
+    return total / np.linalg.norm(total)
+
+
+def test_bundles_equal_a_plain_one():
+    texts = ["One two, three: THREE!", "x", "été — à la plage", "日本語 text 12 a1b"]
+    assert np.allclose(langid.bundles(texts), np.stack([plain_bundle(t) for t in texts]), atol=1e-5)
+
+
+def test_predictions_equal_plain_prototypes(spark):
+    docs = [r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").limit(80).collect()]
+    plain = {r["doc_id"]: plain_bundle((r["text"] or "")[:200]) for r in docs}
+    teach = [r for r in docs if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    names = sorted({r["lang"] for r in teach})
+    heads = np.stack([(v := sum(plain[r["doc_id"]] for r in teach if r["lang"] == n)) / np.linalg.norm(v) for n in names])
+    df = spark.createDataFrame([(r["doc_id"], (r["text"] or "")[:200], r["lang"]) for r in docs], "doc_id long, text string, lang string")
+    for r in langid.identify(df).collect():
+        near = heads @ plain[r["doc_id"]]
+        assert r["lang_pred"] == names[int(near.argmax())] and abs(r["score"] - max(0, near.max())) < 1e-4
+
+
+def test_any_number_of_languages(spark):
+    """Five thousand values of lang, two of which are languages and the others tags of single documents."""
+    rnd = random.Random(6)
+    kinds = {"aa": "alpha beta gamma delta epsilon".split(), "bb": "uno dos tres cuatro cinco".split()}
+    rows = [(i, " ".join(rnd.choices(kinds[k], k=20)), k) for i, k in enumerate(["aa", "bb"] * 200)]
+    rows += [(1000 + i, "".join(rnd.choices("qwxzjkvy", k=24)), f"tag-{i:05d}") for i in range(6700)] + [(9999, None, "tag-null")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: tuple(r) for r in langid.identify(df).collect()}
+    assert len(found) == len(rows) and found[9999][2] == "und"
+    assert len({r[2] for r in found.values()}) > 4000
+    assert all(found[i][2] == k for i, _, k in rows[:400])
+    model = langid.learn(df.where(~langid.held_out()))
+    blocks = langid.learn(df.where(~langid.held_out()), at_hand_bytes=1 << 20)
+    assert model.path is None and len(model.names) > 5000 - 1 and blocks.path is not None
+    read = list(blocks.blocks())
+    assert len(read) > 2 and [n for names, _ in read for n in names] == model.names
+    assert np.allclose(np.concatenate([m for _, m in read]), model.matrix, atol=1e-6)
+    by_blocks = {r[0]: tuple(r) for r in df.select("doc_id", langid.predicted(blocks).alias("f")).select("doc_id", "f.*").collect()}
+    assert all(by_blocks[i][1] == found[i][2] and abs(by_blocks[i][2] - found[i][3]) < 1e-5 for i in found)
+
+
 def test_bundles_do_not_depend_on_batches():
     texts = ["one two three", None, "été à la plage " * 400, "日本語のテキスト", "x"] * 3
     whole = langid.bundles(texts)
