@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from dwitable.functions import paths as P
 from dwitable.functions.columns import ColumnLike, col
 from dwitable.operators.indexing import paged
+from dwitable.sinks.replace import replace_parts
 
 PIPELINE = "dwitable"
 
@@ -90,14 +91,14 @@ def output_path(out_dir: str, subject: ColumnLike, category: ColumnLike, name: C
 
 
 def write_by_category(df: DataFrame, path: str, keys=("subject_id", "category"), file_rows: int = 1_000_000) -> None:
-    """Write a table with one directory per subject and category.
+    """Write a table with one directory per subject and category; those of other subjects and categories stay as they are.
 
     A directory of at most ``file_rows`` rows is one file; only larger ones are spread, by a hash of the row, over as many
     tasks as they need.
     """
     rows = [c for c in df.columns if c not in keys]
     spread = paged(df, list(keys), rows or list(keys), file_rows)
-    spread.drop("page").write.mode("overwrite").partitionBy(*keys).parquet(path)
+    replace_parts(spread.drop("page"), path, list(keys))
 
 
 def transfer_manifest(wanted: DataFrame, existing: DataFrame, overwrite: bool = False) -> DataFrame:

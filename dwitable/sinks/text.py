@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from dwitable.functions.columns import ColumnLike, col
 from dwitable.operators.indexing import BLOCK, block_of
+from dwitable.sinks.replace import replace_subjects
 
 
 def integer_line(value: ColumnLike) -> Column:
@@ -52,28 +53,27 @@ def vector_lines(vectors: DataFrame, axes: Sequence[str] = ("gx", "gy", "gz"), w
 
 
 BUCKETS = 64
+#: The column that the folders of documents add; not a name that a document would have.
+JSON_BUCKET = "_bucket"
 
 
-def write_lines(lines: DataFrame, path: str, order: str, width: int = BLOCK, buckets: int = BUCKETS) -> None:
+def write_lines(lines: DataFrame, path: str, order: str, width: int = BLOCK, buckets: int = BUCKETS, subjects: DataFrame | None = None) -> None:
     """Write ``(subject, <order>, line)`` as ordered records ``(subject, first, line_no, line)``, in ``buckets`` directories.
 
     ``first`` begins a block of ``width`` lines unless the table has it already. Subjects share a directory by hash; a file
     holds whole blocks in order. Ordinary subjects have one block, so a directory has one file for them, and the further
-    blocks of large subjects are written by other tasks.
+    blocks of large subjects are written by other tasks. What other subjects have there stays; ``subjects`` are
+    those that the lines are about, if some have none any more.
     """
     if "first" not in lines.columns:
         lines = lines.withColumn("first", block_of(order, width) * width)
-    rows = lines.select(F.pmod(F.xxhash64("subject"), F.lit(buckets)).alias("bucket"), "subject", "first",
-                        F.col(order).cast("long").alias("line_no"), "line")
-    (
-        rows.repartition("bucket", "first").sortWithinPartitions("bucket", "subject", "first", "line_no")
-        .write.mode("overwrite").partitionBy("bucket").json(path)
-    )
+    rows = lines.select("subject", F.col("first").cast("long").alias("first"), F.col(order).cast("long").alias("line_no"), "line")
+    replace_subjects(rows, path, ["subject"], "json", "bucket", buckets, ("subject", "first", "line_no"), ("first",), subjects)
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    """Write one JSON document per row."""
-    df.write.mode("overwrite").json(path)
+def write_json(df: DataFrame, path: str, keys: Sequence[str] = ("subject",), buckets: int = BUCKETS) -> None:
+    """Write one JSON document per row, in place of the documents that the same keys had; those of other keys stay."""
+    replace_subjects(df, path, keys, "json", JSON_BUCKET, buckets)
 
 
 def document(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -84,7 +84,7 @@ def read_qc(
     spark: SparkSession, path: str | list[str], schema: str = QC_SCHEMA, one_per_line: bool = False
 ) -> DataFrame:
     """Quality-control documents with a declared schema: one per file, or one per line."""
-    return spark.read.schema(schema).option("multiLine", str(not one_per_line).lower()).json(path)
+    return spark.read.schema(schema).option("multiLine", str(not one_per_line).lower()).json(path).drop("_bucket")
 
 
 def b_values(entries: DataFrame) -> DataFrame:

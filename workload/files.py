@@ -149,7 +149,7 @@ def s7(t):
 SELECT bucket, subject, qc_mot_abs, qc_mot_rel FROM qc""")
 def s8(t):
     path = shared_dir(t.spark, "qc")
-    K.write_json(t.qc, path)
+    K.write_json(t.qc, path, ("bucket", "subject"))
     return TX.read_qc(t.spark, path, f"bucket string, subject long, {TX.QC_SCHEMA}", one_per_line=True)
 
 
@@ -239,6 +239,30 @@ def k1(t):
     return t.spark.read.parquet(path).select(F.col("subject_id").cast("long").alias("subject_id"), "category", "vol", "rms_abs")
 
 
+@query("k1_added_subjects", "volumes", """
+SELECT subject AS subject_id, 'b' || CAST(bval AS STRING) AS category, vol, CASE WHEN subject % 3 = 0 THEN 'second' ELSE 'first' END AS pass
+FROM volumes WHERE NOT (subject % 3 = 0 AND vol >= 40)""")
+def k1_added(t):
+    path = shared_dir(t.spark, "layout")
+    rows = t.volumes.select(F.col("subject").alias("subject_id"), F.concat(F.lit("b"), F.col("bval").cast("string")).alias("category"), "vol", F.lit("first").alias("pass"))
+    L.write_by_category(rows, path)
+    L.write_by_category(rows.where("subject_id % 3 = 0 and vol < 40").withColumn("pass", F.lit("second")), path)
+    return t.spark.read.parquet(path).select(F.col("subject_id").cast("long").alias("subject_id"), "category", "vol", "pass")
+
+
+@query("k3_added_lines", "volumes", """
+SELECT subject, vol AS line_no, CASE WHEN subject % 4 = 1 THEN 'again ' ELSE '' END || CAST(vol AS STRING) AS line
+FROM volumes WHERE dropped = 1 AND subject % 5 <> 2""")
+def k3_added(t):
+    path = shared_dir(t.spark, "dropped")
+    dropped = t.volumes.filter("dropped = 1").select("subject", "vol", K.integer_line("vol").alias("line"))
+    K.write_lines(dropped, path, "vol", buckets=8)
+    again = dropped.where("subject % 4 = 1 and subject % 5 <> 2").withColumn("line", F.concat(F.lit("again "), "line"))
+    none = t.volumes.where("subject % 5 = 2").select("subject").distinct()
+    K.write_lines(again, path, "vol", subjects=none)
+    return TX.read_written_lines(t.spark, path).select("subject", "line_no", "line")
+
+
 @query("k1_output_path", "files", """
 SELECT key, '/data/out/' || subject_id || '/dwitable/' || role || '/' || regexp_extract(key, '([^/]*)$', 1) AS path FROM files""")
 def k1_path(t):
