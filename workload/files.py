@@ -17,6 +17,7 @@ from dwitable.sinks import layout as L
 from dwitable.sinks import text as K
 from dwitable.sources import keys as KS
 from dwitable.sources import listing as LS
+from dwitable.sources import sidecars as SC
 from dwitable.sources import stored as ST
 from dwitable.sources import text as TX
 from workload.registry import query
@@ -104,6 +105,29 @@ def s4(t):
     )
 
 
+@query("s4_sidecar_properties", "mixed_bodies", """
+SELECT make, name, CASE WHEN body IS NOT NULL THEN json_valid(body) END AS is_json,
+  CASE WHEN json_valid(body) THEN json_extract_string(body, '$.PhaseEncodingDirection') END AS direction,
+  CASE WHEN json_valid(body) THEN TRY_CAST(json_extract_string(body, '$.EchoTime') AS DOUBLE) END AS echo_time,
+  CASE WHEN json_valid(body) THEN TRY_CAST(json_extract_string(body, '$.Nested.EchoTime') AS DOUBLE) END AS nested_time,
+  CASE WHEN json_valid(body) THEN TRY_CAST(json_extract_string(body, '$.eddy_quad.qc_mot_abs') AS BIGINT) END AS qc_mot_abs
+FROM mixed_bodies""")
+def s4_properties(t):
+    types = {"PhaseEncodingDirection": "string", "EchoTime": "double", "Nested/EchoTime": "double", "eddy_quad/qc_mot_abs": "long"}
+    names = {"PhaseEncodingDirection": "direction", "EchoTime": "echo_time", "Nested/EchoTime": "nested_time", "eddy_quad/qc_mot_abs": "qc_mot_abs"}
+    return SC.with_properties(SC.parsed(t.mixed_bodies), types, names).drop(SC.DOCUMENT)
+
+
+@query("s4_property_kinds", "mixed_bodies", """
+SELECT make, property, kind, count(*) AS n FROM (
+  SELECT make, property, CASE json_type(body, '$."' || property || '"') WHEN 'VARCHAR' THEN 'string' WHEN 'NULL' THEN 'null' WHEN 'ARRAY' THEN 'array'
+    WHEN 'OBJECT' THEN 'object' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'number' END AS kind
+  FROM (SELECT make, body, unnest(json_keys(body)) AS property FROM mixed_bodies WHERE json_valid(body) AND json_type(body) = 'OBJECT') AS k) AS p
+GROUP BY make, property, kind""")
+def s4_kinds(t):
+    return SC.property_kinds(SC.parsed(t.mixed_bodies), "make")
+
+
 @query("s5_read_matrix", "volumes", """
 SELECT subject, vol, round(gx, 6) AS gx, round(gy, 6) AS gy, round(gz, 6) AS gz FROM volumes""")
 def s5(t):

@@ -304,6 +304,16 @@ report_json AS (
       ',"qc_mot_rel":' || CAST(CAST(round(qc_mot_rel * 1000) AS BIGINT) AS STRING) || '}}' END AS body FROM qc)
 """)
 
+# JSON of different makes in one table: sidecars, reports, and notes by hand, some of which are of other types or no JSON.
+fixture("mixed_bodies", ("sidecars", "report_json"), """
+mixed_bodies AS (
+  SELECT 'sidecar' AS make, key AS name, body FROM sidecars
+  UNION ALL SELECT 'report', bucket || '/' || CAST(subject AS STRING), body FROM report_json
+  UNION ALL SELECT 'note', 'n' || CAST(c_custkey AS STRING), CASE c_custkey % 7 WHEN 0 THEN '{"EchoTime": ' WHEN 1 THEN '{"EchoTime": "0.08"}'
+    WHEN 2 THEN '{"EchoTime": 3, "Tags": ["a", "b"], "a/b": 1}' WHEN 3 THEN '{"EchoTime": null, "PhaseEncodingDirection": true}' WHEN 4 THEN '[1, 2]'
+    WHEN 5 THEN CAST(NULL AS STRING) ELSE '{"Nested": {"EchoTime": ' || CAST(c_custkey % 1000 AS STRING) || '.25}, "PhaseEncodingDirection": 2}' END FROM {customer})
+""")
+
 # One text file per subject: whitespace numbers, some of them bad.
 fixture("text_rows", ("volumes",), """
 text_rows AS (
