@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dwitable.session import settled
+
 Subjects = None | int | str | Sequence[str]
 
 
@@ -81,6 +83,31 @@ def first_valid(validity: DataFrame, n: int) -> DataFrame:
     return validity.filter("valid").orderBy("subject_id").limit(n)
 
 
+def first_valid_of(subjects: DataFrame, validate: Callable[[DataFrame], DataFrame], n: int, first_batch: int | None = None) -> DataFrame:
+    """The first N valid subjects by id, where validity is found out batch by batch until there are enough: ``(subject_id, valid)``.
+
+    ``validate`` takes a table of subject ids and says ``(subject_id, valid)`` of each. Batches are the next ids in order, each twice
+    as large as the one before, so not many more subjects than needed are looked at, and very few batches if most
+    are invalid. The result is that of ``first_valid`` over all subjects. Repeated ids count once.
+    """
+    check_subjects(n)
+    left = subjects.select("subject_id").where("subject_id is not null").distinct()
+    size, found, parts = first_batch or n, 0, []
+    while found < n:
+        batch = settled(left.orderBy("subject_id").limit(size), "batch")
+        passed = settled(validate(batch).where("valid").select("subject_id", "valid"), "valid")
+        parts.append(passed)
+        count, last = batch.agg(F.count(F.lit(1)), F.max("subject_id")).first()
+        if count < size:
+            break
+        found += passed.count()
+        left, size = left.where(F.col("subject_id") > last), 2 * size
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.orderBy("subject_id").limit(n)
+
+
 def selection_counts(validity: DataFrame) -> DataFrame:
     """How many subjects were asked for, are valid, and were discarded."""
     return validity.agg(

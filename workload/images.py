@@ -79,6 +79,36 @@ def m7(t):
     return _oriented(t).select("subject", "t", "i", "j", "k", "value")
 
 
+POLAR_SQL = """scaled AS (
+  SELECT subject, a00 / sqrt(a00*a00 + a10*a10 + a20*a20) AS a, a01 / sqrt(a01*a01 + a11*a11 + a21*a21) AS b, a02 / sqrt(a02*a02 + a12*a12 + a22*a22) AS c,
+    a10 / sqrt(a00*a00 + a10*a10 + a20*a20) AS d, a11 / sqrt(a01*a01 + a11*a11 + a21*a21) AS e, a12 / sqrt(a02*a02 + a12*a12 + a22*a22) AS f,
+    a20 / sqrt(a00*a00 + a10*a10 + a20*a20) AS g, a21 / sqrt(a01*a01 + a11*a11 + a21*a21) AS h, a22 / sqrt(a02*a02 + a12*a12 + a22*a22) AS i
+  FROM sheared_affines),
+newton AS (
+  SELECT 0 AS n, * FROM scaled
+  UNION ALL
+  SELECT n + 1, subject, (a + (e*i - f*h) / det) / 2, (b + (f*g - d*i) / det) / 2, (c + (d*h - e*g) / det) / 2,
+    (d + (c*h - b*i) / det) / 2, (e + (a*i - c*g) / det) / 2, (f + (b*g - a*h) / det) / 2,
+    (g + (b*f - c*e) / det) / 2, (h + (c*d - a*f) / det) / 2, (i + (a*e - b*d) / det) / 2
+  FROM (SELECT *, a * (e*i - f*h) - b * (d*i - f*g) + c * (d*h - e*g) AS det FROM newton) AS m WHERE n < 60),
+first_axis AS (
+  SELECT *, CASE WHEN abs(a) > abs(d) AND abs(a) > abs(g) THEN 0 WHEN abs(d) > abs(g) THEN 1 ELSE 2 END AS w0 FROM newton WHERE n = 60),
+second_axis AS (
+  SELECT *, CASE w0 WHEN 0 THEN CASE WHEN abs(e) > abs(h) THEN 1 ELSE 2 END WHEN 1 THEN CASE WHEN abs(b) > abs(h) THEN 0 ELSE 2 END
+    ELSE CASE WHEN abs(b) > abs(e) THEN 0 ELSE 1 END END AS w1 FROM first_axis)"""
+
+
+@query("m7_sheared_axes", "sheared_affines", f"""+ {POLAR_SQL}
+SELECT subject, w0, w1, 3 - w0 - w1 AS w2, CASE WHEN CASE w0 WHEN 0 THEN a WHEN 1 THEN d ELSE g END < 0 THEN -1 ELSE 1 END AS s0,
+  CASE WHEN CASE w1 WHEN 0 THEN b WHEN 1 THEN e ELSE h END < 0 THEN -1 ELSE 1 END AS s1,
+  CASE WHEN CASE 3 - w0 - w1 WHEN 0 THEN c WHEN 1 THEN f ELSE i END < 0 THEN -1 ELSE 1 END AS s2,
+  round(a, 5) + 0.0 AS r00, round(e, 5) + 0.0 AS r11, round(g, 5) + 0.0 AS r20 FROM second_axis""", recursive=True)
+def m7_sheared(t):
+    axes = V.orientation(t.sheared_affines)
+    turned = V.with_rotation(t.sheared_affines).select("subject", *[(F.round(c, 5) + 0.0).alias(c) for c in ("r00", "r11", "r20")])
+    return axes.join(turned, "subject")
+
+
 PAD_SQL = """frame AS (SELECT subject, ni, nj, CAST(floor((16 - ni) / 2) AS INT) AS da, CAST(floor((16 - nj) / 2) AS INT) AS db, unnest(range(0, nk)) AS k FROM dims),
 cells AS (SELECT subject, k, da, db, a, unnest(range(0, 16)) AS b FROM (SELECT *, unnest(range(0, 16)) AS a FROM frame) AS f)"""
 

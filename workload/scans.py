@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from dwitable.functions import maths as M
 from dwitable.operators import groupqc as G
@@ -15,6 +16,7 @@ from dwitable.operators import report as RP
 from dwitable.operators import tensor as T
 from dwitable.operators import volumes as V
 from dwitable.operators.profile import MULTI_SITE, StudyProfile
+from dwitable.operators.steps import SubjectStep, as_step
 from dwitable.plans import study
 from dwitable.session import materialise, shared_dir
 from dwitable.sinks import text as K
@@ -560,6 +562,34 @@ def x2(t):
     return thinned.select("subject", "vol", "bval")
 
 
+class Steps(SubjectStep):
+    """Each volume with the change of its b-value from the one before, and at the end how many volumes there were."""
+
+    def __init__(self):
+        self.last, self.seen, self.subject = None, 0, None
+
+    @staticmethod
+    def schema(given):
+        return StructType([given["subject"], given["vol"], given["bval"], StructField("change", LongType()), StructField("seen", LongType())])
+
+    def row(self, row):
+        self.seen, self.subject = self.seen + 1, row["subject"]
+        yield row["subject"], row["vol"], row["bval"], None if self.last is None else row["bval"] - self.last, None
+        self.last = row["bval"]
+
+    def end(self):
+        yield self.subject, None, None, None, self.seen
+
+
+@query("x2_table_function", "scan_volumes", """
+SELECT subject, vol, bval, CAST(bval - lag(bval) OVER (PARTITION BY subject ORDER BY vol) AS BIGINT) AS change, CAST(NULL AS BIGINT) AS seen
+FROM scan_volumes WHERE bval > 0
+UNION ALL SELECT subject, NULL, NULL, NULL, count(*) FROM scan_volumes WHERE bval > 0 GROUP BY subject""")
+def x2_table_function(t):
+    mine = StudyProfile("mine", "bucket", steps={"gradients": (lambda df: df.filter("bval > 0"), as_step(Steps, ["vol"]))})
+    return mine.own_steps("gradients", t.scan_volumes)
+
+
 @query("flow_acquire", "roster sited", """+ both_lists AS (
   SELECT site, participant_id AS subject_id FROM roster WHERE rd = 'raw' INTERSECT SELECT site, participant_id FROM roster WHERE rd = 'deriv'),
 study AS (SELECT subject_id, max(site) AS site FROM both_lists GROUP BY subject_id),
