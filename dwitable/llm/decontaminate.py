@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,10 +21,12 @@ WORD = re.compile(r"\w+")
 KNOWN_WORDS = 100_000
 #: Items and characters of one pass over the documents; a larger benchmark takes several passes.
 PASS_ITEMS, PASS_CHARS = 20_000, 32_000_000
-#: Windows whose bits are held at once.
-SPAN = 1 << 13
+#: Windows whose bits are held at once, and pairs of a window and an item whose blocks are compared at once.
+SPAN, PAIRS = 1 << 13, 1 << 20
 BYTES = 8
-_BELOW = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
+#: Fingerprints are indexed in so many blocks of equal width. Wide ones tell apart best: at radius 19 two blocks of 32 bits let 2 % of
+#: random pairs pass (9 bits or fewer differ in one of them), eight of 8 bits would let 71 % pass.
+BLOCKS = 2
 _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -72,6 +75,11 @@ def similarity(a: list[str], b: list[str], width: int) -> float:
     return sum((x & y).values()) / every if every else 0.0
 
 
+def _blocks(prints: np.ndarray) -> np.ndarray:
+    """The blocks of fingerprints as numbers, one row for each block."""
+    return np.ascontiguousarray(np.ascontiguousarray(prints).view(f">u{BYTES // BLOCKS}").T.astype(f"u{BYTES // BLOCKS}"))
+
+
 @dataclass
 class _Group:
     """Items with equally many words."""
@@ -80,7 +88,7 @@ class _Group:
     width: int
     items: list[int]
     prints: np.ndarray  # items x 8 bytes
-    near: np.ndarray  # 8 x 256 x items: the item is reached by this value of the block
+    blocks: np.ndarray  # BLOCKS x items: the blocks of the fingerprints as numbers
 
 
 class Benchmark:
@@ -100,17 +108,34 @@ class Benchmark:
             w = min(width, length)
             hashes = [shingle_hashes(word_hashes(self.words[i], self.known), w) for i in items]
             prints = np.concatenate([_fingerprints(h, np.zeros(1, np.int64), h.size) for h in hashes])
-            near = np.stack([_BELOW[:, prints[:, b]] <= radius // BYTES for b in range(BYTES)])
             entries.setdefault(w, []).extend((h, len(self.groups)) for h in hashes)
-            self.groups.append(_Group(length, w, items, prints, near))
+            self.groups.append(_Group(length, w, items, prints, _blocks(prints)))
         self.shingles: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for w, found in entries.items():
             value = np.concatenate([h for h, _ in found])
             group = np.concatenate([np.full(h.size, g) for h, g in found])
-            pairs = np.unique(np.stack([value, group.astype(np.uint64)]), axis=1)
+            order = np.lexsort((group, value))
+            value, group = value[order], group[order]
+            new = np.concatenate([[True], (value[1:] != value[:-1]) | (group[1:] != group[:-1])])
             seen = np.zeros(1 << 22, bool)
             seen[(value >> np.uint64(42)).astype(np.int64)] = True
-            self.shingles[w] = pairs[0], pairs[1].astype(np.int64), seen
+            self.shingles[w] = value[new], group[new], seen
+
+    def reached(self, group: _Group, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Windows and items of which one block differs in few enough bits, as numbers of rows.
+
+        Within the radius the bits that differ are spread over the blocks, so one of these has no more than its share.
+        """
+        mine, most = _blocks(prints), self.radius // BLOCKS
+        rows = max(1, PAIRS // max(1, len(group.items)))
+        for start in range(0, len(prints), rows):
+            for first in range(0, len(group.items), PAIRS):
+                items = slice(first, first + PAIRS)
+                near = np.bitwise_count(mine[0, start : start + rows, None] ^ group.blocks[0, None, items]) <= most
+                for b in range(1, BLOCKS):
+                    near |= np.bitwise_count(mine[b, start : start + rows, None] ^ group.blocks[b, None, items]) <= most
+                w, k = np.nonzero(near)
+                yield w + start, k + first
 
     def _starts(self, hashes: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray]]:
         """For each group of items the places of the document's shingles that one of its items has."""
@@ -149,19 +174,16 @@ class Benchmark:
                 for block in np.split(starts, np.flatnonzero(np.diff(starts // SPAN)) + 1):
                     low = block[0]
                     prints = _fingerprints(hashes[low : block[-1] + size], block - low, size)
-                    reached = group.near[0][prints[:, 0]]
-                    for b in range(1, BYTES):
-                        reached = reached | group.near[b][prints[:, b]]
-                    w, k = np.nonzero(reached)
-                    bits = np.bitwise_count(prints[w] ^ group.prints[k]).sum(axis=1)
-                    for s, i in zip(block[w[bits <= self.radius]].tolist(), k[bits <= self.radius].tolist(), strict=True):
-                        item, span = group.items[i], size + width - 1
-                        known = found.get(item)
-                        if known and known[0] == 1.0:
-                            continue
-                        alike = similarity(words[s : s + span], self.words[item], width)
-                        if alike >= least and (not known or alike > known[0]):
-                            found[item] = alike, s, span
+                    for w, k in self.reached(group, prints):
+                        bits = np.bitwise_count(prints[w] ^ group.prints[k]).sum(axis=1)
+                        for s, i in zip(block[w[bits <= self.radius]].tolist(), k[bits <= self.radius].tolist(), strict=True):
+                            item, span = group.items[i], size + width - 1
+                            known = found.get(item)
+                            if known and known[0] == 1.0:
+                                continue
+                            alike = similarity(words[s : s + span], self.words[item], width)
+                            if alike >= least and (not known or (alike, -s) > (known[0], -known[1])):
+                                found[item] = alike, s, span
         return found
 
 
@@ -170,19 +192,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, similari
 
     A window as long as the item, in words, slides over the whole document. Windows that share no shingle with an item of
     that length have similarity 0 and are passed over. The others' SimHash fingerprints of 64 bits are looked up in an
-    index by 8 blocks: within ``radius`` bits at least one block differs in ``radius // 8`` bits or fewer, so no item
+    index by 2 blocks: within ``radius`` bits at least one block differs in ``radius // 2`` bits or fewer, so no item
     within the radius is missed. What is found is verified: shingles of ``words`` words that are shared, over all
     of both, counted as often as they occur, must come to ``similarity``. At that bound fingerprints differ in about 10
     bits; the radius leaves room for chance. An item of fewer words is one shingle and must occur as it is; a document
     shorter than the item is one window. ``start`` and ``words`` tell the best window, the first of equal ones.
 
-    Documents are not shuffled. The benchmark is read in passes of bounded size; each pass reads the documents once.
+    Documents are not shuffled. The benchmark is read in passes of bounded size, one after the other; each reads the documents once.
     Null, empty and wordless texts and items never match. Repeated rows of a document give repeated rows; of rows
     with one item_id each counts. Null ids stay null. Empty tables give an empty result; other columns are ignored.
     """
     return _scanned(docs.select(F.col("doc_id").cast("long"), "text"), benchmark, words, similarity, radius).drop("body")
 
 
+#: The index that this worker has built last, by a name of its own: the tasks of a worker share it.
+_HELD: dict[str, Benchmark] = {}
+
+
+def _index(name: str, rows: list[tuple[int, str]], words: int, radius: int) -> Benchmark:
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = Benchmark(rows, words, radius)
+    return _HELD[name]
+
+
 def _scanned(docs: DataFrame, benchmark: DataFrame, words: int, similarity: float, radius: int) -> DataFrame:
     """As ``contaminated`` for a table ``(doc_id, text)`` or ``(doc_id, text, body)``, with ``body`` or null in a last column."""
     spark = docs.sparkSession
@@ -194,23 +227,24 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, words: int, similarity: floa
     for p in range(passes):
         part = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p)
         rows = spark.sparkContext.broadcast(sorted({(r[0], r[1]) for r in part.collect()}, key=str))
-        held: list[Benchmark] = []
 
-        def scan(batches: Iterator[pa.RecordBatch], rows=rows, held=held) -> Iterator[pa.RecordBatch]:
-            if not held:
-                held.append(Benchmark(rows.value, words, radius))
+        def scan(batches: Iterator[pa.RecordBatch], rows=rows, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            asked = _index(name, rows.value, words, radius)
             for batch in sliced(batches):
                 out: list[tuple] = []
                 bodies = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
                 for doc_id, text, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bodies, strict=True):
-                    for item, (alike, start, count) in held[0].matches(text, similarity).items():
-                        out.append((doc_id, held[0].ids[item], alike, start, count, body))
+                    for item, (alike, start, count) in asked.matches(text, similarity).items():
+                        out.append((doc_id, asked.ids[item], alike, start, count, body))
                 if out:
                     columns = [pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (
                         pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
                     yield pa.record_batch(columns, ["doc_id", "item_id", "similarity", "start", "words", "body"])
 
         found = docs.mapInArrow(scan, schema)
+        if passes > 1:  # written before the next pass begins, so that one pass's items are held at a time
+            found = materialise(found, "leaks")
+            rows.unpersist()
         result = found if result is None else result.unionByName(found)
     return result
 

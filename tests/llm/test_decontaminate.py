@@ -1,6 +1,8 @@
 """Benchmark passages against a brute-force comparison of all windows."""
 
 import random
+import time
+import tracemalloc
 
 import numpy as np
 
@@ -79,7 +81,7 @@ def test_fingerprints_within_the_radius_are_reached():
         bits = np.unpackbits(group.prints[0])
         bits[rng.choice(64, rng.integers(0, 20), replace=False)] ^= 1
         other = np.packbits(bits)
-        assert any(group.near[b][other[b], 0] for b in range(8))
+        assert sum(len(w) for w, _ in bench.reached(group, other[None, :])) == 1
 
 
 def test_edge_cases(spark):
@@ -106,3 +108,45 @@ def test_clean_rows_that_share_an_id_stay(spark):
     bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
     kept = [(r["doc_id"], r["text"]) for r in decontaminate.without_benchmark(df, bench).collect()]
     assert sorted(kept, key=str) == sorted([r for r in rows if "Alpha" not in (r[1] or "")], key=str)
+
+
+def test_blocks_are_selective_and_miss_nothing():
+    rnd = np.random.default_rng(3)
+    items = [(i, " ".join(f"q{x}" for x in rnd.integers(0, 10**6, 30))) for i in range(2000)]
+    bench = Benchmark(items, 5, 19)
+    (group,) = bench.groups
+    random_prints = rnd.integers(0, 256, (500, 8), dtype=np.uint8)
+    passed = sum(len(w) for w, _ in bench.reached(group, random_prints))
+    assert passed / (500 * 2000) < 0.05
+    near = group.prints[rnd.integers(0, 2000, 300)].copy()
+    of = rnd.integers(0, 2000, 300)
+    near = group.prints[of].copy()
+    for row in near:
+        for bit in rnd.choice(64, 19, replace=False):
+            row[bit // 8] ^= 1 << (bit % 8)
+    found = {(int(a), int(b)) for w, k in bench.reached(group, near) for a, b in zip(w, k)}
+    assert all((n, int(i)) in found for n, i in enumerate(of))
+
+
+def test_very_many_items_of_one_length_that_share_a_phrase():
+    """Twenty thousand items of forty words, all with one phrase that the document has too; memory stays bounded."""
+    rnd = random.Random(5)
+    phrase = "one phrase that all of the items share".split()
+    items = [(i, " ".join([f"w{rnd.randrange(10**6)}" for _ in range(32)] + phrase)) for i in range(20_000)]
+    doc = " ".join(f"d{n}" for n in range(300)) + " " + " ".join(phrase) + " " + " ".join(f"e{n}" for n in range(300)) + " " + items[777][1]
+    tracemalloc.start()
+    bench = Benchmark(items, 5, 19)
+    began = time.monotonic()
+    found = bench.matches(doc, 0.8)
+    took, peak = time.monotonic() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(found) == {777} and found[777][0] == 1.0 and took < 20 and peak < 500 << 20
+
+
+def test_passes_find_the_same(spark, monkeypatch):
+    docs, items = case(7)
+    df = spark.createDataFrame([(d, t, "clash", 1) for d, t in docs], DOCS).repartition(2)
+    bench = spark.createDataFrame([(i, q, 2) for i, q in items], "item_id long, text string, doc_id int")
+    monkeypatch.setattr(decontaminate, "PASS_ITEMS", 4)
+    found = decontaminate.contaminated(df, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == brute(docs, items, 5, 0.8)
