@@ -26,6 +26,8 @@ LEAST_REVISIT = 100
 BLOCK_LINES, FILE_BYTES = 1000, 256 << 20
 #: Blocks of an index file; its directory is held in memory by who reads it.
 SHARD_BLOCKS = 10_000
+#: Lines of the index that a task of a look-up reads, and places that it brings into the archive's order at once.
+LINES_A_TASK, PLACES = 10 * BLOCK_LINES, 4096
 #: Archive files that a task keeps open.
 OPEN_FILES = 64
 CAPTURED = "2000-01-01T00:00:00Z"
@@ -250,14 +252,16 @@ def _read(opened, file: str, offset: int, size: int) -> dict:
 def look_up(urls: DataFrame, shards: DataFrame, index: str, archive: str, payloads: bool = False) -> DataFrame:
     """Every capture of the distinct ``url`` values, read from the archive through the index: ``FOUND``.
 
-    URLs with one key are one. The list of shards, a row for each file of the index, tells in which shards a key may be. A task
-    reads a shard's directory, searches it, reads a block's range, searches that, and reads the record's range. A key that fills
-    many shards is read by as many tasks. ``payload`` is filled if ``payloads`` is set, for responses. Payload size and digest
+    URLs with one key are one. The list of shards, a row for each file of the index, tells in which shards a key may be. Lookups are
+    dealt out by ranges of shard and key, to as many tasks as the index has parts of ``LINES_A_TASK`` lines, so a task reads
+    neighbouring blocks of a shard and a shard is read by many. A task reads a shard's directory, searches it, reads a block's
+    range, searches that, and reads the records' ranges in the order in which they lie. A key that fills many shards is read by
+    as many tasks. ``payload`` is filled if ``payloads`` is set, for responses. Payload size and digest
     are those of the full payload; a response's digest is checked against what was read, a revisit names both.
     A null url is the empty key. URLs that are not there give no row; an empty index gives an empty result.
     """
     context = urls.sparkSession.sparkContext
-    listed = sorted(((r["first_key"], r["first_page"], r["shard"], r["directory"]) for r in shards.collect()),  # one per file
+    listed = sorted(((r["first_key"], r["first_page"], r["shard"], r["directory"], r["lines"]) for r in shards.collect()),  # one per file
                     key=lambda r: _order(r[0], r[1]))
     known = context.broadcast(([r[0].encode() for r in listed], [r[2] for r in listed], {r[2]: r[3] for r in listed}))
 
@@ -275,28 +279,39 @@ def look_up(urls: DataFrame, shards: DataFrame, index: str, archive: str, payloa
         shard = lru_cache(maxsize=1)(lambda name: _Shard(index_store, f"{index_path}/{name}", known.value[2][name]))
         types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
         names = ["key", "page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
-        rows, held = [], 0
+        rows, held, places = [], 0, []
 
         def out() -> pa.RecordBatch:
             batch = pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
             rows.clear()
             return batch
 
+        def found() -> Iterator[pa.RecordBatch]:
+            """The records at the places, in the order in which they lie in the archive."""
+            nonlocal held
+            for file, offset, size, key, page_id in sorted(places, key=lambda p: p[:2]):
+                x = _read(opened, file, offset, size)
+                kept = x["payload"] if payloads and x["type"] == "response" else None
+                rows.append((key, page_id, x["url"], x["type"], x["refers_to"], x["length"], x["digest"], kept))
+                held += len(kept or b"")
+                if len(rows) >= PLACES or held > 32 << 20:
+                    yield out()
+                    held = 0
+            places.clear()
+
         for batch in batches:
             for key, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for _, page_id, file, offset, size in shard(name).captures(key):
-                    x = _read(opened, file, offset, size)
-                    kept = x["payload"] if payloads and x["type"] == "response" else None
-                    rows.append((key, page_id, x["url"], x["type"], x["refers_to"], x["length"], x["digest"], kept))
-                    held += len(kept or b"")
-                    if len(rows) >= 4096 or held > 32 << 20:
-                        yield out()
-                        held = 0
+                    places.append((file, offset, size, key, page_id))
+                    if len(places) >= PLACES:
+                        yield from found()
+        yield from found()
         if rows:
             yield out()
 
     wanted = urls.select("url").distinct().mapInArrow(place, "key string, shard string").distinct()
-    return wanted.repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(search, FOUND)
+    tasks = max(1, -(-sum(r[4] for r in listed) // LINES_A_TASK))
+    return wanted.repartitionByRange(tasks, "shard", "key").sortWithinPartitions("shard", "key").mapInArrow(search, FOUND)
 
 
 def archived(pages: DataFrame, least_revisit: int = LEAST_REVISIT) -> DataFrame:

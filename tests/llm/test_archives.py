@@ -6,6 +6,8 @@ import random
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 from dwitable.llm import warc
 from dwitable.llm.queries import ORACLES, QUERIES
 from dwitable.session import shared_dir
@@ -84,3 +86,16 @@ def test_query_agrees_with_sql(spark):
     con = duckdb.connect()
     con.execute(f"create view pages as select * from '{path}/pages.parquet'")
     assert ours == sorted(con.execute(ORACLES["op3_warc"]).fetchall(), key=str)
+
+
+def test_a_shard_is_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    rows = [(i, f"http://h{i % 3}.example/{i // 2}", f"<p>page {i} {'x' * (i % 200)}") for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    archive, index = str(tmp_path / "a"), str(tmp_path / "i")
+    shards = warc.write_index(warc.write_archive(pages, archive), index, block_lines=10)
+    monkeypatch.setattr(warc, "LINES_A_TASK", 25)
+    found = warc.look_up(pages, shards, index, archive)
+    assert found.rdd.getNumPartitions() == 12
+    assert sorted(r["page_id"] for r in found.collect()) == list(range(300))
+    parts = found.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(parts) > 6
