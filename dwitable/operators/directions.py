@@ -87,6 +87,16 @@ def relabel_roles(files: DataFrame, directions: DataFrame) -> DataFrame:
     return files.filter(~fieldmaps).unionByName(whole).unionByName(split.select("subject_id", F.col("_role").alias("role"), "key"))
 
 
+def split_fieldmaps(files: DataFrame, directions: DataFrame) -> DataFrame:
+    """The same for files without gaps between images and sidecars: field-map roles are split, and nothing is kept whole."""
+    files = files.select("subject_id", "role", "key")
+    stated = directions.filter("direction IS NOT NULL").select(
+        "subject_id", F.concat(F.lit("epi_"), F.lower("direction")).alias("_role"), F.col("key").alias("_sidecar"))
+    images = files.filter("role = 'epi_nii'").withColumn("_sidecar", F.replace(F.col("key"), F.lit(".nii.gz"), F.lit(".json")))
+    split = images.join(stated, ["subject_id", "_sidecar"]).select("subject_id", F.col("_role").alias("role"), "key")
+    return files.filter(~F.col("role").isin("epi_nii", "epi_json")).unionByName(split)
+
+
 def relabel_by_name(files: DataFrame) -> DataFrame:
     """The same by file name alone: sidecars and images that name no direction are left out."""
     role = F.when(F.col("role") != "epi_nii", F.col("role")).when(F.col("key").contains("dir-AP"), F.lit("epi_ap")).when(

@@ -44,10 +44,23 @@ def ordered_index(
 def ordered_position(df: DataFrame, keys: Sequence[str], order: str, out: str) -> DataFrame:
     """Add the 0-based position of each row in its group, ordered by a column of any kind; of equal rows any comes first.
 
-    Rows are dealt out by ranges of group and order and written, so a group of any size spreads. Rows are numbered in their
-    part of a group, and only the counts of the parts are summed up.
+    A group of at most ``BLOCK`` rows is numbered in one task. The rows of larger ones are dealt out by ranges of group and
+    order and written, so a group of any size spreads; rows are numbered in their part of a group, and only the counts of the
+    parts are summed up. All rows are counted by group first.
     """
     keys = list(keys)
+    large = settled(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > BLOCK).select(*keys), "large")
+    usual = Window.partitionBy(*keys).orderBy(order)
+    if large.isEmpty():
+        return df.withColumn(out, (F.row_number().over(usual) - 1).cast("long"))
+    same = [F.col(f"_d.{k}").eqNullSafe(F.col(f"_l.{k}")) for k in keys]
+    rest = df.alias("_d").join(large.alias("_l"), same, "left_anti").select(df.columns)
+    return rest.withColumn(out, (F.row_number().over(usual) - 1).cast("long")).unionByName(
+        _spread_position(df.alias("_d").join(large.alias("_l"), same, "left_semi").select(df.columns), keys, order, out))
+
+
+def _spread_position(df: DataFrame, keys: list[str], order: str, out: str) -> DataFrame:
+    """``ordered_position`` for groups that are too large for a task."""
     dealt = df.repartitionByRange(*keys, order).withColumn("_part", F.spark_partition_id())
     dealt = materialise(dealt, "ranges")
     counts = dealt.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
@@ -55,9 +68,10 @@ def ordered_position(df: DataFrame, keys: Sequence[str], order: str, out: str) -
     offsets = counts.select(*keys, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
     further = settled(offsets.filter(F.col("_offset") > 0), "offsets")
     within = Window.partitionBy(*keys, "_part").orderBy(order)
-    numbered = dealt.withColumn("_rank", F.row_number().over(within)).join(further, [*keys, "_part"], "left")
+    same = [F.col(f"_d.{k}").eqNullSafe(F.col(f"_o.{k}")) for k in [*keys, "_part"]]
+    numbered = dealt.withColumn("_rank", F.row_number().over(within)).alias("_d").join(further.alias("_o"), same, "left")
     position = F.coalesce("_offset", F.lit(0)) + F.col("_rank") - 1
-    return numbered.withColumn(out, position.cast("long")).drop("_part", "_offset", "_rank")
+    return numbered.select(*[F.col(f"_d.{c}") for c in df.columns], position.cast("long").alias(out))
 
 
 def paged(df: DataFrame, keys: Sequence[str], by: Sequence[str | Column], page_size: int = PAGE) -> DataFrame:

@@ -119,6 +119,49 @@ def skip_reasons(validity: DataFrame, directions: DataFrame, counts: DataFrame,
     return out.select("subject_id", reason.alias("skip_reason"))
 
 
+def subject_checks(files: DataFrame, directions: DataFrame) -> DataFrame:
+    """What decides whether a subject proceeds, from one pass over its files and sidecar directions.
+
+    ``(subject_id, gap, directed, consistent, any_session)``: whether a field-map image or sidecar lacks its counterpart, all
+    sidecars have a direction, every session has every role, and some session has equally many files of all. ``files`` is
+    ``(subject_id, role, key)`` with classified roles, ``directions`` is ``(subject_id, key, direction)``. Files and sidecars
+    meet once, by the sidecar's key; what is left are a few numbers for each session and subject.
+    """
+    fieldmap = F.col("role").isin("epi_nii", "epi_json")
+    none = F.lit(None).cast("string")
+    sidecar = F.when(fieldmap, F.replace(F.col("key"), F.lit(".nii.gz"), F.lit(".json")))
+    rows = files.select("subject_id", P.session_id("key").alias("session"), sidecar.alias("sidecar"), "role", none.alias("direction")).unionByName(
+        directions.select("subject_id", P.session_id("key").alias("session"), F.col("key").alias("sidecar"), F.lit("stated").alias("role"), "direction"))
+    others = [r for r in SESSION_ROLES if not r.startswith("epi_")]
+    met = rows.groupBy("subject_id", "session", "sidecar").agg(
+        *[F.count_if(F.col("role") == r).alias(f"n_{r}") for r in others], F.count_if(F.col("role") == "epi_nii").alias("images"),
+        F.bool_or(F.col("role") == "epi_json").alias("noted"), F.max("direction").alias("direction"), F.bool_or(F.col("role") == "stated").alias("stated"))
+    images, faced = F.col("images") > 0, F.col("direction").isNotNull()
+    counted = met.groupBy("subject_id", "session").agg(
+        *[F.sum(f"n_{r}").alias(f"n_{r}") for r in others],
+        *[F.sum(F.when(F.col("direction") == d, F.col("images")).otherwise(0)).alias(f"n_epi_{d.lower()}") for d in ("AP", "PA")],
+        F.bool_or(images != F.col("noted")).alias("gap"), F.bool_and(F.when(F.col("stated"), faced)).alias("directed"))
+    lo, hi = F.least(*_counts()), F.greatest(*_counts())
+    some = hi > 0  # a session without any of the roles is none
+    return counted.groupBy("subject_id").agg(
+        F.bool_or("gap").alias("gap"), F.coalesce(F.bool_and("directed"), F.lit(False)).alias("directed"),
+        F.coalesce(F.bool_and(F.when(some, lo > 0)), F.lit(False)).alias("consistent"),
+        F.coalesce(F.bool_or(F.when(some, lo == hi)), F.lit(False)).alias("any_session"))
+
+
+def reasons_of(validity: DataFrame, checks: DataFrame) -> DataFrame:
+    """The same as ``skip_reasons``, from ``subject_checks``."""
+    yes = F.lit(False)
+    reason = (
+        F.when(~F.col("valid"), F.lit("missing_files"))
+        .when(F.coalesce("gap", yes), F.lit("incomplete_fieldmaps"))
+        .when(~F.coalesce("directed", yes), F.lit("no_direction"))
+        .when(~F.coalesce("consistent", yes), F.lit("session_mismatch"))
+        .when(~F.coalesce("any_session", yes), F.lit("no_session"))
+    )
+    return validity.join(checks, "subject_id", "left").select("subject_id", reason.alias("skip_reason"))
+
+
 def eligible(subjects: DataFrame, reasons: DataFrame) -> DataFrame:
     """Rows of the subjects that proceed."""
     going = settled(reasons.filter("skip_reason IS NULL").select("subject_id"), "going")

@@ -46,19 +46,16 @@ def acquire(
     validity = manifest.subject_validity(chosen, files)
     kept = profile.key_filter(files)
     faced = materialise(directions.determine_directions(sidecars).select("subject_id", "key", "direction"), "directions")
-    gaps = manifest.sidecar_completeness(kept)
-    directed = directions.direction_validity(faced)
-    sited = sessions.with_session(directions.relabel_roles(kept, faced))
-    reasons = sessions.skip_reasons(validity, directed, sessions.session_role_counts(sited), gaps)
+    reasons = sessions.reasons_of(validity, sessions.subject_checks(kept, faced))
     proceeding = reasons.filter("skip_reason IS NULL").select("subject_id")
     if by_count:
         unfit = F.coalesce(F.col("skip_reason"), F.lit("")).isin("missing_files", "incomplete_fieldmaps", "no_direction")
         valid = reasons.select("subject_id", (~unfit).alias("valid"))
         proceeding = proceeding.join(roster.first_valid(valid, subjects or 1), "subject_id", "left_semi")
-    notes = manifest.sidecars_of(kept, listed, distinct=True).select("subject_id", F.lit("json").alias("role"), "key")
-    transfers = sited.select("subject_id", "role", "key").unionByName(notes)
     proceeding = settled(proceeding, "proceeding")
-    wanted = transfers.join(proceeding, "subject_id", "left_semi").join(chosen, "subject_id")
+    going = kept.join(proceeding, "subject_id", "left_semi")
+    notes = manifest.sidecars_of(going, listed, distinct=True).select("subject_id", F.lit("json").alias("role"), "key")
+    wanted = directions.split_fieldmaps(going, faced).unionByName(notes).join(chosen, "subject_id")
     targets = manifest.positions_paired(wanted, directory, include_site)
     return transfer_manifest(profile.own_steps("transfers", profile.rewrite(targets)), existing, overwrite)
 

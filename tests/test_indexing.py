@@ -1,6 +1,7 @@
 import os
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from dwitable.operators import indexing as I
@@ -40,8 +41,10 @@ def test_paged_lists_are_built_by_page(spark):
     assert "hashpartitioning(s" in plan and "page" in plan.split("hashpartitioning", 1)[1]
 
 
-def test_positions_of_any_order(spark):
-    rows = [("hot", f"k{i:04d}") for i in range(2000)] + [("cold", "b"), ("cold", "a"), ("cold", "a"), (None, "x")]
+@pytest.mark.parametrize("block", [4096, 100])
+def test_positions_of_any_order(spark, monkeypatch, block):
+    monkeypatch.setattr(I, "BLOCK", block)
+    rows = [("hot", f"k{i:04d}") for i in range(2000)] + [("cold", "b"), ("cold", "a"), ("cold", "a")] + [(None, f"x{i % 150}") for i in range(300)]
     got = I.ordered_position(spark.createDataFrame(rows, "s string, k string").repartition(7), ["s"], "k", "n").collect()
     for s in ("hot", "cold", None):
         mine = sorted((r.n, r.k) for r in got if r.s == s)

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -231,3 +232,27 @@ def test_freesurfer_and_missing_rows(spark):
     assert [r.subject_id for r in MF.with_freesurfer(subjects, keys).collect()] == ["a"]
     assert [r.subject_id for r in MF.with_freesurfer(subjects, keys, present=False).collect()] == ["b"]
     assert [r.subject_id for r in MF.missing_required(subjects, subjects.filter(F.col("subject_id") == "a")).collect()] == ["b"]
+
+
+def test_checks_of_one_pass_equal_those_of_parts(spark):
+    rnd = random.Random(4)
+    rows, notes = [], []
+    for s in range(60):
+        for ses in rnd.choice([("",), ("ses-1/",), ("ses-1/", "ses-2/")]):
+            for role, tail in (("dwi", "dwi/x_dwi.nii.gz"), ("bvec", "dwi/x_dwi.bvec"), ("bval", "dwi/x_dwi.bval"), ("epi_nii", "fmap/x_dir-AP_epi.nii.gz"),
+                               ("epi_json", "fmap/x_dir-AP_epi.json"), ("epi_nii", "fmap/x_dir-PA_epi.nii.gz"), ("epi_json", "fmap/x_dir-PA_epi.json"),
+                               ("dwi", "dwi/x_run-2_dwi.nii.gz"), ("t1w", "T1w.nii.gz"), ("freesurfer", "freesurfer/a")):
+                if rnd.random() < (0.2 if "run-2" in tail else 0.95):
+                    key = f"s{s}/{ses}{tail}"
+                    rows.append((f"s{s}", role, key))
+                    if role == "epi_json":
+                        notes.append((f"s{s}", key, rnd.choice(["AP" if "AP" in key else "PA"] * 8 + [None, "AP"])))
+    table = files(spark, rows)
+    faced = spark.createDataFrame(notes, "subject_id string, key string, direction string")
+    roster = spark.createDataFrame([(f"s{s}",) for s in range(62)], "subject_id string")
+    validity = MF.subject_validity(roster, table)
+    sited = S.with_session(D.relabel_roles(table, faced))
+    parts = S.skip_reasons(validity, D.direction_validity(faced), S.session_role_counts(sited), MF.sidecar_completeness(table))
+    want = {r.subject_id: r.skip_reason for r in parts.collect()}
+    found = {r.subject_id: r.skip_reason for r in S.reasons_of(validity, S.subject_checks(table, faced)).collect()}
+    assert found == want and len(set(want.values())) >= 5

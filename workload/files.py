@@ -12,7 +12,7 @@ from dwitable.operators import sessions as S
 from dwitable.operators.profile import DEEP_LEVEL, DEEP_SITE, MULTI_SITE
 from dwitable.operators.report import REPORT_SCHEMA
 from dwitable.plans import study
-from dwitable.session import shared_dir
+from dwitable.session import materialise, shared_dir
 from dwitable.sinks import layout as L
 from dwitable.sinks import text as K
 from dwitable.sources import keys as KS
@@ -572,8 +572,9 @@ reasons AS (SELECT v.subject_id, CASE WHEN NOT v.valid THEN 'missing_files'
 
 
 def _reasons(t):
-    faced = D.direction_validity(D.determine_directions(t.sidecars))
-    return S.skip_reasons(_validity(t), faced, S.session_role_counts(t.sited), MF.sidecar_completeness(_files(t)))
+    files = materialise(_files(t).select("subject_id", "role", "key"), "files")
+    validity = MF.subject_validity(_people(t), files)
+    return S.reasons_of(validity, S.subject_checks(files, D.determine_directions(t.sidecars)))
 
 
 @query("f13_skip_reasons", "sited", f"+ {REASONS_SQL}\nSELECT subject_id, skip_reason FROM reasons")
@@ -581,6 +582,12 @@ def f13(t):
     return _reasons(t)
 
 
+@query("f13_reasons_by_parts", "sited", f"+ {REASONS_SQL}\nSELECT subject_id, skip_reason FROM reasons")
+def f13_parts(t):
+    faced = D.direction_validity(D.determine_directions(t.sidecars))
+    return S.skip_reasons(_validity(t), faced, S.session_role_counts(t.sited), MF.sidecar_completeness(_files(t)))
+
+
 @query("f13_eligible_files", "sited", f"""+ {REASONS_SQL}
 SELECT subject_id, role, key, session FROM sited WHERE subject_id IN (SELECT subject_id FROM reasons WHERE skip_reason IS NULL)""")
 def f13_files(t):
