@@ -195,23 +195,90 @@ def default_affine(voxel_size: float, origin: tuple[float, float, float]) -> lis
     ] + [[F.lit(0.0)] * 3 + [F.lit(1.0)]]
 
 
-def regrid_nearest(source: DataFrame, grid: DataFrame, affines: DataFrame) -> DataFrame:
+CUBE = ("ci", "cj", "ck")
+
+
+def target_cubes(source: DataFrame, grid: DataFrame, affines: DataFrame, side: int = BLOCK_SIDE) -> DataFrame:
+    """The cubes of a target grid, each with its affine and the box of source voxels that its own are nearest to.
+
+    ``(subject, ci, cj, ck, ni, nj, nk, a00 ..., lo0, hi0, ...)``. The box is that of the cube's corners, kept inside the source; it
+    is empty (``hi`` below ``lo``) for a cube that lies outside.
+    """
+    extents = image_dims(source).select("subject", *[F.col(f"n{a}").alias(f"_n{x}") for x, a in enumerate(AXES)])
+    cubes = grid.join(affines, "subject").join(settled(extents, "extents"), "subject", "left")
+    for c, a in zip(CUBE, AXES):
+        cubes = cubes.withColumn(c, F.explode(F.sequence(F.lit(0), F.floor((F.col(f"n{a}") - 1) / side).cast("int"))))
+    corners = [(F.col(c) * side, F.least(F.col(c) * side + side, F.col(f"n{a}")) - 1) for c, a in zip(CUBE, AXES)]
+    box = {}
+    for r in range(3):
+        ends = [(F.col(f"a{r}{c}") * lo, F.col(f"a{r}{c}") * hi) for c, (lo, hi) in enumerate(corners)]
+        least = sum((F.least(x, y) for x, y in ends), F.lit(0.0)) + F.col(f"a{r}3")
+        most = sum((F.greatest(x, y) for x, y in ends), F.lit(0.0)) + F.col(f"a{r}3")
+        last = F.coalesce(F.col(f"_n{r}"), F.lit(0)) - 1
+        # one voxel more on both sides: sums of rounded numbers may come out lower or higher
+        box[f"lo{r}"] = F.greatest(F.floor(F.least(F.greatest(least, F.lit(-1e9)), F.lit(1e9)) + 0.5) - 1, F.lit(0)).cast("int")
+        box[f"hi{r}"] = F.least(F.floor(F.least(F.greatest(most, F.lit(-1e9)), F.lit(1e9)) + 0.5) + 1, last).cast("int")
+    return cubes.withColumns(box).select("subject", *CUBE, "ni", "nj", "nk", *[f"a{r}{c}" for r in range(3) for c in range(4)], *box)
+
+
+def sent_voxels(source: DataFrame, cubes: DataFrame, side: int = BLOCK_SIDE) -> DataFrame:
+    """Source voxels with the target cube that needs them: ``(subject, ci, cj, ck, si, sj, sk, label)``.
+
+    Blocks of the source are matched with boxes, a few for each cube; of a block only what lies in the box is sent. A voxel
+    on the rim of several boxes is sent to each.
+    """
+    blocks = ("bi", "bj", "bk")
+    needed = cubes.where("lo0 <= hi0 and lo1 <= hi1 and lo2 <= hi2").select("subject", *CUBE, *[f"{e}{r}" for r in range(3) for e in ("lo", "hi")])
+    for r, b in enumerate(blocks):
+        needed = needed.withColumn(b, F.explode(F.sequence(F.floor(F.col(f"lo{r}") / side).cast("int"), F.floor(F.col(f"hi{r}") / side).cast("int"))))
+    held = source.select("subject", *[F.col(a).cast("int").alias(s) for a, s in zip(AXES, ("si", "sj", "sk"))], "label",
+                         *[F.floor(F.col(a) / side).cast("int").alias(b) for a, b in zip(AXES, blocks)])
+    inside = F.lit(True)
+    for r, s in enumerate(("si", "sj", "sk")):
+        inside = inside & (F.col(s) >= F.col(f"lo{r}")) & (F.col(s) <= F.col(f"hi{r}"))
+    return held.join(settled(needed, "boxes"), ["subject", *blocks]).where(inside).select("subject", *CUBE, "si", "sj", "sk", "label")
+
+
+def _regrid_cube(cube: pd.DataFrame, voxels: pd.DataFrame, side: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Places of a target cube's voxels, and the row of ``voxels`` that each takes, -1 for none."""
+    c = cube.iloc[0]
+    ranges = [np.arange(int(c[n]) * side, min(int(c[n]) * side + side, int(c[f"n{a}"]))) for n, a in zip(CUBE, AXES)]
+    places = [x.ravel() for x in np.meshgrid(*ranges, indexing="ij")]
+    wanted = [np.floor(c[f"a{r}0"] * places[0] + c[f"a{r}1"] * places[1] + c[f"a{r}2"] * places[2] + c[f"a{r}3"] + 0.5) for r in range(3)]
+    if not len(voxels):
+        return places, np.full(places[0].size, -1)
+    low, high = [int(c[f"lo{r}"]) for r in range(3)], [int(c[f"hi{r}"]) for r in range(3)]
+    size = [h - w + 1 for w, h in zip(low, high)]
+    number = lambda x: ((x[0] - low[0]) * size[1] + (x[1] - low[1])) * size[2] + (x[2] - low[2])
+    inside = np.logical_and.reduce([(w >= a) & (w <= b) for w, a, b in zip(wanted, low, high)])
+    own = number([voxels[s].to_numpy().astype(np.int64) for s in ("si", "sj", "sk")])
+    order = np.argsort(own, kind="stable")
+    asked = np.where(inside, number([np.where(inside, w, 0).astype(np.int64) for w in wanted]), -1)
+    at = np.minimum(np.searchsorted(own[order], asked), len(own) - 1)
+    return places, np.where(inside & (own[order][at] == asked), order[at], -1)
+
+
+def regrid_nearest(source: DataFrame, grid: DataFrame, affines: DataFrame, side: int = BLOCK_SIDE) -> DataFrame:
     """A segmentation on another grid: each target voxel takes the value of the nearest source voxel, 0 outside.
 
-    ``grid`` has the target extents per subject, ``affines`` maps target to source indices.
+    ``grid`` has the target extents per subject, ``affines`` maps target to source indices. The target is cut into cubes; each gets
+    the source voxels of its pre-image, so the shuffle is one copy of the source and the rims of the boxes, and no target
+    voxel is shuffled. Nearest voxels are looked up inside the cube.
     """
-    target = grid.join(affines, "subject")
-    target = target.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ni") - 1))).repartition("subject", "i")
-    for a in ("j", "k"):
-        target = target.withColumn(a, F.explode(F.sequence(F.lit(0), F.col(f"n{a}") - 1)))
-    moved = M.affine_times_point(M.affine_columns(), AXES)
-    nearest = target.select(
-        "subject", *AXES, *[F.floor(c + 0.5).cast("int").alias(f"_{a}") for a, c in zip(AXES, moved)]
-    )
-    values = source.select("subject", *[F.col(a).alias(f"_{a}") for a in AXES], F.col("label"))
-    return nearest.join(values, ["subject", "_i", "_j", "_k"], "left").select(
-        "subject", *AXES, F.coalesce("label", F.lit(0)).alias("label")
-    )
+    kinds = {f.name: f.dataType.simpleString() for f in source.schema.fields}
+    cubes = target_cubes(source, grid, affines, side)
+    sent = sent_voxels(source.withColumn("label", F.coalesce("label", F.lit(0).cast(kinds["label"]))), cubes, side)
+    keys = ["subject", *CUBE]
+
+    def place(cube: pd.DataFrame, voxels: pd.DataFrame) -> pd.DataFrame:
+        if not len(cube):
+            return pd.DataFrame(columns=["subject", *AXES, "label"])
+        places, rows = _regrid_cube(cube, voxels, side)
+        label = np.where(rows >= 0, voxels["label"].to_numpy()[rows], 0) if len(voxels) else np.zeros(rows.size, int)
+        return pd.DataFrame({"subject": cube["subject"].iloc[0], **dict(zip(AXES, places)), "label": label})
+
+    return cubes.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(
+        place, f"subject {kinds['subject']}, i int, j int, k int, label {kinds['label']}")
 
 
 def dilate(mask: DataFrame, dims: DataFrame, minimum: float = 0.5) -> DataFrame:

@@ -180,3 +180,42 @@ def test_a_frame_smaller_than_the_image_raises(spark):
     a = np.ones((6, 3, 2))
     with pytest.raises(Exception, match="smaller than the image"):
         V.padded(image(spark, a), dims(spark, a.shape), F.lit(4), {"k": V.upto("nk")}).collect()
+
+
+def test_regrid_equals_a_lookup_voxel_by_voxel(spark):
+    rnd = np.random.default_rng(6)
+    source, mats, dims = {}, {}, {}
+    for s in range(6):
+        source[s] = {tuple(map(int, p)): int(rnd.integers(1, 9)) for p in rnd.integers(0, 30, (4000, 3))}
+        turn, _ = np.linalg.qr(rnd.normal(size=(3, 3)))
+        mats[s] = np.column_stack([turn * rnd.uniform(0.5, 1.6) if s else np.eye(3), rnd.uniform(-9, 20, 3) if s else np.full(3, 0.5)])
+        dims[s] = rnd.integers(1, 23, 3)
+    rows = [(s, *p, v) for s, found in source.items() for p, v in found.items()]
+    df = spark.createDataFrame(rows, "subject int, i int, j int, k int, label int")
+    grid = spark.createDataFrame([(s, *map(int, d)) for s, d in dims.items()] + [(99, 3, 2, 1)], "subject int, ni int, nj int, nk int")
+    affines = spark.createDataFrame([(s, *map(float, m.reshape(-1))) for s, m in mats.items()] + [(99, *([1.0] * 12))],
+                                    "subject int, " + ", ".join(f"a{r}{c} double" for r in range(3) for c in range(4)))
+    affines = affines.withColumns({"a30": F.lit(0.0), "a31": F.lit(0.0), "a32": F.lit(0.0), "a33": F.lit(1.0)})
+    want = {}
+    for s, d in dims.items():
+        for p in np.ndindex(*d):
+            x = [np.floor(m[0] * p[0] + m[1] * p[1] + m[2] * p[2] + m[3] + 0.5) for m in mats[s]]
+            want[(s, *p)] = source[s].get(tuple(int(v) for v in x), 0)
+    want |= {(99, *p): 0 for p in np.ndindex(3, 2, 1)}
+    for side in (16, 5):
+        got = V.regrid_nearest(df, grid, affines, side).collect()
+        assert len(got) == len(want) and {tuple(r)[:4]: r["label"] for r in got} == want
+
+
+def test_regrid_sends_one_copy_and_rims(spark):
+    n = 48
+    df = spark.range(n**3).select(F.lit(1).alias("subject"), *[F.expr(e).cast("int").alias(a) for a, e in
+                                  (("i", f"id div {n * n}"), ("j", f"id div {n} % {n}"), ("k", f"id % {n}"))], F.lit(1).alias("label"))
+    grid = spark.createDataFrame([(1, n, n, n)], "subject int, ni int, nj int, nk int")
+    affine = spark.createDataFrame([(1, *np.column_stack([np.eye(3), [0.3, -0.2, 0.1]]).reshape(-1).tolist())],
+                                   "subject int, " + ", ".join(f"a{r}{c} double" for r in range(3) for c in range(4)))
+    cubes = V.target_cubes(df, grid, affine)
+    assert cubes.count() == 27
+    assert V.sent_voxels(df, cubes).count() < (18 / 16) ** 3 * n**3
+    plan = V.regrid_nearest(df, grid, affine)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [subject" in plan and not any("SortMergeJoin" in x and "bi#" in x for x in plan.splitlines())
