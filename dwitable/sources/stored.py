@@ -1,7 +1,8 @@
 """Stored listing pages as a data source: ``spark.read.format("stored_listing").load(path)``.
 
 A listing is kept as its pages, dealt out by ranges of bucket and key, beside a directory that says which keys each file holds. A
-filter on the bucket or on the front of the key is answered from the directory: files without such keys are no tasks.
+filter on the bucket or on the front of the key is answered from the directory: files without such keys are no tasks. The folder
+must be one that ``pyarrow.fs`` opens on the driver and the executors.
 """
 
 from __future__ import annotations
@@ -44,6 +45,7 @@ def read_listing(spark: SparkSession, path: str) -> DataFrame:
     """Keys of a stored listing as ``(bucket, key, file)``, one row for each time a page names a key.
 
     Conditions ``bucket =``, ``bucket in``, ``key =`` and ``key`` starts with are answered by the source; Spark does the others.
+    Filters reach sources in Python only with the session's ``spark.sql.python.filterPushdown.enabled``, which is set here.
     """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(StoredListing)
