@@ -46,38 +46,39 @@ def parse_pages(pages: DataFrame) -> DataFrame:
 
 
 def _requests(pages: DataFrame) -> DataFrame:
-    """What each request of a bucket leads to: ``(bucket, at, next, truncated, copies)``, ``at`` empty for the first one.
+    """What each request of a bucket leads to: ``(id, bucket, at, next, truncated, copies)``, ``at`` empty for the first one.
 
-    Of several stored copies of a page the smallest token counts; the page ends the listing only if all copies do.
+    The ``id`` is a number of its own, which is why the table is written. Of several stored copies of a page the smallest token counts; the page ends the listing only if all copies do.
     """
     following = F.nullif(page_token("xml"), F.lit(""))
-    return pages.groupBy("bucket", F.coalesce("requested", F.lit("")).alias("at")).agg(
+    requests = pages.groupBy("bucket", F.coalesce("requested", F.lit("")).alias("at")).agg(
         F.min(following).alias("next"), F.bool_or(page_truncated("xml")).alias("truncated"), F.count(F.lit(1)).alias("copies"))
+    return materialise(requests.select(F.monotonically_increasing_id().alias("id"), "*"), "requests")
 
 
 def _reached(requests: DataFrame) -> DataFrame:
-    """The requests that following tokens from a bucket's first page leads to: ``(bucket, at, position)``.
+    """The requests that following tokens from a bucket's first page leads to: ``(id, position)``.
 
     The front doubles: it holds the first h pages of every chain, and the table of jumps says what lies h pages after a page. One
     join of the two gives the next h, one join of the jumps with themselves makes them twice as wide. So a chain of n pages
     takes about log n rounds, all buckets at once, and no join key repeats. A chain that comes back to a page finds it
-    with a smaller position and ends there.
+    with a smaller position and ends there. Tokens are looked up once, then all rounds join numbers.
     """
-    known = requests.select("bucket", F.col("at").alias("to"))
-    jumps = requests.where("next is not null").select("bucket", "at", F.col("next").alias("to")).join(known, ["bucket", "to"], "left_semi")
-    jumps = materialise(jumps.select("bucket", "at", "to"), "jumps")
-    front = materialise(requests.where("at = ''").select("bucket", "at", F.lit(0).cast("long").alias("position")), "front")
+    known = requests.select("bucket", F.col("at").alias("next"), F.col("id").alias("to"))
+    jumps = materialise(requests.select("id", "bucket", "next").join(known, ["bucket", "next"]).select("id", "to"), "jumps")
+    first = requests.where("at = '' and bucket is not null")
+    front = materialise(first.select("id", F.lit(0).cast("long").alias("position")), "front")
     size, width = front.count(), 1
     while size:
-        further = front.join(jumps, ["bucket", "at"]).select("bucket", F.col("to").alias("at"), (F.col("position") + width).alias("position"))
+        further = front.join(jumps, "id").select(F.col("to").alias("id"), (F.col("position") + width).alias("position"))
         met = Observation()
-        front = materialise(front.unionByName(further).groupBy("bucket", "at").agg(F.min("position").alias("position"))
+        front = materialise(front.unionByName(further).groupBy("id").agg(F.min("position").alias("position"))
                             .observe(met, F.count(F.lit(1)).alias("n")), "front")
         if met.get["n"] == size:
             break
         size, width = met.get["n"], 2 * width
-        ahead = jumps.select("bucket", F.col("at").alias("to"), F.col("to").alias("far"))
-        jumps = materialise(jumps.join(ahead, ["bucket", "to"]).select("bucket", "at", F.col("far").alias("to")), "jumps")
+        ahead = jumps.select(F.col("id").alias("to"), F.col("to").alias("far"))
+        jumps = materialise(jumps.join(ahead, "to").select("id", F.col("far").alias("to")), "jumps")
     return front
 
 
@@ -88,7 +89,8 @@ def chained_pages(pages: DataFrame) -> DataFrame:
     position counts from 0 along the continuation tokens; it is NULL for pages that the first one does not lead to.
     Copies of a page share a position.
     """
-    place = _reached(materialise(_requests(pages), "requests")).withColumnRenamed("at", "_at").withColumnRenamed("bucket", "_bucket")
+    requests = _requests(pages)
+    place = requests.join(_reached(requests), "id").select(F.col("bucket").alias("_bucket"), F.col("at").alias("_at"), "position")
     same = (F.col("bucket") == F.col("_bucket")) & (F.coalesce("requested", F.lit("")) == F.col("_at"))
     return pages.join(place, same, "left").drop("_at", "_bucket")
 
@@ -101,8 +103,8 @@ def chain_report(pages: DataFrame) -> DataFrame:
     last one is not stored, and all pages are in the chain. ``broken``: the same, with pages outside, those after the gap.
     ``headless``: there is no first page.
     """
-    requests = materialise(_requests(pages), "requests")
-    chain = requests.join(_reached(requests), ["bucket", "at"], "left")
+    requests = _requests(pages)
+    chain = requests.join(_reached(requests), "id", "left")
     ends = chain.groupBy("bucket").agg(
         F.sum("copies").alias("n_stored"), F.count(F.lit(1)).alias("n_pages"), F.count("position").alias("n_chained"),
         F.max_by(F.struct("next", "truncated"), "position").alias("last"))

@@ -6,7 +6,14 @@ other placeholders are spelled per engine below. A fixture may use the tables of
 
 from __future__ import annotations
 
+import math
 import re
+import uuid
+
+from pyspark.sql import functions as F
+
+from dwitable.operators.indexing import ordered_position
+from dwitable.session import materialise, settled
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -139,11 +146,7 @@ listing_pages AS (
 # Listings of 25 buckets as stored responses, each with the token it was asked for. Of five buckets one has all its pages, one
 # has lost a page, one leads back to its middle, one was stopped before its end, and one has pages twice; one lacks its first page.
 fixture("listing_responses", ("object_keys",), """
-listed AS (
-  SELECT CAST(right(subject_id, 8) AS INT) % 25 AS b, subject_id, key,
-    row_number() OVER (PARTITION BY CAST(right(subject_id, 8) AS INT) % 25 ORDER BY key) - 1 AS seq,
-    count(*) OVER (PARTITION BY CAST(right(subject_id, 8) AS INT) % 25) AS n
-  FROM object_keys),
+{listed},
 linked AS (
   SELECT *, CASE WHEN seq = n - 1 AND b % 5 = 2 THEN CAST(floor(n / CAST(2 AS DOUBLE)) AS BIGINT) ELSE seq + 1 END AS onto,
     seq = n - 1 AND b % 5 NOT IN (2, 3) AS final FROM listed),
@@ -328,12 +331,20 @@ text_rows AS (
     || ' ' || CAST(CAST(round(gz * 1000) AS INT) AS STRING) AS line FROM volumes)
 """)
 
+# The numbered keys of each bucket. A window sorts a bucket in one task, and counts rows with 32 bits in Spark, which are too few for the
+# tokens of long listings; ``_listed`` makes the same rows there.
+LISTED = """listed AS (
+  SELECT CAST(right(subject_id, 8) AS INT) % 25 AS b, subject_id, key,
+    row_number() OVER (PARTITION BY CAST(right(subject_id, 8) AS INT) % 25 ORDER BY key) - 1 AS seq,
+    count(*) OVER (PARTITION BY CAST(right(subject_id, 8) AS INT) % 25) AS n
+  FROM object_keys)"""
+
 SPARK = {
     "explode": "explode", "array": "array", "sequence": "sequence", "json_value": "get_json_object",
     **{f"e{n}": f"embedding[{n - 1}]" for n in range(1, 6)},
 }
 DUCKDB = {
-    "explode": "unnest", "array": "list_value", "sequence": "generate_series", "json_value": "json_extract_string",
+    "explode": "unnest", "array": "list_value", "sequence": "generate_series", "json_value": "json_extract_string", "listed": LISTED,
     **{f"e{n}": f"embedding[{n}]" for n in range(1, 6)},
     **{t: t for t in TABLES},
 }
@@ -356,8 +367,36 @@ def prologue(*names: str) -> str:
     return "WITH " + ",\n".join(_spell(FIXTURES[n][1], DUCKDB) for n in _order(names, []))
 
 
+#: Customers that one task makes into object keys; each has up to fifty.
+SPREAD_ROWS = 10_000
+
+
+def _given(spark, path: str, spread: bool) -> str:
+    """A given table in Spark's SQL; with ``spread`` its rows are dealt out, as many to a task whatever the files are like."""
+    parts = math.ceil(spark.read.parquet(path).count() / SPREAD_ROWS) if spread else 1
+    return f"(SELECT /*+ REPARTITION({parts}) */ * FROM parquet.`{path}`)" if parts > 1 else f"parquet.`{path}`"
+
+
+def _listed(spark, sf_dir: str) -> str:
+    """``LISTED`` for buckets of any size: keys are numbered by ranges."""
+    bucket = F.expr("CAST(right(subject_id, 8) AS INT) % 25").alias("b")
+    keys = materialise(load(spark, sf_dir, "object_keys").select(bucket, "subject_id", "key"), "listed")
+    sizes = settled(keys.groupBy("b").agg(F.count(F.lit(1)).alias("n")), "sizes").alias("_s")
+    placed = ordered_position(keys, ["b"], "key", "seq").alias("_k")
+    sized = placed.join(sizes, F.col("_k.b").eqNullSafe(F.col("_s.b"))).select("_k.*", "_s.n")
+    view = f"listed_{uuid.uuid4().hex}"
+    materialise(sized, "listed").createOrReplaceTempView(view)
+    return f"listed AS (SELECT * FROM {view})"
+
+
 def load(spark, sf_dir: str, name: str):
     """A fixture as a Spark DataFrame over the tables of a directory."""
-    words = {**SPARK, **{t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}}
-    parts = ",\n".join(_spell(FIXTURES[n][1].replace("\\", "\\\\"), words) for n in _order((name,), []))
+    texts = [FIXTURES[n][1].replace("\\", "\\\\") for n in _order((name,), [])]
+    words = dict(SPARK)
+    for t in TABLES:
+        if any(f"{{{t}}}" in x for x in texts):
+            words[t] = _given(spark, f"{sf_dir}/{t}.parquet", t == "customer")
+    if any("{listed}" in x for x in texts):
+        words["listed"] = _listed(spark, sf_dir)
+    parts = ",\n".join(_spell(x, words) for x in texts)
     return spark.sql(f"WITH {parts}\nSELECT * FROM {name}")
