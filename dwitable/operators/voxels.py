@@ -6,7 +6,9 @@ on voxel coordinates, so even a third of all rows in one subject spreads evenly.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -138,6 +140,10 @@ def left_pad(n: Column, size: Column) -> Column:
     return F.floor((n - size) / 2).cast("int")
 
 
+#: Frame pixels that one task makes and meets with an image's.
+TASK_PIXELS = 500_000
+
+
 def padded(
     images: DataFrame, dims: DataFrame, n: Column, slices: dict[str, Column], axes: Sequence[str] = ("i", "j"),
     by: Sequence[str] = ("subject",),
@@ -145,29 +151,35 @@ def padded(
     """Images centred in an ``n`` by ``n`` frame of zeros, every pixel present; an image larger than the frame raises.
 
     ``dims`` has the extents of both axes (``n<axis>``) per image (``by``); ``slices`` names the further coordinates of a
-    picture and lists their values as an array over ``dims``. The frame is generated on the executors, spread by
-    picture, and meets the pixels in one aggregation, which combines before it shuffles.
+    picture and lists their values as an array over ``dims``. The frame is generated on the executors and meets the
+    pixels in one aggregation. Both are dealt out by number: the table of pictures is a few bytes for what
+    becomes many pixels, so the size of what a shuffle wrote says nothing about a task's work.
     """
     a, b = axes
     keys = [*by, *slices]
     fits = n >= F.greatest(F.col(f"n{a}"), F.col(f"n{b}"))
     frame = dims.withColumn("_n", F.when(fits, n).otherwise(F.raise_error("the frame is smaller than the image").cast("int")).cast("int"))
+    frame = frame.select(*by, f"n{a}", f"n{b}", "_n", *[values.alias(name) for name, values in slices.items()])
+    frame = materialise(frame, "frames")
     shifts = frame.select(
         *by, left_pad(F.col("_n"), F.col(f"n{a}")).alias("_da"), left_pad(F.col("_n"), F.col(f"n{b}")).alias("_db")
     )
+    size = reduce(lambda x, name: x * F.size(name), slices, F.col("_n").cast("double") * F.col("_n"))
+    parts = math.ceil((frame.agg(F.sum(F.greatest(size, F.lit(0.0)))).first()[0] or 0) / TASK_PIXELS) or 1
     pictures = frame
-    for name, values in slices.items():
-        pictures = pictures.withColumn(name, F.explode(values))
+    for name in slices:
+        pictures = pictures.withColumn(name, F.explode(name))
     line = F.sequence(F.lit(0), F.col("_n") - 1)
     zeros = (
-        pictures.select(*keys, "_n").repartition(*keys)
+        pictures.select(*keys, "_n").repartition(parts, *keys)
         .select(*keys, "_n", F.explode(line).alias(a)).select(*keys, a, F.explode(line).alias(b))
         .withColumn("value", F.lit(None).cast("double"))
     )
     placed = images.join(if_small(shifts), list(by)).select(
         *keys, (F.col(a) + F.col("_da")).cast("int").alias(a), (F.col(b) + F.col("_db")).cast("int").alias(b), "value"
     )
-    return zeros.unionByName(placed).groupBy(*keys, a, b).agg(F.coalesce(F.max("value"), F.lit(0.0)).alias("value"))
+    both = zeros.unionByName(placed).repartition(parts, *keys, a, b)
+    return both.groupBy(*keys, a, b).agg(F.coalesce(F.max("value"), F.lit(0.0)).alias("value"))
 
 
 def upto(n: Column | str) -> Column:
