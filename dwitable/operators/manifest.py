@@ -111,8 +111,12 @@ def zip_pairs(df: DataFrame, left: str, right: str, out: tuple[str, str]) -> Dat
 
 
 def bids_files(keys: DataFrame) -> DataFrame:
-    """Keys with their naming entities as columns."""
-    return keys.select("*", *[c.alias(f"e_{n}") for n, c in P.bids_entities("key").items()])
+    """Keys with their naming entities as columns.
+
+    A row generator keeps the patterns out of the conditions that are set on the columns later, where each mention would search again.
+    """
+    entities = F.struct(*[c.alias(f"e_{n}") for n, c in P.bids_entities("key").items()])
+    return keys.select("*", F.inline(F.array(entities)))
 
 
 def workflow_roles(entities: DataFrame) -> DataFrame:

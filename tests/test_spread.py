@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from dwitable.operators import manifest as MF
 from dwitable.operators import voxels as VX
 from dwitable.sources import listing as LS
 from workload import fixtures as FX
@@ -18,9 +19,9 @@ def folder(spark, tmp_path_factory):
 
 
 def test_customers_are_dealt_out_before_they_become_keys(spark, folder, monkeypatch):
-    usual = FX.load(spark, folder, "object_keys")
+    usual = FX._load(spark, folder, "object_keys")
     monkeypatch.setattr(FX, "SPREAD_ROWS", 10)
-    spread = FX.load(spark, folder, "object_keys")
+    spread = FX._load(spark, folder, "object_keys")
     assert usual.rdd.getNumPartitions() == 1 and spread.rdd.getNumPartitions() == 6
     assert sorted(map(tuple, spread.collect())) == sorted(map(tuple, usual.collect()))
 
@@ -42,3 +43,16 @@ def test_frames_are_dealt_out_by_pixels(spark, monkeypatch):
     sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 12 * 2 * 100 and max(sizes) < 500
     assert {r["subject"]: r["total"] for r in found.groupBy("subject").agg(F.sum("value").alias("total")).collect()} == {i: 2.0 for i in range(12)}
+
+
+def test_keys_are_put_together_once(spark, folder):
+    plan = FX.load(spark, folder, "sited")._jdf.queryExecution().optimizedPlan().toString()
+    assert "data/Projects" not in plan and "Generate" not in plan
+    assert FX.load(spark, folder, "object_keys").dtypes == FX._load(spark, folder, "object_keys").dtypes
+
+
+def test_entities_are_searched_once(spark):
+    keys = spark.createDataFrame([("sub-1", "a/sub-1/dwi/sub-1_dwi.nii.gz")], "subject_id string, key string")
+    found = MF.workflow_inputs(MF.workflow_roles(MF.bids_files(keys)), "/bids", "/out")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") <= 12
+    assert MF.workflow_roles(MF.bids_files(keys)).first()["role"] == "dwi"
