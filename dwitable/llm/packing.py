@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,6 +28,10 @@ WIDTH = 4  # bytes of an id
 BYTE_CHARACTERS = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 #: Letters below this one have lower-case forms of one character, but for the one beside it.
 PLAIN_LETTERS, DOTTED = 0x250, 0x130
+#: The runs of letters, the digits and the runs of other characters of a lower-case word of ASCII.
+PARTS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
+#: ASCII's marks without the apostrophe.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 pack_ids = [struct.Struct(f"<{n}I").pack for n in range(16)]
@@ -53,9 +58,10 @@ class _Known(dict):
 class WordIds:
     """The ids of a text, word by word, with a bounded memory of words.
 
-    The tokenizer drops white space and never joins what white space separates, so the ids of a text are those of its words. A
-    word with one comma or full stop behind a letter is the word and the mark. A word of letters alone is one piece to the
-    tokenizer, so that its model can be asked directly.
+    The tokenizer drops white space and never joins what white space separates, so the ids of a text are those of its words. Nor
+    does it join letters, digits and other characters but after an apostrophe, so a word without one is made of its parts,
+    which are far fewer than words. A run of letters alone is one piece to the tokenizer, so that its model can be asked
+    directly.
     """
 
     def __init__(self, path: str):
@@ -69,18 +75,23 @@ class WordIds:
     def _encode(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _letters(self, text: str) -> bytes:
+        ids = [p.id for p in self.pieces(text)]
+        return pack_ids[len(ids)](*ids) if len(ids) < len(pack_ids) else struct.pack(f"<{len(ids)}I", *ids)
+
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
-        if not text.isalpha():
-            if word[-1] in b",." and len(word) > 1 and 97 <= word[-2] <= 122:
-                return self.known[word[:-1]] + self.known[word[-1:]]
+        if word.isascii():
+            if word.isalpha():
+                return self._letters(text)
+            parts = PARTS.findall(word) if b"'" not in word else ()
+            return b"".join(map(self.known.__getitem__, parts)) if len(parts) > 1 else self._encode(text)
+        stem = text.rstrip(MARKS)
+        if not stem.isalpha() or any(c >= PLAIN_LETTERS or c == DOTTED for c in map(ord, stem)):
             return self._encode(text)
-        if not word.isascii():
-            if any(c >= PLAIN_LETTERS or c == DOTTED for c in map(ord, text)):
-                return self._encode(text)
-            text = text.lower().encode().decode("latin-1").translate(BYTE_CHARACTERS)
-        ids = [p.id for p in self.pieces(text)]
-        return pack_ids[len(ids)](*ids) if len(ids) < len(pack_ids) else struct.pack(f"<{len(ids)}I", *ids)
+        if len(stem) < len(text):
+            return self.known[stem.encode()] + self.known[text[len(stem):].encode()]
+        return self._letters(text.lower().encode().decode("latin-1").translate(BYTE_CHARACTERS))
 
     def ids(self, text: bytes) -> Iterator[bytes]:
         """Blocks of ids, four bytes each, little-endian."""

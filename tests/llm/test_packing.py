@@ -61,6 +61,18 @@ def test_round_trip(spark, tokenizer, length, windows, cut):
         assert sum(length - n for n in used) / (length * len(used)) < 0.25 * min(1, cut / 16) + length / sum(used)
 
 
+def test_words_are_made_of_their_parts(tokenizer, monkeypatch):
+    rnd, asked = random.Random(5), []
+    words, encode = packing.WordIds(PATH), packing.WordIds._encode
+    monkeypatch.setattr(packing.WordIds, "_encode", lambda self, text: asked.append(text) or encode(self, text))
+    ids = lambda text: list(memoryview(b"".join(words.ids(text.encode()))).cast("I"))
+    assert ids("gorti&&& élan.*** a1b22") == tokenizer.encode("gorti&&& élan.*** a1b22", add_special_tokens=False).ids
+    assert not any(c.isalpha() for text in asked for c in text)  # letters are asked of the model alone
+    some = ["a", "Z", "é", "É", "ß", "İ", "1", "²", "'", "'s", "'LL", ".", ",", "***", "_", "<", "|", "\x1c", "\xa0", "\x85", "\u0301", "ª", "ǅ", "Σ", "日", " "]
+    for text in ("".join(rnd.choices(some, k=rnd.randint(1, 9))) for _ in range(20_000)):
+        assert ids(text) == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_many_open_windows_are_merged_in_groups(spark, tokenizer, monkeypatch):
     monkeypatch.setattr(packing, "MERGE_GROUP", 4)
     df = spark.createDataFrame([(i, "few words " * (i % 9)) for i in range(90)], "doc_id long, text string").repartition(8)
