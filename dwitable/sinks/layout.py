@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from dwitable.operators.indexing import paged
 from dwitable.sinks.replace import replace_parts
 
 PIPELINE = "dwitable"
+#: Directories that one task writes: opening files takes the time, however few rows they get.
+TASK_PARTS = 64
 
 # Tool output names and what they become, in the order in which they are applied. ``{0}`` is the
 # image base name; ``{0:x>y}`` the same with x replaced by y; ``{1}`` the subject id; ``{2}`` the pipeline folder.
@@ -94,10 +97,14 @@ def write_by_category(df: DataFrame, path: str, keys=("subject_id", "category"),
     """Write a table with one directory per subject and category; those of other subjects and categories stay as they are.
 
     A directory of at most ``file_rows`` rows is one file; only larger ones are spread, by a hash of the row, over as many
-    tasks as they need.
+    tasks as they need. Many directories are dealt out by their number, as few rows would else end in few tasks.
     """
     rows = [c for c in df.columns if c not in keys]
     spread = paged(df, list(keys), rows or list(keys), file_rows)
+    parts = df.select(*keys).distinct().count()
+    if parts > TASK_PARTS:
+        tasks = max(ceil(parts / TASK_PARTS), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        spread = spread.repartition(tasks, *keys, "page")
     replace_parts(spread.drop("page"), path, list(keys))
 
 

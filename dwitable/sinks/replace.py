@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from threading import Event
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 from dwitable.session import settled
 
 STAGED, COMMITS, REPLACED, LAYOUT = "_staged", "_commits", "_replaced", "_layout"
+#: Moves that wait for the file system at once, and parts that are worth a further one.
+MOVERS, MOVER_PARTS = 16, 64
 
 
 class _Folder:
@@ -24,10 +28,13 @@ class _Folder:
 
     def __init__(self, spark: SparkSession, root: str):
         self.jvm, self.root = spark.sparkContext._jvm, root.rstrip("/")
+        self.hadoop = self.jvm.org.apache.hadoop.fs  # looked up once: each look-up asks the JVM for every part of the name
+        self.Path = self.hadoop.Path
+        self.parents: set[str] = set()  # folders that moves have made
         self.fs = self.path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def path(self, name: str):
-        return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+        return self.Path(f"{self.root}/{name}" if name else self.root)
 
     def exists(self, name: str) -> bool:
         return self.fs.exists(self.path(name))
@@ -35,10 +42,14 @@ class _Folder:
     def names(self, pattern: str) -> list[str]:
         """Names below the folder that match, relative to it."""
         base = len(self.fs.makeQualified(self.path("")).toString().rstrip("/")) + 1
-        return [s.getPath().toString()[base:] for s in self.fs.globStatus(self.path(pattern)) or []]
+        found = self.fs.globStatus(self.path(pattern))
+        return [p.toString()[base:] for p in self.hadoop.FileUtil.stat2Paths(found)] if found else []
 
     def move(self, source: str, target: str) -> None:
-        self.fs.mkdirs(self.path(target).getParent())
+        parent = target.rpartition("/")[0]
+        if parent not in self.parents:
+            self.fs.mkdirs(self.path(parent))
+            self.parents.add(parent)
         if not self.fs.rename(self.path(source), self.path(target)):
             raise OSError(f"could not move {source} to {target} in {self.root}")
 
@@ -60,16 +71,34 @@ class _Folder:
         return text
 
 
+def _place(folder: _Folder, write: str, part: str) -> None:
+    """Move one part of a commit list, unless it has been moved already."""
+    staged, former = f"{STAGED}/{write}/{part[1:]}", f"{REPLACED}/{write}/{part[1:]}"
+    if part[0] == "+" and not folder.exists(staged):
+        return
+    if folder.exists(part[1:]) and not folder.exists(former):
+        folder.move(part[1:], former)
+    if part[0] == "+":
+        folder.move(staged, part[1:])
+
+
 def _finish(folder: _Folder, write: str) -> None:
-    """Move what a commit list names; parts that have been moved already are passed over."""
-    for part in folder.read(f"{COMMITS}/{write}").splitlines():
-        staged, former = f"{STAGED}/{write}/{part[1:]}", f"{REPLACED}/{write}/{part[1:]}"
-        if part[0] == "+" and not folder.exists(staged):
-            continue
-        if folder.exists(part[1:]) and not folder.exists(former):
-            folder.move(part[1:], former)
-        if part[0] == "+":
-            folder.move(staged, part[1:])
+    """Move what a commit list names, many parts at a time; parts that have been moved already are passed over."""
+    parts = folder.read(f"{COMMITS}/{write}").splitlines()
+    failed = Event()
+
+    def place(part: str) -> None:
+        if failed.is_set():
+            return
+        try:
+            _place(folder, write, part)
+        except BaseException:
+            failed.set()
+            raise
+
+    with ThreadPoolExecutor(max(1, min(MOVERS, len(parts) // MOVER_PARTS))) as movers:
+        for _ in movers.map(place, parts):
+            pass
     folder.delete(f"{COMMITS}/{write}")
     folder.delete(f"{REPLACED}/{write}")
     folder.delete(f"{STAGED}/{write}")

@@ -59,6 +59,48 @@ def test_an_interrupted_move_is_finished(spark, tmp_path, monkeypatch):
     assert held(spark, path) == [(s, c, 2) for s in "ABC" for c in ("dwi", "qc")]
 
 
+def many(spark, n, value):
+    return spark.range(n).select(F.col("id").alias("subject_id"), F.lit("dwi").alias("category"), F.lit(value).cast("long").alias("v"))
+
+
+def values(spark, path):
+    return sorted((r["subject_id"], r["v"]) for r in spark.read.parquet(path).collect())
+
+
+def test_many_directories_are_dealt_out(spark, tmp_path):
+    path = str(tmp_path / "out")
+    L.write_by_category(many(spark, 300, 1), path)
+    files = list((tmp_path / "out").glob("subject_id=*/category=dwi/*.parquet"))
+    assert len(files) == 300 and len({f.name.split("-")[1] for f in files}) >= 300 // L.TASK_PARTS
+    L.write_by_category(many(spark, 200, 2), path)
+    assert values(spark, path) == [(n, 2 if n < 200 else 1) for n in range(300)]
+
+
+def test_many_moves_are_finished_after_a_failure(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "out")
+    L.write_by_category(many(spark, 300, 1), path)
+    move, tried = RP._Folder.move, []
+
+    def some(self, source, target):
+        tried.append(source)
+        if len(tried) > 150:
+            raise OSError("lost")
+        move(self, source, target)
+
+    monkeypatch.setattr(RP._Folder, "move", some)
+    with pytest.raises(OSError, match="lost"):
+        L.write_by_category(many(spark, 300, 2), path)
+    monkeypatch.undo()
+    assert RP.recover(spark, path) == 1
+    assert values(spark, path) == [(n, 2) for n in range(300)]
+
+
+def test_a_class_is_looked_up_once(spark, tmp_path):
+    folder = RP._Folder(spark, str(tmp_path))
+    folder.jvm = None
+    assert folder.path("a").toString().endswith("/a") and not folder.exists("a")
+
+
 def lines_of(spark, path):
     return sorted((r.subject, r.line_no, r.line) for r in TX.read_written_lines(spark, path).collect())
 
