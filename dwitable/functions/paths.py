@@ -32,11 +32,15 @@ def split_extensions(path: ColumnLike) -> Column:
 def cumulative_paths(parts: ColumnLike, add_ext: str = "") -> Column:
     """``[a, .b, .c]`` -> ``[a, a.b, a.b.c]``, each followed by ``add_ext``."""
     ext = add_ext if not add_ext or add_ext.startswith(".") else f".{add_ext}"
-    p = col(parts)
-    return F.transform(
-        F.sequence(F.lit(1), F.size(p)),
-        lambda n: F.concat(F.array_join(F.slice(p, F.lit(1), n), ""), F.lit(ext)),
-    )
+
+    def names(p: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(1), F.size(p)),
+            lambda n: F.concat(F.array_join(F.slice(p, F.lit(1), n), ""), F.lit(ext)),
+        )
+
+    # ``parts`` is bound to a variable: named inside the inner function, it would be computed again for every element
+    return F.element_at(F.transform(F.array(col(parts)), names), 1)
 
 
 def target_path(key: ColumnLike, site: ColumnLike, directory: str, include_site: bool = False) -> Column:

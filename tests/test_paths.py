@@ -78,3 +78,11 @@ def test_long_names_are_replaced_before_short_ones(spark):
     assert name == f"dwi/{base}.nii.gz"
     name = one(spark, L.named("p", F.lit(base), F.lit("sub-1")), p="derivatives/dwitable/dti/eddy_corrected_maths.nii.gz")
     assert name == "derivatives/sub-1/dwitable/dti/sub-1_acq_scaled.nii.gz"
+
+
+def test_cumulative_paths_compute_their_parts_once(spark):
+    keys = spark.createDataFrame([("a/b.nii.gz",), (None,)], "key string")
+    named = keys.select(P.cumulative_paths(P.split_extensions("key"), "json").alias("names"))
+    plan = named._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?:.*/)?") == 2  # the stem, and what follows it
+    assert [r[0] for r in named.collect()] == [["a/b.json", "a/b.nii.json", "a/b.nii.gz.json"], None]
