@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dwitable.functions import paths as P
 from dwitable.functions.columns import ColumnLike, col
 from dwitable.operators.indexing import ordered_position
-from dwitable.session import if_small
+from dwitable.session import if_small, parts_of
 
 # The file roles of a subject and those that can have a sidecar.
 ROLES = ("dwi", "bvec", "bval", "epi_nii", "epi_json", "t1w", "freesurfer")
@@ -48,11 +48,16 @@ def role_flags(files: DataFrame) -> DataFrame:
 
 
 def subject_validity(roster: DataFrame, files: DataFrame) -> DataFrame:
-    """Whether each subject of the roster has at least one file of every role."""
+    """Whether each subject of the roster has at least one file of every role.
+
+    Files are counted first: both sides are dealt out by subject, as many files to a task whatever their number.
+    """
     complete = F.lit(True)
     for r in ROLES:
         complete = complete & F.coalesce(F.col(f"has_{r}"), F.lit(False))
-    return roster.join(role_flags(files), "subject_id", "left").select("subject_id", complete.alias("valid"))
+    parts = parts_of(files)
+    flags = role_flags(files.repartition(parts, "subject_id"))
+    return roster.repartition(parts, "subject_id").join(flags, "subject_id", "left").select("subject_id", complete.alias("valid"))
 
 
 def validity_after_filter(roster: DataFrame, files: DataFrame, filtered: DataFrame) -> DataFrame:

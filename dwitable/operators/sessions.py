@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dwitable.functions import paths as P
 from dwitable.functions.columns import before
 from dwitable.operators.indexing import ordered_position
-from dwitable.session import settled
+from dwitable.session import parts_of, settled
 
 # The roles that belong to a session.
 SESSION_ROLES = ("dwi", "bvec", "bval", "epi_ap", "epi_pa")
@@ -124,22 +124,26 @@ def subject_checks(files: DataFrame, directions: DataFrame) -> DataFrame:
 
     ``(subject_id, gap, directed, consistent, any_session)``: whether a field-map image or sidecar lacks its counterpart, all
     sidecars have a direction, every session has every role, and some session has equally many files of all. ``files`` is
-    ``(subject_id, role, key)`` with classified roles, ``directions`` is ``(subject_id, key, direction)``. Files and sidecars
-    meet once, by the sidecar's key; what is left are a few numbers for each session and subject.
+    ``(subject_id, role, key)`` with classified roles, ``directions`` is ``(subject_id, key, direction)`` with AP, PA or NULL. Files
+    and sidecars meet once, by the sidecar's key; what is left are a few numbers for each session and subject. Files are counted
+    first and dealt out as many to a task whatever their number, and a sidecar's directions are flags, which need no sort.
     """
+    parts = parts_of(files)
     fieldmap = F.col("role").isin("epi_nii", "epi_json")
     none = F.lit(None).cast("string")
     sidecar = F.when(fieldmap, F.replace(F.col("key"), F.lit(".nii.gz"), F.lit(".json")))
     rows = files.select("subject_id", P.session_id("key").alias("session"), sidecar.alias("sidecar"), "role", none.alias("direction")).unionByName(
         directions.select("subject_id", P.session_id("key").alias("session"), F.col("key").alias("sidecar"), F.lit("stated").alias("role"), "direction"))
     others = [r for r in SESSION_ROLES if not r.startswith("epi_")]
-    met = rows.groupBy("subject_id", "session", "sidecar").agg(
+    met = rows.repartition(parts, "subject_id", "session", "sidecar").groupBy("subject_id", "session", "sidecar").agg(
         *[F.count_if(F.col("role") == r).alias(f"n_{r}") for r in others], F.count_if(F.col("role") == "epi_nii").alias("images"),
-        F.bool_or(F.col("role") == "epi_json").alias("noted"), F.max("direction").alias("direction"), F.bool_or(F.col("role") == "stated").alias("stated"))
-    images, faced = F.col("images") > 0, F.col("direction").isNotNull()
-    counted = met.groupBy("subject_id", "session").agg(
+        F.bool_or(F.col("role") == "epi_json").alias("noted"), F.bool_or(F.col("role") == "stated").alias("stated"),
+        *[F.coalesce(F.bool_or(F.col("direction") == d), F.lit(False)).alias(d) for d in ("AP", "PA")])
+    images, faced = F.col("images") > 0, F.col("AP") | F.col("PA")
+    towards = {"AP": F.col("AP") & ~F.col("PA"), "PA": F.col("PA")}  # a sidecar that states both counts as PA
+    counted = met.repartition(parts, "subject_id").groupBy("subject_id", "session").agg(
         *[F.sum(f"n_{r}").alias(f"n_{r}") for r in others],
-        *[F.sum(F.when(F.col("direction") == d, F.col("images")).otherwise(0)).alias(f"n_epi_{d.lower()}") for d in ("AP", "PA")],
+        *[F.sum(F.when(towards[d], F.col("images")).otherwise(0)).alias(f"n_epi_{d.lower()}") for d in ("AP", "PA")],
         F.bool_or(images != F.col("noted")).alias("gap"), F.bool_and(F.when(F.col("stated"), faced)).alias("directed"))
     lo, hi = F.least(*_counts()), F.greatest(*_counts())
     some = hi > 0  # a session without any of the roles is none

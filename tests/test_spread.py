@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from dwitable import session
 from dwitable.operators import manifest as MF
+from dwitable.operators import sessions as S
 from dwitable.operators import voxels as VX
 from dwitable.sources import listing as LS
 from workload import fixtures as FX
@@ -56,3 +58,26 @@ def test_entities_are_searched_once(spark):
     found = MF.workflow_inputs(MF.workflow_roles(MF.bids_files(keys)), "/bids", "/out")
     assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") <= 12
     assert MF.workflow_roles(MF.bids_files(keys)).first()["role"] == "dwi"
+
+
+def test_subjects_are_dealt_out_by_their_files(spark, monkeypatch):
+    """A task takes as many files whatever the table's size, and a sidecar with two directions counts as the later one."""
+    places = {"epi_nii": ("fmap", "epi.nii.gz"), "epi_json": ("fmap", "epi.json")}
+    epi = [(f"sub-{i}", role, f"sub-{i}/fmap/dir-{d}_{tail}") for i in range(30) for d in ("AP", "PA") for role, (_, tail) in places.items()]
+    rest = [(f"sub-{i}", role, f"sub-{i}/x/{role}") for i in range(30) for role in ("dwi", "bvec", "bval", "t1w", "freesurfer") if i % 5 or role != "t1w"]
+    files = spark.createDataFrame(epi + rest, "subject_id string, role string, key string")
+    stated = [(s, k, None if s == "sub-1" else "PA" if "PA" in k else "AP") for s, r, k in epi if r == "epi_json"]
+    stated += [("sub-2", "sub-2/fmap/dir-AP_epi.json", "PA"), ("sub-3", "sub-3/fmap/dir-AP_epi.json", None)]
+    directions = spark.createDataFrame(stated, "subject_id string, key string, direction string")
+    people = spark.createDataFrame([(f"sub-{i}",) for i in range(31)], "subject_id string")
+    found = {}
+    for rows in (10, 100_000):
+        monkeypatch.setattr(session, "DEALT_ROWS", rows)
+        checks, validity = S.subject_checks(files, directions), MF.subject_validity(people, files)
+        parts = -(-len(epi + rest) // rows)
+        assert checks.rdd.getNumPartitions() == validity.rdd.getNumPartitions() == parts
+        assert "SortAggregate" not in checks._jdf.queryExecution().executedPlan().toString()
+        found[rows] = {tuple(r) for r in S.reasons_of(validity, checks).collect()}
+    expected = {f"sub-{i}": "missing_files" if i % 5 == 0 else None for i in range(31)}
+    expected |= {"sub-1": "no_direction", "sub-2": "session_mismatch"}
+    assert found[10] == found[100_000] == set(expected.items())
