@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dwitable.functions import paths as P
-from dwitable.session import if_small, settled
+from dwitable.session import BROADCAST_ROWS, if_small, materialise, parts_of, settle, settled
 
 SUBJECT_PATTERN = r"(?:^|/)sub-([^/]+)/"
 SUBJECT_PLACE = r"^(?:(.*?)/)?(sub-[^/]+)/"
@@ -40,19 +41,63 @@ def matching_keys(keys: DataFrame, prefix: str | Iterable[str] = "", suffix: str
     return ending.join(key_prefixes(ending, table).select("key"), "key", "left_semi")
 
 
-def key_prefixes(keys: DataFrame, prefixes: DataFrame) -> DataFrame:
+def key_prefixes(keys: DataFrame, prefixes: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Distinct keys that begin with one of a table's prefixes, with the longest such one: ``(key, prefix)``.
 
-    A key has one candidate for each length that a prefix has, and each is looked up whole, so the work does not depend on the
-    number of prefixes. Object keys have at most 1,024 characters, so there are never more lengths than that. NULL prefixes
-    match nothing, the empty prefix matches every key.
+    NULL prefixes match nothing, the empty prefix matches every key. With at most ``limit`` prefixes a key has one candidate for
+    each length that a prefix has, and each is looked up whole in every task. Object keys have at most 1,024 characters, so there
+    are never more lengths than that. More prefixes are sorted among the keys.
     """
-    wanted = settled(prefixes.select("prefix").where("prefix is not null").distinct(), "prefixes")
+    wanted, small = settle(prefixes.select("prefix").where("prefix is not null").distinct(), "prefixes", limit)
+    if not small:
+        return _sorted_prefixes(keys, wanted)
+    found = _fronts(keys.select("key"), wanted).join(F.broadcast(wanted), "prefix")
+    return found.groupBy("key").agg(F.max(F.length("prefix")).alias("_length")).select("key", F.expr("left(key, _length)").alias("prefix"))
+
+
+def _fronts(keys: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of a table of keys, each with every front that is as long as some wanted prefix."""
     lengths = F.broadcast(wanted.agg(F.array_sort(F.collect_set(F.length("prefix"))).alias("_lengths")))
-    candidates = keys.select("key").join(lengths).select(
-        "key", F.explode(F.filter("_lengths", lambda n: n <= F.length("key"))).alias("_length"))
-    found = candidates.withColumn("prefix", F.expr("left(key, _length)")).join(wanted, "prefix")
-    return found.groupBy("key").agg(F.max("_length").alias("_length")).select("key", F.expr("left(key, _length)").alias("prefix"))
+    each = F.explode(F.filter("_lengths", lambda n: n <= F.length("key"))).alias("_length")
+    return keys.join(lengths).select(*keys.columns, each).withColumn("prefix", F.expr("left(key, _length)")).drop("_length")
+
+
+def _sorted_prefixes(keys: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``key_prefixes`` for any number of prefixes: no key is copied, and a prefix of very many keys is no hot key of a join.
+
+    Keys and prefixes are dealt out by ranges of their text and sorted; a prefix then stands before the keys that it begins, with
+    nothing else in between. Only prefixes from earlier ranges are missed. These begin the first key without a prefix of its own
+    range as well, so that key is looked up for all of the range.
+    """
+    parts = parts_of(keys) + parts_of(wanted)
+    named = keys.select(F.col("key").alias("text")).where("text is not null").distinct()
+    rows = named.withColumn("is_key", F.lit(True)).unionByName(wanted.select(F.col("prefix").alias("text"), F.lit(False).alias("is_key")))
+    dealt = rows.repartitionByRange(parts, "text").sortWithinPartitions("text", "is_key")
+    begun = dealt.select(F.col("text").cast("binary").alias("text"), "is_key").mapInArrow(_last_begun, "key binary, prefix binary")
+    text = [F.col(c).cast("string").alias(c) for c in ("key", "prefix")]
+    begun = materialise(begun.select(*text, F.spark_partition_id().alias("_part")), "begun")
+    rest = begun.where("prefix is null").groupBy("_part").agg(F.min("key").alias("key"))
+    fronts = settled(_fronts(rest, wanted).select("_part", "prefix"), "fronts")
+    earlier = wanted.join(fronts, "prefix").groupBy("_part").agg(F.collect_list("prefix").alias("_earlier"))
+    own = F.array_max(F.filter("_earlier", lambda p: F.col("key").startswith(p)))  # of one key's fronts the longest sorts last
+    found = begun.join(settled(earlier, "earlier"), "_part", "left").select("key", F.coalesce("prefix", own).alias("prefix"))
+    return found.where("prefix is not null")
+
+
+def _last_begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys among sorted texts, each with the longest prefix that came before it and begins it."""
+    begun: list[bytes] = []
+    for batch in batches:
+        names, found = [], []
+        for text, is_key in zip(batch["text"].to_pylist(), batch["is_key"].to_pylist(), strict=True):
+            while begun and not text.startswith(begun[-1]):
+                begun.pop()
+            if is_key:
+                names.append(text)
+                found.append(begun[-1] if begun else None)
+            else:
+                begun.append(text)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(found, pa.binary())], ["key", "prefix"])
 
 
 def subject_keys(roster: DataFrame, keys: DataFrame) -> DataFrame:

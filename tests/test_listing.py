@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from dwitable import session
 from dwitable.sources import keys as KS
 from dwitable.sources import listing as LS
 from dwitable.sources import stored as ST
@@ -80,6 +81,21 @@ def test_longest_prefix_of_many(spark):
     assert KS.matching_keys(keys, []).count() == 0 and KS.matching_keys(keys).count() == len(names)
 
 
+def test_more_prefixes_than_a_task_holds_are_sorted_among_the_keys(spark, monkeypatch):
+    """No key is copied for the lengths of prefixes; prefixes from earlier ranges are found, also short ones behind longer ones."""
+    monkeypatch.setattr(session, "DEALT_ROWS", 25)
+    rnd = random.Random(4)
+    names = ["".join(rnd.choices("ab/\u00e9\U0001f600", k=rnd.randint(0, 9))) for _ in range(400)] + [None, "b/", "b/", "a" * 9]
+    prefixes = ["".join(rnd.choices("ab/\u00e9\U0001f600", k=rnd.randint(1, 5))) for _ in range(60)] + ["b", "b/", "a", None]
+    keys = spark.createDataFrame([(n,) for n in names], "key string")
+    for some in (prefixes, [*prefixes, ""], ["b"], ["", "ab/"], []):
+        found = KS.key_prefixes(keys, spark.createDataFrame([(p,) for p in some], "prefix string"), limit=-1)
+        got = [tuple(r) for r in found.collect()]
+        assert sorted(got) == sorted({(n, max((p for p in some if p is not None and n.startswith(p)), key=len)) for n in names
+                                      if n is not None and any(p is not None and n.startswith(p) for p in some)})
+        assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_the_plan_does_not_grow_with_the_prefixes(spark):
     keys = spark.range(1000).selectExpr("'p' || (id * 7) || '/x' AS key")
     plans = []
