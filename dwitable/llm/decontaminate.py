@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwitable.llm.common import fresh, sliced
+from dwitable.llm.common import SLICE, fresh, kept, sliced
 from dwitable.session import if_small, materialise
 
 WORD = re.compile(r"\w+")
@@ -205,15 +205,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, similari
     return _scanned(docs.select(F.col("doc_id").cast("long"), "text"), benchmark, words, similarity, radius).drop("body")
 
 
-#: The index that this worker has built last, by a name of its own: the tasks of a worker share it.
-_HELD: dict[str, Benchmark] = {}
-
-
 def _index(name: str, rows: list[tuple[int, str]], words: int, radius: int) -> Benchmark:
-    if name not in _HELD:
-        _HELD.clear()
-        _HELD[name] = Benchmark(rows, words, radius)
-    return _HELD[name]
+    """The index that this worker has built last, by a name of its own: the tasks of a worker share it."""
+    return kept("decontaminate", name, lambda: Benchmark(rows, words, radius))
 
 
 def _scanned(docs: DataFrame, benchmark: DataFrame, words: int, similarity: float, radius: int) -> DataFrame:
@@ -243,7 +237,7 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, words: int, similarity: floa
 
         found = docs.mapInArrow(scan, schema)
         if passes > 1:  # written before the next pass begins, so that one pass's items are held at a time
-            found = materialise(found, "leaks")
+            found = materialise(found, "leaks", batch_rows=SLICE)
             rows.unpersist()
         result = found if result is None else result.unionByName(found)
     return result
@@ -256,7 +250,7 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, words: int = 5, sim
     hash of the text.
     """
     texts = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("body"))
-    found = materialise(_scanned(texts, benchmark, words, similarity, radius).select("doc_id", "body").distinct(), "leaks")
+    found = materialise(_scanned(texts, benchmark, words, similarity, radius).select("doc_id", "body").distinct(), "leaks", batch_rows=SLICE)
     id_, body = fresh("id"), fresh("body")
     found = if_small(found.withColumnRenamed("doc_id", id_).withColumnRenamed("body", body))
     return docs.join(found, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(body)), "left_anti")

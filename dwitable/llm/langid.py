@@ -13,7 +13,7 @@ import pyarrow.parquet
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dwitable.llm.common import SLICE, crc_bucket, fresh, sliced
+from dwitable.llm.common import SLICE, crc_bucket, fresh, kept, sliced
 from dwitable.session import BROADCAST_BYTES, settled, shared_dir
 
 DIMENSIONS = 1024
@@ -60,9 +60,8 @@ class Triples:
         return self.vectors[[self.rows[c] for c in codes]].astype(np.float32)
 
 
-@lru_cache(maxsize=1)
 def _triples() -> Triples:
-    return Triples()
+    return kept("langid", None, Triples)
 
 
 def triple_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:

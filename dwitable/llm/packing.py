@@ -6,7 +6,6 @@ import os
 import re
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwitable.llm.common import raw, sliced
+from dwitable.llm.common import SLICE, kept, raw, sliced
 from dwitable.session import materialise
 
 #: Words whose ids a worker remembers, and bytes of text it splits at once.
@@ -107,9 +106,8 @@ class WordIds:
             start = end
 
 
-@lru_cache(maxsize=2)
 def _words(path: str) -> WordIds:
-    return WordIds(path)
+    return kept("packing", path, lambda: WordIds(path))
 
 
 class Windows:
@@ -197,7 +195,7 @@ def _packed(docs: DataFrame, path: str, length: int, windows: int, least_cut: in
                     put(pieces, False)
                 known[1] += len(rest) // WIDTH
                 doc += 1
-                if len(rows) >= 1024:
+                if len(rows) >= SLICE:
                     yield batch()
                     alive = {p[0] for w in state.open for p in w[1]}
                     totals = {d: totals[d] for d in alive}
@@ -224,7 +222,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, windows: int = 64,
     Null and empty texts are the end id alone. Repeated rows and null doc_ids are packed like any other. An empty table gives no
     sequence. Other columns are ignored. ``tokenizer`` is the path of a tokenizer file that every executor has.
     """
-    pieces = materialise(_packed(docs, tokenizer, length, windows, least_cut, end_id), "pieces")
+    pieces = materialise(_packed(docs, tokenizer, length, windows, least_cut, end_id), "pieces", batch_rows=SLICE)
     columns = ["doc_id", "start", "length", "ids", "doc_tokens"]
     sequence = (F.col("part") * (1 << 31) + F.col("window")) * 2
     closed = pieces.where("not open").select(*columns, sequence.alias("sequence_id"), "offset")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwitable.llm.common import fresh, raw, sliced
+from dwitable.llm.common import SLICE, fresh, raw, sliced
 from dwitable.llm.components import components
 from dwitable.session import if_small, materialise
 
@@ -185,7 +185,7 @@ def near_copies(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     A null doc_id stays, in the group of its fingerprint; a group without any doc_id has a null ``component_id``.
     An empty table gives an empty result; other columns are ignored.
     """
-    prints = materialise(fingerprints(docs, words), "prints")
+    prints = materialise(fingerprints(docs, words), "prints", batch_rows=SLICE)
     nodes = materialise(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "prints")
     links = near_links(nodes.select("fingerprint"), radius, segments_for(nodes.count()))
     groups = components(links, "a", "b").withColumnRenamed("node", "fingerprint")

@@ -1,14 +1,17 @@
 """Packing: every id exactly once, sequences full, little padding."""
 
 import random
+import weakref
 import zlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from dwitable.llm import packing
+from dwitable.llm import common, decontaminate, langid, packing
 from dwitable.llm.queries import QUERIES
+from dwitable.session import materialise
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, start string, window int, ids string"
@@ -109,3 +112,34 @@ def test_query_digest(spark, tokenizer):
         ids = [*tokenizer.encode(text[r["doc_id"]] or "", add_special_tokens=False).ids, 1]
         part = b"".join(i.to_bytes(4, "little") for i in ids[r["start"] : r["start"] + r["length"]])
         assert (zlib.crc32(part), len(ids)) == (r["ids_crc32"], r["doc_tokens"])
+
+
+def test_texts_go_to_python_in_few_rows(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("id as doc_id", "cast(id as string) as text").coalesce(1)
+    key, asked = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(key)
+
+    def rows_of(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows], pa.int64())], ["rows"])
+
+    most = materialise(df.mapInArrow(rows_of, "rows long"), "rows", batch_rows=common.SLICE)
+    assert sum(r[0] for r in most.collect()) == 3000 and max(r[0] for r in most.collect()) <= common.SLICE
+    assert spark.conf.get(key) == before
+
+    def watched(table, purpose, **given):
+        asked.append(given)
+        return materialise(table, purpose, **given)
+
+    monkeypatch.setattr(packing, "materialise", watched)
+    assert packing.pack(df, PATH, 16).select("doc_id").distinct().count() == 3000
+    assert asked == [{"batch_rows": common.SLICE}]
+
+
+def test_a_worker_keeps_the_memory_of_one_operator():
+    vectors = weakref.ref(langid._triples())
+    assert langid._triples() is vectors()
+    index = weakref.ref(decontaminate._index("a", [(1, "one two three four five six seven")], 5, 19))
+    assert vectors() is None
+    words = packing._words(PATH)
+    assert index() is None and packing._words(PATH) is words
